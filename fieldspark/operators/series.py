@@ -253,7 +253,7 @@ def predictors(wide: DataFrame, calendar_end: Column, cls: str = "cls", d3: str
     decay = F.when(end <= doy4, F.lit(0.0)).otherwise(fall)
     five = [("persistence", last), ("class_mean", F.col("_class_mean")),
             ("linear", last + slope * (target - doy4)), ("flat_hold", hold), ("decay", decay)]
-    return long_predictors(df.drop("_end"), five).drop("_class_mean")
+    return long_predictors(df, five).drop("_class_mean", "_end")
 
 
 def long_predictors(df: DataFrame, named: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -1 +1,407 @@
-"""Registered queries."""
+"""Joins, sorts, set operations and gates, bound to the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldspark.operators import gates, geometry, joins, knn, rollup, stats, zonal
+from fieldspark.operators.text import distinct_tokens, numeric_tokens
+from fieldspark.plans import bindings as B
+from fieldspark.plans.q_scans import CATALOGUE, QUALITY, T6, catalogue, with_coverage
+from fieldspark.plans.registry import query
+
+LABELS = "SELECT doc_id AS plot_id, quality AS label, toxic FROM labels"
+DOCS = "SELECT doc_id AS plot_id, lang, n_chars, CASE WHEN n_chars >= 200 THEN 'measured' ELSE 'imputed' END AS data_quality FROM documents"
+
+
+def docs(t):
+    return t.documents.select(F.col("doc_id").alias("plot_id"), "lang", "n_chars",
+                              F.when(F.col("n_chars") >= 200, "measured").otherwise("imputed").alias("data_quality"))
+
+
+def labels(t):
+    return t.labels.select(F.col("doc_id").alias("plot_id"), F.col("quality").alias("label"), "toxic")
+
+
+@query("inner_labels", f"SELECT d.*, label, toxic FROM ({DOCS}) d JOIN ({LABELS}) l USING (plot_id) WHERE data_quality = 'measured'")
+def _(t):
+    return joins.backtest_frame(docs(t), labels(t))
+
+
+@query("left_enrich", f"""SELECT d.*, label, toxic, n_words FROM ({DOCS}) d LEFT JOIN ({LABELS}) l USING (plot_id)
+LEFT JOIN (SELECT conv_id AS plot_id, count(*) AS n_words FROM conversations GROUP BY 1) c USING (plot_id)""")
+def _(t):
+    c = t.conversations.groupBy(F.col("conv_id").alias("plot_id")).agg(F.count(F.lit(1)).alias("n_words"))
+    return joins.enrich(docs(t), "plot_id", labels(t), c)
+
+
+@query("left_prefer_base", f"SELECT d.*, label, toxic FROM ({DOCS}) d LEFT JOIN ({LABELS}) l USING (plot_id)")
+def _(t):
+    extra = labels(t).withColumn("lang", F.lit("not taken")).withColumn("n_chars", F.lit(0))
+    return joins.enrich_missing(docs(t), extra, "plot_id")
+
+
+@query("swap_label", f"SELECT plot_id, weight, value, brand AS cls FROM ({B.PLOTS}) p", f="value")
+def _(t):
+    p = B.plots(t)
+    other = p.select("plot_id", F.col("brand").alias("cls"))
+    return joins.swap_label(p.select("plot_id", "weight", "value", "cls"), other, "plot_id", "cls")
+
+
+@query("compare_suffix", f"""SELECT cls, coalesce(a.total, 0) AS total_a, coalesce(b.total, 0) AS total_b,
+coalesce(b.total, 0) - coalesce(a.total, 0) AS diff FROM (SELECT cls, sum(value * weight) AS total FROM ({B.PLOTS}) p GROUP BY 1) a
+FULL JOIN (SELECT cls, sum(value * weight) AS total FROM ({B.PLOTS}) p WHERE confidence = 'high' AND cls <> 'PROMO' GROUP BY 1) b USING (cls)""",
+       f="total_a total_b diff")
+def _(t):
+    p = B.plots(t)
+    total = F.sum(F.col("value") * F.col("weight")).alias("total")
+    sure = p.where("confidence = 'high' and cls <> 'PROMO'")
+    return joins.compare(p.groupBy("cls").agg(total), sure.groupBy("cls").agg(total), "cls", "total")
+
+
+@query("zonal_join", f"SELECT g.r, g.c, pass, value, plot_id FROM ({B.GRID}) g JOIN ({B.GRID_LABELS}) l USING (r, c)", f="value")
+def _(t):
+    return joins.zonal_join(B.grid(t), B.grid_labels(t))
+
+
+def region_cells(t):
+    """Square regions of 500 x 500 from (-70, -70), on 10 m cells, as far as the plots reach."""
+    box = t.supplier.agg((F.floor(F.max("s_suppkey") / 10) * 100 + 20).cast("long").alias("top"))
+    rows = box.select(F.explode(F.sequence(F.lit(-7), F.floor(F.col("top") / 10))).alias("r"))
+    cells = rows.select("r", F.explode(F.sequence(F.lit(-7), F.lit(96))).alias("c"))
+    name = F.concat(F.lit("R"), F.floor((F.col("c") + 7) / 50).cast("string"), F.lit("_"),
+                    F.floor((F.col("r") + 7) / 50).cast("string"))
+    return cells.select(F.col("r").cast("long"), F.col("c").cast("long"), name.alias("region"))
+
+
+CELL_COUNT = f"""SELECT plot_id, CAST((ceil((cx + hx) / 10 - 0.5) - ceil((cx - hx) / 10 - 0.5)) *
+(ceil((cy + hy) / 10 - 0.5) - ceil((cy - hy) / 10 - 0.5)) AS BIGINT) AS n FROM ({B.RECT}) r"""
+
+
+@query("cell_in_polygon", CELL_COUNT)
+def _(t):
+    cells = geometry.cells_in_polygons(B.rectangles(t), 10.0)
+    return cells.groupBy("plot_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("core_cells", f"""SELECT plot_id, count(*) AS n FROM (SELECT plot_id, cx, cy, hx, hy, erode, r, c FROM
+(SELECT *, least(4.0, 0.25 * hx * hy / (hx + hy)) AS erode, unnest(range(CAST(ceil(cy - hy - 0.5) AS BIGINT), CAST(ceil(cy + hy - 0.5) AS BIGINT))) AS r FROM ({B.RECT}) q) a,
+(SELECT unnest(range(-60, 1000)) AS c) b WHERE c + 0.5 >= cx - hx AND c + 0.5 < cx + hx) d
+WHERE r + 0.5 - (cy - hy) >= erode AND cy + hy - r - 0.5 >= erode AND c + 0.5 - (cx - hx) >= erode AND cx + hx - c - 0.5 >= erode GROUP BY 1""")
+def _(t):
+    return geometry.core_cells(B.rectangles(t)).groupBy("plot_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assigned(t):
+    plots = B.rectangles(t)
+    return geometry.largest_overlap(geometry.cells_in_polygons(plots, 10.0), region_cells(t),
+                                    geometry.polygon_measures(plots), 10.0)
+
+
+OVERLAP = f"""SELECT plot_id, arg_max(region, (n, region)) AS region, max(n) AS shared_cells, 'area' AS how FROM
+(SELECT plot_id, 'R' || ((c + 7) // 50)::VARCHAR || '_' || ((r + 7) // 50)::VARCHAR AS region, count(*) AS n FROM
+(SELECT *, unnest(range(CAST(ceil((cy - hy) / 10 - 0.5) AS BIGINT), CAST(ceil((cy + hy) / 10 - 0.5) AS BIGINT))) AS r FROM ({B.RECT}) q) a,
+(SELECT unnest(range(-7, 97)) AS c) b WHERE (c + 0.5) * 10 >= cx - hx AND (c + 0.5) * 10 < cx + hx GROUP BY 1, 2) o GROUP BY 1"""
+
+
+@query("largest_overlap", OVERLAP)
+def _(t):
+    return assigned(t)
+
+
+@query("containment_totals", f"""SELECT count(*) AS n, count(*) FILTER (a.region = d.region) AS n_agree, count(*) FILTER (a.region <> d.region) AS n_disagree,
+0::BIGINT AS n_by_centroid, 0::BIGINT AS n_outside, sum(weight) AS weight, 0.0::DOUBLE AS weight_outside FROM ({OVERLAP}) a JOIN
+(SELECT plot_id, 'R' || CAST(floor((cx + 70) / 500) AS BIGINT) || '_' || CAST(floor((cy + 70) / 500) AS BIGINT) AS region, 4 * hx * hy AS weight FROM ({B.RECT}) r) d USING (plot_id)""",
+       f="weight weight_outside")
+def _(t):
+    plots = B.rectangles(t)
+    said = plots.select("plot_id", "region").join(
+        geometry.polygon_measures(plots).select("plot_id", F.col("area").alias("weight")), "plot_id")
+    return geometry.containment(assigned(t), said)
+
+
+@query("polygon_orientation", f"SELECT plot_id, CASE WHEN hx > hy THEN 90.0 ELSE 0.0 END AS azimuth, greatest(hx, hy) / least(hx, hy) AS elongation FROM ({B.RECT}) r",
+       f="azimuth elongation")
+def _(t):
+    return geometry.orientation(B.rectangles(t))
+
+
+NEIGHBOURS = f"""SELECT * FROM (SELECT a.plot_id AS query_id, b.plot_id AS donor_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance,
+row_number() OVER (PARTITION BY a.plot_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.plot_id) AS nn
+FROM ({B.POINTS}) a JOIN ({B.POINTS}) b ON a.plot_id <> b.plot_id) n WHERE nn <= 8"""
+
+
+def point_sets(t):
+    p = B.points(t)
+    return (p.select(F.col("plot_id").alias("query_id"), "x", "y"),
+            p.select(F.col("plot_id").alias("donor_id"), "x", "y"))
+
+
+@query("knn_join", NEIGHBOURS, f="distance")
+def _(t):
+    q, d = point_sets(t)
+    return knn.knn_join(q, d, 8, exclude_self=True)
+
+
+@query("nearest_date", f"""SELECT source, target, arg_min(d, (abs(date_diff('day', target, d)), d)) AS nearest FROM
+(SELECT DISTINCT event_type AS source, ts::DATE AS target FROM events) t JOIN
+(SELECT DISTINCT event_type AS source, ts::DATE AS d FROM events WHERE value > 480) a USING (source) GROUP BY 1, 2""")
+def _(t):
+    day = F.to_date("ts")
+    want = t.events.select(F.col("event_type").alias("source"), day.alias("target")).distinct()
+    have = t.events.where("value > 480").select(F.col("event_type").alias("source"), day.alias("d"))
+    return joins.nearest_date(want, have, by=["source"]).where("nearest is not null")
+
+
+EVENT_DAYS = f"SELECT source, d FROM ({B.DAILY}) x WHERE v > 8000 OR day(d) % 5 = 0"
+
+
+def event_days(t):
+    return B.daily(t).where((F.col("v") > 8000) | (F.dayofmonth("d") % 5 == 0)).select("source", "d")
+
+
+@query("lookback_join", f"""SELECT e.source, e.d, b.back::INTEGER AS back, (e.d - b.back::INTEGER) AS past_day, p.v FROM ({EVENT_DAYS}) e,
+(SELECT unnest(range(1, 15)) AS back) b LEFT JOIN ({B.DAILY}) p ON p.source = e.source AND p.d = e.d - b.back::INTEGER""", f="v")
+def _(t):
+    return joins.lookback(event_days(t), B.daily(t), 14, by=["source"]).select(
+        "source", "d", "back", "past_day", "v")
+
+
+# Whole values, so that weights of a hundredth never put a mean on a rounding edge.
+COARSE = f"SELECT r, c, floor(value) AS value FROM ({B.GRID}) g WHERE pass = 1996"
+
+
+def coarse_fine(t):
+    coarse = B.grid(t).where("pass = 1996").select("r", "c", F.floor("value").cast("double").alias("value"))
+    fine = coarse.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), "r", "c").select(
+        (F.col("r") * 10 + F.col("i")).alias("r"), F.explode(F.sequence(F.col("c") * 10, F.col("c") * 10 + 9)).alias("c"))
+    return coarse, fine
+
+
+FINE = f"SELECT r * 10 + i AS r, c * 10 + j AS c FROM ({COARSE}) k, (SELECT unnest(range(10)) AS i) a, (SELECT unnest(range(10)) AS j) b"
+
+
+@query("resample_grid", f"""SELECT f.r, f.c, n.value AS nearest, f.bilinear FROM (SELECT r, c, sum(w * value) / sum(w) FILTER (value IS NOT NULL) AS bilinear FROM
+(SELECT p.r, p.c, k.value, (CASE WHEN a.i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b.j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
+FROM (SELECT r, c, (r + 0.5) / 10.0::DOUBLE - 0.5 AS y, (c + 0.5) / 10.0::DOUBLE - 0.5 AS x FROM ({FINE}) f) p, (SELECT unnest(range(2)) AS i) a, (SELECT unnest(range(2)) AS j) b
+LEFT JOIN ({COARSE}) k ON k.r = floor(y) + a.i AND k.c = floor(x) + b.j) z GROUP BY 1, 2) f JOIN ({COARSE}) n ON n.r = f.r // 10 AND n.c = f.c // 10""",
+       f="nearest bilinear")
+def _(t):
+    coarse, fine = coarse_fine(t)
+    near = joins.resample_nearest(coarse, fine, 10).withColumnRenamed("value", "nearest")
+    return near.join(joins.resample_bilinear(coarse, fine, 10).withColumnRenamed("value", "bilinear"), ["r", "c"])
+
+
+@query("scenario_cross", f"SELECT p.plot_id, s.scenario, value * s.k AS value FROM ({B.PLOTS}) p, (VALUES ('low', 0.9), ('shipped', 1.0), ('high', 1.1)) s(scenario, k)", f="value")
+def _(t):
+    s = joins.with_scenarios(B.plots(t), [{"scenario": "low", "k": 0.9}, {"scenario": "shipped", "k": 1.0},
+                                          {"scenario": "high", "k": 1.1}])
+    return s.select("plot_id", "scenario", (F.col("value") * F.col("k")).alias("value"))
+
+
+def tokens_sql(table: str, text: str = "text") -> str:
+    return rf"""SELECT DISTINCT unnest(regexp_extract_all(replace({text}, ',', ''), '\d+(?:\.\d+)?(?:e[+-]?\d+)?')) AS token FROM {table}"""
+
+
+@query("unmatched_tokens", f"SELECT token FROM ({tokens_sql('pages', 'html')}) a WHERE token NOT IN (SELECT token FROM ({tokens_sql('documents')}) b) AND token NOT IN (SELECT token FROM ({tokens_sql('conversations')}) c)")
+def _(t):
+    return joins.unmatched_tokens(numeric_tokens(t.pages, "html"), numeric_tokens(t.documents),
+                                  numeric_tokens(t.conversations))
+
+
+ORDER_PRINT = "SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS total, sum(l_quantity * l_quantity) AS total_sq FROM lineitem GROUP BY 1"
+
+
+@query("duplicate_pairs", f"""SELECT first_input, l_orderkey AS duplicate, n, total, total_sq FROM (SELECT *, min(l_orderkey) OVER (PARTITION BY n, total, total_sq) AS first_input
+FROM ({ORDER_PRINT}) p) q WHERE l_orderkey > first_input""")
+def _(t):
+    cells = t.lineitem.select("l_orderkey", F.col("l_quantity").alias("value"))
+    return joins.duplicate_inputs(zonal.fingerprint(cells, ["l_orderkey"]), "l_orderkey", ["n", "total", "total_sq"])
+
+
+# -- sorts and limits -------------------------------------------------------------------------
+@query("stable_order", f"SELECT plot_id, weight, row_number() OVER (ORDER BY weight, plot_id) AS place FROM ({B.PLOTS}) p")
+def _(t):
+    from fieldspark.operators.ordered import positions
+    return positions(B.plots(t).select("plot_id", "weight"), [], ["weight", "plot_id"], "place")
+
+
+@query("topk_per_group", f"SELECT cls, plot_id, weight, rank_in_group FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY weight, plot_id) AS rank_in_group FROM ({B.PLOTS}) p) q WHERE rank_in_group <= 5")
+def _(t):
+    return joins.top_k(B.plots(t).select("cls", "plot_id", "weight"), ["cls"], ["weight", "plot_id"], 5)
+
+
+_ITEMS = f"SELECT *, (day(d) - 1) // 5 AS \"window\" FROM ({CATALOGUE}) c"
+_VALID = "SELECT (day(ts) - 1) // 5 AS \"window\", ts::DATE AS d, avg((value < 70)::INTEGER) AS valid_share FROM events GROUP BY 1, 2"
+
+
+@query("first_passing_candidate", f"""SELECT "window", d, cloud, n_items, valid_share FROM (SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY cloud, d) AS rn FROM
+(SELECT "window", d, avg(cloud) AS cloud, count(*) AS n_items FROM ({_ITEMS}) i GROUP BY 1, 2) c JOIN ({_VALID}) v USING ("window", d) WHERE cloud <= 80 AND valid_share >= 0.75) r WHERE rn = 1""",
+       f="cloud valid_share")
+def _(t):
+    items = catalogue(t).withColumn("window", F.floor((F.dayofmonth("d") - 1) / 5))
+    valid = t.events.groupBy(B.slot().alias("window"), F.to_date("ts").alias("d")).agg(
+        F.avg((F.col("value") < 70).cast("int")).alias("valid_share"))
+    return rollup.pick_scene(items, valid, required=[], min_valid=0.75)
+
+
+@query("sample_head", f"SELECT plot_id, cls, value FROM ({B.PLOTS}) p ORDER BY value DESC, plot_id LIMIT 10", f="value")
+def _(t):
+    return B.plots(t).select("plot_id", "cls", "value").orderBy(F.col("value").desc(), "plot_id").limit(10)
+
+
+# -- set operations ---------------------------------------------------------------------------
+@query("union_total_row", f"SELECT coalesce(cls, 'ALL') AS cls, count(*) AS n, sum(weight) AS weight FROM ({B.PLOTS}) p GROUP BY ROLLUP(cls)")
+def _(t):
+    return rollup.with_total(B.plots(t)).groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
+@query("union_scenarios", f"""SELECT 'reference' AS source, 0.9 * sum(value * weight) AS low, 1.1 * sum(value * weight) AS high FROM ({B.PLOTS}) p
+UNION ALL SELECT 'confidence', sum(value * weight) FILTER (confidence = 'high'), sum(value * weight) FROM ({B.PLOTS}) p""", f="low high")
+def _(t):
+    from fieldspark.operators.resample import budget_row
+    vw = F.col("value") * F.col("weight")
+    p = B.plots(t)
+    return rollup.stack(budget_row("reference", p, 0.9 * F.sum(vw), 1.1 * F.sum(vw)),
+                        budget_row("confidence", p, F.sum(F.when(F.col("confidence") == "high", vw)), F.sum(vw)))
+
+
+@query("distinct_tokens", f"SELECT token, length(token) AS length FROM ({tokens_sql('documents')}) t ORDER BY 2 DESC, 1")
+def _(t):
+    return distinct_tokens(t.documents)
+
+
+@query("schema_difference", """SELECT p_brand AS item, 'extra' AS kind FROM part WHERE p_size > 40 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_type = 'PROMO' AND p_retailprice > 1090) GROUP BY 1
+UNION ALL SELECT p_brand, 'missing' FROM part WHERE p_type = 'PROMO' AND p_retailprice > 1090 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 40) GROUP BY 1""")
+def _(t):
+    return rollup.schema_difference(t.part.where("p_size > 40"),
+                                    t.part.where("p_type = 'PROMO' and p_retailprice > 1090"), "p_brand")
+
+
+@query("date_intersection", """SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_orderdate::DATE BETWEEN
+(SELECT min(l_shipdate)::DATE + 100 FROM lineitem) AND (SELECT max(o_orderdate)::DATE - 100 FROM orders)""")
+def _(t):
+    lo = t.lineitem.agg(F.date_add(F.to_date(F.min("l_shipdate")), 100).alias("lo"))
+    hi = t.orders.agg(F.date_sub(F.to_date(F.max("o_orderdate")), 100).alias("hi"))
+    from fieldspark.operators.ordered import null_safe_join
+    span = null_safe_join(lo, hi, [])
+    return rollup.dates_between(t.orders.select(F.to_date("o_orderdate").alias("d")), span)
+
+
+# -- gates ------------------------------------------------------------------------------------
+_IN_BAND = "value BETWEEN " + B.sql_map({k: v[0] for k, v in B.BANDS.items()}) + " AND " + B.sql_map({k: v[1] for k, v in B.BANDS.items()})
+
+
+@query("schema_gate", f"""SELECT 0::BIGINT AS unsound_rows, count(*) FILTER (cls NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL')) AS category_outside,
+count(*) FILTER (NOT fraction BETWEEN 0 AND 1) AS fraction_outside, count(*) FILTER (NOT coalesce({_IN_BAND}, false)) AS value_outside_band,
+count(*) FILTER (NOT plot_id BETWEEN 1 AND 1500) AS key_outside, 0::BIGINT AS duplicate_keys, abs(count(*) - 966)::BIGINT AS row_count_off FROM ({B.PLOTS}) p""")
+def _(t):
+    p = B.plots(t)
+    return gates.schema_gate(p, "plot_id", ["plot_id", "cls", "value", "weight"], "cls", B.CLASSES[:5],
+                             ["fraction"], "value", B.BANDS, rows=966, key_range=(1, 1500))
+
+
+@query("null_pattern_gate", f"SELECT count(*) FILTER ((label IS NULL) = (n_chars >= 300)) AS label_pattern, count(*) FILTER ((toxic IS NULL) = (n_chars >= 300)) AS toxic_pattern FROM ({DOCS}) d LEFT JOIN ({LABELS}) l USING (plot_id)")
+def _(t):
+    d = joins.enrich(docs(t), "plot_id", labels(t)).withColumn("has", F.col("n_chars") >= 300)
+    return gates.null_pattern_gate(d, ["label", "toxic"], "has")
+
+
+@query("reconcile_gate", f"""SELECT count(*) FILTER (coalesce(abs(a.p - b.p) > 1e-6, true)) AS production_off, 0::BIGINT AS weight_off FROM
+(SELECT coalesce(cls, 'ALL') AS cls, sum(value * weight) AS p FROM ({B.PLOTS}) p GROUP BY ROLLUP(cls)) a FULL JOIN
+(SELECT coalesce(cls, 'ALL') AS cls, sum(round(value * weight, 1)) AS p FROM ({B.PLOTS}) p GROUP BY ROLLUP(cls)) b USING (cls)""")
+def _(t):
+    p = B.plots(t).withColumn("production", F.col("value") * F.col("weight"))
+    coarse = rollup.with_total(p.withColumn("production", F.round("production", 1))).groupBy("cls").agg(
+        F.sum("production").alias("production"), F.sum("weight").alias("weight"))
+    return gates.reconcile_gate(p, coarse)
+
+
+@query("plausible_gate", f"SELECT cls, count(*) AS n, count(*) FILTER (NOT coalesce({_IN_BAND}, false)) AS n_outside FROM ({B.PLOTS}) p GROUP BY 1")
+def _(t):
+    return gates.plausible_gate(B.plots(t), B.BANDS)
+
+
+@query("complete_gate", f"SELECT " + ", ".join(f"count(*) FILTER (t{i} IS NULL) AS t{i}_missing" for i in range(1, 7)) + " FROM (" + T6.replace(B.OBS, B.GAPS) + ") t")
+def _(t):
+    from fieldspark.operators.series import at_pass
+    w = B.gaps(t).groupBy("plot_id").agg(*[at_pass(i).alias(f"t{i + 1}") for i in range(6)])
+    return gates.complete_gate(w, [f"t{i}" for i in range(1, 7)])
+
+
+@query("date_integrity_gate", "SELECT count(*) FILTER (strftime(ts, '%Y%m%d') <> '202401' || lpad(CAST(1 + event_id // (SELECT (max(event_id) + 1) / 30.0 FROM events) AS VARCHAR).split('.')[1], 2, '0')) AS date_mismatch FROM events")
+def _(t):
+    from fieldspark.operators.ordered import attach
+    e = attach(t.events, [], {"_n": F.max("event_id") + 1})
+    declared = F.concat(F.lit("202401"), F.lpad((1 + F.floor(F.col("event_id") / (F.col("_n") / 30.0))).cast("string"), 2, "0"))
+    return gates.date_gate(e.withColumn("declared", declared), "ts", "declared")
+
+
+@query("grid_gate", f"SELECT count(DISTINCT (a, b, x, y)) - 1 AS extra_extents FROM (SELECT pass, min(r) a, max(r) b, min(c) x, max(c) y FROM ({B.GRID}) g GROUP BY 1) e")
+def _(t):
+    return gates.grid_gate(B.grid(t))
+
+
+@query("reserved_column_gate", f"SELECT count(label) AS label_exposed, count(toxic) AS toxic_exposed FROM ({DOCS}) d LEFT JOIN ({LABELS}) l USING (plot_id)")
+def _(t):
+    d = joins.enrich(docs(t), "plot_id", labels(t))
+    return gates.reserved_gate(d, ["label", "toxic"], "backtest", ["validate"])
+
+
+@query("donor_gate", f"SELECT q.data_quality, count(*) AS n FROM ({QUALITY}) q WHERE data_quality <> 'imputed' GROUP BY 1")
+def _(t):
+    from fieldspark.operators.series import count_valid
+    donors = count_valid(with_coverage(t), 6, 4).where("data_quality <> 'imputed'")
+    return knn.donor_gate(donors, 8).groupBy("data_quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+IOU = f"""SELECT count(*) FILTER (a.r IS NOT NULL AND b.r IS NOT NULL) AS n_both, count(*) AS n_union,
+count(*) FILTER (a.r IS NOT NULL AND b.r IS NOT NULL) / count(*)::DOUBLE AS iou,
+count(*) FILTER (a.r IS NOT NULL AND b.r IS NULL) / count(a.r)::DOUBLE AS only_a,
+count(*) FILTER (a.r IS NOT NULL AND b.r IS NOT NULL) / count(*)::DOUBLE > 0.95 AS passed
+FROM (SELECT DISTINCT r, c FROM ({B.GRID}) g WHERE pass = 1995 AND value - 50000 > 0) a FULL JOIN (SELECT DISTINCT r, c FROM ({B.GRID}) g WHERE pass = 1996 AND value - 50000 > 0) b ON a.r = b.r AND a.c = b.c"""
+
+
+def iou(t):
+    g = B.grid(t).withColumn("value", F.col("value") - 50000)
+    return zonal.footprint_iou(g.where("pass = 1995"), g.where("pass = 1996"))
+
+
+@query("footprint_iou", IOU, f="iou only_a")
+def _(t):
+    return iou(t)
+
+
+NOISE = f"SELECT l_linenumber::BIGINT AS pass, 45 - l_linenumber::DOUBLE AS noise_db FROM lineitem GROUP BY 1, 2"
+GATE_CELLS = "SELECT l_linenumber::BIGINT AS pass, l_orderkey // 4 AS r, l_orderkey % 4 AS c, l_extendedprice AS value FROM lineitem"
+RADIO = f"""SELECT t.pass, max_db, noise_db, below_noise, median_db, block_cov, margin_db, 1 / (block_cov * block_cov) AS enl, (max_db >= 15 AND margin_db >= 3) AS passed FROM
+(SELECT c.pass, 10 * log10(max(value)) AS max_db, max(noise_db) AS noise_db, avg((10 * log10(value) < noise_db)::INTEGER) AS below_noise, 10 * log10(median(value)) AS median_db,
+10 * log10(median(value)) - max(noise_db) AS margin_db FROM ({GATE_CELLS}) c JOIN ({NOISE}) n USING (pass) GROUP BY 1) t LEFT JOIN
+(SELECT pass, median(cov) AS block_cov FROM (SELECT pass, r // 4 AS br, c // 4 AS bc, count(*) AS n, stddev_pop(value) / avg(value) AS cov FROM ({GATE_CELLS}) c GROUP BY 1, 2, 3) b WHERE n = 16 GROUP BY 1) v USING (pass)"""
+
+
+def radio(t):
+    li = t.lineitem
+    cells = li.select(F.col("l_linenumber").cast("long").alias("pass"), F.floor(F.col("l_orderkey") / 4).alias("r"),
+                      (F.col("l_orderkey") % 4).alias("c"), F.col("l_extendedprice").alias("value"))
+    noise = li.select(F.col("l_linenumber").cast("long").alias("pass")).distinct().withColumn(
+        "noise_db", 45.0 - F.col("pass"))
+    return zonal.radiometric_gate(cells, noise, 4)
+
+
+@query("radiometric_gate", RADIO, f="max_db noise_db below_noise median_db block_cov margin_db enl")
+def _(t):
+    return radio(t)
+
+
+@query("stage_gates", f"""SELECT *, bool_and(passed) OVER () AS all_passed FROM (SELECT 'footprint' AS gate, 'all' AS item, passed FROM ({IOU}) i
+UNION ALL SELECT 'radiometric', pass::VARCHAR, passed FROM ({RADIO}) r
+UNION ALL SELECT 'duplicates', 'all', count(*) = 0 FROM (SELECT n, total FROM ({ORDER_PRINT}) p GROUP BY 1, 2 HAVING count(*) > 1) d) g""")
+def _(t):
+    a = iou(t).select(F.lit("footprint").alias("gate"), F.lit("all").alias("item"), "passed")
+    b = radio(t).select(F.lit("radiometric").alias("gate"), F.col("pass").cast("string").alias("item"), "passed")
+    cells = t.lineitem.select("l_orderkey", F.col("l_quantity").alias("value"))
+    dup = joins.duplicate_inputs(zonal.fingerprint(cells, ["l_orderkey"]), "l_orderkey", ["n", "total"])
+    c = dup.agg((F.count(F.lit(1)) == 0).alias("passed")).select(
+        F.lit("duplicates").alias("gate"), F.lit("all").alias("item"), "passed")
+    return gates.stage_gates(a, b, c)

@@ -1 +1,290 @@
-"""Registered queries."""
+"""Resampling, sensitivity and clustering, bound to the given tables."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from fieldspark.functions import rand
+from fieldspark.functions.expr import lookup
+from fieldspark.operators import cluster, resample, rollup, series, stats
+from fieldspark.plans import bindings as B
+from fieldspark.plans.q_aggregates import log_ratios
+from fieldspark.plans.q_joins import NEIGHBOURS
+from fieldspark.plans.q_series import (CUT_LABELS, CUT_PRIOR, PEAK, PRED, canopy, cut_sql, factor_sql, preds)
+from fieldspark.plans.q_stats import EDGES, rank_sql, spearman_sql
+from fieldspark.plans.registry import query
+
+DRAWS = 50
+
+
+def mix_sql(row_id: str, draw: str, seed: int) -> str:
+    m = rand.MASK
+    h = f"((({row_id})::BIGINT & {m}) * {rand.ID_STEP} + ({draw}) * {rand.DRAW_STEP} + {seed}) & {m}"
+    h = f"xor(({h}), ({h}) >> 16)"
+    h = f"(({h}) * {rand.MULTIPLIER_1}) & {m}"
+    h = f"xor(({h}), ({h}) >> 15)"
+    h = f"(({h}) * {rand.MULTIPLIER_2}) & {m}"
+    return f"xor(({h}), ({h}) >> 16)"
+
+
+def uniform_sql(row_id: str, draw: str, seed: int) -> str:
+    return f"(({mix_sql(row_id, draw, seed)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def normal_sql(row_id: str, draw: str, seed: int) -> str:
+    return (f"(sqrt(-2.0 * ln({uniform_sql(row_id, draw, seed)})) * cos({2 * math.pi!r}::DOUBLE * "
+            f"{uniform_sql(row_id, draw, seed + 7919)}))")
+
+
+def poisson_sql(u: str) -> str:
+    term, cdf, parts = math.exp(-1.0), 0.0, []
+    for k in range(rand.POISSON_TERMS):
+        cdf += term
+        parts.append(f"({u} >= {cdf!r}::DOUBLE)::INTEGER")
+        term /= k + 1
+    return "(" + " + ".join(parts) + ")"
+
+
+def drawn(src: str, n: int = DRAWS) -> str:
+    return f"(SELECT s.*, d.draw FROM ({src}) s, (SELECT unnest(range({n})) AS draw) d)"
+
+
+ERRORS = f"""SELECT plot_id, max(pred) FILTER (predictor = 'flat_hold') - truth AS em, max(pred) FILTER (predictor = 'persistence') - truth AS eb
+FROM ({PRED}) p GROUP BY plot_id, truth"""
+
+
+def errors(t):
+    w = preds(t).groupBy("plot_id", "truth").agg(*[
+        F.max(F.when(F.col("predictor") == n, F.col("pred"))).alias(n) for n in ("persistence", "flat_hold")])
+    return w.select("plot_id", (F.col("flat_hold") - F.col("truth")).alias("e_model"),
+                    (F.col("persistence") - F.col("truth")).alias("e_base"))
+
+
+@query("bootstrap_skill", f"""SELECT quantile_cont(skill, 0.025) AS ci_lo, quantile_cont(skill, 0.975) AS ci_hi FROM (SELECT draw, 1 - sum(w * em * em) / sum(w * eb * eb) AS skill FROM
+(SELECT *, {poisson_sql('u')} AS w FROM (SELECT *, {uniform_sql('plot_id', 'draw', 11)} AS u FROM {drawn(ERRORS)} e) a) b GROUP BY 1) c""", f="ci_lo ci_hi")
+def _(t):
+    return resample.bootstrap_skill(errors(t), DRAWS)
+
+
+_BLOCK = f"SELECT plot_id, v, b, floor(x / 500)::BIGINT * 100000 + floor(y / 500)::BIGINT AS block FROM ({B.POINTS}) p"
+_COPIES = f"""SELECT draw, v, b FROM (SELECT draw, v, b, unnest(range({poisson_sql('u')})) FROM (SELECT *, {uniform_sql('block', 'draw', 12)} AS u FROM {drawn(_BLOCK, 20)} e) a) c"""
+
+
+@query("block_bootstrap", f"""SELECT (SELECT count(DISTINCT block) FROM ({_BLOCK}) k) AS blocks, (SELECT count(*) FROM ({_BLOCK}) k)::BIGINT AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM ({_BLOCK}) k GROUP BY block) m) AS median_block_n,
+(SELECT rho FROM ({spearman_sql(_BLOCK, 'v', 'b')}) s) AS rho, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM ({spearman_sql(_COPIES, 'v', 'b', 'draw')}) d""", f="median_block_n rho lo hi")
+def _(t):
+    return resample.block_bootstrap(B.points(t), "v", "b", draws=20)
+
+
+_PERM = f"""SELECT s.draw, i.plot_id, s.c FROM (SELECT draw, c, row_number() OVER (PARTITION BY draw ORDER BY h, plot_id) AS i FROM (SELECT *, {mix_sql('plot_id', 'draw', 13)} AS h FROM
+{drawn(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p", 20)} a) b) s JOIN (SELECT plot_id, row_number() OVER (ORDER BY plot_id) AS i FROM ({B.POINTS}) p) i USING (i)"""
+_SS = f"(SELECT var_pop(v) * count(*) FROM ({B.POINTS}) q)"
+
+
+@query("permutation_morans", f"""SELECT observed, avg(i) AS null_mean, count(*) FILTER (i >= observed) AS exceed, count(*) AS draws, (1.0 + count(*) FILTER (i >= observed)) / (count(*) + 1.0) AS p,
+CASE WHEN count(*) FILTER (i >= observed) = 0 THEN 'p<' ELSE 'p=' END || printf('%.3f', ((1.0 + count(*) FILTER (i >= observed)) / (count(*) + 1.0))::DOUBLE) AS shown FROM
+(SELECT a.draw, sum(a.c * e.w * b.c) / {_SS} AS i FROM ({EDGES}) e JOIN ({_PERM}) a ON a.plot_id = e.plot_id JOIN ({_PERM}) b ON b.plot_id = e.donor_id AND b.draw = a.draw GROUP BY 1) n,
+(SELECT sum(a.c * e.w * b.c) / {_SS} AS observed FROM ({EDGES}) e JOIN (SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p) a USING (plot_id) JOIN (SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p) b ON b.plot_id = e.donor_id) o GROUP BY observed""",
+       f="observed null_mean p")
+def _(t):
+    p = B.points(t)
+    return resample.permutation_morans(p, stats.neighbour_weights(p), draws=20)
+
+
+TIED = f"SELECT *, round(value * 20) AS axis FROM ({B.PLOTS}) p"
+_TIE = f"""SELECT draw, {cut_sql('share')} AS bucket, sum(weight) AS weight FROM (SELECT draw, weight, sum(weight) OVER (PARTITION BY draw ORDER BY axis, h, plot_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY draw) AS share FROM
+(SELECT *, {mix_sql('plot_id', 'draw', 14)} AS h FROM {drawn(TIED)} a) b) c GROUP BY 1, 2"""
+
+
+def tied(t):
+    return B.plots(t).withColumn("axis", F.round(F.col("value") * 20))
+
+
+@query("tie_permutation", f"SELECT bucket, min(weight) AS weight_min, max(weight) AS weight_max, count(*) AS draws FROM ({_TIE}) t GROUP BY 1", f="weight_min weight_max")
+def _(t):
+    return resample.tie_spread(resample.tie_permutation(tied(t), "axis", "weight", CUT_PRIOR, CUT_LABELS, DRAWS))
+
+
+REF = f"SELECT *, weight AS cells, value AS x, {B.sql_map(B.REFERENCE)} AS reference FROM ({B.PLOTS}) p"
+
+
+def ref(t):
+    return B.plots(t).withColumns({"cells": F.col("weight"), "x": F.col("value"),
+                                   "reference": lookup(F.col("cls"), B.REFERENCE, "reference")})
+
+
+_NOISE = f"""SELECT draw, sum(reference * factor * weight) AS total FROM ({factor_sql('x', f"SELECT * REPLACE (x + 4.34 / sqrt(greatest(cells, 1)) * {normal_sql('plot_id', 'draw', 15)} AS x) FROM {drawn(REF)} a", 'draw, cls', '0.30')}) f GROUP BY 1"""
+NOISE = f"SELECT quantile_cont(total, 0.05) AS low, quantile_cont(total, 0.95) AS high FROM ({_NOISE}) n"
+
+
+@query("noise_draws", NOISE, f="low high", nd=4)
+def _(t):
+    return resample.over_draws(resample.noise_draws(ref(t), DRAWS), "total", {"low": 0.05, "high": 0.95})
+
+
+# The three ordered labels take the references of three classes.
+LABEL_REF = {"Bajra": 1.25, "Maize": 1.75, "Groundnut": 2.5}
+_SHARE = f"SELECT plot_id, weight, value AS x, sum(weight) OVER (ORDER BY axis, plot_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () AS share FROM ({TIED}) p"
+_SIGMA = f"(SELECT stddev_samp(ln(share / CASE cls WHEN 'PROMO' THEN 0.2 ELSE 0.16 END)) FROM (SELECT cls, sum(weight) / (SELECT sum(p_size) FROM part) AS share FROM ({B.PLOTS}) p GROUP BY 1) q WHERE cls IN ('PROMO', 'ECONOMY'))"
+_W = [f"{w}::DOUBLE * exp({_SIGMA} * {normal_sql(str(i + 1), 'draw', 16)})" for i, w in enumerate(CUT_PRIOR)]
+_PRIOR = f"""SELECT draw, plot_id, weight, x, CASE WHEN share <= w1 / (w1 + w2 + w3) THEN 'Bajra' WHEN share <= w1 / (w1 + w2 + w3) + w2 / (w1 + w2 + w3) THEN 'Maize' ELSE 'Groundnut' END AS cls FROM ({_SHARE}) s,
+(SELECT draw, {_W[0]} AS w1, {_W[1]} AS w2, {_W[2]} AS w3 FROM (SELECT unnest(range({DRAWS})) AS draw) d) w"""
+_MIX = f"""SELECT draw, sum({B.sql_map(LABEL_REF)} * factor * weight) AS total, """ + ", ".join(
+    f"coalesce(sum(weight) FILTER (cls = '{c}'), 0) AS weight_{c}" for c in CUT_LABELS) + f" FROM ({factor_sql('x', _PRIOR, 'draw, cls', '0.30')}) f GROUP BY 1"
+
+
+@query("prior_perturbation", _MIX, f="total weight_Bajra weight_Maize weight_Groundnut", nd=4)
+def _(t):
+    p = tied(t).withColumn("x", F.col("value"))
+    return resample.prior_draws(p, "axis", CUT_PRIOR, CUT_LABELS, LABEL_REF, rollup.prior_sigma(log_ratios(t)), DRAWS)
+
+
+@query("threshold_sweep", f"""SELECT level, count(*) FILTER (value >= level AND confidence = 'high') AS n, coalesce(sum(weight) FILTER (value >= level AND confidence = 'high'), 0) AS weight,
+coalesce(sum(weight) FILTER (value >= level AND confidence = 'high'), 0) / sum(weight) AS weight_share FROM ({B.PLOTS}) p, (VALUES (0.95::DOUBLE), (1.0), (1.05)) l(level) GROUP BY 1""", f="level weight weight_share")
+def _(t):
+    return resample.threshold_sweep(B.plots(t), "value", (0.95, 1.0, 1.05), F.col("confidence") == "high")
+
+
+@query("episode_sweep", f"""SELECT level, count(*) FILTER (peak_v >= level) AS with_episode, count(*) FILTER (peak_v < level) AS without, avg(coalesce((c > 0.8)::INTEGER, 0)) AS over_08, avg(coalesce((c < 0.2)::INTEGER, 0)) AS under_02, median(c) AS median_cleared FROM
+(SELECT *, CASE WHEN peak_v >= level THEN greatest(0, least(1, 1 - end_v / nullif(peak_v, 0))) END AS c FROM ({PEAK}) p, (VALUES (0.25::DOUBLE), (0.5), (1.0)) l(level) WHERE peak_v IS NOT NULL) q GROUP BY 1""", f="level over_08 under_02 median_cleared")
+def _(t):
+    return resample.episode_sweep(series.peak(canopy(t)).where("peak_v is not null"), (0.25, 0.5, 1.0))
+
+
+SPANS = (0.0, 0.15, 0.20, 0.30, 0.45)
+_DEV = factor_sql("x", REF, "cls, span", "span").replace(f"FROM ({REF}) s", f"FROM ({REF}) s, (SELECT unnest([{', '.join(map(str, SPANS))}]::DOUBLE[]) AS span) z")
+_SPAN = f"""SELECT span, sum(reference * factor * weight) AS total, sum(reference * factor * weight) / sum(weight) AS value_wt FROM ({_DEV}) d GROUP BY 1"""
+SPAN = f"""SELECT s.*, 100 * (total - (SELECT total FROM ({_SPAN}) q WHERE abs(span - 0.3) < 1e-9)) / (SELECT total FROM ({_SPAN}) q WHERE abs(span - 0.3) < 1e-9) AS vs_shipped_pct, m.median_spread FROM ({_SPAN}) s JOIN
+(SELECT span, median(w) AS median_spread FROM (SELECT span, cls, quantile_cont(reference * factor, 0.9) - quantile_cont(reference * factor, 0.1) AS w FROM ({_DEV}) d GROUP BY 1, 2) k GROUP BY 1) m USING (span)"""
+
+
+@query("span_sweep", SPAN, f="span total value_wt vs_shipped_pct median_spread", nd=4)
+def _(t):
+    return resample.span_sweep(ref(t), SPANS, 0.30)
+
+
+SWAPPED = f"SELECT * REPLACE (CASE WHEN weight < 40 THEN cls ELSE 'PROMO' END AS cls) FROM ({B.PLOTS}) p"
+
+
+def _totals(src: str) -> str:
+    body = factor_sql("value", src, "cls", "0.30")
+    return f"SELECT cls, count(*) AS n, sum(weight) AS weight, sum({B.sql_map(B.REFERENCE)} * factor * weight) AS total FROM ({body}) f GROUP BY 1"
+
+
+@query("label_swap", f"""SELECT cls, coalesce(a.n, 0) AS n, coalesce(a.weight, 0) AS weight, coalesce(a.total, 0) AS total, coalesce(b.n, 0) AS n_swapped, coalesce(b.weight, 0) AS weight_swapped, coalesce(b.total, 0) AS total_swapped,
+coalesce(b.total, 0) - coalesce(a.total, 0) AS diff FROM ({_totals(B.PLOTS)}) a FULL JOIN ({_totals(SWAPPED)}) b USING (cls)""", f="weight total weight_swapped total_swapped diff", nd=4)
+def _(t):
+    return label_swap(t)
+
+
+def swapped_labels(t):
+    return B.plots(t).select("plot_id", F.when(F.col("weight") < 40, F.col("cls")).otherwise("PROMO").alias("cls"))
+
+
+def label_swap(t):
+    p = B.plots(t).withColumn("x", F.col("value"))
+    return resample.label_swap(p, swapped_labels(t), B.REFERENCE)
+
+
+_TOTAL = f"(SELECT sum(total) FROM ({_totals(B.PLOTS)}) x)"
+_TIE_TOTAL = f"SELECT draw, sum({B.sql_map(LABEL_REF, 'bucket')} * weight) AS total FROM ({_TIE}) t GROUP BY 1"
+BUDGET = f"""SELECT source, low, high, total, (high - low) / 2 AS half_width, 50 * (high - low) / total AS half_width_pct FROM (SELECT *, {_TOTAL} AS total FROM (
+SELECT 'reference (stated scenario)' AS source, 0.9 * {_TOTAL} AS low, 1.1 * {_TOTAL} AS high
+UNION ALL SELECT 'labelling', least({_TOTAL}, sum(total)), greatest({_TOTAL}, sum(total)) FROM ({_totals(SWAPPED)}) b
+UNION ALL SELECT 'allocation prior', quantile_cont(total, 0.05), quantile_cont(total, 0.95) FROM ({_MIX}) m
+UNION ALL SELECT 'tie order', min(total), max(total) FROM ({_TIE_TOTAL}) u
+UNION ALL SELECT 'speckle', low, high FROM ({NOISE}) n) r) q"""
+
+
+@query("uncertainty_budget", BUDGET, f="low high total half_width half_width_pct", nd=4)
+def _(t):
+    return uncertainty_budget(t)
+
+
+def uncertainty_budget(t):
+    from fieldspark.operators.ordered import null_safe_join
+    total = resample.class_total(ref(t), 0.30)
+    alt = label_swap(t).agg(F.sum("total_swapped").alias("alt"))
+    both = null_safe_join(total, alt, [])
+    mix = resample.prior_draws(tied(t).withColumn("x", F.col("value")), "axis", CUT_PRIOR, CUT_LABELS, LABEL_REF,
+                               rollup.prior_sigma(log_ratios(t)), DRAWS)
+    ties = resample.tie_permutation(tied(t), "axis", "weight", CUT_PRIOR, CUT_LABELS, DRAWS)
+    tie_total = ties.groupBy("draw").agg(F.sum(lookup(F.col("bucket"), LABEL_REF, "reference") * F.col("weight")).alias("total"))
+    noise = resample.noise_draws(ref(t), DRAWS)
+    x = F.col("total")
+    rows = [
+        resample.budget_row("reference (stated scenario)", total, 0.9 * F.max(x), 1.1 * F.max(x)),
+        resample.budget_row("labelling", both, F.max(F.least("total", "alt")), F.max(F.greatest("total", "alt"))),
+        resample.budget_row("allocation prior", mix, F.percentile("total", 0.05), F.percentile("total", 0.95)),
+        resample.budget_row("tie order", tie_total, F.min(x), F.max(x)),
+        resample.budget_row("speckle", noise, F.percentile("total", 0.05), F.percentile("total", 0.95))]
+    return resample.uncertainty_budget(total, rows)
+
+
+# -- clustering -------------------------------------------------------------------------------
+def _argmax(r: int) -> str:
+    a, b, c = (f"e{3 * r + i}" for i in range(3))
+    return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
+
+
+RUNS = " UNION ALL ".join(f"SELECT {r} AS run, plot_id, {_argmax(r)} AS cluster FROM ({B.VECTORS}) v" for r in range(3))
+
+
+def runs(t):
+    """Three labelings of the vectors, each by the largest of three elements."""
+    v = B.vectors(t)
+    rows = []
+    for r in range(3):
+        a, b, c = (F.col(f"e{3 * r + i}") for i in range(3))
+        rows.append(F.struct(F.lit(r).alias("run"), F.when((a >= b) & (a >= c), 0).when(b >= c, 1).otherwise(2).alias("cluster")))
+    return v.select("plot_id", F.explode(F.array(*rows)).alias("_s")).select("plot_id", "_s.*")
+
+
+_CONT = f"SELECT a.run AS ra, b.run AS rb, a.cluster AS ca, b.cluster AS cb, count(*) AS n FROM ({RUNS}) a JOIN ({RUNS}) b USING (plot_id) GROUP BY 1, 2, 3, 4"
+_BEST = f"(SELECT arg_min(ra, (-s, ra)) FROM (SELECT ra, sum(n * n) AS s FROM ({_CONT}) c GROUP BY 1) d)"
+
+
+@query("consensus_partition", f"""SELECT a.plot_id, a.run, a.cluster, sum(c.n) / (3.0 * max(z.size)) AS stability FROM ({RUNS}) a JOIN ({RUNS}) b USING (plot_id) JOIN ({_CONT}) c ON c.ra = a.run AND c.rb = b.run AND c.ca = a.cluster AND c.cb = b.cluster
+JOIN (SELECT run, cluster, count(*) AS size FROM ({RUNS}) r GROUP BY 1, 2) z ON z.run = a.run AND z.cluster = a.cluster WHERE a.run = {_BEST} GROUP BY 1, 2, 3""", f="stability")
+def _(t):
+    return cluster.consensus_partition(runs(t))
+
+
+_CLS = f"SELECT *, CASE cluster % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS cls FROM ({B.VECTORS}) v"
+_CEN = "SELECT cluster AS k, max(cls) AS kc, " + ", ".join(f"avg(e{i}) AS m{i}" for i in range(9)) + f" FROM ({_CLS}) c GROUP BY 1"
+
+
+@query("cluster_margin", f"""SELECT plot_id, own, other AS nearest_other, (other - own) / (other + own) AS margin FROM (SELECT plot_id, min(d) FILTER (k = cluster) AS own, min(d) FILTER (kc <> cls) AS other FROM
+(SELECT plot_id, cluster, cls, k, kc, sqrt({' + '.join(f'(e{i} - m{i}) ** 2' for i in range(9))}) AS d FROM ({_CLS}) v, ({_CEN}) m) x GROUP BY 1) y""", f="own nearest_other margin")
+def _(t):
+    k = F.col("cluster") % 3
+    v = B.vectors(t).withColumn("cls", F.when(k == 0, "A").when(k == 1, "B").otherwise("C"))
+    return cluster.cluster_margin(v, B.DIMS)
+
+
+def kmeans(t, k: int = 3, seeds=(1, 2, 3)):
+    return cluster.kmeans_runs(rollup.zscore(B.vectors(t), B.DIMS).select("plot_id", *B.DIMS), B.DIMS, k, seeds)
+
+
+@query("kmeans_seeds")
+def _(t):
+    return kmeans(t, 9).groupBy("run", "cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("silhouette")
+def _(t):
+    return cluster.silhouette(B.vectors(t), B.DIMS)
+
+
+@query("label_stability")
+def _(t):
+    """Partitions at other cluster counts, compared with the first by label agreement."""
+    base = kmeans(t, 3, (1,)).select("plot_id", F.col("cluster").alias("cls"), F.lit("high").alias("confidence"), F.lit(1.0).alias("weight"))
+    out = None
+    for k, seed in ((3, 2), (4, 1), (5, 1)):
+        other = kmeans(t, k, (seed,)).select("plot_id", F.col("cluster").alias("cls"), F.lit("high").alias("confidence"))
+        row = rollup.label_agreement(base, other).select(F.lit(k).alias("k"), F.lit(seed).alias("seed"), "n", "agreement")
+        out = row if out is None else out.unionByName(row)
+    return out

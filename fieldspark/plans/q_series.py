@@ -1 +1,211 @@
-"""Registered queries."""
+"""Windows and time series, bound to the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldspark.functions.expr import lookup
+from fieldspark.operators import cluster, ordered, rollup, series, stats
+from fieldspark.plans import bindings as B
+from fieldspark.plans.q_joins import EVENT_DAYS, NEIGHBOURS, event_days, point_sets
+from fieldspark.plans.registry import query
+
+
+def factor_sql(x: str, src: str, by: str, span: str) -> str:
+    def part(num, den):
+        return f"coalesce(greatest(0, least(1, ({num}) / nullif({den}, 0))), 0)"
+    return f"""SELECT *, 1 + {span} * {part(f'{x} - mid', 'hi - mid')} - {span} * {part(f'mid - {x}', 'mid - lo')} AS factor FROM
+(SELECT *, quantile_cont({x}, 0.05) OVER (PARTITION BY {by}) AS lo, quantile_cont({x}, 0.5) OVER (PARTITION BY {by}) AS mid, quantile_cont({x}, 0.95) OVER (PARTITION BY {by}) AS hi FROM ({src}) s) q"""
+
+
+@query("centred_factor", f"SELECT plot_id, factor FROM ({factor_sql('value', B.PLOTS, 'cls', '0.30')}) f", f="factor")
+def _(t):
+    return rollup.centred_factor(B.plots(t), "value", ["cls"], 0.30).select("plot_id", "factor")
+
+
+@query("group_residual", f"SELECT plot_id, avg(value) OVER (PARTITION BY cls) AS group_mean, value - avg(value) OVER (PARTITION BY cls) AS residual FROM ({B.PLOTS}) p", f="group_mean residual")
+def _(t):
+    return rollup.group_residual(B.plots(t), "value", ["cls"]).select("plot_id", "group_mean", "residual")
+
+
+# Fixed values of the binding: prior weights of the three ordered labels.
+CUT_PRIOR, CUT_LABELS = (0.08, 0.18, 0.16), ("Bajra", "Maize", "Groundnut")
+EDGES = (0.08 / 0.42, 0.26 / 0.42)
+
+
+def cut_sql(share: str = "cum_share") -> str:
+    return (f"CASE (({EDGES[0]}::DOUBLE < {share})::INTEGER + ({EDGES[1]}::DOUBLE < {share})::INTEGER) "
+            "WHEN 0 THEN 'Bajra' WHEN 1 THEN 'Maize' ELSE 'Groundnut' END")
+
+
+SHARE = f"SELECT *, sum(weight) OVER (ORDER BY axis, plot_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () AS cum_share FROM (SELECT *, round(value * 100) AS axis FROM ({B.PLOTS}) p) a"
+
+
+@query("share_cut", f"SELECT plot_id, cum_share, {cut_sql()} AS bucket FROM ({SHARE}) s", f="cum_share")
+def _(t):
+    p = B.plots(t).withColumn("axis", F.round(F.col("value") * 100))
+    return ordered.share_cut(p, "axis", "plot_id", "weight", CUT_PRIOR, CUT_LABELS).select("plot_id", "cum_share", "bucket")
+
+
+@query("gap_fill_linear", f"""SELECT plot_id, pass, coalesce(v, CASE WHEN n >= 4 THEN CASE WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (doy - pd) / (nd - pd) END END) AS filled,
+v IS NULL AND n >= 4 AS was_filled, n AS n_valid FROM (SELECT *, count(v) OVER (PARTITION BY plot_id) AS n, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN doy END IGNORE NULLS) OVER b AS pd,
+first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN doy END IGNORE NULLS) OVER a AS nd FROM ({B.FULL}) f
+WINDOW b AS (PARTITION BY plot_id ORDER BY doy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY plot_id ORDER BY doy ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) w""", f="filled")
+def _(t):
+    return series.gap_fill(B.full(t), 4).select("plot_id", "pass", "filled", "was_filled", "n_valid")
+
+
+TRAPZ = "SELECT plot_id, sum(a) / (max(doy) - min(doy)) AS integral FROM (SELECT *, (doy - lag(doy) OVER w) * ({x} + lag({x}) OVER w) / 2 AS a FROM ({src}) o WINDOW w AS (PARTITION BY plot_id ORDER BY doy)) s GROUP BY 1"
+
+
+@query("trapezoid", TRAPZ.format(x="v", src=B.OBS), f="integral")
+def _(t):
+    return series.trapezoid(B.obs(t), mean=True)
+
+
+@query("line_anomaly", f"""SELECT plot_id, t5 AS measured, t4 + (t6 - t4) / 2 AS line, t5 - (t4 + (t6 - t4) / 2) AS anomaly FROM (SELECT plot_id, max(v) FILTER (pass = 3) AS t4, max(v) FILTER (pass = 4) AS t5,
+max(v) FILTER (pass = 5) AS t6 FROM ({B.OBS}) o GROUP BY 1) w""", f="measured line anomaly")
+def _(t):
+    return series.line_anomaly(B.obs(t), 4, 3, 5)
+
+
+CANOPY = f"SELECT * FROM ({B.DEP}) d WHERE pass IN (2, 3, 5)"
+
+
+def canopy(t):
+    return B.dep(t).where(F.col("pass").isin(2, 3, 5))
+
+
+PEAK = f"""SELECT plot_id, max(x) AS peak_v, arg_max(x, doy) AS end_v, max(x) >= 0.5 AS has_canopy, CASE WHEN max(x) >= 0.5 THEN arg_min(doy, (-x, doy)) END AS peak_doy
+FROM (SELECT *, greatest(departure, 0) AS x FROM ({CANOPY}) c) d GROUP BY 1"""
+
+
+@query("peak", PEAK, f="peak_v end_v")
+def _(t):
+    return series.peak(canopy(t))
+
+
+@query("cleared_fraction", f"""SELECT plot_id, CASE WHEN p >= 0.5 THEN greatest(0, least(1, 1 - e / p)) END AS cleared_fraction, (e - m) / 10 AS late_slope FROM
+(SELECT plot_id, max(x) AS p, max(x) FILTER (pass = 5) AS e, max(x) FILTER (pass = 3) AS m FROM (SELECT *, greatest(departure, 0) AS x FROM ({CANOPY}) c) d GROUP BY 1) w""", f="cleared_fraction late_slope")
+def _(t):
+    return series.cleared(canopy(t))
+
+
+@query("average_rank", f"SELECT plot_id, cls, rank() OVER (PARTITION BY cls ORDER BY weight) + (count(*) OVER (PARTITION BY cls, weight) - 1) / 2.0 AS avg_rank FROM ({B.PLOTS}) p", f="avg_rank")
+def _(t):
+    return ordered.average_rank(B.plots(t), "weight", ["cls"]).select("plot_id", "cls", "avg_rank")
+
+
+@query("adjacent_slope", f"SELECT weight, value, (value - lag(value) OVER (ORDER BY weight)) / (weight - lag(weight) OVER (ORDER BY weight)) AS slope FROM (SELECT weight, avg(value) AS value FROM ({B.PLOTS}) p GROUP BY 1) q", f="value slope")
+def _(t):
+    b = B.plots(t).groupBy("weight").agg(F.avg("value").alias("value"))
+    return stats.adjacent_slope(b, "weight", "weight", "value")
+
+
+ANTECEDENT = f"""SELECT source, d, coalesce(max(dv), 0) AS day_value, coalesce(sum(v) FILTER (b <= 3), 0) AS prev3, coalesce(sum(v) FILTER (b <= 7), 0) AS prev7, coalesce(sum(v), 0) AS prev14, coalesce(sum(v * pow(0.9, b)), 0) AS api FROM
+(SELECT e.source, e.d, b.b, p.v, q.v AS dv FROM ({EVENT_DAYS}) e CROSS JOIN (SELECT unnest(range(1, 15)) AS b) b LEFT JOIN ({B.DAILY}) p ON p.source = e.source AND p.d = e.d - b.b::INTEGER LEFT JOIN ({B.DAILY}) q ON q.source = e.source AND q.d = e.d) x GROUP BY 1, 2"""
+
+
+@query("antecedent_index", ANTECEDENT, f="day_value prev3 prev7 prev14 api")
+def _(t):
+    return series.antecedent(event_days(t), B.daily(t), by=["source"])
+
+
+# The class of a user is the class of the part with the same key.
+CLS_OBS = f"SELECT o.*, p.cls, {B.sql_map(B.CALENDAR, 'p.cls')} AS calendar_end FROM ({CANOPY}) o JOIN ({B.PLOTS}) p USING (plot_id)"
+CLOSE = f"""SELECT plot_id, cls, obs / 15 AS observed_mean, proj AS projected, (obs + proj) / (greatest(calendar_end, 28) - 13) AS season_integral, CASE WHEN can + proj > 0 THEN proj / (can + proj) ELSE 0 END AS extrapolated_fraction, calendar_end
+FROM (SELECT plot_id, cls, calendar_end, (d2 + d3) / 2 * 5 + (d3 + d5) / 2 * 10 AS obs, (greatest(d2, 0) + greatest(d3, 0)) / 2 * 5 + (greatest(d3, 0) + greatest(d5, 0)) / 2 * 10 AS can, greatest(d5, 0) * greatest(calendar_end - 28, 0) AS proj FROM
+(SELECT plot_id, cls, calendar_end, max(departure) FILTER (pass = 2) AS d2, max(departure) FILTER (pass = 3) AS d3, max(departure) FILTER (pass = 5) AS d5 FROM ({CLS_OBS}) c GROUP BY 1, 2, 3) w) z"""
+
+
+def class_obs(t):
+    return canopy(t).join(B.plots(t).select("plot_id", "cls"), "plot_id")
+
+
+def season(t):
+    return series.season_close(class_obs(t), lookup(F.col("cls"), B.CALENDAR, "calendar end"), ["cls"])
+
+
+@query("season_close", CLOSE, f="observed_mean projected season_integral extrapolated_fraction calendar_end")
+def _(t):
+    return season(t)
+
+
+WIDE = f"""SELECT plot_id, cls, calendar_end, max(departure) FILTER (pass = 2) AS d3, max(departure) FILTER (pass = 3) AS d4, max(departure) FILTER (pass = 5) AS truth FROM ({CLS_OBS}) c GROUP BY 1, 2, 3"""
+
+
+def wide(t):
+    return class_obs(t).groupBy("plot_id", "cls").agg(
+        series.at_pass(2, "departure").alias("d3"), series.at_pass(3, "departure").alias("d4"),
+        series.at_pass(5, "departure").alias("truth"))
+
+
+PRED = f"""SELECT plot_id, cls, truth, u.predictor, u.ord, u.pred FROM (SELECT *, d4 + (d4 - d3) / 5 * 10 AS lin, avg(d4) OVER (PARTITION BY cls) AS cm, CASE WHEN calendar_end <= 28 THEN 0 ELSE greatest(d4, 0) END AS hold,
+CASE WHEN calendar_end <= 18 THEN 0 ELSE greatest(0, d4 + least((d4 - d3) / 5, 0) * greatest(least(calendar_end, 28) - 18, 0)) END AS decay FROM ({WIDE}) w) x,
+LATERAL (VALUES ('persistence', 1, d4), ('class_mean', 2, cm), ('linear', 3, lin), ('flat_hold', 4, hold), ('decay', 5, decay)) u(predictor, ord, pred)"""
+
+
+def preds(t):
+    end = lookup(F.col("cls"), B.CALENDAR, "calendar end")
+    return series.predictors(wide(t), end, doy3=13, doy4=18, target=28).select(
+        "plot_id", "cls", "truth", "predictor", "ord", "pred")
+
+
+@query("predictors", PRED, f="truth pred")
+def _(t):
+    return preds(t)
+
+
+HORIZON = f"""SELECT plot_id, u.* FROM (SELECT plot_id, max(departure) FILTER (pass = 2) AS d3, max(departure) FILTER (pass = 3) AS d4, max(departure) FILTER (pass = 5) AS d6 FROM ({CANOPY}) c GROUP BY 1) w,
+LATERAL (VALUES ('T3', 5, 'persistence', d3, d4), ('T3', 5, 'flat_hold', greatest(d3, 0), d4), ('T3-T4', 10, 'persistence', d4, d6), ('T3-T4', 10, 'flat_hold', greatest(d4, 0), d6), ('T3-T4', 10, 'linear', d4 + (d4 - d3) / 5 * 10, d6)) u(split, days, predictor, pred, truth)"""
+SCORES = "SELECT {by} predictor, count(*) AS n, avg(abs(pred - truth)) AS mae, sqrt(avg((pred - truth) ** 2)) AS rmse, avg(pred - truth) AS bias, 1 - avg((pred - truth) ** 2) / max(avg((pred - truth) ** 2)) FILTER (predictor = 'persistence') OVER ({part}) AS skill FROM ({src}) p GROUP BY {by} predictor"
+
+
+def horizon(t):
+    w = canopy(t).groupBy("plot_id").agg(*[series.at_pass(p, "departure").alias(n) for p, n in ((2, "d3"), (3, "d4"), (5, "d6"))])
+    return series.horizon_predictors(w, [("T3", None, "d3", "d4", None, 13, 18), ("T3-T4", "d3", "d4", "d6", 13, 18, 28)])
+
+
+@query("horizon_curve", SCORES.format(by="split, days,", part="PARTITION BY split, days", src=HORIZON), f="mae rmse bias skill")
+def _(t):
+    p = stats.complete_rows(horizon(t), ["plot_id", "split"])
+    return stats.forecast_scores(p, ["split", "days"])
+
+
+def need_impute(t):
+    """Points whose fifth element is low lack data; the others are donors."""
+    p = B.points(t)
+    return p.withColumn("lacks", F.col("fraction") < -0.15)
+
+
+DONORS = f"SELECT * FROM ({B.POINTS}) p WHERE fraction >= -0.15"
+NEAR = f"""SELECT * FROM (SELECT a.plot_id AS query_id, b.plot_id AS donor_id, b.v, b.b, b.label, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS distance,
+row_number() OVER (PARTITION BY a.plot_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.plot_id) AS nn FROM ({B.POINTS}) a JOIN ({DONORS}) b ON a.fraction < -0.15) n WHERE nn <= 8"""
+
+
+def donor_edges(t):
+    from fieldspark.operators.knn import donor_gate, knn_join
+    p = need_impute(t)
+    donors = p.where("not lacks").select(F.col("plot_id").alias("donor_id"), "x", "y")
+    return knn_join(p.where("lacks").select(F.col("plot_id").alias("query_id"), "x", "y"), donor_gate(donors, 8), 8)
+
+
+@query("impute_knn_median", f"""SELECT p.plot_id, u.pass, CASE WHEN p.fraction < -0.15 THEN CASE u.pass WHEN 0 THEN i.mv ELSE i.mb END ELSE u.v END AS v, i.donor_dist FROM ({B.POINTS}) p
+LEFT JOIN (SELECT query_id, median(v) AS mv, median(b) AS mb, avg(distance) AS donor_dist FROM ({NEAR}) n GROUP BY 1) i ON i.query_id = p.plot_id, LATERAL (VALUES (0, p.v), (1, p.b)) u(pass, v)""", f="v donor_dist")
+def _(t):
+    p = need_impute(t)
+    long = p.select("plot_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("pass"), F.col("v").alias("v")),
+        F.struct(F.lit(1).alias("pass"), F.col("b").alias("v")))).alias("_s")).select("plot_id", "_s.*")
+    return series.impute_knn(long, p.where("lacks"), donor_edges(t), ["v"]).select("plot_id", "pass", "v", "donor_dist")
+
+
+@query("label_from_neighbours", f"SELECT plot_id, arg_min(label, (-n, label)) AS cluster FROM (SELECT query_id AS plot_id, label, count(*) AS n FROM ({NEAR}) n GROUP BY 1, 2) q GROUP BY 1")
+def _(t):
+    p = B.points(t).select("plot_id", F.col("label").alias("cluster"))
+    return cluster.neighbour_label(p, donor_edges(t))
+
+
+@query("monotone_count", f"SELECT plot_id, min(d) AS worst_step, min(d) >= -20 AS monotone FROM (SELECT plot_id, v - lag(v) OVER (PARTITION BY plot_id ORDER BY doy) AS d FROM ({B.OBS}) o) s GROUP BY 1", f="worst_step")
+def _(t):
+    return series.monotone(B.obs(t), 20.0)

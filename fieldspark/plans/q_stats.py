@@ -1 +1,207 @@
-"""Registered queries."""
+"""Scores, rank statistics and tests, bound to the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldspark.operators import series, stats
+from fieldspark.plans import bindings as B
+from fieldspark.plans.q_joins import NEIGHBOURS
+from fieldspark.plans.q_series import CANOPY, PRED, SCORES, preds
+from fieldspark.plans.registry import query
+
+
+@query("forecast_scores", SCORES.format(by="", part="", src=PRED), f="mae rmse bias skill")
+def _(t):
+    return stats.forecast_scores(stats.complete_rows(preds(t)))
+
+
+@query("best_by_group", f"""SELECT cls, max(n) AS n, max(rmse) FILTER (predictor = 'flat_hold') AS model_rmse, max(skill) FILTER (predictor = 'flat_hold') AS model_skill, arg_min(predictor, (rmse, ord)) AS best
+FROM ({SCORES.format(by="cls,", part="PARTITION BY cls", src=PRED)}) s JOIN (SELECT DISTINCT predictor, ord FROM ({PRED}) p) o USING (predictor) WHERE n >= 20 GROUP BY 1""", f="model_rmse model_skill")
+def _(t):
+    return stats.best_predictor(stats.complete_rows(preds(t)), "cls", "flat_hold")
+
+
+@query("rule_fires_split", f"""SELECT subset, count(*) AS n, sqrt(avg(em * em)) AS model_rmse, sqrt(avg(eb * eb)) AS base_rmse, 1 - avg(em * em) / avg(eb * eb) AS skill FROM
+(SELECT CASE WHEN abs(h - p) <= 1e-8 + 1e-5 * abs(p) THEN 'silent' ELSE 'fires' END AS subset, h - truth AS em, p - truth AS eb FROM (SELECT plot_id, truth, max(pred) FILTER (predictor = 'persistence') AS p,
+max(pred) FILTER (predictor = 'flat_hold') AS h FROM ({PRED}) q GROUP BY 1, 2) w) s GROUP BY 1 HAVING count(*) >= 10""", f="model_rmse base_rmse skill")
+def _(t):
+    w = preds(t).groupBy("plot_id", "truth").agg(*[
+        F.max(F.when(F.col("predictor") == n, F.col("pred"))).alias(n) for n in ("persistence", "flat_hold")])
+    return stats.fires_split(w, "flat_hold", "persistence")
+
+
+def rank_sql(col: str, by: str = "") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    both = f"PARTITION BY {by}, {col}" if by else f"PARTITION BY {col}"
+    return f"rank() OVER ({part} ORDER BY {col}) + (count(*) OVER ({both}) - 1) / 2.0"
+
+
+def spearman_sql(src: str, a: str, b: str, by: str = "", extra: str = "") -> str:
+    key = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return (f"SELECT {key}count(*) AS n, corr(ra, rb) AS rho, corr({a}, {b}) AS pearson{extra} FROM "
+            f"(SELECT *, {rank_sql(a, by)} AS ra, {rank_sql(b, by)} AS rb FROM ({src}) s) r {group}")
+
+
+@query("spearman", spearman_sql(B.PAIRS, "x", "y", "cls"), f="rho pearson")
+def _(t):
+    return stats.spearman(B.pairs(t), "x", "y", ["cls"])
+
+
+ALL_PAIRS = f"SELECT x, y, c AS cls FROM (SELECT x, y, unnest([cls, 'ALL']) AS c FROM ({B.PAIRS}) p) q"
+
+
+@query("diff_regression", spearman_sql(ALL_PAIRS, "x", "y", "cls", ", regr_slope(y, x) AS slope"), f="rho pearson slope")
+def _(t):
+    return stats.diff_regression(B.pairs(t), "x", "y")
+
+
+MATCH = f"""SELECT u.test, u.a, u.b FROM ({B.PAIRS}) p, LATERAL (VALUES ('same price', x, y), ('same quantity', q, y), ('control', x, first_y)) u(test, a, b)"""
+
+
+@query("same_vs_cross", spearman_sql(MATCH, "a", "b", "test"), f="rho pearson")
+def _(t):
+    return stats.matched_control(B.pairs(t), [("same price", "x", "y"), ("same quantity", "q", "y"), ("control", "x", "first_y")])
+
+
+RESPONSE = f"""SELECT bin::INTEGER AS bin, n, x_lo, x_hi, x_mean, y_mean, (y_mean - lag(y_mean) OVER (ORDER BY bin)) / (x_mean - lag(x_mean) OVER (ORDER BY bin)) AS slope FROM (SELECT bin, count(*) AS n, max(e[bin]) AS x_lo, max(e[bin + 1]) AS x_hi, avg(x) AS x_mean, avg(y) AS y_mean FROM
+(SELECT *, 1 + len(list_filter(e[2:6], lambda q: x >= q)) AS bin FROM (SELECT *, (SELECT [quantile_cont(x, 0.0), quantile_cont(x, 1/6::DOUBLE), quantile_cont(x, 2/6::DOUBLE), quantile_cont(x, 0.5), quantile_cont(x, 4/6::DOUBLE), quantile_cont(x, 5/6::DOUBLE), quantile_cont(x, 1.0)] FROM ({B.PAIRS}) z) AS e FROM ({B.PAIRS}) p) a) b GROUP BY 1) c"""
+
+
+@query("quantile_bins", RESPONSE, f="x_lo x_hi x_mean y_mean slope", nd=4)
+def _(t):
+    return stats.quantile_response(B.pairs(t), "x", "y", 6)
+
+
+QCUT = f"""SELECT bin::INTEGER AS bin, count(*) AS n, median(x) AS x_median, median(y) AS y_median FROM (SELECT *, 1 + (q > e[2] AND e[2] > e[1])::INTEGER + (q > e[3] AND e[3] > e[2])::INTEGER + (q > e[4] AND e[4] > e[3])::INTEGER + (q > e[5] AND e[5] > e[4])::INTEGER AS bin FROM
+(SELECT *, (SELECT quantile_cont(q, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) FROM ({B.PAIRS}) z) AS e FROM ({B.PAIRS}) p) a) b GROUP BY 1"""
+
+
+@query("qcut_medians", QCUT, f="x_median y_median", nd=4)
+def _(t):
+    return stats.qcut_medians(B.pairs(t), "q", ["x", "y"])
+
+
+MWU = f"""SELECT n1, n2, u, (u - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM
+(SELECT n1::DOUBLE AS n1, n2::DOUBLE AS n2, r1 - n1 * (n1 + 1) / 2.0 AS u, ties FROM (SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(rk) FILTER (g) AS r1, sum(k * k - 1.0) AS ties FROM
+(SELECT cls = '1-URGENT' AS g, {rank_sql('q')} AS rk, count(*) OVER (PARTITION BY q) AS k FROM ({B.PAIRS}) p) r) s) t"""
+
+
+@query("mann_whitney", MWU, f="n1 n2 u z")
+def _(t):
+    return stats.mann_whitney(B.pairs(t), "q", F.col("cls") == "1-URGENT", "greater").select("n1", "n2", "u", "z")
+
+
+KW = f"""SELECT count(*) AS groups, sum(n)::BIGINT AS n, (12.0 / (sum(n) * (sum(n) + 1.0)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - max(ties) / (sum(n)::DOUBLE ** 3 - sum(n))) AS h FROM
+(SELECT cls, count(*) AS n, sum(rk) AS r, max(ties) AS ties FROM (SELECT *, sum(k * k - 1.0) OVER () AS ties FROM (SELECT cls, {rank_sql('q')} AS rk, count(*) OVER (PARTITION BY q) AS k FROM ({B.PAIRS}) p) a) b GROUP BY 1) c"""
+
+
+@query("kruskal", KW, f="h")
+def _(t):
+    return stats.kruskal(B.pairs(t), "q", "cls").select("groups", "n", "h")
+
+
+ANOVA = f"""SELECT n, groups, bb / ty AS eta2_raw, be / te AS eta2_resid, (be / (groups - 1)) / ((te - be) / (n - groups)) AS f FROM
+(SELECT sum(k)::BIGINT AS n, count(*) AS groups, sum(k * my * my) AS bb, sum(k * me * me) AS be, sum(qy) AS ty, sum(qe) AS te FROM (SELECT cls, count(*) AS k, avg(y0) AS my, avg(e) AS me, sum(y0 * y0) AS qy, sum(e * e) AS qe FROM
+(SELECT cls, y - avg(y) OVER () AS y0, y - avg(y) OVER () - (SELECT regr_slope(y, x) FROM ({B.PAIRS}) z) * (x - avg(x) OVER ()) AS e FROM ({B.PAIRS}) p) a GROUP BY 1) b) c"""
+
+
+@query("residual_anova", ANOVA, f="eta2_raw eta2_resid f")
+def _(t):
+    return stats.residual_anova(B.pairs(t), "y", "x", "cls").select("n", "groups", "eta2_raw", "eta2_resid", "f")
+
+
+EDGES = f"SELECT query_id AS plot_id, donor_id, exp(-pow(distance / 1500, 2)) / sum(exp(-pow(distance / 1500, 2))) OVER (PARTITION BY query_id) AS w FROM ({NEIGHBOURS}) n"
+
+
+@query("morans_i", f"""SELECT (SELECT count(*) FROM embeddings) AS n, (SELECT sum(a.c * e.w * b.c) FROM ({EDGES}) e JOIN (SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p) a USING (plot_id)
+JOIN (SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p) b ON b.plot_id = e.donor_id) / (SELECT var_pop(v) * count(*) FROM ({B.POINTS}) q) AS morans_i""", f="morans_i")
+def _(t):
+    p = B.points(t)
+    return stats.morans_i(p.select("plot_id", "v"), stats.neighbour_weights(p))
+
+
+AUDIT = f"""SELECT cls, n, d1, d2, d2 - d1 AS change FROM (SELECT cls, count(DISTINCT plot_id) AS n, median(departure) FILTER (pass = 3) AS d1, median(departure) FILTER (pass = 5) AS d2 FROM ({B.DEP}) d JOIN ({B.PLOTS}) p USING (plot_id) GROUP BY 1) q"""
+
+
+@query("projection_audit", AUDIT, f="d1 d2 change")
+def _(t):
+    return stats.projection_audit(B.dep(t), B.plots(t), (3, 5))
+
+
+# Second instrument: single days of events, against the five-day slots of the first.
+SECOND = "SELECT user_id AS plot_id, ts::DATE AS d, dayofmonth(ts) AS day, avg(value) / 0.997::DOUBLE AS v FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2, 3"
+
+
+def second(t):
+    return t.events.where("event_type in ('view', 'click')").groupBy(
+        F.col("user_id").alias("plot_id"), F.to_date("ts").alias("d"), F.dayofmonth("ts").alias("day")).agg(
+        (F.avg("value") / B.UNTIE).alias("v"))
+
+
+def nearest_pair(t):
+    """The second instrument's dates nearest to days 18 and 28, the later one strictly later."""
+    from fieldspark.operators.joins import nearest_date
+    s = second(t)
+    days = s.select("plot_id", "d")
+    month = F.to_date(F.lit("2024-01-01"))
+    first = nearest_date(s.select("plot_id").distinct().withColumn("target", F.date_add(month, 17)), days, by=["plot_id"])
+    first = first.select("plot_id", F.col("nearest").alias("d1"))
+    both = nearest_date(first.withColumn("target", F.date_add(month, 27)), days, by=["plot_id"], after="d1")
+    return both.select("plot_id", "d1", F.col("nearest").alias("d2")).where("d2 is not null"), s
+
+
+CROSS = f"""SELECT x.plot_id, b.v - a.v AS c, x.x FROM (SELECT plot_id, max(departure) FILTER (pass = 5) - max(departure) FILTER (pass = 3) AS x FROM ({CANOPY}) c GROUP BY 1) x JOIN
+(SELECT plot_id, d1, arg_min(d, (abs(date_diff('day', DATE '2024-01-28', d)), d)) AS d2 FROM (SELECT plot_id, arg_min(d, (abs(date_diff('day', DATE '2024-01-18', d)), d)) AS d1 FROM ({SECOND}) s GROUP BY 1) f JOIN ({SECOND}) s USING (plot_id) WHERE s.d > f.d1 GROUP BY 1, 2) k USING (plot_id)
+JOIN ({SECOND}) a ON a.plot_id = x.plot_id AND a.d = k.d1 JOIN ({SECOND}) b ON b.plot_id = x.plot_id AND b.d = k.d2 WHERE x.x IS NOT NULL"""
+
+
+def cross_sensor(t):
+    k, s = nearest_pair(t)
+    a = s.select("plot_id", F.col("d").alias("d1"), F.col("v").alias("_a"))
+    b = s.select("plot_id", F.col("d").alias("d2"), F.col("v").alias("_b"))
+    w = B.dep(t).groupBy("plot_id").agg(
+        (series.at_pass(5, "departure") - series.at_pass(3, "departure")).alias("x"))
+    j = k.join(a, ["plot_id", "d1"]).join(b, ["plot_id", "d2"]).join(w, "plot_id")
+    return stats.spearman(j.withColumn("c", F.col("_b") - F.col("_a")), "c", "x")
+
+
+@query("cross_sensor_rho", spearman_sql(CROSS, "c", "x"), f="rho pearson")
+def _(t):
+    return cross_sensor(t)
+
+
+TARGET_DAYS = (3, 8, 13, 18, 23, 28)
+_SUB = " UNION ".join(f"SELECT plot_id, arg_min(day, (abs(day - {d}), day)) AS day FROM ({SECOND}) s GROUP BY 1" for d in TARGET_DAYS)
+_INT = "SELECT plot_id, sum(a) / (max(day) - min(day)) AS i FROM (SELECT plot_id, day, (day - lag(day) OVER w) * (v + lag(v) OVER w) / 2 AS a FROM ({src}) o WINDOW w AS (PARTITION BY plot_id ORDER BY day)) s GROUP BY 1 HAVING max(day) > min(day)"
+ADEQUACY = f"""SELECT a.plot_id, a.i AS a, b.i AS b FROM ({_INT.format(src=f"SELECT s.* FROM ({SECOND}) s JOIN (SELECT plot_id, min(day) AS lo, max(day) AS hi FROM ({_SUB}) u GROUP BY 1) r USING (plot_id) WHERE day BETWEEN lo AND hi")}) a
+JOIN ({_INT.format(src=f"SELECT s.* FROM ({SECOND}) s JOIN ({_SUB}) u USING (plot_id, day)")}) b USING (plot_id)"""
+
+
+def sampling_adequacy(t):
+    from fieldspark.operators.joins import nearest_date
+    from fieldspark.operators.ordered import null_safe_join, quantiles
+    s = second(t)
+    month = F.to_date(F.lit("2024-01-01"))
+    want = s.select("plot_id").distinct().select("plot_id", F.explode(F.array(*[
+        F.date_add(month, d - 1) for d in TARGET_DAYS])).alias("target"))
+    chosen = nearest_date(want, s.select("plot_id", "d"), by=["plot_id"]).select(
+        "plot_id", F.col("nearest").alias("d")).distinct()
+    span = chosen.groupBy("plot_id").agg(F.min("d").alias("_lo"), F.max("d").alias("_hi"))
+    s = s.withColumn("doy", F.col("day").cast("double"))
+    every = s.join(span, "plot_id").where(F.col("d").between(F.col("_lo"), F.col("_hi")))
+    a = series.trapezoid(every, mean=True).withColumnRenamed("integral", "a")
+    b = series.trapezoid(s.join(chosen, ["plot_id", "d"], "left_semi"), mean=True).withColumnRenamed("integral", "b")
+    j = a.join(b, "plot_id").where("a is not null and b is not null").withColumn("gap", F.abs(F.col("a") - F.col("b")))
+    return null_safe_join(stats.spearman(j, "a", "b"), quantiles(j, [], "gap", {"median_gap": 0.5}), [])
+
+
+@query("sampling_adequacy", spearman_sql(ADEQUACY, "a", "b", "", ", median(abs(a - b)) AS median_gap"), f="rho pearson median_gap")
+def _(t):
+    return sampling_adequacy(t)
+
+
+@query("reserved_tests", f"""SELECT *, arg_max(cls, (median, cls)) OVER () AS winner, n >= 20 AS enough FROM (SELECT cls, count(*) AS n, median(y) AS median FROM ({B.PAIRS}) p WHERE x > 250000 GROUP BY 1) q""", f="median", nd=4)
+def _(t):
+    return stats.reserved_tests(B.pairs(t).where("x > 250000"), "y", "cls")
