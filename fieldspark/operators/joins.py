@@ -143,29 +143,47 @@ def resample_nearest(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFra
     return keyed.join(src, ["_cr", "_cc"], "left").drop("_cr", "_cc")
 
 
-def resample_bilinear(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
-    """Bilinear value at each fine cell centre from the four nearest coarse centres.
+CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
+
 
-    Missing neighbours leave the weighted mean of those present; no neighbour gives null.
+def dual_cells(coarse: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row per square of four neighbouring coarse centres, with the values at its corners.
+
+    The coarse grid is the small side, so copying each of its cells to four squares here lets
+    every fine cell be joined once instead of four times.
     """
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in CORNERS]))
+    k = coarse.select("*", at.alias("_k")).withColumns(
+        {"_y0": F.col("r") - F.col("_k.dy"), "_x0": F.col("c") - F.col("_k.dx")})
+    return k.groupBy(*by, "_y0", "_x0").agg(*[
+        F.max(F.when((F.col("_k.dy") == a) & (F.col("_k.dx") == b), F.col(v))).alias(f"_{v}{a}{b}")
+        for v in values for a, b in CORNERS])
+
+
+def with_dual_position(fine: DataFrame, factor: int) -> DataFrame:
     y = (F.col("r") + 0.5) / factor - 0.5
     x = (F.col("c") + 0.5) / factor - 0.5
-    pos = fine.select("r", "c", y.alias("_y"), x.alias("_x")).withColumns(
-        {"_y0": F.floor("_y"), "_x0": F.floor("_x")})
-    corner = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (0, 1) for b in (0, 1)]))
-    wy = F.col("_y") - F.col("_y0")
-    wx = F.col("_x") - F.col("_x0")
-    four = pos.select("*", corner.alias("_k")).select(
-        "r", "c", (F.col("_y0") + F.col("_k.dy")).alias("_cr"),
-        (F.col("_x0") + F.col("_k.dx")).alias("_cc"),
-        (F.when(F.col("_k.dy") == 1, wy).otherwise(1.0 - wy)
-         * F.when(F.col("_k.dx") == 1, wx).otherwise(1.0 - wx)).alias("_w"))
-    src = coarse.select(F.col("r").alias("_cr"), F.col("c").alias("_cc"), "value")
-    hit = four.join(src, ["_cr", "_cc"], "left")
-    have = F.when(F.col("value").isNotNull(), F.col("_w"))
-    return hit.groupBy("r", "c").agg(
-        F.try_divide(F.sum(F.col("_w") * F.col("value")), F.sum(have)).alias("value"))
+    return fine.withColumns({"_y0": F.floor(y), "_x0": F.floor(x), "_fy": y - F.floor(y), "_fx": x - F.floor(x)})
+
+
+def bilinear(value: str) -> Column:
+    """Weighted mean of the corners that have a value; null when none has."""
+    def side(f: str, up: int) -> Column:
+        return F.col(f) if up else 1.0 - F.col(f)
+
+    num, den = F.lit(0.0), F.lit(0.0)
+    for a, b in CORNERS:
+        v, w = F.col(f"_{value}{a}{b}"), side("_fy", a) * side("_fx", b)
+        num = num + F.coalesce(w * v, F.lit(0.0))
+        den = den + F.when(v.isNotNull(), w).otherwise(0.0)
+    return F.try_divide(num, den)
+
+
+def resample_bilinear(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
+    """Bilinear value at each fine cell centre from the four nearest coarse centres."""
+    pos = with_dual_position(fine.select("r", "c"), factor)
+    hit = pos.join(dual_cells(coarse.select("r", "c", "value"), ["value"]), ["_y0", "_x0"], "left")
+    return hit.select("r", "c", bilinear("value").alias("value"))
 
 
 def resample_mask(mask: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
@@ -173,3 +191,15 @@ def resample_mask(mask: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
     as_value = mask.select("r", "c", F.col("valid").cast("double").alias("value"))
     return resample_bilinear(as_value, fine, factor).select(
         "r", "c", (F.coalesce("value", F.lit(0.0)) > 0.5).alias("valid"))
+
+
+def carry_index(index: DataFrame, labels: DataFrame, factor: int,
+                by: Sequence[str] = ("window",)) -> DataFrame:
+    """Index and validity of a coarse grid at the labelled fine cells: (plot_id, by.., value).
+
+    A fine cell keeps its value only where the carried mask exceeds one half.
+    """
+    src = index.select(*by, "r", "c", "value", F.col("value").isNotNull().cast("double").alias("ok"))
+    pos = with_dual_position(labels.select("plot_id", "r", "c"), factor)
+    hit = pos.join(dual_cells(src, ["value", "ok"], by), ["_y0", "_x0"])
+    return hit.select("plot_id", *by, F.when(bilinear("ok") > 0.5, bilinear("value")).alias("value"))

@@ -14,20 +14,21 @@ def _(t):
     return text.numeric_tokens(t.documents)
 
 
-_TOK = tokens_sql("conversations")
+_TOK = tokens_sql("documents")
 _LINES = """SELECT page_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT page_id, string_split(replace(html, ',', ''), chr(10)) AS l FROM pages) p"""
 _VERB = f"SELECT token, min((page_id, line_no)) AS pos FROM ({_TOK}) t JOIN ({_LINES}) l ON contains(line, token) GROUP BY 1"
 _DEC = rf"SELECT DISTINCT page_id, line_no, unnest(regexp_extract_all(line, '\d+\.\d+')) AS d FROM ({_LINES}) l"
 _REST = f"SELECT token, length(split_part(token, '.', 2))::INTEGER AS places FROM ({_TOK}) t WHERE token NOT IN (SELECT token FROM ({_VERB}) v) AND contains(token, '.') AND NOT contains(token, 'e')"
 _ROUND = f"""SELECT token, min((page_id, line_no)) AS pos FROM ({_REST}) r JOIN ({_DEC}) d ON TRY_CAST(d AS DECIMAL(38, 12)) IS NOT NULL
-AND round(CAST(token AS DECIMAL(38, 12)), places) = round(TRY_CAST(d AS DECIMAL(38, 12)), places) GROUP BY 1"""
+AND (TRY_CAST(d AS DECIMAL(38, 12)) - CAST(token AS DECIMAL(38, 12)))::DOUBLE * 2 * pow(10, places) >= -1
+AND (TRY_CAST(d AS DECIMAL(38, 12)) - CAST(token AS DECIMAL(38, 12)))::DOUBLE * 2 * pow(10, places) < 1 GROUP BY 1"""
 TRACE = f"""SELECT token, pos[1] AS page_id, pos[2]::INTEGER AS line_no, coalesce(how, 'missing') AS how FROM ({_TOK}) t LEFT JOIN (SELECT token, pos, 'verbatim' AS how FROM ({_VERB}) v
 UNION ALL SELECT token, pos, 'rounded' FROM ({_ROUND}) r) f USING (token)"""
 
 
 @query("trace_tokens", TRACE)
 def _(t):
-    return text.trace_tokens(text.numeric_tokens(t.conversations), text.lines_of(t.pages, "page_id", "html"), "page_id")
+    return text.trace_tokens(text.numeric_tokens(t.documents), text.lines_of(t.pages, "page_id", "html"), "page_id")
 
 
 @query("word_budget", r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::INTEGER AS words, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) <= 2000 AS within FROM documents")
