@@ -303,6 +303,18 @@ def pick_scene(items: DataFrame, validity: DataFrame, required: Sequence[str],
     return windows.withColumn("d", checked).where(F.col("d").isNotNull())
 
 
+def rank_sensitivity(totals: DataFrame, key: str, base: str, total: str = "total") -> DataFrame:
+    """Scenarios ordered by how far their total lies from the base scenario's, widest first.
+
+    A scenario table has a few rows, so ranking it in one window is bounded by design.
+    """
+    from pyspark.sql import Window
+    ref = totals.where(F.col(key) == base).agg(F.max(total).alias("_base"))
+    d = null_safe_join(totals, ref, []).withColumn("half_width", F.abs(F.col(total) - F.col("_base"))).drop("_base")
+    w = Window.partitionBy(F.lit(0)).orderBy(F.col("half_width").desc(), key)
+    return d.withColumn("place", F.row_number().over(w)).orderBy("place")
+
+
 def stack(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

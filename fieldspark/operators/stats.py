@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from fieldspark.functions import pvalues
 from fieldspark.functions.expr import close_to, gaussian_weight
 from fieldspark.operators.knn import knn_join
-from fieldspark.operators.ordered import (attach, average_rank, null_safe_join, quantiles,
-                                          quantiles_of, value_ranks)
+from fieldspark.operators.ordered import (attach, null_safe_join, quantiles, quantiles_of,
+                                          value_ranks)
+from fieldspark.sources.stage import materialise
 
 MIN_PAIRS = 10
 
@@ -72,9 +73,19 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), min_n: int =
                       copies.alias("_k")
                       ).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     # Equal pairs first: ranks depend on the counts only.
-    pairs = pairs.groupBy(*by, "_a", "_b").agg(F.sum("_k").alias("_w"))
-    ranked = average_rank(pairs, "_a", by, "_ra", F.col("_w"))
-    ranked = average_rank(ranked, "_b", by, "_rb", F.col("_w"))
+    pairs = materialise(pairs.groupBy(*by, "_a", "_b").agg(F.sum("_k").alias("_w")))
+    # Both columns are ranked in one ordered pass, side by side.
+    long = pairs.select(*by, "_w", F.explode(F.array(
+        F.struct(F.lit("a").alias("_m"), F.col("_a").alias("_v")),
+        F.struct(F.lit("b").alias("_m"), F.col("_b").alias("_v")))).alias("_s")).select(
+        *by, "_w", "_s._m", "_s._v")
+    ranks = materialise(value_ranks(long, "_v", [*by, "_m"], F.col("_w")).select(
+        *by, "_m", "_v", "mid_rank"))
+    ranked = pairs
+    for m in ("a", "b"):
+        side = ranks.where(F.col("_m") == m).select(
+            *by, F.col("_v").alias(f"_{m}"), F.col("mid_rank").alias(f"_r{m}"))
+        ranked = null_safe_join(ranked, side, [*by, f"_{m}"])
     out = ranked.groupBy(*by).agg(
         F.sum("_w").alias("n"), weighted_corr("_ra", "_rb", "_w").alias("rho"),
         weighted_corr("_a", "_b", "_w").alias("pearson"))
@@ -113,7 +124,7 @@ def matched_control(df: DataFrame, pairs: Sequence[tuple[str, str, str]]) -> Dat
 
 def quantile_response(df: DataFrame, x: str, y: str, bins: int = 6) -> DataFrame:
     """Mean response in quantile bins of x (left-closed, last bin closed), with the slope between."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = materialise(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y))
     edges = quantiles(d, [], x, {f"e{i}": i / bins for i in range(bins + 1)})
     inner = [F.when(F.col(x) >= F.col(f"e{i}"), 1).otherwise(0) for i in range(1, bins)]
     binned = null_safe_join(d, edges, []).withColumn("bin", sum(inner, F.lit(1)))
@@ -134,9 +145,9 @@ def adjacent_slope(bins: DataFrame, order: str, x: str, y: str) -> DataFrame:
 
 def qcut_medians(df: DataFrame, x: str, columns: Sequence[str], q: int = 5) -> DataFrame:
     """Medians per quantile bin of x with right-closed bins; repeated edges merge bins."""
-    d = df.where(F.col(x).isNotNull())
+    d = materialise(df.where(F.col(x).isNotNull()).select(*{x, *columns}))
     edges = quantiles(d, [], x, {f"e{i}": i / q for i in range(q + 1)})
-    e = null_safe_join(d, edges, [])
+    e = null_safe_join(d, materialise(edges), [])
     seen = F.lit(1)
     for i in range(1, q):
         new = (F.col(x) > F.col(f"e{i}")) & (F.col(f"e{i}") > F.col(f"e{i - 1}"))

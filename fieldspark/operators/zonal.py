@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.expr import from_db, to_db
 from fieldspark.operators.ordered import attach, null_safe_join, quantiles
+from fieldspark.sources.stage import materialise
 
 FLOOR_POWER = 1e-12
 
@@ -85,8 +86,8 @@ def full_blocks(cells: DataFrame, factor: int, passes: int) -> DataFrame:
 
 def stable_targets(blocks: DataFrame, select: Sequence, percentile: float = 99.9) -> DataFrame:
     """Blocks whose smallest value over the selection passes exceeds its own percentile."""
-    low = (blocks.where(F.col("pass").isin(*select)).groupBy("br", "bc")
-           .agg(F.min("value").alias("low")).where(F.col("low") > 0))
+    low = materialise(blocks.where(F.col("pass").isin(*select)).groupBy("br", "bc")
+                      .agg(F.min("value").alias("low")).where(F.col("low") > 0))
     cut = quantiles(low, [], "low", {"cut": percentile / 100.0})
     return null_safe_join(low, cut, []).where(F.col("low") > F.col("cut")).select("br", "bc", "low")
 
@@ -99,7 +100,7 @@ def pass_offsets(blocks: DataFrame, targets: DataFrame, master, skip: Sequence =
     ref = db.where(F.col("pass") == master).select("br", "bc", F.col("db").alias("ref"))
     if skip:
         db = db.where(~F.col("pass").isin(*skip))
-    gap = db.join(ref, ["br", "bc"]).withColumn("gap", F.col("ref") - F.col("db"))
+    gap = materialise(db.join(ref, ["br", "bc"]).select("pass", (F.col("ref") - F.col("db")).alias("gap")))
     return quantiles(gap, ["pass"], "gap", {"measured": 0.5}).withColumn(
         "applied", F.when(F.abs("measured") >= apply_min, F.col("measured")).otherwise(0.0))
 
@@ -108,12 +109,13 @@ def decile_profile(blocks: DataFrame, pass_a, pass_b, select: Sequence,
                    min_count: int = 20) -> DataFrame:
     """Median difference of two passes by decile of the darkest selection pass."""
     def db(cond: Column) -> Column:
-        return to_db(F.greatest(F.min(F.when(cond, F.col("value"))), F.lit(FLOOR_POWER)))
+        low = F.min(F.when(cond, F.col("value")))
+        return to_db(F.when(low < FLOOR_POWER, F.lit(FLOOR_POWER)).otherwise(low))
 
     p = F.col("pass")
-    wide = blocks.groupBy("br", "bc").agg(
-        db(p.isin(*select)).alias("axis"), db(p == pass_a).alias("a"), db(p == pass_b).alias("b"))
-    edges = quantiles(wide, [], "axis", {f"e{i}": i / 10.0 for i in range(11)})
+    wide = materialise(blocks.groupBy("br", "bc").agg(
+        db(p.isin(*select)).alias("axis"), db(p == pass_a).alias("a"), db(p == pass_b).alias("b")))
+    edges = materialise(quantiles(wide, [], "axis", {f"e{i}": i / 10.0 for i in range(11)}))
     binned = null_safe_join(wide, edges, []).withColumn("decile", sum(
         (F.when(F.col("axis") >= F.col(f"e{i}"), 1).otherwise(0) for i in range(1, 10)), F.lit(1)))
     binned = binned.withColumn("gap", F.col("a") - F.col("b"))
@@ -158,8 +160,8 @@ def scene_drift(cells: DataFrame, labels: DataFrame, offsets: DataFrame, level_p
         F.count_distinct("pass").alias("_n"),
         F.min(F.when(p.isin(*level_passes), F.col("value"))).alias("low"),
         *[F.max(F.when(p == x, F.col("value"))).alias(f"v{i}") for i, x in enumerate(level_passes)])
-    ground = (per_cell.where(F.col("_n") == passes)
-              .join(labels.select("r", "c"), ["r", "c"], "left_anti"))
+    ground = materialise(per_cell.where(F.col("_n") == passes)
+                         .join(labels.select("r", "c"), ["r", "c"], "left_anti"))
     cut = quantiles(ground, [], "low", {"cut": percentile / 100.0})
     kept = null_safe_join(ground, cut, []).where(F.col("low") <= F.col("cut"))
     long = kept.select(F.explode(F.array(*[

@@ -101,7 +101,7 @@ def job_forecast(obs: DataFrame, plots: DataFrame, calendar: Mapping, reference:
                  bands: Mapping, span: float = 0.30) -> DataFrame:
     """Season integral closed to the calendar, centred factor, forecast, and the band gate."""
     labelled = obs.join(plots.select("plot_id", "cls"), "plot_id")
-    closed = series.season_close(labelled, lookup(F.col("cls"), calendar, "calendar end"), ["cls"])
+    closed = materialise(series.season_close(labelled, lookup(F.col("cls"), calendar, "calendar end"), ["cls"]))
     f = rollup.centred_factor(closed, "season_integral", ["cls"], span)
     f = f.withColumn("reference", lookup(F.col("cls"), reference, "reference yield"))
     f = materialise(f.withColumn("value", F.col("reference") * F.col("factor")))
@@ -155,7 +155,8 @@ def job_validate(frame: DataFrame, points: DataFrame, draws: int = 999) -> DataF
     ``frame(plot_id, cls, value, reserved, azimuth, elongation, anomaly)``.
     """
     first = F.lit("1")
-    med = ordered.quantiles(frame, ["cls"], "reserved", {"m": 0.5})
+    frame = materialise(frame)
+    med = materialise(ordered.quantiles(frame, ["cls"], "reserved", {"m": 0.5}))
     top = med.agg(F.max_by("cls", F.struct("m", "cls")).alias("winner"), F.max("m").alias("value"))
     rows = [top.select(F.lit("reserved winner").alias("test"), F.col("winner").alias("item"), "value")]
     winner = ordered.null_safe_join(frame, top.select("winner"), [])
@@ -177,7 +178,7 @@ def job_sign(frame: DataFrame, draws: int = 999) -> DataFrame:
 
     ``frame(plot_id, cls, x, y, dep_a, dep_b, opt_a, opt_b, cleared)``.
     """
-    f = frame.withColumns({"d_dep": F.col("dep_b") - F.col("dep_a"), "d_opt": F.col("opt_b") - F.col("opt_a")})
+    f = materialise(frame).withColumns({"d_dep": F.col("dep_b") - F.col("dep_a"), "d_opt": F.col("opt_b") - F.col("opt_a")})
     c = stats.matched_control(f, [("a", "dep_a", "opt_a"), ("b", "dep_b", "opt_b"), ("control", "dep_a", "opt_b")])
     rows = [c.select(F.lit("same date").alias("part"), F.col("test").alias("item"), F.col("rho").alias("value"))]
     d = stats.diff_regression(f, "d_opt", "d_dep")

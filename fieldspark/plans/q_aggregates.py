@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldspark.operators import rollup, series, zonal
 from fieldspark.plans import bindings as B
 from fieldspark.plans.registry import query
+from fieldspark.sources.stage import materialise
 
 ZONAL = f"""SELECT plot_id, core_cells, pass, n, mean, CASE WHEN n > 1 THEN var END AS var, CASE WHEN n > 1 AND mean > 0 THEN sqrt(var) / mean END AS cov,
 CASE WHEN n > 1 AND var > 0 THEN mean * mean / var END AS enl, n / core_cells::DOUBLE AS coverage FROM
@@ -62,7 +63,7 @@ def _(t):
 
 
 def blocks(t):
-    return B.grid(t).withColumnsRenamed({"r": "br", "c": "bc"})
+    return materialise(B.grid(t).withColumnsRenamed({"r": "br", "c": "bc"}))
 
 
 TARGETS = f"""SELECT br, bc, low FROM (SELECT r AS br, c AS bc, min(value) AS low FROM ({B.GRID}) g WHERE pass IN (1995, 1996, 1997) GROUP BY 1, 2) x
@@ -81,6 +82,7 @@ FROM ({B.GRID}) g JOIN ({B.GRID}) m ON m.r = g.r AND m.c = g.c AND m.pass = 1995
 def targets_offsets(t):
     b = blocks(t)
     targets = zonal.stable_targets(b, (1995, 1996, 1997), 50)
+    targets = materialise(targets)
     return b, targets, zonal.pass_offsets(b, targets, 1995, skip=(2001,), apply_min=0.02)
 
 
@@ -183,11 +185,11 @@ def _(t):
     return rollup.tally(t.orders, ["F", "O", "P"], "o_orderstatus")
 
 
-_YEARS = "SELECT o_orderdate::DATE AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1"
+_YEARS = "SELECT o_orderdate::DATE AS d, sum(o_totalprice) / 997000.0::DOUBLE AS v FROM orders GROUP BY 1"
 
 
 def order_days(t):
-    return t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.sum("o_totalprice").alias("v"))
+    return t.orders.groupBy(F.to_date("o_orderdate").alias("d")).agg((F.sum("o_totalprice") / 997000.0).alias("v"))
 
 
 @query("season_totals", f"""SELECT *, 100 * (total - mean) / mean AS anomaly_pct, (total - mean) / sd AS z FROM (SELECT max(total) FILTER (y = 1999) AS total, avg(total) FILTER (y BETWEEN 1995 AND 1998) AS mean,
@@ -197,12 +199,12 @@ def _(t):
     return rollup.season_anomaly(order_days(t), 1999, (1995, 1998))
 
 
-_CY = "SELECT o_orderpriority AS cls, year(o_orderdate)::BIGINT AS year, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2"
+_CY = "SELECT o_orderpriority AS cls, year(o_orderdate)::BIGINT AS year, sum(o_totalprice) / 997000.0::DOUBLE AS v FROM orders GROUP BY 1, 2"
 
 
 def class_years(t):
     return t.orders.groupBy(F.col("o_orderpriority").alias("cls"), F.year("o_orderdate").cast("long").alias("year")).agg(
-        F.sum("o_totalprice").alias("v"))
+        (F.sum("o_totalprice") / 997000.0).alias("v"))
 
 
 YEARS = f"""SELECT cls, now AS year_v, prior AS prior_mean, 100 * now / prior AS pct_of_prior_mean, 100 * (now / last - 1) AS vs_last_year_pct, rk AS rank_of_span FROM

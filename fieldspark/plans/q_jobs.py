@@ -30,7 +30,7 @@ def user_cells(t):
 
 
 _Z = f"""SELECT f.plot_id, f.pass, f.doy, z.v, z.n, k.core FROM (SELECT plot_id, pass, (pass * 5 + 3)::DOUBLE AS doy FROM (SELECT DISTINCT plot_id FROM ({USER_CELLS}) c) p, (SELECT unnest(range(6)) AS pass) s) f
-LEFT JOIN (SELECT plot_id, pass, 10 * log10(avg(value)) + CASE WHEN pass = 5 THEN 0.5 ELSE 0 END AS v, count(*) AS n FROM ({USER_CELLS}) c GROUP BY 1, 2) z USING (plot_id, pass)
+LEFT JOIN (SELECT plot_id, pass, 10 * log10(avg(value)) + CASE WHEN pass = 5 THEN 0.5 ELSE 0 END AS v, count(*) AS n FROM ({USER_CELLS}) c WHERE value > 0 GROUP BY 1, 2) z USING (plot_id, pass)
 JOIN (SELECT plot_id, least(count(*), 4) AS core FROM ({USER_CELLS}) c GROUP BY 1) k USING (plot_id)"""
 _USABLE = f"SELECT plot_id, pass, doy, CASE WHEN n / core::DOUBLE >= 0.5 THEN v END AS v FROM ({_Z}) z"
 _FILL = f"""SELECT plot_id, pass, n AS n_valid, CASE WHEN n = 6 THEN 'measured' WHEN n >= 4 THEN 'interpolated' ELSE 'imputed' END AS data_quality,
@@ -220,11 +220,11 @@ def _(t):
 
 
 # -- season context ---------------------------------------------------------------------------
-_OD = "SELECT o_orderdate::DATE AS d, sum(o_totalprice) AS v FROM orders GROUP BY 1"
+_OD = "SELECT o_orderdate::DATE AS d, sum(o_totalprice) / 997000.0::DOUBLE AS v FROM orders GROUP BY 1"
 _OE = f"SELECT d FROM ({_OD}) x WHERE day(d) = 1"
 _ST = f"SELECT year(d) AS y, sum(v) AS total FROM ({_OD}) d WHERE month(d) BETWEEN 6 AND 11 GROUP BY 1"
 _SS4 = f"SELECT max(total) FILTER (y = 1999) AS total, avg(total) FILTER (y BETWEEN 1995 AND 1998) AS mean, stddev_samp(total) FILTER (y BETWEEN 1995 AND 1998) AS sd, median(total) FILTER (y BETWEEN 1995 AND 1998) AS median FROM ({_ST}) t"
-_CYEARS = "SELECT o_orderpriority AS cls, year(o_orderdate)::BIGINT AS year, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2"
+_CYEARS = "SELECT o_orderpriority AS cls, year(o_orderdate)::BIGINT AS year, sum(o_totalprice) / 997000.0::DOUBLE AS v FROM orders GROUP BY 1, 2"
 SEASON = " UNION ALL ".join([
     *[f"SELECT 'season' AS part, '{n}' AS item, {e} AS value FROM ({_SS4}) s" for n, e in (
         ("total", "total"), ("mean", "mean"), ("sd", "sd"), ("median", "median"),
@@ -233,7 +233,7 @@ SEASON = " UNION ALL ".join([
     f"SELECT 'year', cls, 100 * max(v) FILTER (year = 1999) / avg(v) FILTER (year < 1999) FROM ({_CYEARS}) c WHERE year BETWEEN 1995 AND 1999 GROUP BY 2"])
 
 
-@query("job_season_context", SEASON, f="value", nd=3)
+@query("job_season_context", SEASON, f="value")
 def _(t):
     days = order_days(t)
     return jobs.job_season_context(days, class_years(t), days.where(F.dayofmonth("d") == 1).select("d"), 1999, (1995, 1998))

@@ -72,7 +72,7 @@ _BLOCK = f"SELECT plot_id, v, b, floor(x / 500)::BIGINT * 100000 + floor(y / 500
 _COPIES = f"""SELECT draw, v, b FROM (SELECT draw, v, b, unnest(range({poisson_sql('u')})) FROM (SELECT *, {uniform_sql('block', 'draw', 12)} AS u FROM {drawn(_BLOCK, 20)} e) a) c"""
 
 
-@query("block_bootstrap", f"""SELECT (SELECT count(DISTINCT block) FROM ({_BLOCK}) k) AS blocks, (SELECT count(*) FROM ({_BLOCK}) k)::BIGINT AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM ({_BLOCK}) k GROUP BY block) m) AS median_block_n,
+@query("block_bootstrap_rho", f"""SELECT (SELECT count(DISTINCT block) FROM ({_BLOCK}) k) AS blocks, (SELECT count(*) FROM ({_BLOCK}) k)::BIGINT AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM ({_BLOCK}) k GROUP BY block) m) AS median_block_n,
 (SELECT rho FROM ({spearman_sql(_BLOCK, 'v', 'b')}) s) AS rho, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM ({spearman_sql(_COPIES, 'v', 'b', 'draw')}) d""", f="median_block_n rho lo hi")
 def _(t):
     return resample.block_bootstrap(B.points(t), "v", "b", draws=20)
@@ -223,6 +223,14 @@ def uncertainty_budget(t):
     return resample.uncertainty_budget(total, rows)
 
 
+@query("rank_sensitivity", f"""SELECT scenario, total, half_width, row_number() OVER (ORDER BY half_width DESC, scenario) AS place FROM (SELECT *, abs(total - max(total) FILTER (scenario = 'all') OVER ()) AS half_width
+FROM (SELECT scenario, sum(value * weight) AS total FROM (SELECT *, unnest([cls, 'all']) AS scenario FROM ({B.PLOTS}) p) q GROUP BY 1) s) w""", f="total half_width", nd=4)
+def _(t):
+    s = rollup.with_total(B.plots(t)).replace("ALL", "all", ["cls"]).groupBy(F.col("cls").alias("scenario")).agg(
+        F.sum(F.col("value") * F.col("weight")).alias("total"))
+    return rollup.rank_sensitivity(s, "scenario", "all")
+
+
 # -- clustering -------------------------------------------------------------------------------
 def _argmax(r: int) -> str:
     a, b, c = (f"e{3 * r + i}" for i in range(3))
