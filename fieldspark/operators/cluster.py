@@ -10,8 +10,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.operators.ordered import attach, null_safe_join
+from fieldspark.operators.ordered import null_safe_join
 from fieldspark.operators.rollup import mode_low, zscore
+from fieldspark.sources.stage import materialise
 
 
 def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -21,7 +22,7 @@ def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def kmeans_runs(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int],
                 inits: int = 1, key: str = "plot_id") -> DataFrame:
     """(run, plot_id, cluster): one k-means per seed, the cheapest of ``inits`` starts."""
-    data = vectors(df, columns).select(key, "features").cache()
+    data = materialise(vectors(df, columns).select(key, "features"))
     runs = []
     for run, seed in enumerate(seeds):
         fits = [KMeans(k=k, seed=seed + 1000 * i).fit(data) for i in range(inits)]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.operators.ordered import null_safe_join
+from fieldspark.sources.stage import materialise
 
 # What counts as a numeric token, and as a decimal in a log line.
 TOKEN = r"\d+(?:\.\d+)?(?:e[+-]?\d+)?"
@@ -44,7 +45,7 @@ def trace_tokens(tokens: DataFrame, lines: DataFrame, key: str) -> DataFrame:
     the lengths that tokens have are cut from those stretches and met by an equi join. Whole
     numbers and exponents only match verbatim.
     """
-    tok = tokens.select("token").distinct()
+    tok = materialise(tokens.select("token").distinct())
     sizes = tok.agg(F.sort_array(F.collect_set(F.length("token"))).alias("_sizes"))
     stretch = lines.select(key, "line_no", F.explode(F.array_distinct(
         F.regexp_extract_all(F.col("line"), F.lit(RUN), F.lit(0)))).alias("_run"))
@@ -54,13 +55,13 @@ def trace_tokens(tokens: DataFrame, lines: DataFrame, key: str) -> DataFrame:
         F.sequence(F.lit(1), F.length("_run") - F.col("_n") + 1),
         lambda i: F.substring(F.col("_run"), i, F.col("_n"))))).alias("token"))
     where = F.struct(F.col(key), F.col("line_no"))
-    verbatim = (pieces.join(tok, "token", "left_semi").groupBy("token")
-                .agg(F.min(where).alias("_at")).withColumn("how", F.lit("verbatim")))
+    verbatim = materialise(pieces.join(tok, "token", "left_semi").groupBy("token")
+                           .agg(F.min(where).alias("_at")).withColumn("how", F.lit("verbatim")))
 
     places = F.length(F.element_at(F.split("token", r"\."), -1))
-    rest = (tok.join(verbatim, "token", "left_anti")
-            .where(F.col("token").contains(".") & ~F.col("token").contains("e"))
-            .withColumn("_places", places))
+    rest = materialise(tok.join(verbatim, "token", "left_anti")
+                       .where(F.col("token").contains(".") & ~F.col("token").contains("e"))
+                       .withColumn("_places", places))
     digits = rest.agg(F.sort_array(F.collect_set("_places")).alias("_all"))
     decimals = lines.select(key, "line_no", F.explode(F.array_distinct(
         F.regexp_extract_all(F.col("line"), F.lit(DECIMAL), F.lit(0)))).alias("_d"))
@@ -75,9 +76,6 @@ def trace_tokens(tokens: DataFrame, lines: DataFrame, key: str) -> DataFrame:
         F.coalesce("how", F.lit("missing")).alias("how"))
 
 
-MAX_PLACES = 18
-
-
 def fixed_text(number: Column, places: Column) -> Column:
     """Decimal text rounded half up to a number of places, as text with exactly that many."""
     whole = F.split_part(number, F.lit("."), F.lit(1))

@@ -47,15 +47,21 @@ def zonal_mean(cells: DataFrame, by: Sequence[str]) -> DataFrame:
         (F.count("value") / F.count(F.lit(1))).alias("valid_share"))
 
 
-def block_mean(cells: DataFrame, factor: int, by: Sequence[str] = ("pass",)) -> DataFrame:
+def block_mean(cells: DataFrame, factor: int, by: Sequence[str] = ("pass",),
+               shape: tuple[int, int] | None = None) -> DataFrame:
     """Mean of each factor x factor block, flagged ``full`` when every cell is there.
 
-    Trailing blocks that stick out of the grid can never fill up and are dropped.
+    Trailing blocks that stick out of the grid can never fill up and are dropped. A known
+    ``shape`` turns that into a pushed-down filter; without it the extent takes one more scan.
     """
     by = list(by)
-    edge = attach(measured(cells), [], {"_nr": F.max("r") + 1, "_nc": F.max("c") + 1})
-    inside = edge.where((F.col("r") < F.floor(F.col("_nr") / factor) * factor)
-                        & (F.col("c") < F.floor(F.col("_nc") / factor) * factor))
+    if shape is not None:
+        inside = measured(cells).where((F.col("r") < shape[0] // factor * factor)
+                                       & (F.col("c") < shape[1] // factor * factor))
+    else:
+        edge = attach(measured(cells), [], {"_nr": F.max("r") + 1, "_nc": F.max("c") + 1})
+        inside = edge.where((F.col("r") < F.floor(F.col("_nr") / factor) * factor)
+                            & (F.col("c") < F.floor(F.col("_nc") / factor) * factor))
     return (inside.groupBy(*by, F.floor(F.col("r") / factor).alias("br"),
                            F.floor(F.col("c") / factor).alias("bc"))
             .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
