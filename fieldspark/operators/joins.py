@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.operators.ordered import join_stats, null_safe_join
+
 
 def backtest_frame(obs: DataFrame, labels: DataFrame, key: str = "plot_id",
                    quality: str = "data_quality") -> DataFrame:
@@ -64,7 +66,6 @@ def nearest_date(targets: DataFrame, dates: DataFrame, target: str = "target", d
     want = targets.select(*by, target, *extra).distinct()
     # A bounded calendar of days per series: sorted array, searched per distinct target.
     calendar = have.groupBy(*by).agg(F.sort_array(F.collect_set("_d")).alias("_days"))
-    from fieldspark.operators.ordered import null_safe_join
     paired = null_safe_join(want, calendar, by, "left")
     days = F.col("_days")
     if after:
@@ -76,7 +77,7 @@ def nearest_date(targets: DataFrame, dates: DataFrame, target: str = "target", d
     best = F.when(before.isNull(), later).when(later.isNull(), before).otherwise(
         F.when(gap_b <= gap_l, before).otherwise(later))
     found = paired.withColumn("nearest", best).drop("_days")
-    return null_safe_join(targets, found, [*by, target, *extra], "left")
+    return join_stats(targets, found, [*by, target, *extra])
 
 
 def lookback(events: DataFrame, daily: DataFrame, n: int, day: str = "d", value: str = "v",

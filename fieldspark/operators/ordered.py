@@ -39,14 +39,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def attach(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Add group aggregates to every row without moving the rows.
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table of one row per group back to rows without moving the rows.
 
-    The aggregate has one row per group; it is staged, so its size is known before the join is
-    planned.
+    The table is staged first: with its real size known, the optimiser broadcasts it when it is
+    small and shuffles only when it is not. Left lazy, an aggregate has no usable size estimate
+    and the rows would be shuffled by a key of a few values.
     """
-    stats = materialise(df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()]))
-    return null_safe_join(df, stats, by, "left")
+    return null_safe_join(df, materialise(stats), keys, how)
+
+
+def attach(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    """Add group aggregates to every row."""
+    return join_stats(df, df.groupBy(*by).agg(*[e.alias(n) for n, e in aggs.items()]), by)
 
 
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
@@ -70,7 +75,7 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
     local = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0)
     summed = ranged.withColumns({n: F.sum(f"_x_{n}").over(local) for n in names})
-    out = null_safe_join(summed, offsets, ["_range", *by])
+    out = join_stats(summed, offsets, ["_range", *by], "inner")
     return (out.withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in names})
                .drop("_range", *[f"_o_{n}" for n in names], *[f"_x_{n}" for n in names]))
 

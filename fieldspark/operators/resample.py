@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
 from fieldspark.operators.joins import swap_label, with_draws
-from fieldspark.operators.ordered import (attach, cumulative_share, null_safe_join, positions,
-                                          prior_edges, quantiles, running_sums, share_label)
+from fieldspark.functions.expr import clip, lookup
+from fieldspark.operators.ordered import (attach, cumulative_share, join_stats, null_safe_join,
+                                          positions, prior_edges, quantiles, running_sums,
+                                          share_label)
 from fieldspark.operators.rollup import centred_factor, stack
 from fieldspark.operators.stats import morans_i, spearman
+from fieldspark.sources.stage import materialise
 
 
 def over_draws(df: DataFrame, value: str, names: Mapping[str, float],
@@ -29,7 +32,8 @@ def over_draws(df: DataFrame, value: str, names: Mapping[str, float],
 def bootstrap_skill(errors: DataFrame, draws: int = 2000, seed: int = 11,
                     by: Sequence[str] = ()) -> DataFrame:
     """Interval of the skill score over row resamples (Poisson resampling weights)."""
-    d = with_draws(errors.select(*by, "plot_id", "e_model", "e_base"), draws)
+    e = materialise(errors.select(*by, "plot_id", "e_model", "e_base"))
+    d = with_draws(e, draws)
     w = rand.poisson1(F.col("plot_id"), F.col("draw"), seed)
     s = d.withColumn("_w", w).groupBy(*by, "draw").agg(
         F.sum(F.col("_w") * F.col("e_model") * F.col("e_model")).alias("_m"),
@@ -46,8 +50,8 @@ def block_bootstrap(df: DataFrame, a: str, b: str, draws: int = 999, size: float
     """
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("x").isNotNull()
                  & F.col("y").isNotNull())
-    d = d.select("plot_id", a, b, (F.floor(F.col("x") / size) * 100000
-                                   + F.floor(F.col("y") / size)).alias("block"))
+    d = materialise(d.select("plot_id", a, b, (F.floor(F.col("x") / size) * 100000
+                                               + F.floor(F.col("y") / size)).alias("block")))
     w = rand.poisson1(F.col("block"), F.col("draw"), seed)
     drawn = with_draws(d, draws).withColumn("_w", w).where("_w > 0")
     rho = spearman(drawn, a, b, ["draw"], weight=F.col("_w"))
@@ -102,12 +106,14 @@ def tie_permutation(df: DataFrame, axis: str, weight: str, prior: Sequence[float
     hi = F.col("_hi") / F.col("_total")
     lo = (F.col("_hi") - F.col("_w")) / F.col("_total")
     crossed = sum((F.when((e > lo) & (e < hi), 1).otherwise(0) for e in edges), F.lit(0))
-    runs = runs.select(axis, "_total", (F.col("_hi") - F.col("_w")).alias("_before"), "_w",
-                       share_label(hi, edges, labels).alias("bucket"), (crossed > 0).alias("_split"))
+    runs = materialise(runs.select(
+        axis, "_total", (F.col("_hi") - F.col("_w")).alias("_before"), "_w",
+        share_label(hi, edges, labels).alias("bucket"), (crossed > 0).alias("_split")))
     fixed = runs.where(~F.col("_split")).groupBy("bucket").agg(F.sum("_w").alias("_w"))
     fixed = with_draws(fixed, draws)
-    moving = df.select("plot_id", axis, F.col(weight).cast("double").alias("_pw")).join(
-        runs.where("_split").select(axis, "_total", "_before"), axis)
+    split = runs.where("_split").select(axis, "_total", "_before")
+    moving = join_stats(df.select("plot_id", axis, F.col(weight).cast("double").alias("_pw")),
+                        split, [axis], "inner")
     moving = with_draws(moving, draws).withColumn(
         "_h", rand.mix32(F.col("plot_id"), F.col("draw"), seed))
     cum = running_sums(moving, ["draw", axis], ["_h", "plot_id"], {"_c": F.col("_pw")})
@@ -150,8 +156,8 @@ def prior_draws(plots: DataFrame, axis: str, prior: Sequence[float], labels: Seq
     The cumulative share does not depend on the draw: rows are ordered once, and a draw only
     moves the edges they are compared with.
     """
-    from fieldspark.functions.expr import lookup
-    cut = null_safe_join(cumulative_share(plots, axis, "plot_id", "weight"), sigma, [])
+    cut = cumulative_share(plots.select("plot_id", axis, "weight", "x"), axis, "plot_id", "weight")
+    cut = materialise(null_safe_join(cut, sigma, []))
     d = with_draws(cut, draws)
     moved = [F.lit(float(p)) * F.exp(F.col("sigma") * rand.normal(F.lit(i + 1), F.col("draw"), seed))
              for i, p in enumerate(prior)]
@@ -182,7 +188,6 @@ def threshold_sweep(df: DataFrame, column: str, levels: Sequence[float],
 def episode_sweep(df: DataFrame, levels: Sequence[float], peak: str = "peak_v",
                   end: str = "end_v") -> DataFrame:
     """Plots with an episode, and how far they are cleared, at several episode thresholds."""
-    from fieldspark.functions.expr import clip
     gone = clip(1.0 - F.try_divide(F.col(end), F.col(peak)), 0.0, 1.0)
     rows = df.select(F.col(peak).alias("_p"), gone.alias("_g")).select("_p", "_g", F.explode(
         F.array(*[F.lit(float(x)) for x in levels])).alias("level"))
@@ -220,7 +225,6 @@ def span_sweep(plots: DataFrame, spans: Sequence[float], shipped: float) -> Data
 
 def class_forecast(plots: DataFrame, reference: Mapping[str, float], span: float) -> DataFrame:
     """Forecast from a class reference and the centred integral: reference x factor."""
-    from fieldspark.functions.expr import lookup
     d = plots.withColumn("reference", lookup(F.col("cls"), reference, "reference"))
     d = centred_factor(d, "x", ["cls"], span)
     return d.withColumn("forecast", F.col("reference") * F.col("factor"))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.expr import close_to, spaced_bin
-from fieldspark.operators.ordered import attach, null_safe_join, quantiles, quantiles_of
+from fieldspark.operators.ordered import (attach, join_stats, null_safe_join, quantiles,
+                                          quantiles_of)
+from fieldspark.sources.stage import materialise
 
 ALL = "ALL"
 
@@ -37,11 +39,12 @@ def weighted_rollup(plots: DataFrame) -> DataFrame:
     high = F.when(F.col("confidence") == "high", F.col("weight")).otherwise(0.0)
     agg = rows.groupBy("cls").agg(
         F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"),
-        F.when(F.first("cls") != ALL, F.max("reference")).alias("reference"),
+        F.max("reference").alias("reference"),
         weighted_mean("value").alias("value_wt"), F.sum("production").alias("production"),
         weighted_mean("fraction").alias("fraction_wt"),
         F.try_divide(F.sum(high), F.sum("weight")).alias("high_share"))
-    agg = attach_total_share(agg)
+    agg = agg.withColumn("reference", F.when(F.col("cls") != ALL, F.col("reference")))
+    agg = attach_total_share(materialise(agg))
     return agg.join(quantiles(rows, ["cls"], "value", {"value_p10": 0.1, "value_p90": 0.9}), "cls", "left")
 
 
@@ -90,7 +93,7 @@ def quantile_summary(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -
 def degenerate_share(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
     """Share of each class that sits on its own median, which no rank can order."""
     med = quantiles_of(df, [by], columns, {"med": 0.5})
-    joined = null_safe_join(df, med, [by])
+    joined = join_stats(df, med, [by])
     return joined.groupBy(by).agg(
         *[F.avg(close_to(F.col(c), F.col(f"{c}_med")).cast("double")).alias(f"{c}_on_median")
           for c in columns])
@@ -146,6 +149,7 @@ def year_context(series: DataFrame, year: int, span: int = 5, by: str = "cls") -
         now.alias("year_v"), prior.alias("prior_mean"),
         (100.0 * F.try_divide(now, prior)).alias("pct_of_prior_mean"),
         (100.0 * (F.try_divide(now, last) - 1.0)).alias("vs_last_year_pct"))
+    head = materialise(head)
     ranked = null_safe_join(window, head.select(by, "year_v"), [by]).groupBy(by).agg(
         F.count_if(v <= F.col("year_v")).alias("rank_of_span"))
     return head.join(ranked, by)
@@ -249,7 +253,7 @@ def centred_factor(df: DataFrame, x: str, by: Sequence[str], span: float | Colum
     Piecewise linear and clipped; a side of zero width contributes nothing.
     """
     q = quantiles(df, by, x, {"_lo": 0.05, "_mid": 0.5, "_hi": 0.95})
-    d = null_safe_join(df, q, list(by), "left")
+    d = join_stats(df, q, list(by))
     v = F.col(x)
 
     def side(num: Column, den: Column) -> Column:

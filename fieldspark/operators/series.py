@@ -11,9 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions.expr import clip, clip_pos
+from fieldspark.functions.expr import clip, clip_pos, quality_flag
 from fieldspark.operators.joins import lookback
-from fieldspark.operators.ordered import null_safe_join
+from fieldspark.operators.ordered import attach, join_stats, null_safe_join
 
 MIN_EPISODE = 0.5
 
@@ -41,7 +41,7 @@ def with_all_passes(obs: DataFrame, doys: Mapping, column: str = "v") -> DataFra
 
 def apply_offsets(obs: DataFrame, offsets: DataFrame, column: str = "v") -> DataFrame:
     """Add each pass's offset; a pass without one is unchanged."""
-    return (obs.join(offsets.select("pass", "offset"), "pass", "left")
+    return (join_stats(obs, offsets.select("pass", "offset"), ["pass"])
             .withColumn(column, F.col(column) + F.coalesce("offset", F.lit(0.0))).drop("offset"))
 
 
@@ -90,7 +90,7 @@ def line_anomaly(obs: DataFrame, middle, left, right) -> DataFrame:
 
 def departure(obs: DataFrame, drift: DataFrame, anchors: Sequence) -> DataFrame:
     """Value minus the plot's own baseline: its drift-free anchor mean plus the pass's drift."""
-    d = obs.join(drift.select("pass", "drift_db"), "pass")
+    d = join_stats(obs, drift.select("pass", "drift_db"), ["pass"], "inner")
     free = F.when(F.col("pass").isin(*anchors), F.col("v") - F.col("drift_db"))
     return d.withColumn("departure", F.col("v") - (F.avg(free).over(per_plot()) + F.col("drift_db"))
                         ).drop("drift_db")
@@ -162,7 +162,6 @@ def outlier_screen(obs: DataFrame, level_passes: Sequence, canopy_passes: Sequen
 
 def count_valid(obs: DataFrame, n_all: int, n_min: int, min_coverage: float = 0.5) -> DataFrame:
     """Number of usable passes per plot and the quality label that follows from it."""
-    from fieldspark.functions.expr import quality_flag
     ok = F.col("v").isNotNull() & (F.col("coverage") >= min_coverage)
     d = obs.groupBy("plot_id").agg(F.count_if(ok).alias("n_valid"))
     return d.withColumn("data_quality", quality_flag(F.col("n_valid"), n_all, n_min))
@@ -243,7 +242,6 @@ def predictors(wide: DataFrame, calendar_end: Column, cls: str = "cls", d3: str
 
     The class mean is joined from one row per class.
     """
-    from fieldspark.operators.ordered import attach
     df = attach(wide.withColumn("_end", calendar_end), [cls], {"_class_mean": F.avg(d4)})
     last, end = F.col(d4), F.col("_end")
     slope = (last - F.col(d3)) / (doy4 - doy3)

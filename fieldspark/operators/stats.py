@@ -187,7 +187,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """H over the groups with tie correction, and its chi-square p value."""
     d = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     cells = d.groupBy(value, group).agg(F.count(F.lit(1)).alias("k"))
-    ranks = value_ranks(d, value).select(value, "n", "mid_rank")
+    ranks = materialise(value_ranks(d, value).select(value, "n", "mid_rank"))
     per = cells.join(ranks, value).groupBy(group).agg(
         F.sum("k").alias("_ng"), F.sum(F.col("k") * F.col("mid_rank")).alias("_rg"))
     h = per.agg(F.count(F.lit(1)).alias("groups"), F.sum("_ng").alias("n"),

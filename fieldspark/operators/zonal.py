@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.expr import from_db, to_db
-from fieldspark.operators.ordered import attach, null_safe_join, quantiles
+from fieldspark.operators.ordered import attach, join_stats, null_safe_join, quantiles
 from fieldspark.sources.stage import materialise
 
 FLOOR_POWER = 1e-12
@@ -159,7 +159,7 @@ def scene_drift(cells: DataFrame, labels: DataFrame, offsets: DataFrame, level_p
     Ground must be valid on all passes, and its darkest level pass must not exceed the given
     percentile (which removes buildings).
     """
-    shifted = (measured(cells).join(offsets.select("pass", "applied"), "pass", "left")
+    shifted = (join_stats(measured(cells), offsets.select("pass", "applied"), ["pass"])
                .withColumn("value", F.col("value") * from_db(F.coalesce("applied", F.lit(0.0)))))
     p = F.col("pass")
     per_cell = shifted.groupBy("r", "c").agg(
@@ -203,7 +203,7 @@ def footprint_iou(a: DataFrame, b: DataFrame, minimum: float = 0.95) -> DataFram
 def radiometric_gate(cells: DataFrame, noise_db: DataFrame, block: int = 16,
                      bright_min: float = 15.0, margin_min: float = 3.0) -> DataFrame:
     """Per pass: median and maximum level, margin over noise, speckle of full blocks."""
-    v = measured(cells).join(noise_db.select("pass", "noise_db"), "pass")
+    v = join_stats(measured(cells), noise_db.select("pass", "noise_db"), ["pass"], "inner")
     med = quantiles(v, ["pass"], "value", {"_m": 0.5})
     top = v.groupBy("pass").agg(
         to_db(F.max("value")).alias("max_db"), F.max("noise_db").alias("noise_db"),
@@ -254,7 +254,7 @@ def composite(cells: DataFrame, passes: Sequence, offsets: Mapping | None = None
     db = (measured(cells).where(p.isin(*passes))
           .withColumn("db", to_db(F.col("value")) + shift))
     mid = quantiles(db, ["pass"], "db", {"mid": 0.5})
-    scaled = null_safe_join(db, mid, ["pass"]).withColumn("s", F.greatest(F.lit(0.0), F.least(
+    scaled = join_stats(db, mid, ["pass"]).withColumn("s", F.greatest(F.lit(0.0), F.least(
         F.lit(1.0), (F.col("db") - F.col("mid") + half_width) / (2 * half_width))))
     wide = scaled.groupBy("r", "c").agg(
         F.count(F.lit(1)).alias("_n"),

@@ -162,12 +162,12 @@ def pairs(t: Tables) -> DataFrame:
 
 
 # -- daily series -----------------------------------------------------------------------------
-DAILY = "SELECT event_type AS source, ts::DATE AS d, sum(value) AS v FROM events GROUP BY 1, 2"
+DAILY = "SELECT event_type AS source, ts::DATE AS d, sum(value) / 0.997::DOUBLE AS v FROM events GROUP BY 1, 2"
 
 
 def daily(t: Tables) -> DataFrame:
     return t.events.groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("d")).agg(
-        F.sum("value").alias("v"))
+        (F.sum("value") / UNTIE).alias("v"))
 
 
 # -- polygons ---------------------------------------------------------------------------------
