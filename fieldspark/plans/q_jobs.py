@@ -9,8 +9,7 @@ from fieldspark.operators.ordered import null_safe_join
 from fieldspark.plans import bindings as B
 from fieldspark.plans import jobs
 from fieldspark.plans.q_aggregates import REF_PLOTS, class_years, order_days, ref_plots
-from fieldspark.plans.q_joins import NEIGHBOURS
-from fieldspark.plans.q_resample import DRAWS, _PERM, _SS, drawn, poisson_sql, runs, uniform_sql
+from fieldspark.plans.q_resample import DRAWS, RUNS, _PERM, drawn, poisson_sql, runs, uniform_sql
 from fieldspark.plans.q_scans import DRIFT, catalogue, drift
 from fieldspark.plans.q_series import (CANOPY, CLOSE, CUT_LABELS, CUT_PRIOR, HORIZON, PRED, SCORES, canopy, class_obs,
                                        cut_sql, factor_sql, horizon, preds)
@@ -90,10 +89,26 @@ def label_frame(t):
     return v.join(p, "plot_id").withColumn("screened", F.col("e8") > 0.25)
 
 
-@query("job_labels")
+_LF = f"SELECT v.*, p.x, p.y, p.weight, p.b AS canopy_end, v.e8 > 0.25 AS screened FROM ({B.VECTORS}) v JOIN ({B.POINTS}) p USING (plot_id)"
+_LR = f"SELECT r.* FROM ({RUNS}) r JOIN ({_LF}) f USING (plot_id) WHERE NOT screened"
+_LC = f"SELECT a.run AS ra, b.run AS rb, a.cluster AS ca, b.cluster AS cb, count(*) AS n FROM ({_LR}) a JOIN ({_LR}) b USING (plot_id) GROUP BY 1, 2, 3, 4"
+_LP = f"SELECT plot_id, cluster FROM ({_LR}) r WHERE run = (SELECT arg_min(ra, (-s, ra)) FROM (SELECT ra, sum(n * n) AS s FROM ({_LC}) c GROUP BY 1) d)"
+_LN = f"""SELECT * FROM (SELECT a.plot_id, p.cluster, row_number() OVER (PARTITION BY a.plot_id ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.plot_id) AS nn
+FROM (SELECT * FROM ({_LF}) f WHERE screened) a JOIN (SELECT * FROM ({_LF}) f WHERE NOT screened) b ON true JOIN ({_LP}) p ON p.plot_id = b.plot_id) n WHERE nn <= 8"""
+_LG = f"""SELECT plot_id, cluster FROM ({_LP}) p UNION ALL SELECT plot_id, arg_min(cluster, (-n, cluster)) FROM (SELECT plot_id, cluster, count(*) AS n FROM ({_LN}) x GROUP BY 1, 2) v GROUP BY 1"""
+_LM = f"SELECT p.cluster, avg(e2) AS e2, avg(e4) AS e4 FROM ({_LF}) f JOIN ({_LP}) p USING (plot_id) GROUP BY 1"
+_LZ = f"SELECT cluster, (e2 - avg(e2) OVER ()) / stddev_pop(e2) OVER () AS z2, (e4 - avg(e4) OVER ()) / stddev_pop(e4) OVER () AS z4 FROM ({_LM}) m"
+_LT = f"""SELECT f.plot_id, f.weight, f.screened, f.e7, coalesce(CASE WHEN z2 >= 1 AND z4 <= 0 THEN 'Rice' WHEN z4 >= 1 THEN 'Cotton' END, CASE WHEN NOT f.screened AND f.canopy_end >= 0.15 THEN 'Cotton' END) AS cls
+FROM ({_LF}) f JOIN ({_LG}) g USING (plot_id) JOIN ({_LZ}) z ON z.cluster = g.cluster"""
+_LX = f"SELECT weight, screened, cls, false AS tier2 FROM ({_LT}) t WHERE cls IS NOT NULL UNION ALL SELECT weight, screened, {cut_sql('share')}, true FROM (SELECT *, sum(weight) OVER (ORDER BY e7, plot_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () AS share FROM ({_LT}) t WHERE cls IS NULL) s"
+LABELS = f"SELECT cls, CASE WHEN tier2 OR screened THEN 'low' ELSE 'high' END AS confidence, tier2, count(*) AS n, sum(weight) AS weight FROM ({_LX}) x GROUP BY 1, 2, 3"
+
+
+@query("job_labels", LABELS, f="weight")
 def _(t):
     f = label_frame(t)
-    out = jobs.job_labels(f, B.DIMS, "e7", CUT_PRIOR, CUT_LABELS, k=9, seeds=(1, 2, 3), level="e2", drop="e4",
+    kept = runs(t).join(f.where(~F.col("screened")).select("plot_id"), "plot_id", "left_semi")
+    out = jobs.job_labels(f, B.DIMS, "e7", CUT_PRIOR, CUT_LABELS, runs=kept, level="e2", drop="e4",
                           end="canopy_end", end_min=0.15)
     return out.groupBy("cls", "confidence", "tier2").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
 
@@ -221,7 +236,7 @@ def _(t):
 
 # -- season context ---------------------------------------------------------------------------
 _OD = "SELECT o_orderdate::DATE AS d, sum(o_totalprice) / 997000.0::DOUBLE AS v FROM orders GROUP BY 1"
-_OE = f"SELECT d FROM ({_OD}) x WHERE day(d) = 1"
+_OE = f"SELECT d FROM ({_OD}) x"
 _ST = f"SELECT year(d) AS y, sum(v) AS total FROM ({_OD}) d WHERE month(d) BETWEEN 6 AND 11 GROUP BY 1"
 _SS4 = f"SELECT max(total) FILTER (y = 1999) AS total, avg(total) FILTER (y BETWEEN 1995 AND 1998) AS mean, stddev_samp(total) FILTER (y BETWEEN 1995 AND 1998) AS sd, median(total) FILTER (y BETWEEN 1995 AND 1998) AS median FROM ({_ST}) t"
 _CYEARS = "SELECT o_orderpriority AS cls, year(o_orderdate)::BIGINT AS year, sum(o_totalprice) / 997000.0::DOUBLE AS v FROM orders GROUP BY 1, 2"
@@ -236,7 +251,7 @@ SEASON = " UNION ALL ".join([
 @query("job_season_context", SEASON, f="value")
 def _(t):
     days = order_days(t)
-    return jobs.job_season_context(days, class_years(t), days.where(F.dayofmonth("d") == 1).select("d"), 1999, (1995, 1998))
+    return jobs.job_season_context(days, class_years(t), days.select("d"), 1999, (1995, 1998))
 
 
 # -- optical ----------------------------------------------------------------------------------

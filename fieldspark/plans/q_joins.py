@@ -153,11 +153,12 @@ def _(t):
     return joins.nearest_date(want, have, by=["source"]).where("nearest is not null")
 
 
-EVENT_DAYS = f"SELECT source, d FROM ({B.DAILY}) x WHERE v > 8000 OR day(d) % 5 = 0"
+# Every day with events is an event day of its type.
+EVENT_DAYS = f"SELECT source, d FROM ({B.DAILY}) x"
 
 
 def event_days(t):
-    return B.daily(t).where((F.col("v") > 8000) | (F.dayofmonth("d") % 5 == 0)).select("source", "d")
+    return B.daily(t).select("source", "d")
 
 
 @query("lookback_join", f"""SELECT e.source, e.d, b.back::INTEGER AS back, (e.d - b.back::INTEGER) AS past_day, p.v FROM ({EVENT_DAYS}) e,
