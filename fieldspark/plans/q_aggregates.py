@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldspark.operators import rollup, series, zonal
+from fieldspark.operators import rollup, zonal
 from fieldspark.plans import bindings as B
 from fieldspark.plans.registry import query
 from fieldspark.sources.stage import materialise
@@ -57,7 +57,7 @@ def scene_drift(t):
     return zonal.scene_drift(B.grid(t), B.grid_labels(t), offsets, level, 7, 1995)
 
 
-@query("scene_drift", DRIFT, f="level_db drift_db")
+@query("scene_drift", DRIFT, f="level_db drift_db", cast="pass:INTEGER")
 def _(t):
     return scene_drift(t)
 

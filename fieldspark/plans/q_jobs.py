@@ -11,8 +11,8 @@ from fieldspark.plans import jobs
 from fieldspark.plans.q_aggregates import REF_PLOTS, class_years, order_days, ref_plots
 from fieldspark.plans.q_resample import DRAWS, RUNS, _PERM, drawn, poisson_sql, runs, uniform_sql
 from fieldspark.plans.q_scans import DRIFT, catalogue, drift
-from fieldspark.plans.q_series import (CANOPY, CLOSE, CUT_LABELS, CUT_PRIOR, HORIZON, PRED, SCORES, canopy, class_obs,
-                                       cut_sql, factor_sql, horizon, preds)
+from fieldspark.plans.q_series import (CLOSE, CUT_LABELS, CUT_PRIOR, HORIZON, PRED, SCORES, canopy, cut_sql,
+                                       factor_sql, horizon, preds)
 from fieldspark.plans.q_stats import EDGES, rank_sql, spearman_sql
 from fieldspark.plans.registry import query
 
@@ -53,7 +53,7 @@ def features(t):
     return jobs.job_features(cells, plots, {i: d for i, d in B.DOYS.items()}, offsets, line=(3, 4, 5))
 
 
-@query("job_features", FEATURES, f="v anomaly")
+@query("job_features", FEATURES, f="v anomaly", cast="pass:INTEGER")
 def _(t):
     return features(t).select("plot_id", "pass", "n_valid", "data_quality", "v", "anomaly")
 
@@ -77,7 +77,7 @@ _FULL6 = f"SELECT plot_id FROM ({B.OBS}) o GROUP BY 1 HAVING count(v) = 6"
 
 
 @query("job_phenology", f"SELECT * FROM ({PHENOLOGY}) p WHERE plot_id IN ({_FULL6})",
-       f="peak_v end_v cleared_fraction late_slope integral departure_0 departure_1 departure_2 departure_3 departure_5")
+       f="peak_v end_v cleared_fraction late_slope integral departure_0 departure_1 departure_2 departure_3 departure_5", cast="peak_doy:DOUBLE")
 def _(t):
     return jobs.job_phenology(complete(t), drift(t), (0, 1), (2, 3, 5))
 

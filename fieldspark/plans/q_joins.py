@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldspark.operators import gates, geometry, joins, knn, rollup, stats, zonal
+from fieldspark.operators import gates, geometry, joins, knn, rollup, zonal
 from fieldspark.operators.text import distinct_tokens, numeric_tokens
 from fieldspark.plans import bindings as B
 from fieldspark.plans.q_scans import CATALOGUE, QUALITY, T6, catalogue, with_coverage
@@ -137,7 +137,7 @@ def point_sets(t):
             p.select(F.col("plot_id").alias("donor_id"), "x", "y"))
 
 
-@query("knn_join", NEIGHBOURS, f="distance")
+@query("knn_join", NEIGHBOURS, f="distance", cast="nn:INTEGER")
 def _(t):
     q, d = point_sets(t)
     return knn.knn_join(q, d, 8, exclude_self=True)
@@ -227,7 +227,7 @@ def _(t):
     return positions(B.plots(t).select("plot_id", "weight"), [], ["weight", "plot_id"], "place")
 
 
-@query("topk_per_group", f"SELECT cls, plot_id, weight, rank_in_group FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY weight, plot_id) AS rank_in_group FROM ({B.PLOTS}) p) q WHERE rank_in_group <= 5")
+@query("topk_per_group", f"SELECT cls, plot_id, weight, rank_in_group FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY weight, plot_id) AS rank_in_group FROM ({B.PLOTS}) p) q WHERE rank_in_group <= 5", cast="rank_in_group:INTEGER")
 def _(t):
     return joins.top_k(B.plots(t).select("cls", "plot_id", "weight"), ["cls"], ["weight", "plot_id"], 5)
 
@@ -267,7 +267,7 @@ def _(t):
                         budget_row("confidence", p, F.sum(F.when(F.col("confidence") == "high", vw)), F.sum(vw)))
 
 
-@query("distinct_tokens", f"SELECT token, length(token) AS length FROM ({tokens_sql('documents')}) t ORDER BY 2 DESC, 1")
+@query("distinct_tokens", f"SELECT token, length(token) AS length FROM ({tokens_sql('documents')}) t ORDER BY 2 DESC, 1", cast="length:INTEGER")
 def _(t):
     return distinct_tokens(t.documents)
 

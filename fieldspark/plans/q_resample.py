@@ -11,9 +11,8 @@ from fieldspark.functions.expr import lookup
 from fieldspark.operators import cluster, resample, rollup, series, stats
 from fieldspark.plans import bindings as B
 from fieldspark.plans.q_aggregates import log_ratios
-from fieldspark.plans.q_joins import NEIGHBOURS
 from fieldspark.plans.q_series import (CUT_LABELS, CUT_PRIOR, PEAK, PRED, canopy, cut_sql, factor_sql, preds)
-from fieldspark.plans.q_stats import EDGES, rank_sql, spearman_sql
+from fieldspark.plans.q_stats import EDGES, spearman_sql
 from fieldspark.plans.registry import query
 
 DRAWS = 50
@@ -135,7 +134,7 @@ _MIX = f"""SELECT draw, sum({B.sql_map(LABEL_REF)} * factor * weight) AS total,
     f"coalesce(sum(weight) FILTER (cls = '{c}'), 0) AS weight_{c}" for c in CUT_LABELS) + f" FROM ({factor_sql('x', _PRIOR, 'draw, cls', '0.30')}) f GROUP BY 1"
 
 
-@query("prior_perturbation", _MIX, f="total weight_Bajra weight_Maize weight_Groundnut", nd=4)
+@query("prior_perturbation", _MIX, f="total weight_Bajra weight_Maize weight_Groundnut", nd=4, cast="draw:INTEGER")
 def _(t):
     p = tied(t).withColumn("x", F.col("value"))
     return resample.prior_draws(p, "axis", CUT_PRIOR, CUT_LABELS, LABEL_REF, rollup.prior_sigma(log_ratios(t)), DRAWS)
@@ -224,7 +223,7 @@ def uncertainty_budget(t):
 
 
 @query("rank_sensitivity", f"""SELECT scenario, total, half_width, row_number() OVER (ORDER BY half_width DESC, scenario) AS place FROM (SELECT *, abs(total - max(total) FILTER (scenario = 'all') OVER ()) AS half_width
-FROM (SELECT scenario, sum(value * weight) AS total FROM (SELECT *, unnest([cls, 'all']) AS scenario FROM ({B.PLOTS}) p) q GROUP BY 1) s) w""", f="total half_width", nd=4)
+FROM (SELECT scenario, sum(value * weight) AS total FROM (SELECT *, unnest([cls, 'all']) AS scenario FROM ({B.PLOTS}) p) q GROUP BY 1) s) w""", f="total half_width", nd=4, cast="place:INTEGER")
 def _(t):
     s = rollup.with_total(B.plots(t)).replace("ALL", "all", ["cls"]).groupBy(F.col("cls").alias("scenario")).agg(
         F.sum(F.col("value") * F.col("weight")).alias("total"))

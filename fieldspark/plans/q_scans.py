@@ -73,7 +73,7 @@ def _(t):
 
 
 @query("scan_text", """SELECT length(line) AS length, count(*) AS n FROM
-(SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line FROM documents) l GROUP BY 1""")
+(SELECT unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) AS line FROM documents) l GROUP BY 1""", cast="length:INTEGER")
 def _(t):
     path = folder(t)
     t.documents.select("text").write.text(path)
@@ -239,7 +239,7 @@ greatest(t1, t2, t3, t4, t5, t6) - least(t1, t2, t3, t4, t5, t6) AS dynamic_rang
 list_position([t1, t2, t3, t4, t5, t6], greatest(t1, t2, t3, t4, t5, t6)) - 1 AS peak_idx,
 (t1 + t2 + t3 + t4 + t5 + t6) / 6 AS mean_level, (t1 / 2 + t2 + t3 + t4 + t5 + t6 / 2) * 5 / 25 AS auc,
 (t6 - t4) / 10 AS slope_harvest, t4 - t6 AS late_drop, t6 AS end_level, t6 - greatest(t1, t2) AS end_departure
-FROM ({T6}) t WHERE t1 + t2 + t3 + t4 + t5 + t6 IS NOT NULL""", f="slope_early slope_late slope_emerge curvature flood_depth dynamic_range mean_level auc slope_harvest late_drop end_level end_departure")
+FROM ({T6}) t WHERE t1 + t2 + t3 + t4 + t5 + t6 IS NOT NULL""", f="slope_early slope_late slope_emerge curvature flood_depth dynamic_range mean_level auc slope_harvest late_drop end_level end_departure", cast="peak_idx:BIGINT")
 def _(t):
     return series.trajectory_features(series.complete_on(B.obs(t), 6), range(6), B.DOYS)
 

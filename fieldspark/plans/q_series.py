@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.expr import lookup
 from fieldspark.operators import cluster, ordered, rollup, series, stats
 from fieldspark.plans import bindings as B
-from fieldspark.plans.q_joins import EVENT_DAYS, NEIGHBOURS, event_days, point_sets
+from fieldspark.plans.q_joins import EVENT_DAYS, event_days
 from fieldspark.plans.registry import query
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fieldspark.operators import text
 from fieldspark.plans.q_joins import tokens_sql
 from fieldspark.plans.registry import query

@@ -21,8 +21,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def query(key: str, sql: str | None = None, f: str = "", nd: int = 6):
-    """Register ``fn(tables)`` under ``key``; the columns in ``f`` are rounded on both sides."""
+def query(key: str, sql: str | None = None, f: str = "", nd: int = 6, cast: str = ""):
+    """Register ``fn(tables)`` under ``key``; the columns in ``f`` are rounded on both sides.
+
+    ``cast`` lists ``column:TYPE`` of the SQL where its literal types are not Spark's.
+    """
     floats = f.split()
 
     def register(fn):
@@ -34,8 +37,9 @@ def query(key: str, sql: str | None = None, f: str = "", nd: int = 6):
         run.__name__ = key
         QUERIES[key] = run
         if sql is not None:
-            replace = ", ".join(f"round({c}::DOUBLE, {nd}) + 0 AS {c}" for c in floats)
-            ORACLE[key] = f"SELECT * REPLACE ({replace}) FROM ({sql}) t" if floats else sql
+            items = [f"round({c}::DOUBLE, {nd}) + 0 AS {c}" for c in floats]
+            items += ["{0}::{1} AS {0}".format(*c.split(":")) for c in cast.split()]
+            ORACLE[key] = f"SELECT * REPLACE ({', '.join(items)}) FROM ({sql}) t" if items else sql
         return fn
 
     return register

@@ -28,10 +28,21 @@ def stage_root(spark: SparkSession) -> str:
     return local
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Folder of this application's stage tables."""
+    return f"{stage_root(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables, once no frame built on them is needed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to a fresh stage table and return a scan of it."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/stage-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
