@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.expr import from_db, to_db
-from fieldspark.operators.ordered import attach, join_stats, null_safe_join, quantiles
+from fieldspark.operators.ordered import join_stats, null_safe_join, quantiles
 from fieldspark.sources.stage import materialise
 
 FLOOR_POWER = 1e-12
@@ -51,17 +51,15 @@ def block_mean(cells: DataFrame, factor: int, by: Sequence[str] = ("pass",),
                shape: tuple[int, int] | None = None) -> DataFrame:
     """Mean of each factor x factor block, flagged ``full`` when every cell is there.
 
-    Trailing blocks that stick out of the grid can never fill up and are dropped. A known
-    ``shape`` turns that into a pushed-down filter; without it the extent takes one more scan.
+    Trailing blocks that stick out of the grid can never fill up and are dropped, by a filter the
+    scan can use. Without a known ``shape`` the extent (one row) is read first.
     """
     by = list(by)
-    if shape is not None:
-        inside = measured(cells).where((F.col("r") < shape[0] // factor * factor)
-                                       & (F.col("c") < shape[1] // factor * factor))
-    else:
-        edge = attach(measured(cells), [], {"_nr": F.max("r") + 1, "_nc": F.max("c") + 1})
-        inside = edge.where((F.col("r") < F.floor(F.col("_nr") / factor) * factor)
-                            & (F.col("c") < F.floor(F.col("_nc") / factor) * factor))
+    if shape is None:
+        end = measured(cells).agg(F.max("r"), F.max("c")).first()
+        shape = (end[0] + 1, end[1] + 1) if end[0] is not None else (0, 0)
+    inside = measured(cells).where((F.col("r") < shape[0] // factor * factor)
+                                   & (F.col("c") < shape[1] // factor * factor))
     return (inside.groupBy(*by, F.floor(F.col("r") / factor).alias("br"),
                            F.floor(F.col("c") / factor).alias("bc"))
             .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
@@ -81,10 +79,14 @@ def covalid_share(cells: DataFrame, passes: int) -> DataFrame:
                    (F.count_if(F.col("_n") == passes) / F.count(F.lit(1))).alias("covalid_share"))
 
 
-def full_blocks(cells: DataFrame, factor: int, passes: int) -> DataFrame:
-    """Blocks that are full on every pass, over cells valid on every pass."""
-    on_all = measured(cells).join(covalid(cells, passes), ["r", "c"], "left_semi")
-    blocks = block_mean(on_all, factor)
+def full_blocks(cells: DataFrame, factor: int, passes: int,
+                shape: tuple[int, int] | None = None) -> DataFrame:
+    """Blocks that are full on every pass, so that all their cells are valid on every pass.
+
+    A block full on each pass holds only cells valid on all passes and a block with such cells
+    throughout is full on each, so cells need not be matched across passes one by one.
+    """
+    blocks = materialise(block_mean(cells, factor, shape=shape))
     whole = (blocks.where("full").groupBy("br", "bc").agg(F.count(F.lit(1)).alias("_n"))
              .where(F.col("_n") == passes).select("br", "bc"))
     return blocks.join(whole, ["br", "bc"], "left_semi")

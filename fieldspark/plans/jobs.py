@@ -24,7 +24,7 @@ def job_features(cells: DataFrame, plots: DataFrame, doys: Mapping, offsets: Dat
     """
     z = zonal.zonal_stats(cells, plots.select("plot_id", "core_cells"))
     z = z.withColumn("v", to_db(F.col("mean")))
-    z = series.apply_offsets(z, offsets).where(F.col("pass").isNotNull())
+    z = materialise(series.apply_offsets(z, offsets).where(F.col("pass").isNotNull()))
     full = series.with_all_passes(z, doys)
     full = full.join(z.select("plot_id", "pass", "coverage", "cov"), ["plot_id", "pass"], "left")
     quality = series.count_valid(full, len(doys), min_valid)
@@ -51,7 +51,7 @@ def job_features(cells: DataFrame, plots: DataFrame, doys: Mapping, offsets: Dat
 def job_phenology(obs: DataFrame, drift: DataFrame, anchors: Sequence, canopy: Sequence,
                   min_episode: float = series.MIN_EPISODE) -> DataFrame:
     """Trajectories to canopy measures: departure, peak, end, integral, clearing."""
-    dep = series.departure(obs, drift, anchors)
+    dep = materialise(series.departure(obs, drift, anchors))
     season = dep.where(F.col("pass").isin(*canopy))
     out = series.peak(season, min_episode).join(series.cleared(season, min_episode), "plot_id")
     integral = series.trapezoid(season, value=F.col("departure"), mean=True)
