@@ -65,3 +65,26 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def small_batches(spark, rows: int = 500) -> None:
+    """Let at most ``rows`` rows reach Python at once, so that very long texts fit in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
+def add_by_text(docs: DataFrame, key: str, text: str, work, columns: str) -> DataFrame:
+    """(key, *columns) for every row: ``work`` takes a list of texts and gives a list per column.
+
+    The key column passes through as it is, nulls and large numbers included. ``columns`` is DDL.
+    """
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            got = work(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v) for v in got]], names=names)
+
+    rows = docs.select(F.col(key).alias(key), F.col(text).alias("_text"))
+    names = [key, *[c.split()[0] for c in columns.split(",")]]
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {columns}")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import mixing, secrets, urls, winnowing
+from fieldspark.llm import langid, mixing, secrets, toxicity, urls, winnowing
+from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +71,29 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.expr(winnowing.printed("efp")), 256).alias("edited_fingerprint"),
         winnowing.likeness("h", "eh").alias("near_edited"), winnowing.likeness("h", "next_h").alias("near_next"),
         F.size("fp").cast("long").alias("n_marks"))
+
+
+@register("op5_language")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(fold(F.col("doc_id"), 3) != 1))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, text, toxic) of the documents with a label; a document labelled more than once counts
+    as toxic if any of its labels says so."""
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.join(marks, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
+
+
+@register("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learn = labelled(docs.where(fold(F.col("doc_id"), 5) != 0), table(spark, folder, "labels").select("doc_id", "toxic"))
+    out = toxicity.score(docs, toxicity.train(learn))
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                      F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
