@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import langid, mixing, secrets, toxicity, urls, winnowing
+from fieldspark.llm import langid, mixing, packing, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     out = toxicity.score(docs, toxicity.train(learn))
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
                       F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    import public_tokenizers as public
+    small_batches(docs.sparkSession)
+    return packing.pack(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+@register("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents").select("doc_id", "source", "text"))
