@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import langid, mixing, packing, secrets, toxicity, urls, winnowing
+from fieldspark.llm import langid, mixing, ngram_lm, packing, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,12 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 @register("op7_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+@register("op8_lm_score")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 7) != 2).alias("train"))
+    out = ngram_lm.score(docs)
+    return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
+                      "n_tokens", "n_known", "train_tokens", "base_score", "score")
