@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import langid, mixing, ngram_lm, packing, secrets, toxicity, urls, winnowing
+from fieldspark.llm import cover_tree, langid, mixing, ngram_lm, packing, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     out = ngram_lm.score(docs)
     return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"),
                       "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op4_near_vectors")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return cover_tree.link(table(spark, folder, "embeddings").select("vec_id", "embedding"))
