@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import cover_tree, langid, mixing, ngram_lm, packing, secrets, toxicity, urls, winnowing
+from fieldspark.llm import cover_tree, langid, mixing, ngram_join, ngram_lm, packing, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     return cover_tree.link(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op3_ngram_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return ngram_join.linked(table(spark, folder, "documents").select("doc_id", "text"))
