@@ -1,9 +1,12 @@
 """Exact k nearest neighbours by an adaptive grid, without cross joins or cell-wide pair lists.
 
-Cells halve in size from level 0 (one cell over everything) to ``LEVELS``. A query point works at
-the finest level whose own cell still holds enough donors. All of them lie within one cell
-diagonal, which is shorter than two cell sides, so the 5 x 5 block around the own cell holds every
-neighbour: one join settles every query, in dense and sparse areas alike.
+Cells halve in size from level to level, level 0 being one cell over everything. A query point
+works at the finest level whose own cell still holds enough donors, or at level 0. All of them lie
+within one cell diagonal, which is shorter than two cell sides, so the 5 x 5 block around the own
+cell holds every neighbour: one join settles every query, in dense and sparse areas alike.
+
+The levels in use follow the data: from the one at which the bulk of the donors starts to part, down
+to the one at which no cell is crowded. A far outlier thus costs a level, not the resolution.
 
 Points that share a location tie in distance and are ordered by key, so only the first few keys
 of a location can ever be neighbours; a location repeated a billion times costs a few rows.
@@ -17,7 +20,9 @@ from pyspark.sql import functions as F
 from fieldspark.operators.ordered import null_safe_join
 from fieldspark.sources.stage import materialise
 
-LEVELS = 16
+DEEPEST = 44        # cells of 2^-44 of the extent: as fine as doubles can tell
+SCOUTS = 100_000    # cells looked at to choose the levels; the result does not depend on them
+CROWD = 16          # times the donors wanted, from which a cell is crowded
 
 
 def _cell(value: str, low: str, level: Column) -> Column:
@@ -35,12 +40,11 @@ def donor_gate(donors: DataFrame, k: int) -> DataFrame:
 
 
 def knn_join(queries: DataFrame, donors: DataFrame, k: int, query_key: str = "query_id",
-             donor_key: str = "donor_id", exclude_self: bool = False,
-             levels: int = LEVELS) -> DataFrame:
+             donor_key: str = "donor_id", exclude_self: bool = False) -> DataFrame:
     """(query_key, donor_key, distance, nn) for the k nearest donors; ties go to the smaller key.
 
     Both inputs carry ``x`` and ``y``. With ``exclude_self`` a donor with the query's own key is
-    not its neighbour.
+    not its neighbour. Where there are fewer donors than ``k``, all of them are neighbours.
     """
     want = k + 1 if exclude_self else k
     d = donors.select(F.col(donor_key).alias("_d"), "x", "y")
@@ -59,20 +63,17 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, query_key: str = "qu
     frame = materialise(frame.select("_x0", "_y0", F.greatest(
         F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-9)).alias("_extent")))
 
-    ladder = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_l")
+    fine = finest(d, frame)
+    levels = chosen_levels(fine, want)
+    ladder = F.explode(F.array(*[F.lit(x) for x in levels])).alias("_l")
 
     def laddered(df: DataFrame) -> DataFrame:
         return null_safe_join(df, frame, []).select("*", ladder).withColumns(
             {"_cx": _cell("x", "_x0", F.col("_l")), "_cy": _cell("y", "_y0", F.col("_l"))})
 
-    # Donors per cell, level by level, from the finest cells up.
-    fine = laddered_finest(d, frame, levels)
-    counts = (fine.select("_n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_l"), "_fx", "_fy")
-              .select("_n", "_l",
-                      F.floor(F.col("_fx") / F.pow(F.lit(2.0), levels - F.col("_l"))).alias("_cx"),
-                      F.floor(F.col("_fy") / F.pow(F.lit(2.0), levels - F.col("_l"))).alias("_cy"))
-              .groupBy("_l", "_cx", "_cy").agg(F.sum("_n").alias("_n"))
-              .where(F.col("_n") >= want))
+    # Donors per cell, level by level, from the finest cells up. Level 0 serves whoever is left.
+    counts = (coarser(fine, levels).groupBy("_l", "_cx", "_cy").agg(F.sum("_n").alias("_n"))
+              .where((F.col("_n") >= want) | (F.col("_l") == 0)))
     level = (laddered(spots).join(counts, ["_l", "_cx", "_cy"], "left_semi")
              .groupBy("x", "y").agg(F.max("_l").alias("_l")))
     located = materialise(null_safe_join(level, frame, []).withColumns(
@@ -122,9 +123,32 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, query_key: str = "qu
         (F.col("_p") + 1).alias("nn"))
 
 
-def laddered_finest(points: DataFrame, frame: DataFrame, levels: int) -> DataFrame:
+def finest(points: DataFrame, frame: DataFrame) -> DataFrame:
     """Points per finest cell; coarser cells are these indices halved."""
-    at = null_safe_join(points, frame, []).withColumn("_l", F.lit(levels))
+    at = null_safe_join(points, frame, []).withColumn("_l", F.lit(DEEPEST))
     return (at.select(_cell("x", "_x0", F.col("_l")).alias("_fx"),
                       _cell("y", "_y0", F.col("_l")).alias("_fy"))
             .groupBy("_fx", "_fy").agg(F.count(F.lit(1)).alias("_n")))
+
+
+def coarser(fine: DataFrame, levels: list[int]) -> DataFrame:
+    """(_l, _cx, _cy, _n): finest cells as parts of their cells at each of ``levels``."""
+    at = fine.select("_n", F.explode(F.array(*[F.lit(x) for x in levels])).alias("_l"), "_fx", "_fy")
+    side = F.pow(F.lit(2.0), DEEPEST - F.col("_l"))
+    return at.select("_n", "_l", F.floor(F.col("_fx") / side).alias("_cx"), F.floor(F.col("_fy") / side).alias("_cy"))
+
+
+def chosen_levels(fine: DataFrame, want: int) -> list[int]:
+    """Level 0, and the levels between the one where no cell holds half of the donors and the one
+    where none is crowded, judged by a bounded number of cells."""
+    cells = fine.count()
+    scouts = fine if cells <= SCOUTS else fine.where(
+        F.pmod(F.xxhash64("_fx", "_fy"), F.lit(1 << 20)) < (1 << 20) * SCOUTS / cells)
+    most = (coarser(scouts, list(range(DEEPEST + 1))).groupBy("_l", "_cx", "_cy").agg(F.sum("_n").alias("_n"))
+            .groupBy("_l").agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).collect())
+    share = min(1.0, SCOUTS / max(cells, 1))
+    whole = [r["_l"] for r in most if 2 * r["most"] >= r["all"]]
+    crowded = [r["_l"] for r in most if r["most"] >= CROWD * want * share]
+    top = max(whole, default=0)
+    last = max(crowded, default=top)
+    return sorted({0, *range(top, min(last + 1, DEEPEST) + 1)})

@@ -300,7 +300,11 @@ def pick_scene(items: DataFrame, validity: DataFrame, required: Sequence[str],
     best = ok.groupBy("window").agg(F.min(F.struct("cloud", "d", "n_items", "valid_share")).alias("_b"))
     found = best.select("window", F.col("_b.d").alias("d"), F.col("_b.cloud").alias("cloud"),
                         F.col("_b.n_items").alias("n_items"), F.col("_b.valid_share").alias("valid_share"))
-    windows = items.select("window").distinct().join(found, "window", "left")
+    seen = items.select("window").distinct()
+    if len(required):
+        kind = items.schema["window"].dataType.simpleString()
+        seen = seen.union(items.sparkSession.createDataFrame([(x,) for x in required], f"window {kind}")).distinct()
+    windows = seen.join(found, "window", "left")
     checked = F.when(F.col("d").isNull() & F.col("window").isin(*required), F.raise_error(
         F.concat(F.lit("no usable date for "), F.col("window").cast("string"))).cast("date")
     ).otherwise(F.col("d"))

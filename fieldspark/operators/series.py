@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions.expr import clip, clip_pos, quality_flag
+from fieldspark.functions.expr import clip, clip_pos, nan_to_null, quality_flag
 from fieldspark.operators.joins import lookback
 from fieldspark.operators.ordered import attach, join_stats, null_safe_join
 
@@ -66,12 +66,13 @@ def gap_fill(obs: DataFrame, min_valid: int, column: str = "v") -> DataFrame:
 
 def trapezoid(obs: DataFrame, by: Sequence[str] = ("plot_id",), value: Column | None = None,
               mean: bool = False) -> DataFrame:
-    """Trapezoidal integral over day of year; ``mean`` divides by the span."""
-    v = F.col("v") if value is None else value
+    """Trapezoidal integral over day of year; ``mean`` divides by the span. A series with a null or
+    NaN in it has no integral: the segments beside the gap are unknown."""
+    v = nan_to_null(F.col("v") if value is None else value)
     w = Window.partitionBy(*by).orderBy("doy")
     seg = obs.withColumn("_y", v).withColumn(
         "_a", (F.col("doy") - F.lag("doy").over(w)) * (F.col("_y") + F.lag("_y").over(w)) / 2.0)
-    area = F.sum("_a")
+    area = F.when(F.count("_y") == F.count(F.lit(1)), F.sum("_a"))
     if mean:
         area = F.try_divide(area, F.max("doy") - F.min("doy"))
     return seg.groupBy(*by).agg(area.alias("integral"))
@@ -197,17 +198,19 @@ def season_close(obs: DataFrame, calendar_end: Column, keep: Sequence[str] = (),
     """Close the observed season to the calendar end of the plot's class.
 
     The observed part is the signed integral. The tail holds the last positive signal flat until
-    the calendar end, and its share is taken on positive parts only.
+    the calendar end, and its share is taken on positive parts only. A null or NaN inside the
+    series leaves every result but the calendar end null.
     """
-    x = F.col(value)
+    x = nan_to_null(F.col(value))
     d = obs.withColumns({"_c": clip_pos(x), "_end": calendar_end})
     dt = F.col("doy") - F.lag("doy").over(by_day())
     d = d.withColumns({
-        "_a": dt * (x + F.lag(value).over(by_day())) / 2.0,
+        "_a": dt * (x + F.lag(x).over(by_day())) / 2.0,
         "_b": dt * (F.col("_c") + F.lag("_c").over(by_day())) / 2.0})
+    whole = F.count(x) == F.count(F.lit(1))
     d = d.groupBy("plot_id", *keep).agg(
-        F.sum("_a").alias("observed"), F.sum("_b").alias("_canopy"), F.max("_end").alias("calendar_end"),
-        F.min("doy").alias("_first"), F.max("doy").alias("_last"), F.max_by("_c", "doy").alias("_tail"))
+        F.when(whole, F.sum("_a")).alias("observed"), F.when(whole, F.sum("_b")).alias("_canopy"), F.max("_end").alias("calendar_end"),
+        F.min("doy").alias("_first"), F.max("doy").alias("_last"), F.when(whole, F.max_by("_c", "doy")).alias("_tail"))
     projected = F.col("_tail") * F.greatest(F.col("calendar_end") - F.col("_last"), F.lit(0.0))
     d = d.withColumn("projected", projected)
     total = F.col("_canopy") + F.col("projected")
@@ -217,7 +220,7 @@ def season_close(obs: DataFrame, calendar_end: Column, keep: Sequence[str] = (),
         "projected",
         ((F.col("observed") + F.col("projected"))
          / (F.greatest("calendar_end", "_last") - F.col("_first"))).alias("season_integral"),
-        F.when(total > 0, F.col("projected") / total).otherwise(0.0).alias("extrapolated_fraction"),
+        F.when(total > 0, F.col("projected") / total).when(total <= 0, 0.0).alias("extrapolated_fraction"),
         "calendar_end")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import pvalues
-from fieldspark.functions.expr import close_to, gaussian_weight
+from fieldspark.functions.expr import close_to, gaussian_weight, nan_to_null
 from fieldspark.operators.knn import knn_join
 from fieldspark.operators.ordered import (attach, null_safe_join, quantiles, quantiles_of,
                                           value_ranks)
@@ -63,13 +63,13 @@ def fires_split(wide: DataFrame, model: str, base: str, truth: str = "truth",
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str] = (), min_n: int = MIN_PAIRS,
              with_p: bool = False, weight: Column | None = None) -> DataFrame:
-    """Rank correlation with average ties, and Pearson, on rows that have both values.
+    """Rank correlation with average ties, and Pearson, on rows that have both values; NaN is none.
 
     ``weight`` is a whole number of copies of a row (a resampling weight).
     """
     by = list(by)
     copies = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    pairs = df.select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"),
+    pairs = df.select(*by, nan_to_null(F.col(a).cast("double")).alias("_a"), nan_to_null(F.col(b).cast("double")).alias("_b"),
                       copies.alias("_k")
                       ).where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     # Equal pairs first: ranks depend on the counts only.
@@ -240,8 +240,13 @@ def neighbour_weights(points: DataFrame, k: int = 8, bandwidth: float = 1500.0)
 
 
 def morans_i(values: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Moran's I of ``v`` over row-normalised edges: sum of v times lag over sum of squares."""
+    """Moran's I of ``v`` over row-normalised edges: sum of v times lag over sum of squares.
+
+    ``edges`` must join points that have a value, or the weights of a point no longer sum to one:
+    see ``morans_of``.
+    """
     by = list(by)
+    values = values.withColumn("v", nan_to_null(F.col("v")))
     c = attach(values.where(F.col("v").isNotNull()), by, {"_m": F.avg("v")}).select(
         *by, "plot_id", (F.col("v") - F.col("_m")).alias("v"))
     right = c.select(*by, F.col("plot_id").alias("donor_id"), F.col("v").alias("_d"))
@@ -252,6 +257,12 @@ def morans_i(values: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Dat
         *by, "n", F.try_divide(F.col("_num"), F.col("_den")).alias("morans_i"))
 
 
+def morans_of(points: DataFrame, k: int = 8, bandwidth: float = 1500.0) -> DataFrame:
+    """Moran's I of ``points(plot_id, x, y, v)``, neighbours sought among points with a value."""
+    known = points.where(nan_to_null(F.col("v").cast("double")).isNotNull())
+    return morans_i(known.select("plot_id", "v"), neighbour_weights(known, k, bandwidth))
+
+
 def projection_audit(dep: DataFrame, labels: DataFrame, dates: Sequence) -> DataFrame:
     """Median departure per class on the late dates, and last minus first."""
     d = dep.join(labels.select("plot_id", "cls"), "plot_id")

@@ -22,7 +22,8 @@ def measured(cells: DataFrame) -> DataFrame:
 def zonal_stats(cells: DataFrame, core: DataFrame | None = None, zone: str = "plot_id") -> DataFrame:
     """Per zone and pass: count, mean, variance, variation, looks, and coverage of the core.
 
-    Only count, sum and sum of squares travel, so every map task sends one row per zone and pass.
+    With ``core`` (zone, core_cells) every zone in it has a row for every pass that occurs; where
+    it has no cell, count and coverage are 0 and the rest is null. Only count, sum and sum of squares travel, so every map task sends one row per zone and pass.
     """
     v = F.col("value")
     n, s, sq = F.count(F.lit(1)), F.sum(v), F.sum(v * v)
@@ -35,9 +36,12 @@ def zonal_stats(cells: DataFrame, core: DataFrame | None = None, zone: str = "pl
     out = out.drop("_s", "_q")
     if core is None:
         return out
-    out = core.select(zone, "core_cells").join(out, zone, "left")
-    return out.withColumn("coverage", F.coalesce(
-        F.try_divide(F.coalesce("n", F.lit(0)), F.col("core_cells")), F.lit(0.0)))
+    # Passes are dates of one campaign: a handful, whatever the number of cells.
+    passes = materialise(out.agg(F.sort_array(F.collect_set("pass")).alias("_passes")))
+    frame = null_safe_join(core.select(zone, "core_cells"), passes, []).select(
+        zone, "core_cells", F.explode("_passes").alias("pass"))
+    out = frame.join(out, [zone, "pass"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("coverage", F.coalesce(F.try_divide("n", "core_cells"), F.lit(0.0)))
 
 
 def zonal_mean(cells: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -18,15 +18,16 @@ def job_features(cells: DataFrame, plots: DataFrame, doys: Mapping, offsets: Dat
     """Cells to a complete level trajectory per plot and pass, with its quality.
 
     ``cells(plot_id, pass, value)`` are already joined with their plots;
-    ``plots(plot_id, x, y, core_cells)`` carries the centroid. Steps: zonal aggregation, decibel
+    ``plots(plot_id, x, y, core_cells)`` carries the centroid. Every plot comes back with every
+    pass; one that no cell covers is filled from its neighbours like any other. Steps: zonal aggregation, decibel
     and offsets, quality, gap fill from the plot itself, fill from the nearest donors, and the
     replacement of one odd pass by the line through two others.
     """
     z = zonal.zonal_stats(cells, plots.select("plot_id", "core_cells"))
     z = z.withColumn("v", to_db(F.col("mean")))
-    z = materialise(series.apply_offsets(z, offsets).where(F.col("pass").isNotNull()))
-    full = series.with_all_passes(z, doys)
-    full = full.join(z.select("plot_id", "pass", "coverage", "cov"), ["plot_id", "pass"], "left")
+    z = materialise(series.apply_offsets(z, offsets).select("plot_id", "pass", "v", "coverage", "cov"))
+    days = F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), F.lit(float(d)).alias("doy")) for p, d in doys.items()]))
+    full = plots.select("plot_id", days.alias("_s")).select("plot_id", "_s.*").join(z, ["plot_id", "pass"], "left")
     quality = series.count_valid(full, len(doys), min_valid)
     usable = full.withColumn("v", F.when(F.col("coverage") >= 0.5, F.col("v")))
     filled = series.gap_fill(usable, min_valid).drop("n_valid")
@@ -219,26 +220,34 @@ def job_season_context(daily: DataFrame, yearly: DataFrame, events: DataFrame, y
 
 
 def job_optical(items: DataFrame, validity: DataFrame, bands: DataFrame, labels: DataFrame,
-                factor: int, max_cloud: float = 80.0, min_valid: float = 0.80) -> DataFrame:
-    """Pick a date per window, mosaic its tiles, take the index on the coarse grid, carry index
-    and mask to the fine grid, and average per plot.
-
-    ``bands(window, d, r, c, src_order, cls, red, nir)``; ``labels(r, c, plot_id)`` is fine.
-    The index is computed before resampling, so one coarse grid is carried instead of four bands.
+                factor: int, max_cloud: float = 80.0, min_valid: float = 0.80,
+                required: Sequence = ()) -> DataFrame:
+    """Pick a date per window, mosaic its tiles band by band, take the index on the coarse grid,
+    carry index and mask to the fine grid, and average per plot.
+
+    ``bands(window, d, r, c, src_order, cls, red, nir)``; ``labels(r, c, plot_id)`` is fine. Every
+    plot has a row for every window that has a scene: without cover its mean is null and its share
+    0. A window of ``required`` without a scene fails the job. The index is computed before
+    resampling, so one coarse grid is carried instead of four bands.
     """
     from fieldspark.functions.expr import normalised_difference, valid_cell
-    chosen = rollup.pick_scene(items, validity, [], max_cloud, min_valid).select("window", "d")
+    chosen = materialise(rollup.pick_scene(items, validity, list(required), max_cloud, min_valid).select("window", "d"))
     used = bands.join(chosen, ["window", "d"])
-    tile = used.where("red > 0 and nir > 0").groupBy("window", "r", "c").agg(
-        F.min_by(F.struct("cls", "red", "nir"), "src_order").alias("_b"))
-    ok = valid_cell(F.col("_b.cls"), F.col("_b.red"), F.col("_b.nir"))
-    index = tile.select("window", "r", "c", normalised_difference(F.col("_b.nir"), F.col("_b.red"), ok).alias("value"))
+    # Each band's first tile with a value, whatever the other bands hold there.
+    tile = used.groupBy("window", "r", "c").agg(*[
+        F.min_by(F.when(F.col(b) > 0, F.col(b)), F.when(F.col(b) > 0, F.col("src_order"))).alias(b)
+        for b in ("cls", "red", "nir")])
+    ok = valid_cell(F.col("cls"), F.col("red"), F.col("nir"))
+    index = tile.select("window", "r", "c", normalised_difference(F.col("nir"), F.col("red"), ok).alias("value"))
     index = materialise(index)
     cells = labels.groupBy("plot_id").agg(F.count(F.lit(1)).alias("core_cells"))
     mean = joins.carry_index(index, labels, factor).groupBy("plot_id", "window").agg(
         F.avg("value").alias("mean"), F.count("value").alias("_n"))
-    return mean.join(cells, "plot_id").select(
-        "plot_id", "window", "mean", (F.col("_n") / F.col("core_cells")).alias("valid_share"))
+    # Windows are a few dates of one campaign.
+    windows = materialise(chosen.agg(F.sort_array(F.collect_set("window")).alias("_w")))
+    frame = ordered.null_safe_join(cells, windows, []).select("plot_id", "core_cells", F.explode("_w").alias("window"))
+    return frame.join(mean, ["plot_id", "window"], "left").select(
+        "plot_id", "window", "mean", F.coalesce(F.col("_n") / F.col("core_cells"), F.lit(0.0)).alias("valid_share"))
 
 
 def job_witness(second: DataFrame, labels: DataFrame, first_change: DataFrame, late: Sequence,

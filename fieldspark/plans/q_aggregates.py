@@ -9,16 +9,18 @@ from fieldspark.plans import bindings as B
 from fieldspark.plans.registry import query
 from fieldspark.sources.stage import materialise
 
-ZONAL = f"""SELECT plot_id, core_cells, pass, n, mean, CASE WHEN n > 1 THEN var END AS var, CASE WHEN n > 1 AND mean > 0 THEN sqrt(var) / mean END AS cov,
-CASE WHEN n > 1 AND var > 0 THEN mean * mean / var END AS enl, n / core_cells::DOUBLE AS coverage FROM
-(SELECT plot_id, pass, count(*) AS n, avg(value) AS mean, greatest(0, sum(value * value) / count(*) - avg(value) * avg(value)) AS var FROM ({B.CELLS}) c GROUP BY 1, 2) a
-JOIN (SELECT plot_id, count(*) AS core_cells FROM ({B.CELLS}) c GROUP BY 1) k USING (plot_id)"""
+# Every supplier is a plot, one more besides, so that some plots have no cell.
+CORE = f"""SELECT s_suppkey AS plot_id, 1 + s_nationkey AS core_cells FROM supplier UNION ALL SELECT -1, 5"""
+ZONAL = f"""SELECT plot_id, core_cells, pass, coalesce(n, 0) AS n, mean, CASE WHEN n > 1 THEN var END AS var, CASE WHEN n > 1 AND mean > 0 THEN sqrt(var) / mean END AS cov,
+CASE WHEN n > 1 AND var > 0 THEN mean * mean / var END AS enl, coalesce(n, 0) / core_cells::DOUBLE AS coverage FROM (SELECT * FROM ({CORE}) k, (SELECT DISTINCT pass FROM ({B.CELLS}) c) s) f LEFT JOIN
+(SELECT plot_id, pass, count(*) AS n, avg(value) AS mean, greatest(0, sum(value * value) / count(*) - avg(value) * avg(value)) AS var FROM ({B.CELLS}) c GROUP BY 1, 2) a USING (plot_id, pass)"""
 
 
 @query("zonal_stats", ZONAL, f="mean var cov enl coverage", nd=3)
 def _(t):
-    core = B.cells(t).groupBy("plot_id").agg(F.count(F.lit(1)).alias("core_cells"))
-    return zonal.zonal_stats(B.cells(t), core)
+    core = t.supplier.select(F.col("s_suppkey").alias("plot_id"), (1 + F.col("s_nationkey")).alias("core_cells"))
+    extra = t.supplier.limit(1).select(F.lit(-1).cast("long").alias("plot_id"), F.lit(5).alias("core_cells"))
+    return zonal.zonal_stats(B.cells(t), core.unionAll(extra))
 
 
 @query("zonal_mean_coverage", f"""SELECT plot_id, pass, avg(v) AS mean, count(v) / count(*)::DOUBLE AS valid_share FROM

@@ -17,20 +17,28 @@ from fieldspark.plans.q_stats import EDGES, rank_sql, spearman_sql
 from fieldspark.plans.registry import query
 
 # -- features: users as plots, purchases as cells ---------------------------------------------
-PLACES = f"SELECT plot_id, x, y FROM ({B.POINTS}) p"
-USER_CELLS = f"""SELECT user_id AS plot_id, {B.SLOT} AS pass, value / 0.997::DOUBLE AS value FROM events
-WHERE event_type = 'purchase' AND user_id IN (SELECT vec_id FROM embeddings)"""
+# Every user is a plot, and so are as many numbers beyond them; the latter have no cell.
+PLACES = "SELECT user_id + k * 100000 AS plot_id, (user_id * 37 % 101)::DOUBLE + k / 2.0 AS x, (user_id * 53 % 97)::DOUBLE AS y, k FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(2)) AS k) s WHERE k = 0 OR user_id % 10 = 0"
+USER_CELLS = f"""SELECT user_id AS plot_id, {B.SLOT} AS pass, value / 0.997::DOUBLE AS value FROM events WHERE event_type = 'purchase'"""
 
 
 def user_cells(t):
-    own = t.events.where("event_type = 'purchase'").select(
+    return t.events.where("event_type = 'purchase'").select(
         F.col("user_id").alias("plot_id"), B.slot().alias("pass"), (F.col("value") / B.UNTIE).alias("value"))
-    return own.join(t.embeddings.select(F.col("vec_id").alias("plot_id")), "plot_id", "left_semi")
 
 
-_Z = f"""SELECT f.plot_id, f.pass, f.doy, z.v, z.n, k.core FROM (SELECT plot_id, pass, (pass * 5 + 3)::DOUBLE AS doy FROM (SELECT DISTINCT plot_id FROM ({USER_CELLS}) c) p, (SELECT unnest(range(6)) AS pass) s) f
+def places(t):
+    """Plots (plot_id, x, y, k) of the cells; those with k = 1 have none."""
+    u = F.col("user_id")
+    k = F.explode(F.when(u % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k")
+    return t.events.select("user_id").distinct().select("user_id", k).select(
+        (u + F.col("k") * 100000).alias("plot_id"), ((u * 37 % 101).cast("double") + F.col("k") / 2.0).alias("x"),
+        (u * 53 % 97).cast("double").alias("y"), "k")
+
+
+_Z = f"""SELECT f.plot_id, f.pass, f.doy, z.v, z.n, k.core FROM (SELECT plot_id, pass, (pass * 5 + 3)::DOUBLE AS doy FROM ({PLACES}) p, (SELECT unnest(range(6)) AS pass) s) f
 LEFT JOIN (SELECT plot_id, pass, 10 * log10(avg(value)) + CASE WHEN pass = 5 THEN 0.5 ELSE 0 END AS v, count(*) AS n FROM ({USER_CELLS}) c WHERE value > 0 GROUP BY 1, 2) z USING (plot_id, pass)
-JOIN (SELECT plot_id, least(count(*), 4) AS core FROM ({USER_CELLS}) c GROUP BY 1) k USING (plot_id)"""
+JOIN (SELECT plot_id, 3 + plot_id % 3 AS core FROM ({PLACES}) c) k USING (plot_id)"""
 _USABLE = f"SELECT plot_id, pass, doy, CASE WHEN n / core::DOUBLE >= 0.5 THEN v END AS v FROM ({_Z}) z"
 _FILL = f"""SELECT plot_id, pass, n AS n_valid, CASE WHEN n = 6 THEN 'measured' WHEN n >= 4 THEN 'interpolated' ELSE 'imputed' END AS data_quality,
 coalesce(v, CASE WHEN n >= 4 THEN CASE WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (doy - pd) / (nd - pd) END END) AS v FROM
@@ -47,8 +55,7 @@ FEATURES = f"""SELECT plot_id, pass, n_valid, data_quality, CASE WHEN pass = 4 T
 
 def features(t):
     cells = user_cells(t)
-    core = cells.groupBy("plot_id").agg(F.least(F.count(F.lit(1)), F.lit(4)).alias("core_cells"))
-    plots = B.points(t).select("plot_id", "x", "y").join(core, "plot_id")
+    plots = places(t).select("plot_id", "x", "y", (3 + F.col("plot_id") % 3).alias("core_cells"))
     offsets = cells.select("pass").distinct().where("pass = 5").withColumn("offset", F.lit(0.5))
     return jobs.job_features(cells, plots, {i: d for i, d in B.DOYS.items()}, offsets, line=(3, 4, 5))
 
@@ -261,13 +268,14 @@ _PICK = f"""SELECT "window", d FROM (SELECT *, row_number() OVER (PARTITION BY "
 WHERE cloud <= 80 AND valid_share >= 0.75) r WHERE rn = 1"""
 _BANDS = """SELECT (day(ts) - 1) // 5 AS "window", ts::DATE AS d, user_id // 12 AS r, user_id % 12 AS c, event_id AS src_order, (3 + event_id % 4)::INTEGER AS cls,
 value / 0.997::DOUBLE - 1 AS red, value * value / 0.997::DOUBLE / 20 AS nir FROM events"""
-_IDX = f"""SELECT "window", r, c, CASE WHEN b.cls IN (4, 5, 6, 7) AND b.nir + b.red > 0 THEN (b.nir - b.red) / (b.nir + b.red) END AS value FROM (SELECT "window", r, c, arg_min({{'cls': cls, 'red': red, 'nir': nir}}, src_order) AS b FROM ({_BANDS}) x JOIN ({_PICK}) k USING ("window", d)
-WHERE red > 0 AND nir > 0 GROUP BY 1, 2, 3) t"""
-_FLAB = "SELECT user_id AS plot_id, user_id // 12 * 4 + i AS r, user_id % 12 * 4 + j AS c FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS j) b"
+_IDX = f"""SELECT "window", r, c, CASE WHEN cls IN (4, 5, 6, 7) AND nir > 0 AND red > 0 THEN (nir - red) / (nir + red) END AS value FROM (SELECT "window", r, c, arg_min(cls, src_order) FILTER (cls > 0) AS cls, arg_min(red, src_order) FILTER (red > 0) AS red, arg_min(nir, src_order) FILTER (nir > 0) AS nir
+FROM ({_BANDS}) x JOIN ({_PICK}) k USING ("window", d) GROUP BY 1, 2, 3) t"""
+_FLAB = "SELECT user_id AS plot_id, user_id // 12 * 4 + i AS r, user_id % 12 * 4 + j AS c FROM (SELECT DISTINCT user_id FROM events UNION SELECT 1000000 + s_suppkey FROM supplier) u, (SELECT unnest(range(4)) AS i) a, (SELECT unnest(range(4)) AS j) b"
 _FINE = f"""SELECT plot_id, "window", r, c, sum(w * value) / nullif(sum(w) FILTER (value IS NOT NULL), 0) AS nd, sum(w * (value IS NOT NULL)::INTEGER) / sum(w) AS m FROM (SELECT p.plot_id, k."window", p.r, p.c, k.value,
 (CASE WHEN a.i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b.j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w FROM (SELECT *, (r + 0.5) / 4.0::DOUBLE - 0.5 AS y, (c + 0.5) / 4.0::DOUBLE - 0.5 AS x FROM ({_FLAB}) f) p,
 (SELECT unnest(range(2)) AS i) a, (SELECT unnest(range(2)) AS j) b JOIN ({_IDX}) k ON k.r = floor(y) + a.i AND k.c = floor(x) + b.j) z GROUP BY 1, 2, 3, 4"""
-OPTICAL = f"""SELECT plot_id, "window", avg(nd) FILTER (m > 0.5) AS mean, count(nd) FILTER (m > 0.5) / 16.0 AS valid_share FROM ({_FINE}) q GROUP BY 1, 2"""
+OPTICAL = f"""SELECT plot_id, "window", mean, coalesce(valid_share, 0) AS valid_share FROM (SELECT * FROM (SELECT DISTINCT plot_id FROM ({_FLAB}) l) p, (SELECT DISTINCT "window" FROM ({_PICK}) k) w) f LEFT JOIN
+(SELECT plot_id, "window", avg(nd) FILTER (m > 0.5) AS mean, count(nd) FILTER (m > 0.5) / 16.0 AS valid_share FROM ({_FINE}) q GROUP BY 1, 2) o USING (plot_id, "window")"""
 
 
 @query("job_optical", OPTICAL, f="mean valid_share")
@@ -281,10 +289,12 @@ def _(t):
                      (3 + F.col("event_id") % 4).cast("int").alias("cls"), (F.col("value") / B.UNTIE - 1).alias("red"),
                      (F.col("value") * F.col("value") / B.UNTIE / 20).alias("nir"))
     four = F.sequence(F.lit(0), F.lit(3))
-    labels = e.select(u.alias("plot_id")).distinct().select("plot_id", F.explode(four).alias("i")).select("plot_id", "i", F.explode(four).alias("j"))
+    # Suppliers are plots far off the coarse grid, which no scene covers.
+    far = t.supplier.select((1000000 + F.col("s_suppkey")).alias("plot_id"))
+    labels = e.select(u.alias("plot_id")).union(far).distinct().select("plot_id", F.explode(four).alias("i")).select("plot_id", "i", F.explode(four).alias("j"))
     p = F.col("plot_id")
     labels = labels.select("plot_id", (F.floor(p / 12) * 4 + F.col("i")).alias("r"), ((p % 12) * 4 + F.col("j")).alias("c"))
-    return jobs.job_optical(items, valid, bands, labels, 4, min_valid=0.75)
+    return jobs.job_optical(items, valid, bands, labels, 4, min_valid=0.75, required=(0, 1, 2))
 
 
 # -- second sensor ----------------------------------------------------------------------------

@@ -40,10 +40,27 @@ def run(spark, queries, donors, k, exclude, **kw):
     return got
 
 
-@pytest.mark.parametrize("levels", [16, 4])
-def test_self_join_equals_brute_force(spark, levels):
+def test_self_join_equals_brute_force(spark):
     p = points()
-    assert run(spark, p, p, 8, True, levels=levels) == brute(p, p, 8, True)
+    assert run(spark, p, p, 8, True) == brute(p, p, 8, True)
+
+
+def test_one_far_outlier_leaves_the_cells_fine(spark):
+    p = [*points(), (600, 1e9, 1e9)]
+    assert run(spark, p, p, 8, True) == brute(p, p, 8, True)
+    d = spark.createDataFrame(p, "plot_id long, x double, y double")
+    frame = d.selectExpr("min(x) AS _x0", "min(y) AS _y0", "max(x) - min(x) AS _extent")
+    assert max(knn.chosen_levels(knn.finest(d, frame), 8)) > 20
+
+
+@pytest.mark.parametrize("n", [1, 5, 8, 9])
+def test_fewer_donors_than_wanted_are_all_neighbours(spark, n):
+    p = points()
+    donors, queries = p[:n], p[100:120]
+    assert run(spark, queries, donors, 8, False) == brute(queries, donors, 8, False)
+    assert run(spark, queries, donors, 8, True) == brute(queries, donors, 8, True)
+    if n > 1:
+        assert run(spark, donors, donors, 8, True) == brute(donors, donors, 8, True)
 
 
 def test_other_donors_equal_brute_force(spark):
