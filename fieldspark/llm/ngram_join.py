@@ -29,6 +29,7 @@ HASHES = 128        # MinHash functions at most
 BLOCK = 512         # classes of a bucket that are compared at once
 SLOT_ROWS, SLOT_BYTES = 20_000, 16 << 20
 CHUNK = 2048
+MARKS = 1 << 27     # bits of the filter of texts that are read again
 SEED = 20
 
 
@@ -191,6 +192,32 @@ def verified(similarity: float):
     return run
 
 
+def places(tk: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = tk.view(np.uint64)
+    return h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)
+
+
+def marked(keys: DataFrame) -> np.ndarray:
+    """Bloom filter of the column ``tk``, of at most ``MARKS`` bits. It only spares work: what it
+    lets through is joined exactly."""
+    bits = 1 << min(MARKS.bit_length() - 1, max(16, (16 * keys.count()).bit_length()))
+    low = F.col("tk").bitwiseAND(F.lit(bits - 1))
+    high = F.shiftrightunsigned("tk", 32).bitwiseAND(F.lit(bits - 1))
+    at = keys.select(F.explode(F.array(low, high)).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def maybe(tk: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(tk), dtype=bool)
+    for p in places(tk.astype(np.int64), 64 * len(marks)):
+        ok &= (marks[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
          recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Classes and their members.
@@ -219,13 +246,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     need = wanted.select("cid").distinct().join(classes.select("cid", "least"), "cid").select(
         "cid", F.col("least.id").alias("id"), F.col("least.tk").alias("tk"))
 
+    need = materialise(need)
+    marks = marked(need)
+
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Hashes()
         for frame in batches:
-            yield pd.DataFrame({"cid": frame["cid"], "set": [shingles(t, table, words).tobytes() for t in frame["text"]]})
-
-    found = null_safe_join(texts.withColumn("tk", F.xxhash64("text")), materialise(need), ["id", "tk"]).select("cid", "text")
-    full = found.mapInPandas(sets, "cid long, set binary").join(classes.select("cid", "size", "bands"), "cid")
+            frame = frame[maybe(frame["tk"].to_numpy(), marks)]
+            yield pd.DataFrame({"id": frame["id"], "tk": frame["tk"], "set": [shingles(t, table, words).tobytes() for t in frame["text"]]})
+
+    # Texts do not move: what is not among the marks is dropped where it is read.
+    found = (texts.select(F.col("id").cast("string").alias("id"), F.xxhash64("text").alias("tk"), "text")
+             .mapInPandas(sets, "id string, tk long, set binary"))
+    need = need.withColumn("id", F.col("id").cast("string"))
+    full = null_safe_join(found, need, ["id", "tk"]).select("cid", "set").join(classes.select("cid", "size", "bands"), "cid")
     size = wanted.agg(F.sum("n")).first()[0] or 0
     slots = max(1, math.ceil(8 * size / SLOT_BYTES))
     slot = F.pmod(F.xxhash64("band", "h", "i", "j"), F.lit(slots))
