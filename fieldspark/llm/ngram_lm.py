@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.sources.stage import materialise
 
-BLOCK_TOKENS = 1 << 21      # tokens of a block, unless a single text has more
+BLOCK_TOKENS = 3 << 19      # tokens of a block, unless a single text has more
 BUCKET_KEYS = 1 << 21       # keys that a bucket is sized for
 REST_BITS = 40
 CLASSES = 24                # context-frequency classes: unseen, 1, 2-3, 4-7, ...
