@@ -104,19 +104,16 @@ def value_ranks(df: DataFrame, column: str, by: Sequence[str] = (), weight: Colu
 
 
 SKETCH_ACCURACY = 10_000
-# Largest group whose bracketed rows (about 8 in 10,000 per quantile) are ordered in one task;
-# beyond it the two-level prefix sum orders them.
-ONE_TASK_GROUP = 500_000_000
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-              one_task_group: int = ONE_TASK_GROUP) -> DataFrame:
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles (linear interpolation) of ``value`` within ``by``.
 
     Two scans and no exchange of the rows themselves. A mergeable sketch brackets each wanted
     rank; the second scan counts rows per value inside the brackets and one total for every
-    stretch between them, so only about ``8 / SKETCH_ACCURACY`` of a large group leaves the map
-    side. A rank outside its bracket fails the job rather than returning an estimate.
+    stretch between them, so only about ``8 / SKETCH_ACCURACY`` of a group leaves the map side. A
+    stretch keeps its least and greatest value, which serves a rank right beside a bracket; a rank
+    further off fails the job rather than returning an estimate.
 
     The result depends on the data only, not on the sketch.
     """
@@ -132,7 +129,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
           for i, p in enumerate(plist)]
     hi = [F.lit(float("inf")) if p + margin >= 1 else F.col("_e")[2 * i + 1]
           for i, p in enumerate(plist)]
-    inside = F.col("_n") <= SKETCH_ACCURACY
+    inside = F.lit(False)
     for a, b in zip(lo, hi):
         inside = inside | F.col("_v").between(a, b)
     stretch = sum((F.when(F.col("_v") > b, 1).otherwise(0) for b in hi), F.lit(0))
@@ -141,20 +138,15 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str,
               .select(*by, "_v", F.when(inside, F.col("_v")).alias("_k"),
                       F.when(inside, F.lit(-1)).otherwise(stretch).alias("_s"), "_n")
               .groupBy(*by, "_k", "_s")
-              .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"),
+              .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_v"), F.max("_v").alias("_top"),
                    F.first("_n").alias("_n")))
-    largest = sketch.agg(F.max("_n")).first()[0] or 0
-    if largest <= one_task_group:
-        w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("_hi", F.sum("_c").over(w))
-    else:
-        ranked = running_sums(counts, by, ["_v"], {"_hi": F.col("_c")})
+    ranked = running_sums(counts, by, ["_v"], {"_hi": F.col("_c")})
     ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_c"))
 
     def at(k: Column) -> Column:
         hit = (F.col("_lo") <= k) & (k < F.col("_hi"))
-        sound = F.when(F.col("_s") == -1, F.col("_v")).otherwise(
-            F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
+        sound = F.when((F.col("_s") == -1) | (k == F.col("_lo")), F.col("_v")).when(
+            k == F.col("_hi") - 1, F.col("_top")).otherwise(F.raise_error(F.lit("quantile rank outside its bracket")).cast("double"))
         return F.max(F.when(hit, sound))
 
     out = []

@@ -33,9 +33,8 @@ def bootstrap_skill(errors: DataFrame, draws: int = 2000, seed: int = 11,
                     by: Sequence[str] = ()) -> DataFrame:
     """Interval of the skill score over row resamples (Poisson resampling weights)."""
     e = materialise(errors.select(*by, "plot_id", "e_model", "e_base"))
-    d = with_draws(e, draws)
-    w = rand.poisson1(F.col("plot_id"), F.col("draw"), seed)
-    s = d.withColumn("_w", w).groupBy(*by, "draw").agg(
+    d = with_draws(e, draws).withColumn("_u", rand.uniform(F.col("plot_id"), F.col("draw"), seed))
+    s = d.withColumn("_w", rand.poisson1(F.col("_u"))).groupBy(*by, "draw").agg(
         F.sum(F.col("_w") * F.col("e_model") * F.col("e_model")).alias("_m"),
         F.sum(F.col("_w") * F.col("e_base") * F.col("e_base")).alias("_b"))
     s = s.withColumn("skill", F.when(F.col("_b") > 0, 1.0 - F.col("_m") / F.col("_b")))
@@ -52,8 +51,8 @@ def block_bootstrap(df: DataFrame, a: str, b: str, draws: int = 999, size: float
                  & F.col("y").isNotNull())
     d = materialise(d.select("plot_id", a, b, (F.floor(F.col("x") / size) * 100000
                                                + F.floor(F.col("y") / size)).alias("block")))
-    w = rand.poisson1(F.col("block"), F.col("draw"), seed)
-    drawn = with_draws(d, draws).withColumn("_w", w).where("_w > 0")
+    drawn = with_draws(d, draws).withColumn("_u", rand.uniform(F.col("block"), F.col("draw"), seed))
+    drawn = drawn.where(F.col("_u") >= rand.POISSON_NONE).withColumn("_w", rand.poisson1(F.col("_u")))
     rho = spearman(drawn, a, b, ["draw"], weight=F.col("_w"))
     ends = over_draws(rho, "rho", {"lo": 0.025, "hi": 0.975})
     blocks = d.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
@@ -70,7 +69,7 @@ def permuted_values(points: DataFrame, draws: int, seed: int) -> DataFrame:
     The plot at place i of the key order takes the value at place i of the hash order.
     """
     base = positions(points.select("plot_id", "v").where(F.col("v").isNotNull()), [], ["plot_id"], "_i")
-    h = rand.mix32(F.col("plot_id"), F.col("draw"), seed)
+    h = rand.mix52(F.col("plot_id"), F.col("draw"), seed)
     shuffled = positions(with_draws(points.select("plot_id", "v").where(F.col("v").isNotNull()), draws)
                          .withColumn("_h", h), ["draw"], ["_h", "plot_id"], "_i")
     return shuffled.select("draw", "_i", "v").join(base.select("_i", "plot_id"), "_i").select(
@@ -115,7 +114,7 @@ def tie_permutation(df: DataFrame, axis: str, weight: str, prior: Sequence[float
     moving = join_stats(df.select("plot_id", axis, F.col(weight).cast("double").alias("_pw")),
                         split, [axis], "inner")
     moving = with_draws(moving, draws).withColumn(
-        "_h", rand.mix32(F.col("plot_id"), F.col("draw"), seed))
+        "_h", rand.mix52(F.col("plot_id"), F.col("draw"), seed))
     cum = running_sums(moving, ["draw", axis], ["_h", "plot_id"], {"_c": F.col("_pw")})
     share = (F.col("_before") + F.col("_c")) / F.col("_total")
     moved = cum.groupBy("draw", share_label(share, edges, labels).alias("bucket")).agg(

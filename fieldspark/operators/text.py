@@ -75,19 +75,37 @@ def trace_tokens(tokens: DataFrame, lines: DataFrame, key: str) -> DataFrame:
 
 
 def fixed_text(number: Column, places: Column) -> Column:
-    """Decimal text rounded half up to a number of places, as text with exactly that many."""
+    """Decimal text rounded half up to a number of places, as text with exactly that many.
+
+    Works on digits: no binary rounding, and any length.
+    """
+    def let(value: Column, body) -> Column:
+        # Each step is computed once, however often the next one reads it.
+        return F.transform(F.array(value), body)[0]
+
     whole = F.split_part(number, F.lit("."), F.lit(1))
     part = F.split_part(number, F.lit("."), F.lit(2))
-    # Work on digits: no binary rounding, and any length of whole part that fits a decimal.
-    kept = F.concat(whole, F.rpad(F.substring(part, F.lit(1), places), places, F.lit("0")))
-    up = F.coalesce(F.try_to_number(F.substring(part, places + 1, F.lit(1)), F.lit("9")), F.lit(0)) >= 5
-    digits = F.length(kept)
-    value = F.when(digits <= 37, kept).cast("decimal(38,0)") + F.when(up, 1).otherwise(0)
-    text = value.cast("string")
-    # At least one digit before the point.
-    text = F.when(F.length(text) <= places, F.lpad(text, places + 1, F.lit("0"))).otherwise(text)
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - places), F.lit("."),
-                    F.substring(text, F.length(text) - places + 1, places))
+    following = F.coalesce(F.ascii(F.substring(part, places + 1, F.lit(1))), F.lit(0))
+
+    def raised(kept: Column, stem: Column) -> Column:
+        # One more in the last digit turns the nines after it into zeros.
+        zeros = F.repeat(F.lit("0"), F.length(kept) - F.length(stem))
+        last = (F.ascii(F.right(stem, F.lit(1))) - 47).cast("string")
+        return F.when(stem == "", F.concat(F.lit("1"), zeros)).otherwise(
+            F.concat(F.substring(stem, F.lit(1), F.length(stem) - 1), last, zeros))
+
+    def padded(digits: Column) -> Column:
+        # At least one digit before the point.
+        return F.when(F.length(digits) <= places, F.lpad(digits, places + 1, F.lit("0"))).otherwise(digits)
+
+    def pointed(digits: Column) -> Column:
+        n = F.length(digits) - places
+        return F.concat(F.substring(digits, F.lit(1), n), F.lit("."), F.substring(digits, n + 1, places))
+
+    digits = let(F.concat(whole, F.rpad(F.substring(part, F.lit(1), places), places, F.lit("0"))),
+                 lambda kept: F.ltrim(F.when(following >= 53, let(F.rtrim(kept, F.lit("9")), lambda stem: raised(kept, stem)))
+                                      .otherwise(kept), F.lit("0")))
+    return let(let(digits, padded), pointed)
 
 
 def word_budget(docs: DataFrame, limit: int, key: str, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from fieldspark.operators.ordered import null_safe_join
 from fieldspark.plans import bindings as B
 from fieldspark.plans import jobs
 from fieldspark.plans.q_aggregates import REF_PLOTS, class_years, order_days, ref_plots
-from fieldspark.plans.q_resample import DRAWS, RUNS, _PERM, drawn, poisson_sql, runs, uniform_sql
+from fieldspark.plans.q_resample import DRAWS, FOLDS, RUNS, _PERM, drawn, poisson_sql, runs, uniform_sql
 from fieldspark.plans.q_scans import DRIFT, catalogue, drift
 from fieldspark.plans.q_series import (CLOSE, CUT_LABELS, CUT_PRIOR, HORIZON, PRED, SCORES, canopy, cut_sql,
                                        factor_sql, horizon, preds)
@@ -195,7 +195,7 @@ UNION ALL SELECT 'residual autocorrelation', CASE WHEN count(*) FILTER (i >= o)
 
 @query("job_validate", VALIDATE, f="value")
 def _(t):
-    return jobs.job_validate(validation_frame(t), B.points(t), draws=20)
+    return jobs.job_validate(validation_frame(t), B.points(t), draws=FOLDS)
 
 
 # -- sign -------------------------------------------------------------------------------------
@@ -203,7 +203,7 @@ SFRAME = f"""SELECT plot_id, label::VARCHAR AS cls, x, y, v AS dep_a, b AS dep_b
 b - v AS d_dep, weight / 10 + fraction / 2 - fraction AS d_opt FROM ({B.POINTS}) p"""
 _SALL = f"SELECT d_opt, d_dep, unnest([cls, 'ALL']) AS k FROM ({SFRAME}) s"
 _SBLK = f"SELECT d_dep, d_opt, floor(x / 500)::BIGINT * 100000 + floor(y / 500)::BIGINT AS block FROM ({SFRAME}) s"
-_SCOP = f"SELECT draw, d_dep, d_opt FROM (SELECT draw, d_dep, d_opt, unnest(range({poisson_sql('u')})) FROM (SELECT *, {uniform_sql('block', 'draw', 12)} AS u FROM {drawn(_SBLK, 20)} e) a) c"
+_SCOP = f"SELECT draw, d_dep, d_opt FROM (SELECT draw, d_dep, d_opt, unnest(range({poisson_sql('u')})) FROM (SELECT *, {uniform_sql('block', 'draw', 12)} AS u FROM {drawn(_SBLK, FOLDS)} e) a) c"
 _SR = spearman_sql(_SCOP, "d_dep", "d_opt", "draw")
 _SE = f"(SELECT [{', '.join(f'quantile_cont(opt_a, {i}/6::DOUBLE)' for i in range(7))}] FROM ({SFRAME}) z)"
 _SQ = f"(SELECT quantile_cont(cleared, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) FROM ({SFRAME}) z)"
@@ -222,7 +222,7 @@ def _(t):
     p = B.points(t).select("plot_id", F.col("label").cast("string").alias("cls"), "x", "y", F.col("v").alias("dep_a"), F.col("b").alias("dep_b"),
                            F.col("fraction").alias("opt_a"), (F.col("weight") / 10 + F.col("fraction") / 2).alias("opt_b"),
                            (F.col("v") * F.col("b")).alias("cleared"))
-    return jobs.job_sign(p, draws=20)
+    return jobs.job_sign(p, draws=FOLDS)
 
 
 # -- scene diagnostics ------------------------------------------------------------------------

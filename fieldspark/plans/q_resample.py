@@ -15,12 +15,14 @@ from fieldspark.plans.q_series import (CUT_LABELS, CUT_PRIOR, PEAK, PRED, canopy
 from fieldspark.plans.q_stats import EDGES, spearman_sql
 from fieldspark.plans.registry import query
 
-DRAWS = 50
+# Draws of the bootstrap, the two 999-fold tests, ties and priors, and noise.
+DRAWS, FOLDS, TIES, NOISES = 2000, 999, 200, 1000
 
 
-def mix_sql(row_id: str, draw: str, seed: int) -> str:
+def mix32_sql(row_id: str, draw: str, seed: int) -> str:
     m = rand.MASK
-    h = f"((({row_id})::BIGINT & {m}) * {rand.ID_STEP} + ({draw}) * {rand.DRAW_STEP} + {seed}) & {m}"
+    h = (f"((({row_id})::BIGINT & {m}) * {rand.ID_STEP} + ((({row_id})::BIGINT >> 32) & {m}) * {rand.HIGH_STEP} + "
+         f"({draw}) * {rand.DRAW_STEP} + {seed}) & {m}")
     h = f"xor(({h}), ({h}) >> 16)"
     h = f"(({h}) * {rand.MULTIPLIER_1}) & {m}"
     h = f"xor(({h}), ({h}) >> 15)"
@@ -28,8 +30,12 @@ def mix_sql(row_id: str, draw: str, seed: int) -> str:
     return f"xor(({h}), ({h}) >> 16)"
 
 
+def mix_sql(row_id: str, draw: str, seed: int) -> str:
+    return f"({mix32_sql(row_id, draw, seed)} * {1 << 20} + ({mix32_sql(row_id, draw, seed + rand.LANE_STEP)} >> 12))"
+
+
 def uniform_sql(row_id: str, draw: str, seed: int) -> str:
-    return f"(({mix_sql(row_id, draw, seed)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    return f"(({mix_sql(row_id, draw, seed)} + 0.5::DOUBLE) / {float(1 << rand.BITS)!r}::DOUBLE)"
 
 
 def normal_sql(row_id: str, draw: str, seed: int) -> str:
@@ -68,17 +74,17 @@ def _(t):
 
 
 _BLOCK = f"SELECT plot_id, v, b, floor(x / 500)::BIGINT * 100000 + floor(y / 500)::BIGINT AS block FROM ({B.POINTS}) p"
-_COPIES = f"""SELECT draw, v, b FROM (SELECT draw, v, b, unnest(range({poisson_sql('u')})) FROM (SELECT *, {uniform_sql('block', 'draw', 12)} AS u FROM {drawn(_BLOCK, 20)} e) a) c"""
+_COPIES = f"""SELECT draw, v, b FROM (SELECT draw, v, b, unnest(range({poisson_sql('u')})) FROM (SELECT *, {uniform_sql('block', 'draw', 12)} AS u FROM {drawn(_BLOCK, FOLDS)} e) a) c"""
 
 
 @query("block_bootstrap_rho", f"""SELECT (SELECT count(DISTINCT block) FROM ({_BLOCK}) k) AS blocks, (SELECT count(*) FROM ({_BLOCK}) k)::BIGINT AS n, (SELECT median(n) FROM (SELECT count(*) AS n FROM ({_BLOCK}) k GROUP BY block) m) AS median_block_n,
 (SELECT rho FROM ({spearman_sql(_BLOCK, 'v', 'b')}) s) AS rho, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM ({spearman_sql(_COPIES, 'v', 'b', 'draw')}) d""", f="median_block_n rho lo hi")
 def _(t):
-    return resample.block_bootstrap(B.points(t), "v", "b", draws=20)
+    return resample.block_bootstrap(B.points(t), "v", "b", draws=FOLDS)
 
 
 _PERM = f"""SELECT s.draw, i.plot_id, s.c FROM (SELECT draw, c, row_number() OVER (PARTITION BY draw ORDER BY h, plot_id) AS i FROM (SELECT *, {mix_sql('plot_id', 'draw', 13)} AS h FROM
-{drawn(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p", 20)} a) b) s JOIN (SELECT plot_id, row_number() OVER (ORDER BY plot_id) AS i FROM ({B.POINTS}) p) i USING (i)"""
+{drawn(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p", FOLDS)} a) b) s JOIN (SELECT plot_id, row_number() OVER (ORDER BY plot_id) AS i FROM ({B.POINTS}) p) i USING (i)"""
 _SS = f"(SELECT var_pop(v) * count(*) FROM ({B.POINTS}) q)"
 
 
@@ -89,12 +95,12 @@ CASE WHEN count(*) FILTER (i >= observed) = 0 THEN 'p<' ELSE 'p=' END || printf(
        f="observed null_mean p")
 def _(t):
     p = B.points(t)
-    return resample.permutation_morans(p, stats.neighbour_weights(p), draws=20)
+    return resample.permutation_morans(p, stats.neighbour_weights(p), draws=FOLDS)
 
 
 TIED = f"SELECT *, round(value * 20) AS axis FROM ({B.PLOTS}) p"
 _TIE = f"""SELECT draw, {cut_sql('share')} AS bucket, sum(weight) AS weight FROM (SELECT draw, weight, sum(weight) OVER (PARTITION BY draw ORDER BY axis, h, plot_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY draw) AS share FROM
-(SELECT *, {mix_sql('plot_id', 'draw', 14)} AS h FROM {drawn(TIED)} a) b) c GROUP BY 1, 2"""
+(SELECT *, {mix_sql('plot_id', 'draw', 14)} AS h FROM {drawn(TIED, TIES)} a) b) c GROUP BY 1, 2"""
 
 
 def tied(t):
@@ -103,7 +109,7 @@ def tied(t):
 
 @query("tie_permutation", f"SELECT bucket, min(weight) AS weight_min, max(weight) AS weight_max, count(*) AS draws FROM ({_TIE}) t GROUP BY 1", f="weight_min weight_max")
 def _(t):
-    return resample.tie_spread(resample.tie_permutation(tied(t), "axis", "weight", CUT_PRIOR, CUT_LABELS, DRAWS))
+    return resample.tie_spread(resample.tie_permutation(tied(t), "axis", "weight", CUT_PRIOR, CUT_LABELS, TIES))
 
 
 REF = f"SELECT *, weight AS cells, value AS x, {B.sql_map(B.REFERENCE)} AS reference FROM ({B.PLOTS}) p"
@@ -114,13 +120,13 @@ def ref(t):
                                    "reference": lookup(F.col("cls"), B.REFERENCE, "reference")})
 
 
-_NOISE = f"""SELECT draw, sum(reference * factor * weight) AS total FROM ({factor_sql('x', f"SELECT * REPLACE (x + 4.34 / sqrt(greatest(cells, 1)) * {normal_sql('plot_id', 'draw', 15)} AS x) FROM {drawn(REF)} a", 'draw, cls', '0.30')}) f GROUP BY 1"""
+_NOISE = f"""SELECT draw, sum(reference * factor * weight) AS total FROM ({factor_sql('x', f"SELECT * REPLACE (x + 4.34 / sqrt(greatest(cells, 1)) * {normal_sql('plot_id', 'draw', 15)} AS x) FROM {drawn(REF, NOISES)} a", 'draw, cls', '0.30')}) f GROUP BY 1"""
 NOISE = f"SELECT quantile_cont(total, 0.05) AS low, quantile_cont(total, 0.95) AS high FROM ({_NOISE}) n"
 
 
 @query("noise_draws", NOISE, f="low high", nd=4)
 def _(t):
-    return resample.over_draws(resample.noise_draws(ref(t), DRAWS), "total", {"low": 0.05, "high": 0.95})
+    return resample.over_draws(resample.noise_draws(ref(t), NOISES), "total", {"low": 0.05, "high": 0.95})
 
 
 # The three ordered labels take the references of three classes.
@@ -129,7 +135,7 @@ _SHARE = f"SELECT plot_id, weight, value AS x, sum(weight) OVER (ORDER BY axis,
 _SIGMA = f"(SELECT stddev_samp(ln(share / CASE cls WHEN 'PROMO' THEN 0.2 ELSE 0.16 END)) FROM (SELECT cls, sum(weight) / (SELECT sum(p_size) FROM part) AS share FROM ({B.PLOTS}) p GROUP BY 1) q WHERE cls IN ('PROMO', 'ECONOMY'))"
 _W = [f"{w}::DOUBLE * exp({_SIGMA} * {normal_sql(str(i + 1), 'draw', 16)})" for i, w in enumerate(CUT_PRIOR)]
 _PRIOR = f"""SELECT draw, plot_id, weight, x, CASE WHEN share <= w1 / (w1 + w2 + w3) THEN 'Bajra' WHEN share <= w1 / (w1 + w2 + w3) + w2 / (w1 + w2 + w3) THEN 'Maize' ELSE 'Groundnut' END AS cls FROM ({_SHARE}) s,
-(SELECT draw, {_W[0]} AS w1, {_W[1]} AS w2, {_W[2]} AS w3 FROM (SELECT unnest(range({DRAWS})) AS draw) d) w"""
+(SELECT draw, {_W[0]} AS w1, {_W[1]} AS w2, {_W[2]} AS w3 FROM (SELECT unnest(range({TIES})) AS draw) d) w"""
 _MIX = f"""SELECT draw, sum({B.sql_map(LABEL_REF)} * factor * weight) AS total, """ + ", ".join(
     f"coalesce(sum(weight) FILTER (cls = '{c}'), 0) AS weight_{c}" for c in CUT_LABELS) + f" FROM ({factor_sql('x', _PRIOR, 'draw, cls', '0.30')}) f GROUP BY 1"
 
@@ -137,7 +143,7 @@ _MIX = f"""SELECT draw, sum({B.sql_map(LABEL_REF)} * factor * weight) AS total,
 @query("prior_perturbation", _MIX, f="total weight_Bajra weight_Maize weight_Groundnut", nd=4, cast="draw:INTEGER")
 def _(t):
     p = tied(t).withColumn("x", F.col("value"))
-    return resample.prior_draws(p, "axis", CUT_PRIOR, CUT_LABELS, LABEL_REF, rollup.prior_sigma(log_ratios(t)), DRAWS)
+    return resample.prior_draws(p, "axis", CUT_PRIOR, CUT_LABELS, LABEL_REF, rollup.prior_sigma(log_ratios(t)), TIES)
 
 
 @query("threshold_sweep", f"""SELECT level, count(*) FILTER (value >= level AND confidence = 'high') AS n, coalesce(sum(weight) FILTER (value >= level AND confidence = 'high'), 0) AS weight,
@@ -208,10 +214,10 @@ def uncertainty_budget(t):
     alt = label_swap(t).agg(F.sum("total_swapped").alias("alt"))
     both = null_safe_join(total, alt, [])
     mix = resample.prior_draws(tied(t).withColumn("x", F.col("value")), "axis", CUT_PRIOR, CUT_LABELS, LABEL_REF,
-                               rollup.prior_sigma(log_ratios(t)), DRAWS)
-    ties = resample.tie_permutation(tied(t), "axis", "weight", CUT_PRIOR, CUT_LABELS, DRAWS)
+                               rollup.prior_sigma(log_ratios(t)), TIES)
+    ties = resample.tie_permutation(tied(t), "axis", "weight", CUT_PRIOR, CUT_LABELS, TIES)
     tie_total = ties.groupBy("draw").agg(F.sum(lookup(F.col("bucket"), LABEL_REF, "reference") * F.col("weight")).alias("total"))
-    noise = resample.noise_draws(ref(t), DRAWS)
+    noise = resample.noise_draws(ref(t), NOISES)
     x = F.col("total")
     rows = [
         resample.budget_row("reference (stated scenario)", total, 0.9 * F.max(x), 1.1 * F.max(x)),

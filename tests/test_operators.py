@@ -88,7 +88,7 @@ def test_hash_numbers_do_not_depend_on_partitions(spark):
     def draw(n):
         d = spark.range(0, 20000, numPartitions=n)
         return one(d.agg(F.avg(rand.uniform(F.col("id"), F.lit(1), 9)).alias("u"), F.var_pop(rand.normal(F.col("id"), F.lit(1), 9)).alias("v"),
-                         F.avg(rand.poisson1(F.col("id"), F.lit(1), 9)).alias("p"), F.sum(rand.mix32(F.col("id"), F.lit(1), 9)).alias("s")))
+                         F.avg(rand.poisson1(rand.uniform(F.col("id"), F.lit(1), 9))).alias("p"), F.sum(rand.mix32(F.col("id"), F.lit(1), 9)).alias("s")))
     a, b = draw(2), draw(9)
     assert a.s == b.s
     assert a.u == pytest.approx(0.5, abs=0.01) and a.v == pytest.approx(1, abs=0.03) and a.p == pytest.approx(1, abs=0.03)

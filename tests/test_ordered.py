@@ -62,10 +62,11 @@ def test_average_rank_of_null_is_null(spark):
     assert {r.id: r.avg_rank for r in ordered.average_rank(d, "v").collect()} == {1: 2.0, 2: None, 3: 1.0}
 
 
-@pytest.mark.parametrize("limit", [ordered.ONE_TASK_GROUP, 0])
-def test_quantiles_are_exact(df, rows, limit):
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_quantiles_are_exact(df, rows, accuracy, monkeypatch):
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", accuracy)
     probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.9, "e": 1.0}
-    got = {r.g: r for r in ordered.quantiles(df, ["g"], "v", probs, limit).collect()}
+    got = {r.g: r for r in ordered.quantiles(df, ["g"], "v", probs).collect()}
     for g in range(6):
         want = np.quantile([r[2] for r in rows if r[1] == g], list(probs.values()))
         assert [got[g][k] for k in probs] == pytest.approx(list(want))
