@@ -7,22 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import cover_tree, langid, mixing, ngram_join, ngram_lm, packing, secrets, toxicity, urls, winnowing
+from fieldspark.llm import cover_tree, langid, mixing, ngram_join, ngram_lm, oracle, packing, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str):
     def keep(fn):
         QUERIES[name] = fn
-        if sql:
-            ORACLE[name] = sql
         return fn
     return keep
 
