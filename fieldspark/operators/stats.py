@@ -36,6 +36,21 @@ def forecast_scores(preds: DataFrame, by: Sequence[str] = (), base: str = "persi
                     (1.0 - F.try_divide(F.col("mse"), F.col("_base"))).alias("skill"))
 
 
+def targets_of(preds: DataFrame, anchors: DataFrame, drift: float) -> DataFrame:
+    """Predictions of the departure, restated as levels, as rows of three ``target`` values.
+
+    ``anchors(plot_id, anchor, level)`` holds what a departure is measured from and the withheld
+    level. ``level`` adds the anchor to every prediction; ``level with drift`` adds the drift of
+    the withheld date as well, so that no predictor can win by leaning the way the scene drifted.
+    """
+    j = preds.join(anchors, "plot_id")
+    rows = [F.struct(F.lit("departure").alias("target"), F.col("truth").alias("truth"), F.col("pred").alias("pred"))]
+    for name, more in (("level", 0.0), ("level with drift", drift)):
+        rows.append(F.struct(F.lit(name).alias("target"), F.col("level").alias("truth"), (F.col("pred") + F.col("anchor") + more).alias("pred")))
+    keep = [c for c in preds.columns if c not in ("truth", "pred")]
+    return j.select(*keep, F.explode(F.array(*rows)).alias("_s")).select(*keep, "_s.*")
+
+
 def best_predictor(preds: DataFrame, by: str, model: str, min_n: int = 20) -> DataFrame:
     """Per class with enough rows: the model's score and the predictor with the lowest RMSE."""
     s = forecast_scores(preds, [by]).where(F.col("n") >= min_n)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions.expr import lookup, to_db
+from fieldspark.functions.expr import cos_double_angle, folded_angle, lookup, to_db
 from fieldspark.operators import cluster as C
 from fieldspark.operators import gates, joins, knn, ordered, resample, rollup, series, stats, zonal
 from fieldspark.sources.stage import materialise
@@ -150,26 +150,43 @@ def job_backtest(preds: DataFrame, splits: DataFrame, model: str = "flat_hold",
     return a.unionByName(b).unionByName(h)
 
 
-def job_validate(frame: DataFrame, points: DataFrame, draws: int = 999) -> DataFrame:
-    """Reserved-date test, look-direction control and spatial autocorrelation of the residual.
+def job_validate(frame: DataFrame, points: DataFrame, named: str, look: float, draws: int = 999,
+                 min_n: int = 20) -> DataFrame:
+    """Reserved-date tests, look-direction controls and spatial autocorrelation of the residual.
 
-    ``frame(plot_id, cls, value, reserved, azimuth, elongation, anomaly)``.
+    ``frame(plot_id, cls, value, early, reserved, late, flagged, cleared, azimuth, elongation,
+    anomaly)``. ``named`` is the class that was expected to top the reserved date before the data
+    were seen; it is tested one-sided, from ``min_n`` rows on, whichever class came out on top.
+    Flagged plots are held against the rest on three dates, cleared ones against standing ones.
+    ``look`` is the sensor's direction in degrees.
     """
-    first = F.lit("1")
     frame = materialise(frame)
+
+    def row(df: DataFrame, test: str, item: Column | str, value: Column | str) -> DataFrame:
+        return df.select(F.lit(test).alias("test"), (F.lit(item) if isinstance(item, str) else item).alias("item"),
+                         (F.col(value) if isinstance(value, str) else value).alias("value"))
+
     med = materialise(ordered.quantiles(frame, ["cls"], "reserved", {"m": 0.5}))
     top = med.agg(F.max_by("cls", F.struct("m", "cls")).alias("winner"), F.max("m").alias("value"))
-    rows = [top.select(F.lit("reserved winner").alias("test"), F.col("winner").alias("item"), "value")]
-    winner = ordered.null_safe_join(frame, top.select("winner"), [])
-    u = stats.mann_whitney(winner, "reserved", F.col("cls") == F.col("winner"), "greater")
-    rows.append(u.select(F.lit("winner against rest, z").alias("test"), first.alias("item"), F.col("z").alias("value")))
-    long = frame.where("elongation >= 1.5").withColumn("delta", F.abs(F.pmod(F.col("azimuth") - 318.4 + 90.0, F.lit(180.0)) - 90.0))
-    rho = stats.spearman(long, "delta", "anomaly")
-    rows.append(rho.select(F.lit("look direction rho").alias("test"), F.when(F.abs("rho") > 0.2, "contaminated").otherwise("clean").alias("item"), F.col("rho").alias("value")))
+    rows = [row(top, "reserved winner", F.col("winner"), "value")]
+    u = stats.mann_whitney(frame, "reserved", F.col("cls") == named, "greater")
+    rows.append(row(u, "named class against rest, p", named, F.when(F.col("n1") >= min_n, F.col("p"))))
+    dates = F.explode(F.array(*[F.struct(F.lit(d).alias("date"), F.col(d).alias("v")) for d in ("early", "reserved", "late")]))
+    long = materialise(frame.select("flagged", dates.alias("_s")).select("flagged", "_s.*"))
+    rows.append(row(stats.mann_whitney(long, "v", F.col("flagged"), "greater", ["date"]), "flagged against rest, p", F.col("date"), "p"))
+    side = ordered.quantiles(long, ["date", "flagged"], "v", {"m": 0.5})
+    rows.append(row(side, "median", F.concat_ws(" ", "date", F.when(F.col("flagged"), "flagged").otherwise("rest")), "m"))
+    state = frame.withColumn("state", F.when(F.col("cleared") > 0.8, "cleared").when(F.col("cleared") < 0.2, "standing"))
+    rows.append(row(ordered.quantiles(state.where("state is not null"), ["state"], "reserved", {"m": 0.5}), "reserved median", F.col("state"), "m"))
+    turned = frame.where("elongation >= 1.5").withColumns({
+        "delta": folded_angle(F.col("azimuth"), look), "cos2": cos_double_angle(F.col("azimuth"), look)})
+    for column, test in (("delta", "look direction rho"), ("cos2", "look direction cos rho")):
+        rho = stats.spearman(turned, column, "anomaly")
+        rows.append(row(rho, test, F.when(F.abs("rho") > 0.2, "contaminated").otherwise("clean"), "rho"))
     resid = rollup.group_residual(frame, "value", ["cls"]).select("plot_id", F.col("residual").alias("v"))
-    edges = materialise(stats.neighbour_weights(points))
-    m = resample.permutation_morans(resid, edges, draws)
-    rows.append(m.select(F.lit("residual autocorrelation").alias("test"), F.col("shown").alias("item"), F.col("observed").alias("value")))
+    known = points.join(resid.where("v is not null").select("plot_id"), "plot_id", "left_semi")
+    edges = materialise(stats.neighbour_weights(known))
+    rows.append(row(resample.permutation_morans(resid, edges, draws), "residual autocorrelation", F.col("shown"), "observed"))
     return rollup.stack(*rows)
 
 

@@ -13,7 +13,7 @@ from fieldspark.plans.q_resample import DRAWS, FOLDS, RUNS, _PERM, drawn, poisso
 from fieldspark.plans.q_scans import DRIFT, catalogue, drift
 from fieldspark.plans.q_series import (CLOSE, CUT_LABELS, CUT_PRIOR, HORIZON, PRED, SCORES, canopy, cut_sql,
                                        factor_sql, horizon, preds)
-from fieldspark.plans.q_stats import EDGES, rank_sql, spearman_sql
+from fieldspark.plans.q_stats import EDGES, normal_tail_sql, rank_sql, spearman_sql
 from fieldspark.plans.registry import query
 
 # -- features: users as plots, purchases as cells ---------------------------------------------
@@ -168,26 +168,39 @@ def _(t):
 
 
 # -- validation -------------------------------------------------------------------------------
-VFRAME = f"""SELECT plot_id, label::VARCHAR AS cls, v AS value, b AS reserved, fraction AS anomaly, (x + y) - 180 * floor((x + y) / 180) AS azimuth, weight / 3 AS elongation FROM ({B.POINTS}) p"""
+VFRAME = f"""SELECT plot_id, label::VARCHAR AS cls, v AS value, b AS reserved, fraction AS anomaly, (x + y) - 180 * floor((x + y) / 180) AS azimuth, weight / 3 AS elongation,
+x / 5000 AS early, y / 5000 AS late, label < 3 AS flagged, abs(x) / 1000 AS cleared FROM ({B.POINTS}) p"""
 
 
 def validation_frame(t):
     p = B.points(t)
     return p.select("plot_id", F.col("label").cast("string").alias("cls"), F.col("v").alias("value"), F.col("b").alias("reserved"),
                     F.col("fraction").alias("anomaly"), F.pmod(F.col("x") + F.col("y"), F.lit(180.0)).alias("azimuth"),
-                    (F.col("weight") / 3).alias("elongation"))
+                    (F.col("weight") / 3).alias("elongation"), (F.col("x") / 5000).alias("early"), (F.col("y") / 5000).alias("late"),
+                    (F.col("label") < 3).alias("flagged"), (F.abs("x") / 1000).alias("cleared"))
 
 
 _RES = f"SELECT plot_id, value - avg(value) OVER (PARTITION BY cls) AS v FROM ({VFRAME}) f"
 _TOP = f"SELECT arg_max(cls, (m, cls)) AS winner, max(m) AS m FROM (SELECT cls, median(reserved) AS m FROM ({VFRAME}) f GROUP BY 1) q"
-_U = f"""SELECT (u - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM (SELECT n1::DOUBLE AS n1, n2::DOUBLE AS n2, r1 - n1 * (n1 + 1) / 2.0 AS u, ties FROM
-(SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(rk) FILTER (g) AS r1, sum(k * k - 1.0) AS ties FROM (SELECT cls = (SELECT winner FROM ({_TOP}) t) AS g, {rank_sql('reserved')} AS rk,
-count(*) OVER (PARTITION BY reserved) AS k FROM ({VFRAME}) f) r) s) t"""
-_LOOK = f"SELECT abs(((azimuth - 318.4 + 90) - 180 * floor((azimuth - 318.4 + 90) / 180)) - 90) AS delta, anomaly FROM ({VFRAME}) f WHERE elongation >= 1.5"
+_U = f"""SELECT n1, (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM (SELECT n1::DOUBLE AS n1, n2::DOUBLE AS n2, r1 - n1 * (n1 + 1) / 2.0 AS u, ties FROM
+(SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(rk) FILTER (g) AS r1, sum(k * k - 1.0) AS ties FROM (SELECT {{g}} AS g, {rank_sql('{v}')} AS rk,
+count(*) OVER (PARTITION BY {{v}}) AS k FROM ({VFRAME}) f) r) s) t"""
+NAMED, LOOK = "4", 318.4
+
+
+def _greater(g: str, v: str) -> str:
+    return f"(SELECT {normal_tail_sql('z')} AS p, n1 FROM ({_U.format(g=g, v=v)}) m)"
+
+
+_LOOK = f"SELECT abs(((azimuth - 318.4 + 90) - 180 * floor((azimuth - 318.4 + 90) / 180)) - 90) AS delta, cos(radians(2 * (azimuth - 318.4))) AS cos2, anomaly FROM ({VFRAME}) f WHERE elongation >= 1.5"
 _RP = _PERM.replace(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p", f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({_RES}) p")
 _RSS = f"(SELECT var_pop(v) * count(*) FROM ({_RES}) q)"
 _OBS_I = f"(SELECT sum(a.v * e.w * b.v) / {_RSS} FROM ({EDGES}) e JOIN ({_RES}) a USING (plot_id) JOIN ({_RES}) b ON b.plot_id = e.donor_id)"
-VALIDATE = f"""SELECT 'reserved winner' AS test, winner AS item, m AS value FROM ({_TOP}) a UNION ALL SELECT 'winner against rest, z', '1', z FROM ({_U}) b
+VALIDATE = f"""SELECT 'reserved winner' AS test, winner AS item, m AS value FROM ({_TOP}) a UNION ALL SELECT 'named class against rest, p', '{NAMED}', CASE WHEN n1 >= 20 THEN p END FROM {_greater(f"cls = '{NAMED}'", 'reserved')} b
+{" ".join(f"UNION ALL SELECT 'flagged against rest, p', '{d}', p FROM {_greater('flagged', d)} b" for d in ("early", "reserved", "late"))}
+{" ".join(f"UNION ALL SELECT 'median', '{d} ' || CASE WHEN flagged THEN 'flagged' ELSE 'rest' END, median({d}) FROM ({VFRAME}) f GROUP BY flagged" for d in ("early", "reserved", "late"))}
+UNION ALL SELECT 'reserved median', CASE WHEN cleared > 0.8 THEN 'cleared' ELSE 'standing' END, median(reserved) FROM ({VFRAME}) f WHERE cleared > 0.8 OR cleared < 0.2 GROUP BY 2
+UNION ALL SELECT 'look direction cos rho', CASE WHEN abs(rho) > 0.2 THEN 'contaminated' ELSE 'clean' END, rho FROM ({spearman_sql(_LOOK, 'cos2', 'anomaly')}) c
 UNION ALL SELECT 'look direction rho', CASE WHEN abs(rho) > 0.2 THEN 'contaminated' ELSE 'clean' END, rho FROM ({spearman_sql(_LOOK, 'delta', 'anomaly')}) c
 UNION ALL SELECT 'residual autocorrelation', CASE WHEN count(*) FILTER (i >= o) = 0 THEN 'p<' ELSE 'p=' END || printf('%.3f', ((1.0 + count(*) FILTER (i >= o)) / (count(*) + 1.0))::DOUBLE), max(o) FROM
 (SELECT i, {_OBS_I} AS o FROM (SELECT a.draw, sum(a.c * e.w * b.c) / {_RSS} AS i FROM ({EDGES}) e JOIN ({_RP}) a ON a.plot_id = e.plot_id JOIN ({_RP}) b ON b.plot_id = e.donor_id AND b.draw = a.draw GROUP BY 1) n) d"""
@@ -195,7 +208,7 @@ UNION ALL SELECT 'residual autocorrelation', CASE WHEN count(*) FILTER (i >= o)
 
 @query("job_validate", VALIDATE, f="value")
 def _(t):
-    return jobs.job_validate(validation_frame(t), B.points(t), draws=FOLDS)
+    return jobs.job_validate(validation_frame(t), B.points(t), NAMED, LOOK, draws=FOLDS)
 
 
 # -- sign -------------------------------------------------------------------------------------

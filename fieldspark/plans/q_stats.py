@@ -11,9 +11,24 @@ from fieldspark.plans.q_series import CANOPY, PRED, SCORES, preds
 from fieldspark.plans.registry import query
 
 
-@query("forecast_scores", SCORES.format(by="", part="", src=PRED), f="mae rmse bias skill")
+# A level is the departure on top of the plot's first two passes, plus what the last scene drifted.
+LAST_DRIFT = 0.35
+ANCHORS = f"""SELECT plot_id, avg(v) FILTER (pass < 2) / 20.0 AS anchor, max(v) FILTER (pass = 5) / 20.0 + {LAST_DRIFT} * (1 + plot_id % 3) / 2 AS level FROM ({B.OBS}) o GROUP BY 1"""
+TARGETS = f"""SELECT plot_id, predictor, 'departure' AS target, truth, pred FROM ({PRED}) p
+UNION ALL SELECT plot_id, predictor, 'level', level, pred + anchor FROM ({PRED}) p JOIN ({ANCHORS}) a USING (plot_id)
+UNION ALL SELECT plot_id, predictor, 'level with drift', level, pred + anchor + {LAST_DRIFT} FROM ({PRED}) p JOIN ({ANCHORS}) a USING (plot_id)"""
+
+
+def anchors(t):
+    drifted = LAST_DRIFT * (1 + F.col("plot_id") % 3) / 2
+    return B.obs(t).groupBy("plot_id").agg(
+        (F.avg(F.when(F.col("pass") < 2, F.col("v"))) / 20.0).alias("anchor"),
+        series.at_pass(5).alias("_l")).select("plot_id", "anchor", (F.col("_l") / 20.0 + drifted).alias("level"))
+
+
+@query("forecast_scores", SCORES.format(by="target,", part="PARTITION BY target", src=TARGETS), f="mae rmse bias skill")
 def _(t):
-    return stats.forecast_scores(stats.complete_rows(preds(t)))
+    return stats.forecast_scores(stats.targets_of(stats.complete_rows(preds(t)), anchors(t), LAST_DRIFT), ["target"])
 
 
 @query("best_by_group", f"""SELECT cls, max(n) AS n, max(rmse) FILTER (predictor = 'flat_hold') AS model_rmse, max(skill) FILTER (predictor = 'flat_hold') AS model_skill, arg_min(predictor, (rmse, ord)) AS best
@@ -44,9 +59,29 @@ def spearman_sql(src: str, a: str, b: str, by: str = "", extra: str = "") -> str
             f"(SELECT *, {rank_sql(a, by)} AS ra, {rank_sql(b, by)} AS rb FROM ({src}) s) r {group}")
 
 
-@query("spearman", spearman_sql(B.PAIRS, "x", "y", "cls"), f="rho pearson")
+def integral_sql(f: str, top: str, n: int = 2000) -> str:
+    """Integral of ``f`` over ``@`` from 0 to ``top`` by Simpson's rule."""
+    at = f.replace("@", f"({top} * i / {n}.0)")
+    return f"((SELECT sum((CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({at})) FROM range({n + 1}) r(i)) * {top} / {3 * n}.0)"
+
+
+def normal_tail_sql(z: str) -> str:
+    return f"(0.5 - {integral_sql('exp(-@ * @ / 2) / sqrt(2 * pi())', z)})"
+
+
+def beta_sql(a: str, b: str) -> str:
+    return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}))"
+
+
+def correlation_p_sql(rho: str, n: str) -> str:
+    """Two-sided, from Student's distribution with n - 2 degrees; the root is taken out of 0."""
+    b = f"(({n} - 2) / 2.0)"
+    return f"(1 - {integral_sql(f'2 * pow(1 - @ * @, {b} - 1) * {beta_sql(str(0.5), b)}', f'abs({rho})')})"
+
+
+@query("spearman", f"SELECT *, {correlation_p_sql('rho', 'n')} AS p FROM ({spearman_sql(B.PAIRS, 'x', 'y', 'cls')}) s", f="rho pearson p")
 def _(t):
-    return stats.spearman(B.pairs(t), "x", "y", ["cls"])
+    return stats.spearman(B.pairs(t), "x", "y", ["cls"], with_p=True)
 
 
 ALL_PAIRS = f"SELECT x, y, c AS cls FROM (SELECT x, y, unnest([cls, 'ALL']) AS c FROM ({B.PAIRS}) p) q"
@@ -88,18 +123,25 @@ MWU = f"""SELECT n1, n2, u, (u - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * (n1 + n2
 (SELECT cls = '1-URGENT' AS g, {rank_sql('q')} AS rk, count(*) OVER (PARTITION BY q) AS k FROM ({B.PAIRS}) p) r) s) t"""
 
 
-@query("mann_whitney", MWU, f="n1 n2 u z")
+# The continuity correction moves U by half a rank.
+MWP = f"SELECT *, {normal_tail_sql('z * (u - n1 * n2 / 2.0 - 0.5) / (u - n1 * n2 / 2.0)')} AS p FROM ({MWU}) m"
+
+
+@query("mann_whitney", MWP, f="n1 n2 u z p")
 def _(t):
-    return stats.mann_whitney(B.pairs(t), "q", F.col("cls") == "1-URGENT", "greater").select("n1", "n2", "u", "z")
+    return stats.mann_whitney(B.pairs(t), "q", F.col("cls") == "1-URGENT", "greater")
 
 
 KW = f"""SELECT count(*) AS groups, sum(n)::BIGINT AS n, (12.0 / (sum(n) * (sum(n) + 1.0)) * sum(r * r / n) - 3 * (sum(n) + 1)) / (1 - max(ties) / (sum(n)::DOUBLE ** 3 - sum(n))) AS h FROM
 (SELECT cls, count(*) AS n, sum(rk) AS r, max(ties) AS ties FROM (SELECT *, sum(k * k - 1.0) OVER () AS ties FROM (SELECT cls, {rank_sql('q')} AS rk, count(*) OVER (PARTITION BY q) AS k FROM ({B.PAIRS}) p) a) b GROUP BY 1) c"""
 
 
-@query("kruskal", KW, f="h")
+KWP = f"SELECT *, 1 - {integral_sql('pow(@, (groups - 1) / 2.0 - 1) * exp(-@ / 2) / (pow(2, (groups - 1) / 2.0) * gamma((groups - 1) / 2.0))', 'h')} AS p FROM ({KW}) k"
+
+
+@query("kruskal", KWP, f="h p")
 def _(t):
-    return stats.kruskal(B.pairs(t), "q", "cls").select("groups", "n", "h")
+    return stats.kruskal(B.pairs(t), "q", "cls").select("groups", "n", "h", "p")
 
 
 ANOVA = f"""SELECT n, groups, bb / ty AS eta2_raw, be / te AS eta2_resid, (be / (groups - 1)) / ((te - be) / (n - groups)) AS f FROM
@@ -107,9 +149,13 @@ ANOVA = f"""SELECT n, groups, bb / ty AS eta2_raw, be / te AS eta2_resid, (be /
 (SELECT cls, y - avg(y) OVER () AS y0, y - avg(y) OVER () - (SELECT regr_slope(y, x) FROM ({B.PAIRS}) z) * (x - avg(x) OVER ()) AS e FROM ({B.PAIRS}) p) a GROUP BY 1) b) c"""
 
 
-@query("residual_anova", ANOVA, f="eta2_raw eta2_resid f")
+_A, _B = "((groups - 1) / 2.0)", "((n - groups) / 2.0)"
+ANOVAP = f"SELECT *, 1 - {integral_sql(f'pow(@, {_A} - 1) * pow(1 - @, {_B} - 1) * {beta_sql(_A, _B)}', '((groups - 1) * f / ((groups - 1) * f + n - groups))')} AS p FROM ({ANOVA}) a"
+
+
+@query("residual_anova", ANOVAP, f="eta2_raw eta2_resid f p")
 def _(t):
-    return stats.residual_anova(B.pairs(t), "y", "x", "cls").select("n", "groups", "eta2_raw", "eta2_resid", "f")
+    return stats.residual_anova(B.pairs(t), "y", "x", "cls").select("n", "groups", "eta2_raw", "eta2_resid", "f", "p")
 
 
 EDGES = f"SELECT query_id AS plot_id, donor_id, exp(-pow(distance / 1500, 2)) / sum(exp(-pow(distance / 1500, 2))) OVER (PARTITION BY query_id) AS w FROM ({NEIGHBOURS}) n"
