@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -81,6 +82,12 @@ class Tokens:
         return got
 
 
+@lru_cache(maxsize=2)
+def tokens_for(json_path: str, ranks_path: str | None, pattern: str | None) -> Tokens:
+    """The vocabulary and its remembered words, kept by a Python worker from task to task."""
+    return Tokens(json_path, ranks_path, pattern)
+
+
 def tokenised(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Stage table of (part, doc_id, queue, before, n, ids): a row per document in the order its
     task met it, with the tokens of its queue before it in that task."""
@@ -91,7 +98,7 @@ def tokenised(docs: DataFrame, json_path: str, ranks_path: str | None = None, pa
                        queue.alias("queue"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, sent = Tokens(json_path, ranks_path, pattern), {}
+        coder, sent = tokens_for(json_path, ranks_path, pattern), {}
         for frame in batches:
             before, n, ids = [], [], []
             for q, text in zip(frame["queue"], frame["text"]):
