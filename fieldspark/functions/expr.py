@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -119,10 +118,6 @@ def lookup(key: Column, table: Mapping[str, float], what: str) -> Column:
     ).otherwise(value)
 
 
-def round_to(x: Column, places: int = 4) -> Column:
-    return F.round(x, places)
-
-
 def spaced_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Equal-width bin number from 0; the last bin is closed; outside is null."""
     width = (hi - lo) / bins
@@ -132,16 +127,3 @@ def spaced_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
 
 def gaussian_weight(distance: Column, bandwidth: float) -> Column:
     return F.exp(-F.pow(distance / bandwidth, 2.0))
-
-
-def hypot(dx: Column, dy: Column) -> Column:
-    return F.sqrt(dx * dx + dy * dy)
-
-
-def p_text(p: Column) -> Column:
-    """P value as text, bounded where it underflows."""
-    return F.when(p <= 0, "< 1e-308 (underflows double precision)").otherwise(
-        F.format_string("= %.3g", p))
-
-
-PI = math.pi

@@ -60,6 +60,8 @@ def contingency(labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 def consensus_partition(labels: DataFrame, key: str = "plot_id") -> DataFrame:
     """The run that agrees best with all runs, with each plot's stability in it."""
     runs, pairs = contingency(labels, key)
+    # Staged, so that its real size decides how it meets the plots.
+    pairs = materialise(pairs)
     best = consensus(labels, key).agg(F.min_by("run", F.struct(-F.col("score"), F.col("run"))).alias("_best"))
     chosen = null_safe_join(labels, best, []).where(F.col("run") == F.col("_best"))
     mine = chosen.select(key, F.col("run").alias("run_a"), F.col("cluster").alias("a"))

@@ -28,7 +28,7 @@ def column_gate(df: DataFrame, expected: Sequence[str]) -> None:
     if list(df.columns) != list(expected):
         missing = sorted(set(expected) - set(df.columns))
         extra = sorted(set(df.columns) - set(expected))
-        raise GateError(f"columns must be {list(expected)}; missing={missing} extra={extra}")
+        raise GateError(f"wrong columns: without {missing}, with {extra} too many, or out of order")
 
 
 def schema_gate(df: DataFrame, key: str, solid: Sequence[str], category: str,

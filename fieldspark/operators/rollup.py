@@ -119,10 +119,6 @@ def histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int) -> Da
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-
-
 def season_anomaly(daily: DataFrame, year: int, baseline: tuple[int, int],
                    months: Sequence[int] = (6, 7, 8, 9, 10, 11)) -> DataFrame:
     """Season total of one year against the mean, sd and median of the baseline years."""

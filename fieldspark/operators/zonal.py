@@ -72,12 +72,12 @@ def block_mean(cells: DataFrame, factor: int, by: Sequence[str] = ("pass",),
 
 def covalid(cells: DataFrame, passes: int) -> DataFrame:
     """(r, c) of cells measured on every pass."""
-    return (measured(cells).groupBy("r", "c").agg(F.count_distinct("pass").alias("_n"))
+    return (measured(cells).groupBy("r", "c").agg(F.size(F.collect_set("pass")).alias("_n"))
             .where(F.col("_n") == passes).select("r", "c"))
 
 
 def covalid_share(cells: DataFrame, passes: int) -> DataFrame:
-    per = measured(cells).groupBy("r", "c").agg(F.count_distinct("pass").alias("_n"))
+    per = measured(cells).groupBy("r", "c").agg(F.size(F.collect_set("pass")).alias("_n"))
     return per.agg(F.count_if(F.col("_n") == passes).alias("covalid_cells"),
                    F.count(F.lit(1)).alias("all_cells"),
                    (F.count_if(F.col("_n") == passes) / F.count(F.lit(1))).alias("covalid_share"))
@@ -169,7 +169,7 @@ def scene_drift(cells: DataFrame, labels: DataFrame, offsets: DataFrame, level_p
                .withColumn("value", F.col("value") * from_db(F.coalesce("applied", F.lit(0.0)))))
     p = F.col("pass")
     per_cell = shifted.groupBy("r", "c").agg(
-        F.count_distinct("pass").alias("_n"),
+        F.size(F.collect_set("pass")).alias("_n"),
         F.min(F.when(p.isin(*level_passes), F.col("value"))).alias("low"),
         *[F.max(F.when(p == x, F.col("value"))).alias(f"v{i}") for i, x in enumerate(level_passes)])
     ground = materialise(per_cell.where(F.col("_n") == passes)

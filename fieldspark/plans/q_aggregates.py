@@ -53,7 +53,7 @@ AND pass <> 1999 GROUP BY 1) z"""
 
 
 def scene_drift(t):
-    offsets = t.lineitem.where("year(l_shipdate) = 1997").select(F.lit(1997).cast("long").alias("pass")).distinct().withColumn(
+    offsets = t.lineitem.where("l_shipdate >= '1997-01-01' and l_shipdate < '1998-01-01'").select(F.lit(1997).cast("long").alias("pass")).distinct().withColumn(
         "applied", F.lit(0.05))
     level = [p for p in B.PASSES if p != 1999]
     return zonal.scene_drift(B.grid(t), B.grid_labels(t), offsets, level, 7, 1995)

@@ -71,11 +71,6 @@ def write_stage(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_shipped(df: DataFrame, path: str) -> None:
-    """A shipped table: CSV with header, in the order of the frame."""
-    df.write.mode("overwrite").csv(path, header=True)
-
-
 def append_window(df: DataFrame, path: str, columns: Sequence[str] = ("window",)) -> None:
     """Write one window's rows and leave the partitions of other windows alone."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
