@@ -4,8 +4,9 @@ A word that is known scores its log frequency in each language. A word that is n
 character n-grams, the longest first, and to shorter ones where too few of those are known. The sum
 over the words of a text decides.
 
-The model is a classifier of bounded size: the ``WORDS`` most frequent words, and n-grams of the
-``SPELLED`` most frequent ones. Word counts cover every training text.
+The model is a classifier of bounded size: the ``WORDS`` most frequent words, and of each length
+the ``GRAMS`` most frequent n-grams of the ``SPELLED`` most frequent words,
+counted over about ``FIT_ROWS`` training texts at most.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from fieldspark.llm.common import add_by_text
 from fieldspark.sources.stage import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
-WORDS, SPELLED, LANGUAGES = 50_000, 100_000, 256
+WORDS, SPELLED, GRAMS, LANGUAGES = 100_000, 100_000, 60_000, 256
 LONGEST = 5         # n-grams from this length down to one character
 FOUND = 0.5         # share of a word's n-grams that must be known at a length
 SMOOTHING = 0.1
-FLUSH, CACHE = 200_000, 100_000
+FLUSH, CHUNK, CACHE, CACHE_NUMBERS = 200_000, 20_000, 300_000, 20_000_000
+FIT_ROWS = 40_000   # texts that the model is fitted on, about; chosen by a hash
 
 
 def words(text: str | None) -> list[str]:
@@ -61,69 +63,91 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies per language: ``known`` by word, ``parts`` by n-gram."""
+    """Log frequencies per language: rows of ``logs``, found by word in ``known`` and by n-gram in
+    ``parts``."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, known: dict[str, np.ndarray], parts: dict[str, np.ndarray]):
-        self.langs, self.prior, self.known, self.parts = langs, prior, known, parts
+    def __init__(self, langs: list[str], prior: np.ndarray, known: dict[str, int], parts: dict[str, int], logs: np.ndarray):
+        self.langs, self.prior, self.known, self.parts, self.logs = langs, prior, known, parts, logs
+        self.rows: Rows | None = None   # made by each task for itself
 
     def vector(self, word: str) -> np.ndarray | None:
         """Log likelihoods of one word, by the longest n-grams of which enough are known."""
         got = self.known.get(word)
         if got is not None:
-            return got
+            return self.logs[got]
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             all_ = grams(word, n)
             hits = [v for v in map(self.parts.get, all_) if v is not None]
             if hits and len(hits) >= FOUND * len(all_):
-                return np.mean(hits, axis=0)
+                return self.logs[hits].sum(0) / len(hits)
         return None
 
-    def predictor(self):
-        """A function from texts to predicted languages and scores, with its own cache of words."""
-        cache: dict[str, np.ndarray] = {}
-        zero = np.zeros(len(self.langs))
-
-        def vector(w: str) -> np.ndarray:
-            got = cache.get(w)
-            if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                got = self.vector(w)
-                cache[w] = got = zero if got is None else got
-            return got
-
-        def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
-            langs, scores = [], []
-            for text in texts:
-                found = words(text)
-                if not found or not self.langs:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                total = self.prior.copy()
-                for i in range(0, len(found), FLUSH):
-                    total += np.sum([vector(w) for w in found[i:i + FLUSH]], axis=0)
-                best = int(np.argmax(total))
-                langs.append(self.langs[best])
-                scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            return langs, scores
-
-        return predict
-
-
-def train(samples: DataFrame) -> Model:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and scores. Words are looked up once: ``rows`` remembers where each one's log
+        likelihoods stand."""
+        if self.rows is None:
+            self.rows = Rows(self)
+        rows, langs, scores = self.rows, [], []
+        for text in texts:
+            found = words(text)
+            if not found or not self.langs:
+                langs.append("und")
+                scores.append(0.0)
+                continue
+            total = self.prior.copy()
+            for i in range(0, len(found), CHUNK):
+                total += rows.sum(found[i:i + CHUNK])
+            best = int(np.argmax(total))
+            langs.append(self.langs[best])
+            scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
+        return langs, scores
+
+
+class Rows(dict):
+    """Places of words in ``table``; a word met for the first time is worked out and added."""
+
+    def __init__(self, model: Model):
+        self.model, self.base = model, len(model.known)
+        self.most = max(CHUNK, min(CACHE, CACHE_NUMBERS // max(len(model.langs), 1)))
+        self.table = np.zeros((self.base + self.most + CHUNK + 1, len(model.langs)))
+        self.table[:self.base] = model.logs[:self.base]
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.update(self.model.known)
+        self.used = self.base
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = self.used
+        got = self.model.vector(word)
+        self.table[at] = 0.0 if got is None else got
+        self.used += 1
+        return at
+
+    def sum(self, found: list[str]) -> np.ndarray:
+        if self.used > self.base + self.most:
+            self.reset()
+        return self.table[np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))].sum(0)
+
+
+def train(samples: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on ``samples`` (text, lang); rows without language or text teach nothing.
 
-    Ties in frequency are broken by spelling, so the model depends on the rows alone.
+    Beyond ``fit_rows`` texts a sample of about as many is taken, by a hash of the text, so that
+    copies of a text are taken together or not at all. Ties in frequency are broken by spelling, so the model depends on the rows alone.
     """
     rows = samples.select("lang", "text").where("lang is not null and text is not null")
+    share = min(1.0, fit_rows / max(rows.count(), 1))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     counts = materialise(rows.mapInPandas(count_words, "lang string, word string, n long")
                          .groupBy("word", "lang").agg(F.sum("n").alias("n")))
     docs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     langs = sorted(r["lang"] for r in docs)
     at = {x: i for i, x in enumerate(langs)}
     if not langs:
-        return Model([], np.zeros(0), {}, {})
+        return Model([], np.zeros(0), {}, {}, np.zeros((0, 0)))
     n_docs = np.zeros(len(langs))
     for r in docs:
         n_docs[at[r["lang"]]] = r["count"]
@@ -148,30 +172,32 @@ def train(samples: DataFrame) -> Model:
         if r["lang"] in at:
             whole[at[r["lang"]]] = r["n"]
     order = [r["word"] for r in top]
+    counts_of = np.array([table[w] for w in order]).reshape(len(order), len(langs))
     room = SMOOTHING * max(len(order), 1)
-    known = {w: np.log((table[w] + SMOOTHING) / (whole + room)) for w in order[:WORDS]}
-    parts: dict[str, np.ndarray] = {}
+    known = {w: i for i, w in enumerate(order[:WORDS])}
+    logs = [np.log((counts_of[:WORDS] + SMOOTHING) / (whole + room))]
+    parts: dict[str, int] = {}
+    at_row = len(known)
     for n in range(1, LONGEST + 1):
-        sums: dict[str, np.ndarray] = {}
-        for w in order:
-            c = np.log1p(table[w])
+        seen: dict[str, int] = {}
+        place, word = [], []
+        for i, w in enumerate(order):
             for g in grams(w, n):
-                if g in sums:
-                    sums[g] = sums[g] + c
-                else:
-                    sums[g] = c
-        total = np.sum(list(sums.values()), axis=0) if sums else whole
-        parts |= {g: np.log((v + SMOOTHING) / (total + SMOOTHING * len(sums))) for g, v in sums.items()}
-    return Model(langs, np.log((n_docs + 1) / (n_docs.sum() + len(langs))), known, parts)
+                place.append(seen.setdefault(g, len(seen)))
+                word.append(i)
+        if not seen:
+            continue
+        sums = np.zeros((len(seen), len(langs)))
+        np.add.at(sums, np.array(place), np.log1p(counts_of)[np.array(word)])
+        # The most frequent ones; ties keep the order of the words they come from.
+        best = np.argsort(-sums.sum(1), kind="stable")[:GRAMS]
+        names = list(seen)
+        parts.update({names[j]: at_row + k for k, j in enumerate(best)})
+        logs.append(np.log((sums[best] + SMOOTHING) / (sums.sum(0) + SMOOTHING * len(seen))))
+        at_row += len(best)
+    return Model(langs, np.log((n_docs + 1) / (n_docs.sum() + len(langs))), known, parts, np.concatenate(logs))
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for every row; ``und`` where the text is null or has no letter."""
-    made = []
-
-    def work(texts):
-        if not made:
-            made.append(model.predictor())
-        return made[0](texts)
-
-    return add_by_text(docs, key, text, work, "lang_pred string, score double")
+    return add_by_text(docs, key, text, model.predict, "lang_pred string, score double")
