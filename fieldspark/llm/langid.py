@@ -4,9 +4,10 @@ A word that is known scores its log frequency in each language. A word that is n
 character n-grams, the longest first, and to shorter ones where too few of those are known. The sum
 over the words of a text decides.
 
-The model is a classifier of bounded size: the ``WORDS`` most frequent words, and of each length
-the ``GRAMS`` most frequent n-grams of the ``SPELLED`` most frequent words,
-counted over about ``FIT_ROWS`` training texts at most.
+Word counts cover every training text. What is bounded is the table kept of them: the ``SPELLED``
+most frequent words of all, the most frequent ones of each language (``SPELLED`` over the number of
+languages, about), so that a small language has words too, and of each length the ``GRAMS`` most
+frequent n-grams of these words.
 """
 
 from __future__ import annotations
@@ -17,19 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import add_by_text
 from fieldspark.sources.stage import materialise
 
 WORD = re.compile(r"[^\W\d_]+")
-WORDS, SPELLED, GRAMS, LANGUAGES = 100_000, 100_000, 60_000, 256
+SPELLED, GRAMS, LANGUAGES = 100_000, 60_000, 256
 LONGEST = 5         # n-grams from this length down to one character
 FOUND = 0.5         # share of a word's n-grams that must be known at a length
 SMOOTHING = 0.1
 FLUSH, CHUNK, CACHE, CACHE_NUMBERS = 200_000, 20_000, 300_000, 20_000_000
-FIT_ROWS = 40_000   # texts that the model is fitted on, about; chosen by a hash
+STEPS = 8           # levels of frequency per doubling, by which a language's own words are chosen
 
 
 def words(text: str | None) -> list[str]:
@@ -131,16 +132,34 @@ class Rows(dict):
         return self.table[np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))].sum(0)
 
 
-def train(samples: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def own_words(counts: DataFrame, langs: list[str], most: int) -> Column:
+    """Whether a row of ``counts`` (word, lang, n) is among about the ``most`` most frequent words
+    of its language. Words of the level of frequency that is cut are chosen by a hash."""
+    level = F.floor(F.log2("n") * STEPS).cast("long")
+    by = defaultdict(list)
+    for r in counts.groupBy("lang", level.alias("level")).count().orderBy("lang", F.desc("level")).collect():
+        by[r["lang"]].append((r["level"], r["count"]))
+    pairs = []
+    for lang in langs:
+        left, least, share = most, 0, 1.0
+        for at, n in by[lang]:
+            least, share = at, min(1.0, left / n)
+            left -= n
+            if left <= 0:
+                break
+        pairs += [F.lit(lang), F.struct(F.lit(least).cast("long").alias("least"), F.lit(share).alias("share"))]
+    cut = F.create_map(*pairs)[F.col("lang")]
+    place = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) / float(1 << 20)
+    return F.coalesce((level > cut["least"]) | ((level == cut["least"]) & (place < cut["share"])), F.lit(False))
+
+
+def train(samples: DataFrame) -> Model:
     """Fit on ``samples`` (text, lang); rows without language or text teach nothing.
 
-    Beyond ``fit_rows`` texts a sample of about as many is taken, by a hash of the text, so that
-    copies of a text are taken together or not at all. Ties in frequency are broken by spelling, so the model depends on the rows alone.
+    Every row is counted. Ties in frequency are broken by spelling, so the model depends on the
+    rows alone.
     """
     rows = samples.select("lang", "text").where("lang is not null and text is not null")
-    share = min(1.0, fit_rows / max(rows.count(), 1))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     counts = materialise(rows.mapInPandas(count_words, "lang string, word string, n long")
                          .groupBy("word", "lang").agg(F.sum("n").alias("n")))
     docs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
@@ -151,22 +170,24 @@ def train(samples: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     n_docs = np.zeros(len(langs))
     for r in docs:
         n_docs[at[r["lang"]]] = r["count"]
-    # Bounded by parameter: WORDS or SPELLED words, one array of counts each.
-    each = F.array(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs]) if len(langs) <= 16 else None
-    if each is not None:
-        top = counts.groupBy("word").agg(F.sum("n").alias("n"), each.alias("by")) \
-            .orderBy(F.desc("n"), "word").limit(SPELLED).collect()
-        table = {r["word"]: np.array(r["by"], dtype=float) for r in top}
-    else:
-        top = counts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")) \
-            .orderBy(F.desc("n"), "word").limit(SPELLED).collect()
-        table = {}
-        for r in top:
-            v = np.zeros(len(langs))
-            for x in r["by"]:
-                if x["lang"] in at:
-                    v[at[x["lang"]]] = x["n"]
-            table[r["word"]] = v
+    # Bounded by parameter: at most about twice SPELLED words, one array of counts each.
+    by = F.collect_list(F.struct("lang", "n")) if len(langs) > 16 else F.array(*[
+        F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs])
+    each = counts.withColumn("own", own_words(counts, langs, SPELLED // len(langs))).groupBy("word").agg(
+        F.sum("n").alias("n"), by.alias("by"), F.max("own").alias("own"))
+    top = each.orderBy(F.desc("n"), "word").limit(SPELLED).collect()
+    most = {r["word"] for r in top}
+    if len(top) == SPELLED:
+        top += sorted((r for r in each.where("own").collect() if r["word"] not in most), key=lambda r: (-r["n"], r["word"]))
+    table = {}
+    for r in top:
+        if len(langs) <= 16:
+            table[r["word"]] = np.array(r["by"], dtype=float)
+            continue
+        v = table[r["word"]] = np.zeros(len(langs))
+        for x in r["by"]:
+            if x["lang"] in at:
+                v[at[x["lang"]]] = x["n"]
     whole = np.zeros(len(langs))
     for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
         if r["lang"] in at:
@@ -174,8 +195,8 @@ def train(samples: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     order = [r["word"] for r in top]
     counts_of = np.array([table[w] for w in order]).reshape(len(order), len(langs))
     room = SMOOTHING * max(len(order), 1)
-    known = {w: i for i, w in enumerate(order[:WORDS])}
-    logs = [np.log((counts_of[:WORDS] + SMOOTHING) / (whole + room))]
+    known = {w: i for i, w in enumerate(order)}
+    logs = [np.log((counts_of + SMOOTHING) / (whole + room))]
     parts: dict[str, int] = {}
     at_row = len(known)
     for n in range(1, LONGEST + 1):

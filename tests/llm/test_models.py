@@ -276,6 +276,26 @@ def test_unseen_words_fall_back_to_ngrams(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify(frame, model).collect()} == {1: "en", 2: "fr"}
 
 
+def test_a_language_of_few_copied_texts_is_learned(spark):
+    """Rows of 20 small languages, each five copies of one text, among 60,000 others."""
+    large = spark.range(60_000).selectExpr("if(id % 2 = 0, 'en', 'fr') AS lang", "concat_ws(' ', transform(sequence(0, 7), "
+                                           "i -> translate(concat(if(id % 2 = 0, 'k', 'm'), (id * 31 + i * 7) % 997), '0123456789', 'abcdefghij'))) AS text")
+    letters = "nopqrstuvwxyzåäöøæßñçé"
+    small = [(f"l{i}", " ".join(letters[i] * 2 + letters[(i + j) % 20] for j in range(6))) for i in range(20)]
+    few = spark.createDataFrame(small * 5, "lang string, text string")
+    model = langid.train(large.union(few))
+    assert model.langs == sorted(["en", "fr", *(x for x, _ in small)])
+    assert model.predict([t for _, t in small])[0] == [x for x, _ in small]
+
+
+def test_a_small_language_has_words_of_its_own_in_a_full_table(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SPELLED", 40)
+    rows = [("en", " ".join(f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(100)))] * 50
+    rows += [("is", "það er ekki hægt")] * 2
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert {"það", "er", "ekki", "hægt"} <= model.known.keys() and len(model.known) <= 80
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(2)
     plain = [f"word{i}" for i in range(300)]
