@@ -6,8 +6,9 @@ their votes alone how accurate each one is and which of them say the same thing,
 annotators' labels as one more voter, and gives every training text a posterior. A linear
 classifier on the votes is trained on those posteriors and scores every text.
 
-Lexicon and prefixes are mined from labelled rows. The classifier is fitted on a sample of labelled
-rows of at most about ``FIT_ROWS``; counts of words and scores cover all rows.
+Lexicon and prefixes are mined from counts over all labelled rows. The label model and the
+classifier are fitted on at most about ``FIT_ROWS`` of them, drawn per class, toxic rows first, and
+weighted so that each class stands for all its rows; scores cover all rows.
 """
 
 from __future__ import annotations
@@ -172,10 +173,7 @@ def train(samples: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if not n1 or not n0:
         votes = Votes([])
         return Model(votes, np.array([4.0] * len(votes.names) + [-3.0]))
-    share = min(1.0, fit_rows / (n1 + n0))
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(place < share)
-    counts = materialise(sample.mapInPandas(count_keys, "key string, toxic long, clean long")
+    counts = materialise(rows.mapInPandas(count_keys, "key string, toxic long, clean long")
                          .groupBy("key").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
                          .where(F.col("t") >= LEAST_ROWS))
     ratio = n1 / n0
@@ -198,9 +196,22 @@ def train(samples: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         for frame in batches:
             yield pd.DataFrame({"toxic": frame["toxic"], "on": [votes.of(t) for t in frame["text"]]})
 
-    got = sample.select("toxic", "text").mapInPandas(fired, "toxic int, on array<int>").groupBy("toxic", "on").count().collect()
-    # Rows with equal votes and label are one row with a count; the sample bounds their number.
-    n = np.array([r["count"] for r in got], dtype=float)
+    def votes_of(some: DataFrame) -> list:
+        """Rows with equal votes and label are one row with a count."""
+        return some.select("toxic", "text").mapInPandas(fired, "toxic int, on array<int>").groupBy("toxic", "on").count().collect()
+
+    # Half of the rows at least are the toxic ones', or all of those where they are fewer.
+    k1 = min(n1, max(fit_rows // 2, fit_rows - n0))
+    share = {1: k1 / n1, 0: min(1.0, (fit_rows - k1) / n0)}
+    place = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) / float(1 << 20)
+    got = votes_of(rows.where(F.when(F.col("toxic") == 1, place < share[1]).otherwise(place < share[0])))
+    for kind in (0, 1):
+        if all(r["toxic"] != kind for r in got):    # a few texts copied many times, none of them drawn
+            got += votes_of(rows.where(F.col("toxic") == kind))
+    drawn = Counter()
+    for r in got:
+        drawn[r["toxic"]] += r["count"]
+    n = np.array([r["count"] * (sizes[r["toxic"]] / drawn[r["toxic"]]) for r in got])
     hits = np.zeros((len(got), len(votes.names)))
     for i, r in enumerate(got):
         hits[i, r["on"]] = 1.0

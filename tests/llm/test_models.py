@@ -315,6 +315,16 @@ def test_toxicity(spark):
     assert kept.columns == frame.columns and kept.where("truth = 0").count() >= 0.99 * 1000
 
 
+def test_rare_toxic_words_are_mined_from_all_rows(spark):
+    """60,000 clean rows and 9 toxic ones: three for each of three words."""
+    clean = spark.range(60_000).selectExpr("id AS key", "concat('plain text ', translate(id % 97, '0123456789', 'abcdefghij')) AS text", "0 AS toxic")
+    toxic = spark.createDataFrame([(100_000 + i, f"plain text {w}", 1) for i, w in enumerate(("zorble", "grubvek", "quaxit") * 3)], "key long, text string, toxic int")
+    model = toxicity.train(clean.union(toxic))
+    assert all(model.votes.of(w) for w in ("zorble", "grubvek", "quaxit"))
+    assert all(model.score(f"plain text {w}") >= 0.5 for w in ("zorble", "grubvek", "quaxit"))
+    assert model.score("plain text b") < 0.5
+
+
 def test_toxicity_of_odd_rows(odd):
     labels = odd.selectExpr("doc_id AS key", "text", "cast(null AS int) AS toxic")
     model = toxicity.train(labels)
