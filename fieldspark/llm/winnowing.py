@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in column functions only.
 
-A text is cut into words (runs of other than white space; a longer run is cut into pieces of
-``PIECE`` code points). Every ``k`` consecutive words give a hash that rolls on word by word, every
+A text is cut into words (runs of other than white space). A run of over ``PIECE`` code points, as
+in scripts without spaces or encoded data, counts as its overlapping pieces of ``ROLL`` code points,
+one from each code point on, so that where a passage stands in its run does not matter. Every ``k`` consecutive words give a hash that rolls on word by word, every
 ``w`` consecutive hashes give a window, and of each window the smallest hash is kept, the rightmost
 on ties, with its position. So any passage of ``w + k - 1`` equal words that two texts share leaves
-a common hash in both fingerprints. A text of fewer than ``k`` words is one gram, one of fewer than
+a common hash in both fingerprints; inside long runs that holds for any ``ROLL + w + k - 2`` equal
+code points. A text of fewer than ``k`` words is one gram, one of fewer than
 ``w`` grams one window; a null or blank text has an empty fingerprint.
 """
 
@@ -18,7 +20,7 @@ from fieldspark.operators.ordered import null_safe_join
 from fieldspark.sources.stage import materialise
 
 K, W = 5, 4
-PIECE = 64
+PIECE, ROLL = 64, 8
 # A window's minimum is taken over hash and position in one number: 40 bits and 23 bits.
 HASH_BITS, PLACE_BITS = 40, 23
 BUCKET_ROWS, MOST_BUCKETS = 256, 40_000
@@ -30,7 +32,10 @@ def fingerprint(text: str, k: int = K, w: int = W) -> str:
     Texts of over 2^23 words wrap their positions, which costs ties their order and nothing else.
     """
     last = (1 << PLACE_BITS) - 1
-    words = f"filter(regexp_extract_all({text}, r'\\S{{1,{PIECE}}}', 0), x -> x <> '')"
+    words = f"transform(filter(regexp_extract_all({text}, r'\\S+', 0), x -> x <> ''), x -> xxhash64(x))"
+    rolled = (f"flatten(transform(filter(regexp_extract_all({text}, r'\\S+', 0), x -> x <> ''), x -> if(length(x) <= {PIECE}, array(xxhash64(x)), "
+              f"transform(regexp_extract_all(x, r'(?=(\\S{{{ROLL}}}))\\S', 1), y -> xxhash64(y)))))")
+    words = f"if({text} RLIKE r'(?<!\\S)\\S{{{PIECE + 1}}}', {rolled}, {words})"
     grams = ("if(size(h) < {k}, if(size(h) = 0, cast(array() as array<bigint>), array(xxhash64(h))), "
              "transform(sequence(0, size(h) - {k}), i -> xxhash64({at})))").format(
                  k=k, at=", ".join(f"h[i + {j}]" for j in range(k)))
@@ -38,7 +43,7 @@ def fingerprint(text: str, k: int = K, w: int = W) -> str:
     least = "least(" + ", ".join(f"c[i + {j}]" for j in range(w)) + ")" if w > 1 else "c[i]"
     windows = (f"if(size(c) <= {w}, if(size(c) = 0, c, array(array_min(c))), "
                f"array_distinct(transform(sequence(0, size(c) - {w}), i -> {least})))")
-    return bind(f"transform({words}, x -> xxhash64(x))",
+    return bind(words,
                 "h -> " + bind(grams, "g -> " + bind(coded, f"c -> {windows}")))
 
 

@@ -140,6 +140,18 @@ def test_a_shared_passage_leaves_a_common_mark(spark):
     assert a & b
 
 
+def test_a_shifted_passage_without_spaces_leaves_a_common_mark(spark):
+    def run(first, n):
+        return "".join(chr(first + i * 37 % 5000) for i in range(n))
+
+    passage = run(0x4E00, winnowing.ROLL + winnowing.K + winnowing.W - 2)
+    wide = "".join(chr(0x20000 + i) for i in range(15))
+    for shared in (passage, wide, run(0x4E00, 700)):
+        frame = spark.createDataFrame([(run(0x7000, 70) + shared + run(0x8000, 50),), ("x " + run(0x7800, 81) + shared + "y z",)], "text string")
+        a, b = [set(r[0]) for r in frame.selectExpr(winnowing.hashes(winnowing.fingerprint("text"))).collect()]
+        assert a & b
+
+
 def test_rules():
     assert urls.RULES[0] == ("com", "/", "allow")
 
