@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.operators.ordered import null_safe_join
@@ -30,7 +30,7 @@ from fieldspark.sources.stage import materialise
 
 LENGTH = 1024
 WINDOW = 64         # sequences per window
-QUEUES = 1024       # sources beyond that many share queues by hash
+QUEUES = 1024       # of more sources than that the small ones share queues by hash
 CACHE = 300_000     # words that a task remembers the ids of
 END = 0             # id that closes a document
 SPECIAL = "<|endoftext|>"
@@ -88,12 +88,31 @@ def tokens_for(json_path: str, ranks_path: str | None, pattern: str | None) -> T
     return Tokens(json_path, ranks_path, pattern)
 
 
-def tokenised(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def queues(docs: DataFrame, weights: Mapping[str, float] | None = None) -> Column:
+    """The queue of each row: ``s`` and its source, or ``q`` and a number.
+
+    A source with a weight always has a queue of its own. Without weights, half of ``QUEUES`` go to
+    the largest sources where there are more sources than queues, and the rest share the others by
+    hash. With weights only sources that come last share queues.
+    """
+    source = F.coalesce("source", F.lit(""))
+    own = F.concat(F.lit("s"), source)
+    if docs.select(source).distinct().limit(QUEUES + 1).count() <= QUEUES:
+        return own
+    if weights:
+        alone = [s for s, w in weights.items() if w > 0]
+    else:
+        size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
+        alone = [r["s"] for r in docs.groupBy(source.alias("s")).agg(size.alias("n")).orderBy(F.desc("n"), "s").limit(QUEUES // 2).collect()]
+    shared = F.concat(F.lit("q"), F.pmod(F.xxhash64(source), F.lit(max(QUEUES // 2, 1))).cast("string"))
+    return F.when(source.isin(alone), own).otherwise(shared)
+
+
+def tokenised(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern: str | None = None,
+              weights: Mapping[str, float] | None = None) -> DataFrame:
     """Stage table of (part, doc_id, queue, before, n, ids): a row per document in the order its
     task met it, with the tokens of its queue before it in that task."""
-    few = docs.select("source").distinct().limit(QUEUES + 1).count() <= QUEUES
-    queue = F.coalesce("source", F.lit("")) if few else F.concat(
-        F.lit("queue "), F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string"))
+    queue = queues(docs, weights)
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"),
                        queue.alias("queue"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -188,13 +207,13 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
     source is a queue of its own, repeated rows are packed each.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    staged = tokenised(docs, json_path, ranks_path, pattern)
+    staged = tokenised(docs, json_path, ranks_path, pattern, weights)
     held = materialise(staged.groupBy("queue", "part").agg(F.sum("n").alias("held")))
     # One row per task and queue, whatever the number of documents.
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select("queue", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     totals = {r["queue"]: r["n"] for r in held.groupBy("queue").agg(F.sum("held").alias("n")).collect()}
-    rounds = Rounds(totals, weights, window * length)
+    rounds = Rounds(totals, {f"s{s}": w for s, w in weights.items()} if weights else None, window * length)
     rows = null_safe_join(staged, materialise(offsets), ["queue", "part"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 

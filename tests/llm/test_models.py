@@ -239,6 +239,25 @@ def test_packing_to_given_weights(spark, coder):
     assert first["src6"] == pytest.approx(2 * first["src8"], abs=20)
 
 
+def test_packing_keeps_weights_and_large_sources_beyond_the_queues(spark, coder, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 4)
+    rows = [(i, f"small{i % 40}", "one two three") for i in range(200)]
+    rows += [(1000 + i, "a", "four five six seven " * 5) for i in range(100)] + [(2000 + i, "b", "eight nine ten " * 5) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    first = Counter()
+    for r in check_pack(frame, coder, length=64, window=4, weights={"a": 2.0, "b": 1.0}):
+        if r.sequence_id < 12:
+            first[r.doc_id // 1000] += r.length
+    assert first[0] == 0 and first[1] == pytest.approx(2 * first[2], abs=20)
+    total, window = Counter(), defaultdict(Counter)
+    for r in check_pack(frame, coder, length=64, window=4):
+        total[r.doc_id // 1000] += r.length
+        window[r.sequence_id // 4][r.doc_id // 1000] += r.length
+    for k in range(max(window)):
+        for s in (1, 2):
+            assert abs(window[k][s] - 256 * total[s] / sum(total.values())) <= 8
+
+
 def test_packing_of_odd_rows(odd, coder):
     check_pack(odd, coder, length=64, window=2)
     assert packing.pack(odd.limit(0), *coder).count() == 0
