@@ -122,16 +122,24 @@ def find_secrets(docs: DataFrame, text: str, model: DataFrame, out: str = "secre
     """``docs`` with the array ``out`` of (start, kind, end) ordered by start and kind.
 
     Kinds 0 to 2 are the base rules, 3 the Markov models' own finds, which never overlap a base
-    span. A null text counts as empty. Other columns pass through, whatever their names.
+    span: a run is cut at those, and every piece of ``least`` characters is scored. A null text counts as empty. Other columns pass through, whatever their names.
     """
     kept = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(docs.columns)]
     at = docs.columns.index(text)
     rows = docs.select(*kept).withColumn("text", F.coalesce(f"_k{at}", F.lit("")))
     run = RUN % least
     rows = rows.withColumn("_base", F.expr(BASE)).withColumn("_runs", F.expr(spans(3, run, 0, 0)))
+    # Where base spans overlap a run, its pieces start at the run's start or at a span's end, and end
+    # at the next span's start or the run's end.
+    over = "filter(_base, b -> r.start < b.end AND b.start < r.end)"
+    pieces = bind(over, "o -> if(size(o) = 0, array(r), filter(transform("
+                  "filter(array_distinct(concat(array(r.start), transform(o, b -> b.end))), x -> x >= r.start AND x < r.end AND NOT exists(o, b -> b.start <= x AND x < b.end)), "
+                  "x -> struct(x AS start, 3 AS kind, aggregate(o, r.end, (e, b) -> if(b.start > x, least(e, b.start), e)) AS end)), "
+                  f"p -> p.end - p.start >= {least}))")
+    rows = rows.withColumn("_runs", F.expr(f"flatten(transform(_runs, r -> {pieces}))"))
     joined = null_safe_join(rows, model, [])
     score = (f"aggregate({steps('substring(text, cast(r.start + 1 as int), cast(r.end - r.start as int))')}, 0D, (a, t) -> a + ratio[t])")
-    own = F.expr(f"filter(_runs, r -> NOT exists(_base, b -> r.start < b.end AND b.start < r.end) AND {score} >= {threshold}D)")
+    own = F.expr(f"filter(_runs, r -> {score} >= {threshold}D)")
     none = F.size("_runs") == 0
     found = F.sort_array(F.when(none, F.col("_base")).otherwise(F.concat("_base", own)))
     return joined.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)], found.alias(out))

@@ -8,6 +8,7 @@ import zlib  # noqa: F401
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fieldspark.llm import mixing, secrets, urls, winnowing
 from fieldspark.llm.queries import QUERIES
@@ -65,6 +66,19 @@ def test_markov_tells_random_from_ordinary(spark):
     assert out[0].secrets[0].start == 6 and out[0].secrets[0].end == 30
 
 
+def test_what_a_base_span_leaves_of_a_run_is_scored(spark):
+    words = [("internationalization_of_things", False), ("configuration-management-tools", False)] * 5
+    model = secrets.train(spark.createDataFrame(words, "run string, random boolean").union(secrets.generated(spark)))
+    key = "Zq8XvT2mPk0RbW7uYhJ4sLd9XnQ3wGt6Kc5MzVy1"
+    code = "0123456789abcdef01234567"
+    rows = [(1, f"sk-{code}_{key} end"), (2, f"{key}_{code}_{key}"), (3, f"{code}_configuration-management-tools"), (4, f"{code}_Zq8XvT2mPk")]
+    out = secrets.find_secrets(spark.createDataFrame(rows, "id int, text string"), "text", model)
+    got = {r.id: r for r in out.select("id", F.expr("transform(secrets, s -> s.kind)").alias("kinds"),
+                                       F.expr(secrets.redacted("text", "secrets")).alias("new")).collect()}
+    assert [got[i].kinds for i in (1, 2, 3, 4)] == [[2, 3], [3, 2, 3], [2], [2]]
+    assert all("Zq8" not in got[i].new and "MzVy1" not in got[i].new for i in (1, 2))
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([("é token=\"0123456789abcdef01234567\" b",), ("clean",)], "text string")
     found = secrets.find_secrets(rows, "text", secrets.train(secrets.generated(spark)))
