@@ -308,7 +308,7 @@ def test_one_broken_row_is_found(spark, column, value, name):
 def test_missing_row_and_wrong_columns(spark):
     with pytest.raises(gates.GateError, match="row_count_off=1"):
         gates.require(gate(shipped(spark).where("plot_id <> 5")))
-    with pytest.raises(gates.GateError, match=r"missing=\['b'\] extra=\['c'\]"):
+    with pytest.raises(gates.GateError, match=r"without \['b'\], with \['c'\]"):
         gates.column_gate(spark.createDataFrame([(1, 2)], "a int, c int"), ["a", "b"])
 
 
