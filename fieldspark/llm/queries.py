@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import cover_tree, langid, mixing, ngram_join, ngram_lm, oracle, packing, secrets, toxicity, urls, winnowing
+from fieldspark.llm import cover_tree, langid, mixing, ngram_join, ngram_lm, oracle, packing, quality_rules, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
     return ngram_join.linked(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@register("op13_quality")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from all labelled rows; a document labelled more than once is good only if all its
+    labels say so."""
+    rows = quality_rules.measured(table(spark, folder, "documents").select("doc_id", "text"))
+    marks = (table(spark, folder, "labels").where("doc_id is not null and quality is not null")
+             .groupBy("doc_id").agg(F.min("quality").alias("quality")))
+    rules = quality_rules.train(rows.join(marks, "doc_id"))
+    out = quality_rules.judge(rows, rules)
+    return out.select("doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                      "base_failed", "kept", "rule")
