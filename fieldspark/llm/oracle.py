@@ -86,4 +86,24 @@ def urls_sql(levels: int = 3) -> str:
             f"FROM t{levels} JOIN known USING (host, template)")
 
 
-ORACLE = {"op1_mixing": mixing_sql(), "op3_ngram_join": JOIN, "op4_near_vectors": VECTORS, "op6_urls": urls_sql()}
+def phrases_sql() -> str:
+    gram = "SELECT lang, array_to_string(w[i:i + {k} - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM p) GROUP BY ALL"
+    whole = "CAST(1000000 AS HUGEINT) * a * a"
+    return f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+f1 AS ({gram.format(k=1)}), f2 AS ({gram.format(k=2)}), f3 AS ({gram.format(k=3)}),
+n AS (SELECT lang, sum(a) AS n FROM f1 GROUP BY 1),
+c3 AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM f3 WHERE a >= 10),
+c2 AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM f2 WHERE a >= 10),
+kept AS (SELECT * FROM c2 WHERE NOT EXISTS (SELECT 1 FROM c3 WHERE c3.lang = c2.lang AND (c3.w[1:2] = c2.w OR c3.w[2:3] = c2.w) AND 100 * c3.a >= 50 * c2.a)),
+cut AS (SELECT k.lang, k.phrase, k.a, x.a AS l, y.a AS r, 1 AS cut_at FROM kept k JOIN f1 x ON x.lang = k.lang AND x.phrase = k.w[1] JOIN f1 y ON y.lang = k.lang AND y.phrase = k.w[2]
+UNION ALL SELECT k.lang, k.phrase, k.a, x.a, y.a, 1 FROM c3 k JOIN f1 x ON x.lang = k.lang AND x.phrase = k.w[1] JOIN f2 y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[2:3], ' ')
+UNION ALL SELECT k.lang, k.phrase, k.a, x.a, y.a, 2 FROM c3 k JOIN f2 x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:2], ' ') JOIN f1 y ON y.lang = k.lang AND y.phrase = k.w[3]),
+scored AS (SELECT lang, phrase, a, l, r, cut_at, ({whole}) // (CAST(l AS HUGEINT) * r) AS score FROM cut),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+top AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM top JOIN n USING (lang)"""
+
+
+ORACLE = {"op1_mixing": mixing_sql(), "op3_ngram_join": JOIN, "op4_near_vectors": VECTORS, "op6_urls": urls_sql(),
+          "op12_collocations": phrases_sql()}

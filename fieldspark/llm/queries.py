@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import cover_tree, langid, mixing, ngram_join, ngram_lm, oracle, packing, quality_rules, secrets, toxicity, urls, winnowing
+from fieldspark.llm import collocations, cover_tree, langid, mixing, ngram_join, ngram_lm, oracle, packing, quality_rules, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,9 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     out = quality_rules.judge(rows, rules)
     return out.select("doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                       "base_failed", "kept", "rule")
+
+
+@register("op12_collocations")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
