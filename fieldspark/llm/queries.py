@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import collocations, cover_tree, langid, mixing, ngram_join, ngram_lm, oracle, packing, quality_rules, secrets, toxicity, urls, winnowing
+from fieldspark.llm import collocations, cover_tree, dialogues, langid, mixing, ngram_join, ngram_lm, oracle, packing, quality_rules, secrets, toxicity, urls, winnowing
 from fieldspark.llm.common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,13 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
                       "base_failed", "kept", "rule")
 
 
+@register("op11_conversations")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    small_batches(spark)
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return dialogues.repaired_all(rows, dialogues.damaged(rows))
+
+
 @register("op12_collocations")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     small_batches(spark)
