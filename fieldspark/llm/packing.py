@@ -14,7 +14,6 @@ stream, so only the last one is padded.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
@@ -31,60 +30,38 @@ from fieldspark.sources.stage import materialise
 LENGTH = 1024
 WINDOW = 64         # sequences per window
 QUEUES = 1024       # of more sources than that the small ones share queues by hash
-CACHE = 300_000     # words that a task remembers the ids of
 END = 0             # id that closes a document
 SPECIAL = "<|endoftext|>"
-SPACED = re.compile(r"\s \S|\S \s|^ | $|\s\s")
 
 
 class Tokens:
     """Ids of texts by the vocabulary of ``json_path``.
 
-    ``ranks_path`` is the same vocabulary as ranks, which a faster encoder reads. A space between
-    two other characters always starts a token, so a text is the chain of its words, each with the
-    space before it; words are looked up. Texts with other white space around a space, or with the
-    special token in them, are encoded whole.
+    ``ranks_path`` is the same vocabulary as ranks, which a faster encoder reads whole texts by; a
+    text with the special token in it goes to the slower one.
     """
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(json_path)
-        self.cache: dict[str, bytes] = {}
+        self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        self.encode = lambda s: self.whole.encode(s, add_special_tokens=False).ids
         if ranks_path and pattern:
             import tiktoken
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            self.encode = lambda s: self.whole.encode(s, add_special_tokens=False).ids
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 16-bit ids."""
+    def ids(self, text: str) -> np.ndarray:
+        """Little-endian unsigned ids, of as many bytes as the vocabulary needs."""
         if SPECIAL in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if SPACED.search(text):
-            # Lines of ordinary words are still looked up; the others are encoded as they are.
-            return np.array(self.encode(text), dtype="<u2").tobytes()
-        first, *rest = text.split(" ")
-        cache, out = self.cache, [self.word(first)] if first else []
-        for w in rest:
-            w = " " + w
-            got = cache.get(w)
-            out.append(self.word(w) if got is None else got)
-        return b"".join(out)
-
-    def word(self, w: str) -> bytes:
-        got = np.array(self.encode(w), dtype="<u2").tobytes()
-        if len(w) < 64:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[w] = got
-        return got
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+        return np.array(self.encode(text), dtype=self.kind)
 
 
 @lru_cache(maxsize=2)
 def tokens_for(json_path: str, ranks_path: str | None, pattern: str | None) -> Tokens:
-    """The vocabulary and its remembered words, kept by a Python worker from task to task."""
+    """The vocabulary, kept by a Python worker from task to task."""
     return Tokens(json_path, ranks_path, pattern)
 
 
@@ -96,8 +73,8 @@ def queues(docs: DataFrame, weights: Mapping[str, float] | None = None) -> Colum
     hash. With weights only sources that come last share queues.
     """
     source = F.coalesce("source", F.lit(""))
-    own = F.concat(F.lit("s"), source)
-    if docs.select(source).distinct().limit(QUEUES + 1).count() <= QUEUES:
+    own = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    if docs.select(own).distinct().limit(QUEUES + 1).count() <= QUEUES:
         return own
     if weights:
         alone = [s for s, w in weights.items() if w > 0]
@@ -121,12 +98,12 @@ def tokenised(docs: DataFrame, json_path: str, ranks_path: str | None = None, pa
         for frame in batches:
             before, n, ids = [], [], []
             for q, text in zip(frame["queue"], frame["text"]):
-                got = coder.ids(text) + END.to_bytes(2, "little")
+                got = np.append(coder.ids(text), np.array(END, dtype=coder.kind))
                 at = sent.get(q, 0)
                 before.append(at)
-                n.append(len(got) // 2)
+                n.append(len(got))
                 sent[q] = at + n[-1]
-                ids.append(got)
+                ids.append(got.tobytes())
             yield pd.DataFrame({"part": frame["part"], "doc_id": frame["doc_id"], "queue": frame["queue"],
                                 "before": before, "n": n, "ids": ids})
 
@@ -213,7 +190,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = held.select("queue", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
     totals = {r["queue"]: r["n"] for r in held.groupBy("queue").agg(F.sum("held").alias("n")).collect()}
-    rounds = Rounds(totals, {f"s{s}": w for s, w in weights.items()} if weights else None, window * length)
+    rounds = Rounds(totals, {"n" if s is None else f"s{s}": w for s, w in weights.items()} if weights else None, window * length)
     rows = null_safe_join(staged, materialise(offsets), ["queue", "part"]).select(
         "doc_id", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
@@ -221,7 +198,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
         for frame in batches:
             out = []
             for doc_id, queue, at, n, ids in zip(*(frame[c] for c in ("doc_id", "queue", "at", "n", "ids"))):
-                wide = np.frombuffer(ids, dtype="<u2").astype("<u4")
+                wide = np.frombuffer(ids, dtype=f"<u{len(ids) // int(n)}").astype("<u4", copy=False)
                 for start, m, sequence, offset in rounds.pieces(queue, int(at), int(n), length):
                     out.append((doc_id, start, m, zlib.crc32(wide[start:start + m].tobytes()), int(n), sequence, offset))
             yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
