@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.operators.kmeans import kmeans_grid
 from fieldspark.operators.ordered import null_safe_join
 from fieldspark.operators.rollup import mode_low, zscore
 from fieldspark.sources.stage import materialise
@@ -20,64 +20,61 @@ def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def kmeans_runs(df: DataFrame, columns: Sequence[str], k: int, seeds: Sequence[int],
-                inits: int = 1, key: str = "plot_id") -> DataFrame:
-    """(run, plot_id, cluster): one k-means per seed, the cheapest of ``inits`` starts."""
-    data = materialise(vectors(df, columns).select(key, "features"))
-    runs = []
-    for run, seed in enumerate(seeds):
-        fits = [KMeans(k=k, seed=seed + 1000 * i).fit(data) for i in range(inits)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        runs.append(best.transform(data).select(
-            F.lit(run).alias("run"), key, F.col("prediction").alias("cluster")))
-    out = runs[0]
-    for r in runs[1:]:
-        out = out.unionByName(r)
-    return out
-
-
-def consensus(labels: DataFrame, key: str = "plot_id") -> DataFrame:
+                inits: int = 10, key: str = "plot_id") -> DataFrame:
+    """(run, plot_id, cluster): one k-means per seed, the cheapest of ``inits`` starts, all fits in
+    one chain of jobs. Runs are numbered as their seeds are listed."""
+    grid = kmeans_grid(df, columns, {k: seeds}, inits, key)
+    return grid.select((F.array_position(F.lit(list(seeds)), F.col("seed")) - 1).cast("int").alias("run"), key, "cluster")
+
+
+def consensus(labels: DataFrame, key: str = "plot_id", by: Sequence[str] = ()) -> DataFrame:
     """Score of every run against all runs: sum over run pairs of squared contingency counts.
 
     This equals agreement with the co-association matrix, without any row-by-row matrix. Each
     plot carries its few run labels as one list; what is shuffled is the contingency table.
     """
-    runs, pairs = contingency(labels, key)
-    score = pairs.groupBy("run_a").agg(F.sum(F.col("n") * F.col("n")).alias("s"))
-    return null_safe_join(score, runs, []).select(
-        F.col("run_a").alias("run"), (F.col("s") / F.col("runs")).alias("score"))
+    return scores(*contingency(labels, key, by), by)
+
+
+def scores(runs: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
+    score = pairs.groupBy(*by, "run_a").agg(F.sum(F.col("n") * F.col("n")).alias("s"))
+    return null_safe_join(score, runs, list(by)).select(
+        *by, F.col("run_a").alias("run"), (F.col("s") / F.col("runs")).alias("score"))
 
 
-def contingency(labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    runs = labels.agg(F.count_distinct("run").alias("runs"))
-    lists = labels.groupBy(key).agg(F.collect_list(F.struct("run", "cluster")).alias("_l"))
-    pairs = (lists.select(F.explode("_l").alias("_a"), "_l").select("_a", F.explode("_l").alias("_b"))
-             .groupBy(F.col("_a.run").alias("run_a"), F.col("_b.run").alias("run_b"),
+def contingency(labels: DataFrame, key: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    runs = labels.groupBy(*by).agg(F.count_distinct("run").alias("runs"))
+    lists = labels.groupBy(*by, key).agg(F.collect_list(F.struct("run", "cluster")).alias("_l"))
+    pairs = (lists.select(*by, F.explode("_l").alias("_a"), "_l").select(*by, "_a", F.explode("_l").alias("_b"))
+             .groupBy(*by, F.col("_a.run").alias("run_a"), F.col("_b.run").alias("run_b"),
                       F.col("_a.cluster").alias("a"), F.col("_b.cluster").alias("b"))
              .agg(F.count(F.lit(1)).alias("n")))
     return runs, pairs
 
 
-def consensus_partition(labels: DataFrame, key: str = "plot_id") -> DataFrame:
-    """The run that agrees best with all runs, with each plot's stability in it."""
-    runs, pairs = contingency(labels, key)
+def consensus_partition(labels: DataFrame, key: str = "plot_id", by: Sequence[str] = ()) -> DataFrame:
+    """The run that agrees best with all runs, with each plot's stability in it; one per group of
+    ``by`` (a setting), all in the same jobs."""
+    by = list(by)
+    runs, pairs = contingency(labels, key, by)
     # Staged, so that its real size decides how it meets the plots.
-    pairs = materialise(pairs)
-    best = consensus(labels, key).agg(F.min_by("run", F.struct(-F.col("score"), F.col("run"))).alias("_best"))
-    chosen = null_safe_join(labels, best, []).where(F.col("run") == F.col("_best"))
-    mine = chosen.select(key, F.col("run").alias("run_a"), F.col("cluster").alias("a"))
-    other = labels.select(key, F.col("run").alias("run_b"), F.col("cluster").alias("b"))
-    size = mine.groupBy("a").agg(F.count(F.lit(1)).alias("_size"))
-    s = (mine.join(other, key).join(pairs, ["run_a", "run_b", "a", "b"])
-         .groupBy(key, "run_a", "a").agg(F.sum("n").alias("_n")).join(size, "a"))
-    return null_safe_join(s, runs, []).select(
-        key, F.col("run_a").alias("run"), F.col("a").alias("cluster"),
+    runs, pairs = materialise(runs) if by else runs, materialise(pairs)
+    best = scores(runs, pairs, by).groupBy(*by).agg(F.min_by("run", F.struct(-F.col("score"), F.col("run"))).alias("_best"))
+    chosen = null_safe_join(labels, best, by).where(F.col("run") == F.col("_best"))
+    mine = chosen.select(*by, key, F.col("run").alias("run_a"), F.col("cluster").alias("a"))
+    other = labels.select(*by, key, F.col("run").alias("run_b"), F.col("cluster").alias("b"))
+    size = mine.groupBy(*by, "a").agg(F.count(F.lit(1)).alias("_size"))
+    s = (mine.join(other, [*by, key]).join(pairs, [*by, "run_a", "run_b", "a", "b"])
+         .groupBy(*by, key, "run_a", "a").agg(F.sum("n").alias("_n")).join(size, [*by, "a"]))
+    return null_safe_join(s, runs, by).select(
+        *by, key, F.col("run_a").alias("run"), F.col("a").alias("cluster"),
         (F.col("_n") / (F.col("runs") * F.col("_size"))).alias("stability"))
 
 
-def cluster_profile(df: DataFrame, columns: Sequence[str], cluster: str = "cluster") -> DataFrame:
-    """Mean descriptors per cluster, standardised across clusters."""
-    prof = df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in columns])
-    return zscore(prof, columns)
+def cluster_profile(df: DataFrame, columns: Sequence[str], cluster: str = "cluster", by: Sequence[str] = ()) -> DataFrame:
+    """Mean descriptors per cluster, standardised across the clusters of a group of ``by``."""
+    prof = df.groupBy(*by, cluster).agg(*[F.avg(c).alias(c) for c in columns])
+    return zscore(prof, columns, by=by)
 
 
 def rule_scores(profile: DataFrame, rules: Mapping[str, Mapping[str, float]],
@@ -97,28 +94,32 @@ def assign_tier1(profile: DataFrame, level: str = "level_T3", drop: str = "d34",
              .when(F.col(drop) >= 1.0, second))
 
 
-def cluster_margin(df: DataFrame, columns: Sequence[str], cluster: str = "cluster",
-                   cls: str = "cls", key: str = "plot_id") -> DataFrame:
+def cluster_margin(df: DataFrame, columns: Sequence[str], cluster: str = "cluster", cls: str = "cls",
+                   key: str = "plot_id", fit: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
     """How much closer a row is to its own centre than to the nearest centre of another class.
 
-    The centres (one row per cluster) travel as a single list, so rows never multiply.
+    ``fit`` marks the rows that centres are means of, all if not given; a cluster's class is its
+    commonest over all rows. The centres (one row per cluster) travel as a single list per group of
+    ``by``, so rows never multiply.
     """
+    by = list(by)
     point = F.array(*[F.col(c) for c in columns])
-    centres = df.groupBy(cluster).agg(F.array(*[F.avg(c) for c in columns]).alias("v"))
-    named = centres.join(mode_low(df, [cluster], cls, "k"), cluster)
-    table = named.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "v", "k")).alias("_all"))
-    d = null_safe_join(df, table, [])
+    base = df if fit is None else df.where(fit)
+    centres = base.groupBy(*by, cluster).agg(F.array(*[F.avg(c) for c in columns]).alias("v"))
+    named = centres.join(mode_low(df, [*by, cluster], cls, "_k"), [*by, cluster])
+    table = named.groupBy(*by).agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "v", F.col("_k").alias("k"))).alias("_all"))
+    d = null_safe_join(df, materialise(table) if by else table, by)
 
     def dist(v: Column) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(point, v, lambda a, b: (a - b) * (a - b)),
                                   F.lit(0.0), lambda acc, x: acc + x))
 
-    mine = F.filter("_all", lambda s: s["c"] == F.col(cluster))[0]
+    mine = F.get(F.filter("_all", lambda s: s["c"] == F.col(cluster)), F.lit(0))
     d = d.withColumn("_own", mine)
     other = F.filter("_all", lambda s: s["k"] != F.col("_own.k"))
     d = d.withColumns({"own": dist(F.col("_own.v")),
                        "nearest_other": F.array_min(F.transform(other, lambda s: dist(s["v"])))})
-    return d.select(key, "own", "nearest_other", F.try_divide(
+    return d.select(*by, key, "own", "nearest_other", F.try_divide(
         F.col("nearest_other") - F.col("own"), F.col("nearest_other") + F.col("own")).alias("margin"))
 
 
@@ -129,8 +130,8 @@ def silhouette(df: DataFrame, columns: Sequence[str], cluster: str = "cluster")
     return df.agg(F.count(F.lit(1)).alias("n"), F.lit(float(value)).alias("silhouette"))
 
 
-def neighbour_label(points: DataFrame, edges: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Screened rows take the majority cluster of their nearest kept rows."""
-    donors = points.select(F.col("plot_id").alias("donor_id"), F.col(cluster))
+def neighbour_label(points: DataFrame, edges: DataFrame, cluster: str = "cluster", by: Sequence[str] = ()) -> DataFrame:
+    """Screened rows take the majority cluster of their nearest kept rows, in every group of ``by``."""
+    donors = points.select(*by, F.col("plot_id").alias("donor_id"), F.col(cluster))
     votes = edges.join(donors, "donor_id")
-    return mode_low(votes.withColumnRenamed("query_id", "plot_id"), ["plot_id"], cluster, cluster)
+    return mode_low(votes.withColumnRenamed("query_id", "plot_id"), [*by, "plot_id"], cluster, cluster)

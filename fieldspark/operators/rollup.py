@@ -217,13 +217,14 @@ def tally(ledger: DataFrame, verdicts: Sequence[str], column: str = "verdict") -
                       F.count(F.lit(1)).alias("n"))
 
 
-def label_agreement(a: DataFrame, b: DataFrame, key: str = "plot_id") -> DataFrame:
-    """Agreement of two labelings, overall and where both are confident, with weights."""
-    r = b.select(key, F.col("cls").alias("_b"), F.col("confidence").alias("_cb"))
+def label_agreement(a: DataFrame, b: DataFrame, key: str = "plot_id", by: Sequence[str] = ()) -> DataFrame:
+    """Agreement of two labelings, overall and where both are confident, with weights; of ``a`` with
+    each group of ``by`` in ``b``."""
+    r = b.select(*by, key, F.col("cls").alias("_b"), F.col("confidence").alias("_cb"))
     j = a.join(r, key)
     same = (F.col("cls") == F.col("_b")).cast("double")
     sure = (F.col("confidence") == "high") & (F.col("_cb") == "high")
-    return j.agg(
+    return j.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(same).alias("agreement"),
         F.count_if(sure).alias("n_sure"), F.avg(F.when(sure, same)).alias("agreement_sure"),
         F.sum(F.when(same == 1, F.col("weight")).otherwise(0)).alias("weight_same"),
@@ -267,8 +268,9 @@ def group_residual(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
         "residual", F.col(x) - F.col("group_mean"))
 
 
-def zscore(df: DataFrame, columns: Sequence[str], fit: Column | None = None) -> DataFrame:
-    """Standardise by mean and population sd of the rows that ``fit``; a zero sd counts as 1."""
+def zscore(df: DataFrame, columns: Sequence[str], fit: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Standardise by mean and population sd of the rows that ``fit``, within ``by``; a zero sd
+    counts as 1."""
     def of(c: str) -> Column:
         return F.col(c) if fit is None else F.when(fit, F.col(c))
 
@@ -276,7 +278,7 @@ def zscore(df: DataFrame, columns: Sequence[str], fit: Column | None = None) ->
     for c in columns:
         aggs[f"_m_{c}"] = F.avg(of(c))
         aggs[f"_s_{c}"] = F.stddev_pop(of(c))
-    d = attach(df, [], aggs)
+    d = attach(df, list(by), aggs)
     return d.withColumns({
         c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
         for c in columns}).drop(*aggs)

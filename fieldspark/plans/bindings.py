@@ -135,14 +135,15 @@ def points(t: Tables) -> DataFrame:
         (1.0 + F.col("label")).alias("weight"), e(4).alias("fraction"))
 
 
-DIMS = [f"e{i}" for i in range(9)]
+ELEMENTS = 64
+DIMS = [f"e{i}" for i in range(ELEMENTS)]
 VECTORS = "SELECT vec_id AS plot_id, label::BIGINT AS cluster, " + ", ".join(
-    f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(9)) + " FROM embeddings"
+    f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(ELEMENTS)) + " FROM embeddings"
 
 
 def vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("plot_id"), F.col("label").cast("long").alias("cluster"),
-                               *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(9)])
+                               *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(ELEMENTS)])
 
 
 # -- two instruments on the same orders -------------------------------------------------------

@@ -63,39 +63,63 @@ def job_phenology(obs: DataFrame, drift: DataFrame, anchors: Sequence, canopy: S
 
 def job_labels(frame: DataFrame, columns: Sequence[str], axis: str, prior: Sequence[float],
                labels: Sequence[str], runs: DataFrame | None = None, k: int = 9,
-               seeds: Sequence[int] = tuple(range(20)), level: str = "level_T3", drop: str = "d34",
+               seeds: Sequence[int] = tuple(range(20)), inits: int = 10, level: str = "level_T3", drop: str = "d34",
                end: str = "canopy_end", end_min: float = 1.5, first: str = "Rice",
-               second: str = "Cotton") -> DataFrame:
-    """Descriptors to labels: consensus clusters, clear rules, a per-plot rule, and an ordered
-    allocation of the rest.
+               second: str = "Cotton", by: Sequence[str] = ()) -> DataFrame:
+    """Descriptors to labels: consensus clusters, clear rules, a per-plot rule, an ordered
+    allocation of the rest, and how far each plot is from changing its label.
 
     ``frame`` holds the descriptors with ``screened``, ``x``, ``y`` and ``weight``. Screened plots
-    take their neighbours' cluster and are never confident. ``runs`` may bring the clusterings.
+    take their neighbours' cluster and are never confident. ``runs`` may bring the clusterings; with
+    ``by`` it holds those of many settings, and the whole chain runs once for all of them.
     """
+    by = list(by)
     keep = ~F.col("screened")
-    scaled = rollup.zscore(frame, columns, keep)
-    kept = scaled.where(keep)
+    scaled = rollup.zscore(frame, columns, keep).select("plot_id", "screened", *columns)
     if runs is None:
-        runs = C.kmeans_runs(kept.select("plot_id", *columns), columns, k, seeds)
-    part = materialise(C.consensus_partition(runs).select("plot_id", "cluster", "stability"))
+        runs = C.kmeans_runs(scaled.where(keep), columns, k, list(seeds), inits)
+    part = materialise(C.consensus_partition(runs, by=by).select(*by, "plot_id", "cluster", "stability"))
     donors = frame.where(keep).select(F.col("plot_id").alias("donor_id"), "x", "y")
     lost = frame.where(F.col("screened")).select(F.col("plot_id").alias("query_id"), "x", "y")
     if lost.isEmpty():
         given = part
     else:
         near = knn.knn_join(lost, donors, 8)
-        voted = C.neighbour_label(part.select("plot_id", "cluster"), near)
+        voted = C.neighbour_label(part.select(*by, "plot_id", "cluster"), near, by=by)
         given = part.unionByName(voted.withColumn("stability", F.lit(0.0)))
-    profile = C.cluster_profile(kept.join(part, "plot_id"), columns)
-    tier1 = profile.select("cluster", C.assign_tier1(profile, level, drop, first, second).alias("_t1"))
-    df = frame.join(given, "plot_id").join(tier1, "cluster", "left")
+    profile = C.cluster_profile(scaled.where(keep).join(part, "plot_id"), columns, by=by)
+    tier1 = profile.select(*by, "cluster", C.assign_tier1(profile, level, drop, first, second).alias("_t1"))
+    df = frame.join(given, "plot_id").join(tier1, [*by, "cluster"], "left")
     standing = F.when(keep & (F.col(end) >= end_min), F.lit(second))
     df = materialise(df.withColumn("cls", F.coalesce("_t1", standing)).drop("_t1"))
     open_ = df.where("cls is null").drop("cls")
-    cut = ordered.share_cut(open_, axis, "plot_id", "weight", prior, labels, out="cls").drop("cum_share")
+    cut = ordered.share_cut(open_, axis, "plot_id", "weight", prior, labels, by=by, out="cls").drop("cum_share")
     done = df.where("cls is not null").withColumn("tier2", F.lit(False)).unionByName(
         cut.withColumn("tier2", F.lit(True)).select(*df.columns, "tier2"))
-    return done.withColumn("confidence", F.when(F.col("tier2") | F.col("screened"), "low").otherwise("high"))
+    done = materialise(done.withColumn("confidence", F.when(F.col("tier2") | F.col("screened"), "low").otherwise("high")))
+    points = scaled.join(done.select(*by, "plot_id", "cluster", "cls"), "plot_id")
+    margin = C.cluster_margin(points, columns, fit=keep, by=by).select(*by, "plot_id", "margin")
+    return done.join(margin, [*by, "plot_id"])
+
+
+def label_stability(frame: DataFrame, columns: Sequence[str], axis: str, prior: Sequence[float], labels: Sequence[str],
+                    base: tuple[int, int] = (9, 20), settings: Sequence[tuple[int, int]] = ((9, 5), (9, 40), (7, 20), (11, 20)),
+                    inits: int = 10, **how) -> DataFrame:
+    """(k, seeds, n, agreement, n_sure, agreement_sure, ...): the labels at other cluster counts and
+    numbers of seeds against those of ``base``, over all plots and where both are sure.
+
+    A seed's fit belongs to every setting that asks for it; all settings share each job of the chain.
+    """
+    every = list(dict.fromkeys([base, *settings]))
+    most = {k: max(n for j, n in every if j == k) for k, _ in every}
+    kept = rollup.zscore(frame, columns, ~F.col("screened")).where(~F.col("screened")).select("plot_id", *columns)
+    grid = C.kmeans_grid(kept, columns, {k: range(n) for k, n in most.items()}, inits)
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("seeds")) for k, n in every])
+    of = F.explode(F.filter(asked, lambda s: (s["k"] == F.col("k")) & (F.col("seed") < s["seeds"]))).alias("_s")
+    runs = materialise(grid.select(of, F.col("seed").alias("run"), "plot_id", "cluster").select("_s.*", "run", "plot_id", "cluster"))
+    out = materialise(job_labels(frame, columns, axis, prior, labels, runs=runs, by=["k", "seeds"], **how))
+    mine = (F.col("k") == base[0]) & (F.col("seeds") == base[1])
+    return rollup.label_agreement(out.where(mine).drop("k", "seeds"), out.where(~mine), by=["k", "seeds"])
 
 
 def job_forecast(obs: DataFrame, plots: DataFrame, calendar: Mapping, reference: Mapping,

@@ -107,17 +107,29 @@ _LM = f"SELECT p.cluster, avg(e2) AS e2, avg(e4) AS e4 FROM ({_LF}) f JOIN ({_LP
 _LZ = f"SELECT cluster, (e2 - avg(e2) OVER ()) / stddev_pop(e2) OVER () AS z2, (e4 - avg(e4) OVER ()) / stddev_pop(e4) OVER () AS z4 FROM ({_LM}) m"
 _LT = f"""SELECT f.plot_id, f.weight, f.screened, f.e7, coalesce(CASE WHEN z2 >= 1 AND z4 <= 0 THEN 'Rice' WHEN z4 >= 1 THEN 'Cotton' END, CASE WHEN NOT f.screened AND f.canopy_end >= 0.15 THEN 'Cotton' END) AS cls
 FROM ({_LF}) f JOIN ({_LG}) g USING (plot_id) JOIN ({_LZ}) z ON z.cluster = g.cluster"""
-_LX = f"SELECT weight, screened, cls, false AS tier2 FROM ({_LT}) t WHERE cls IS NOT NULL UNION ALL SELECT weight, screened, {cut_sql('share')}, true FROM (SELECT *, sum(weight) OVER (ORDER BY e7, plot_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () AS share FROM ({_LT}) t WHERE cls IS NULL) s"
-LABELS = f"SELECT cls, CASE WHEN tier2 OR screened THEN 'low' ELSE 'high' END AS confidence, tier2, count(*) AS n, sum(weight) AS weight FROM ({_LX}) x GROUP BY 1, 2, 3"
+_LX = f"SELECT plot_id, weight, screened, cls, false AS tier2 FROM ({_LT}) t WHERE cls IS NOT NULL UNION ALL SELECT plot_id, weight, screened, {cut_sql('share')}, true FROM (SELECT *, sum(weight) OVER (ORDER BY e7, plot_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () AS share FROM ({_LT}) t WHERE cls IS NULL) s"
+_LS = f"SELECT plot_id, screened, " + ", ".join(f"(e{i} - avg(e{i}) FILTER (NOT screened) OVER ()) / coalesce(nullif(stddev_pop(e{i}) FILTER (NOT screened) OVER (), 0), 1) AS e{i}" for i in range(B.ELEMENTS)) + f" FROM ({_LF}) f"
+_LK = f"SELECT cluster, arg_min(cls, (-n, cls)) AS k FROM (SELECT cluster, cls, count(*) AS n FROM lx JOIN lg USING (plot_id) GROUP BY 1, 2) v GROUP BY 1"
+_LD = f"SELECT s.plot_id, s.cls, g.cluster, c.cluster AS other, k.k, own.k AS own_k, sqrt({' + '.join(f'(z.e{i} - c.m{i}) ** 2' for i in range(B.ELEMENTS))}) AS d FROM lx s JOIN lg g USING (plot_id) JOIN ls z USING (plot_id) JOIN lk own ON own.cluster = g.cluster, lc c JOIN lk k ON k.cluster = c.cluster"
+LABELS = f"""WITH lg AS MATERIALIZED ({_LG}), lx AS MATERIALIZED ({_LX}), ls AS MATERIALIZED ({_LS}), lk AS ({_LK}),
+lc AS (SELECT cluster, {', '.join(f'avg(e{i}) AS m{i}' for i in range(B.ELEMENTS))} FROM ls JOIN lg USING (plot_id) WHERE NOT screened GROUP BY 1), ld AS ({_LD}),
+lm AS (SELECT plot_id, min(d) FILTER (other = cluster) AS own, min(d) FILTER (k <> own_k) AS near FROM ld GROUP BY 1)
+SELECT cls, CASE WHEN tier2 OR screened THEN 'low' ELSE 'high' END AS confidence, tier2, count(*) AS n, sum(weight) AS weight, avg((near - own) / (near + own)) AS margin FROM lx JOIN lm USING (plot_id) GROUP BY 1, 2, 3"""
 
 
-@query("job_labels", LABELS, f="weight")
+@query("job_labels", LABELS, f="weight margin")
 def _(t):
     f = label_frame(t)
     kept = runs(t).join(f.where(~F.col("screened")).select("plot_id"), "plot_id", "left_semi")
     out = jobs.job_labels(f, B.DIMS, "e7", CUT_PRIOR, CUT_LABELS, runs=kept, level="e2", drop="e4",
                           end="canopy_end", end_min=0.15)
-    return out.groupBy("cls", "confidence", "tier2").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    return out.groupBy("cls", "confidence", "tier2").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"), F.avg("margin").alias("margin"))
+
+
+@query("label_stability")
+def _(t):
+    """Crop labels at (9, 5), (9, 40), (7, 20) and (11, 20) against those at (9, 20), 10 starts a seed."""
+    return jobs.label_stability(label_frame(t), B.DIMS, "e7", CUT_PRIOR, CUT_LABELS, level="e2", drop="e4", end="canopy_end", end_min=0.15)
 
 
 # -- forecast ---------------------------------------------------------------------------------

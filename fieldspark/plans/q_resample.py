@@ -266,38 +266,27 @@ def _(t):
 
 
 _CLS = f"SELECT *, CASE cluster % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS cls FROM ({B.VECTORS}) v"
-_CEN = "SELECT cluster AS k, max(cls) AS kc, " + ", ".join(f"avg(e{i}) AS m{i}" for i in range(9)) + f" FROM ({_CLS}) c GROUP BY 1"
+_CEN = "SELECT cluster AS k, max(cls) AS kc, " + ", ".join(f"avg(e{i}) AS m{i}" for i in range(B.ELEMENTS)) + f" FROM ({_CLS}) c GROUP BY 1"
 
 
 @query("cluster_margin", f"""SELECT plot_id, own, other AS nearest_other, (other - own) / (other + own) AS margin FROM (SELECT plot_id, min(d) FILTER (k = cluster) AS own, min(d) FILTER (kc <> cls) AS other FROM
-(SELECT plot_id, cluster, cls, k, kc, sqrt({' + '.join(f'(e{i} - m{i}) ** 2' for i in range(9))}) AS d FROM ({_CLS}) v, ({_CEN}) m) x GROUP BY 1) y""", f="own nearest_other margin")
+(SELECT plot_id, cluster, cls, k, kc, sqrt({' + '.join(f'(e{i} - m{i}) ** 2' for i in range(B.ELEMENTS))}) AS d FROM ({_CLS}) v, ({_CEN}) m) x GROUP BY 1) y""", f="own nearest_other margin")
 def _(t):
     k = F.col("cluster") % 3
     v = B.vectors(t).withColumn("cls", F.when(k == 0, "A").when(k == 1, "B").otherwise("C"))
     return cluster.cluster_margin(v, B.DIMS)
 
 
-def kmeans(t, k: int = 3, seeds=(1, 2, 3)):
-    return cluster.kmeans_runs(rollup.zscore(B.vectors(t), B.DIMS).select("plot_id", *B.DIMS), B.DIMS, k, seeds)
+def kmeans(t, k: int, seeds=range(20)):
+    return cluster.kmeans_runs(rollup.zscore(B.vectors(t), B.DIMS).select("plot_id", *B.DIMS), B.DIMS, k, list(seeds))
 
 
 @query("kmeans_seeds")
 def _(t):
+    """20 seeds of 10 starts each."""
     return kmeans(t, 9).groupBy("run", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("silhouette")
 def _(t):
     return cluster.silhouette(B.vectors(t), B.DIMS)
-
-
-@query("label_stability")
-def _(t):
-    """Partitions at other cluster counts, compared with the first by label agreement."""
-    base = kmeans(t, 3, (1,)).select("plot_id", F.col("cluster").alias("cls"), F.lit("high").alias("confidence"), F.lit(1.0).alias("weight"))
-    out = None
-    for k, seed in ((3, 2), (4, 1), (5, 1)):
-        other = kmeans(t, k, (seed,)).select("plot_id", F.col("cluster").alias("cls"), F.lit("high").alias("confidence"))
-        row = rollup.label_agreement(base, other).select(F.lit(k).alias("k"), F.lit(seed).alias("seed"), "n", "agreement")
-        out = row if out is None else out.unionByName(row)
-    return out

@@ -269,7 +269,7 @@ def _(t):
 
 ZV = "SELECT plot_id, cluster, " + ", ".join(
     f"(e{i} - avg(e{i}) FILTER (cluster < 8) OVER ()) / nullif(stddev_pop(e{i}) FILTER (cluster < 8) OVER (), 0) AS e{i}"
-    for i in range(9)) + f" FROM ({B.VECTORS}) v"
+    for i in range(B.ELEMENTS)) + f" FROM ({B.VECTORS}) v"
 
 
 @query("zscore", ZV, f=" ".join(B.DIMS))
@@ -277,9 +277,9 @@ def _(t):
     return rollup.zscore(B.vectors(t), B.DIMS, F.col("cluster") < 8)
 
 
-PROFILE = "SELECT cluster, " + ", ".join(f"avg(e{i}) AS e{i}" for i in range(9)) + f" FROM ({B.VECTORS}) v GROUP BY 1"
+PROFILE = "SELECT cluster, " + ", ".join(f"avg(e{i}) AS e{i}" for i in range(B.ELEMENTS)) + f" FROM ({B.VECTORS}) v GROUP BY 1"
 ZPROFILE = "SELECT cluster, " + ", ".join(
-    f"(e{i} - avg(e{i}) OVER ()) / nullif(stddev_pop(e{i}) OVER (), 0) AS e{i}" for i in range(9)) + f" FROM ({PROFILE}) p"
+    f"(e{i} - avg(e{i}) OVER ()) / nullif(stddev_pop(e{i}) OVER (), 0) AS e{i}" for i in range(B.ELEMENTS)) + f" FROM ({PROFILE}) p"
 # Fixed values of the binding: rule coefficients per class.
 RULES = {"A": {"e0": 1.0, "e1": 0.6, "e2": -0.3}, "B": {"e2": 1.0, "e3": -0.4}, "C": {"e4": -1.0, "e5": 0.5}}
 
