@@ -80,11 +80,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, text, toxic) of the documents with a label; a document labelled more than once counts
-    as toxic if any of its labels says so."""
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.join(marks, "doc_id").select(F.col("doc_id").alias("key"), "text", "toxic")
+def labelled(docs: DataFrame, labels: DataFrame) -> toxicity.Joined:
+    """The documents with a label; a document labelled more than once counts as toxic if any of its
+    labels says so."""
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("key")).agg(F.max("toxic").alias("toxic"))
+    return toxicity.Joined(docs.select(F.col("doc_id").alias("key"), "text"), marks)
 
 
 @register("op9_toxicity")
