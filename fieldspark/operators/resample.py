@@ -91,13 +91,10 @@ def permutation_morans(points: DataFrame, edges: DataFrame, draws: int = 999,
     return out.withColumns({"p": p, "shown": text})
 
 
-def tie_permutation(df: DataFrame, axis: str, weight: str, prior: Sequence[float],
-                    labels: Sequence[str], draws: int = 200, seed: int = 14) -> DataFrame:
-    """(draw, bucket, weight): the ordered allocation with exact ties reordered at random.
-
-    Only runs of equal keys that straddle an edge can change; rows of all other runs are summed
-    once and shared by every draw.
-    """
+def tie_parts(df: DataFrame, axis: str, weight: str, prior: Sequence[float], labels: Sequence[str],
+              draws: int, seed: int, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Runs of equal keys with their bucket, and (draw, bucket, _pw, carried) of the rows of runs that
+    straddle an edge, reordered at random in every draw. No other row can change its bucket."""
     runs = df.groupBy(axis).agg(F.sum(weight).cast("double").alias("_w"))
     runs = attach(runs, [], {"_total": F.sum("_w")})
     runs = running_sums(runs, [], [axis], {"_hi": F.col("_w")})
@@ -108,20 +105,42 @@ def tie_permutation(df: DataFrame, axis: str, weight: str, prior: Sequence[float
     runs = materialise(runs.select(
         axis, "_total", (F.col("_hi") - F.col("_w")).alias("_before"), "_w",
         share_label(hi, edges, labels).alias("bucket"), (crossed > 0).alias("_split")))
-    fixed = runs.where(~F.col("_split")).groupBy("bucket").agg(F.sum("_w").alias("_w"))
-    fixed = with_draws(fixed, draws)
     split = runs.where("_split").select(axis, "_total", "_before")
-    moving = join_stats(df.select("plot_id", axis, F.col(weight).cast("double").alias("_pw")),
+    moving = join_stats(df.select("plot_id", axis, F.col(weight).cast("double").alias("_pw"), *carry),
                         split, [axis], "inner")
     moving = with_draws(moving, draws).withColumn(
         "_h", rand.mix52(F.col("plot_id"), F.col("draw"), seed))
     cum = running_sums(moving, ["draw", axis], ["_h", "plot_id"], {"_c": F.col("_pw")})
     share = (F.col("_before") + F.col("_c")) / F.col("_total")
-    moved = cum.groupBy("draw", share_label(share, edges, labels).alias("bucket")).agg(
-        F.sum("_pw").alias("_w"))
+    return runs, cum.select("draw", share_label(share, edges, labels).alias("bucket"), "_pw", *carry)
+
+
+def tie_permutation(df: DataFrame, axis: str, weight: str, prior: Sequence[float],
+                    labels: Sequence[str], draws: int = 200, seed: int = 14) -> DataFrame:
+    """(draw, bucket, weight): the ordered allocation with exact ties reordered at random.
+
+    Only runs of equal keys that straddle an edge can change; rows of all other runs are summed
+    once and shared by every draw.
+    """
+    runs, moving = tie_parts(df, axis, weight, prior, labels, draws, seed)
+    fixed = runs.where(~F.col("_split")).groupBy("bucket").agg(F.sum("_w").alias("_w"))
+    fixed = with_draws(fixed, draws)
+    moved = moving.groupBy("draw", "bucket").agg(F.sum("_pw").alias("_w"))
     return (fixed.unionByName(moved).groupBy("draw", "bucket").agg(F.sum("_w").alias("weight")))
 
 
+def tie_totals(df: DataFrame, axis: str, prior: Sequence[float], labels: Sequence[str], reference: Mapping[str, float],
+               draws: int = 200, span: float = 0.30, seed: int = 14) -> DataFrame:
+    """(draw, total): the forecast of allocated rows (plot_id, ``axis``, weight, x) with exact ties
+    reordered at random; classes are centred anew in every draw."""
+    runs, moving = tie_parts(df, axis, "weight", prior, labels, draws, seed, ["x"])
+    still = join_stats(df.select(axis, "weight", "x"), runs.where(~F.col("_split")).select(axis, "bucket"), [axis], "inner")
+    rows = with_draws(still.select("bucket", F.col("weight").cast("double").alias("_pw"), "x"), draws).unionByName(moving)
+    named = rows.select("draw", F.col("bucket").alias("cls"), F.col("_pw").alias("weight"), "x",
+                        lookup(F.col("bucket"), reference, "reference").alias("reference"))
+    return class_total(named, span, ["draw"])
+
+
 def tie_spread(per_draw: DataFrame) -> DataFrame:
     return per_draw.groupBy("bucket").agg(
         F.min("weight").alias("weight_min"), F.max("weight").alias("weight_max"),
@@ -244,6 +263,45 @@ def label_swap(plots: DataFrame, labels: DataFrame, reference: Mapping[str, floa
     return both.withColumn("diff", F.col("total_swapped") - F.col("total"))
 
 
+def sources_of(plots: DataFrame, other: DataFrame, axis: str, prior: Sequence[float], labels: Sequence[str], reference: Mapping[str, float],
+               sigma: DataFrame, noises: int = 1000, draws: int = 200, scenario: float = 0.10, span: float = 0.30) -> DataFrame:
+    """What the total is worth: one forecast, repeated with one thing changed at a time.
+
+    ``plots``: plot_id, cls, weight, x, cells, ``axis`` and ``allocated``; the allocated plots are those
+    whose class comes from the ordered cut. ``other`` (plot_id, cls) is a second set of labels.
+    Prior and tie order move allocated plots only; the others' part of the total is summed once. Their
+    classes have to be others than ``labels``, so that no class is centred on both.
+    """
+    base = materialise(plots.withColumn("reference", lookup(F.col("cls"), reference, "reference")))
+    if not base.where(~F.col("allocated") & F.col("cls").isin(list(labels))).isEmpty():
+        raise ValueError("a plot outside the allocation has one of its labels")
+    moving = base.where("allocated").select("plot_id", axis, "weight", "x")
+    total = materialise(class_total(base, span).select("total"))
+    rest = materialise(class_total(base.where(~F.col("allocated")), span).select(F.coalesce("total", F.lit(0.0)).alias("rest")))
+
+    def whole(per_draw: DataFrame) -> DataFrame:
+        return null_safe_join(per_draw.select("draw", "total"), rest, []).select("draw", (F.col("total") + F.col("rest")).alias("total"))
+
+    swapped = swap_label(base, other, "plot_id", "cls").withColumn("reference", lookup(F.col("cls"), reference, "reference"))
+    both = null_safe_join(total, class_total(swapped, span).select(F.col("total").alias("alt")), [])
+    mix = whole(prior_draws(moving, axis, prior, labels, reference, sigma, draws, span))
+    ties = whole(tie_totals(moving, axis, prior, labels, reference, draws, span))
+    noise = noise_draws(base, noises, span)
+    x = F.col("total")
+    # Without allocated plots there is nothing to draw, and the total stands.
+    def drawn(name: str, per_draw: DataFrame, low: Column, high: Column) -> DataFrame:
+        row = null_safe_join(budget_row(name, per_draw, low, high), total, [])
+        return row.select("source", F.coalesce("low", "total").alias("low"), F.coalesce("high", "total").alias("high"))
+
+    rows = [
+        budget_row("reference (stated scenario)", total, (1 - scenario) * F.max(x), (1 + scenario) * F.max(x)),
+        budget_row("labelling", both, F.max(F.least("total", "alt")), F.max(F.greatest("total", "alt"))),
+        drawn("allocation prior", mix, F.percentile(x, 0.05), F.percentile(x, 0.95)),
+        drawn("tie order", ties, F.min(x), F.max(x)),
+        drawn("speckle", noise, F.percentile(x, 0.05), F.percentile(x, 0.95))]
+    return uncertainty_budget(total, rows)
+
+
 def budget_row(source: str, df: DataFrame, low: Column, high: Column) -> DataFrame:
     return df.agg(low.alias("low"), high.alias("high")).select(
         F.lit(source).alias("source"), F.col("low").cast("double"), F.col("high").cast("double"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
 from fieldspark.functions.expr import lookup
-from fieldspark.operators import cluster, resample, rollup, series, stats
+from fieldspark.operators import cluster, ordered, resample, rollup, series, stats
 from fieldspark.plans import bindings as B
 from fieldspark.plans.q_aggregates import log_ratios
 from fieldspark.plans.q_series import (CUT_LABELS, CUT_PRIOR, PEAK, PRED, canopy, cut_sql, factor_sql, preds)
 from fieldspark.plans.q_stats import EDGES, spearman_sql
+from fieldspark.sources.stage import materialise
 from fieldspark.plans.registry import query
 
 # Draws of the bootstrap, the two 999-fold tests, ties and priors, and noise.
@@ -193,14 +194,37 @@ def label_swap(t):
     return resample.label_swap(p, swapped_labels(t), B.REFERENCE)
 
 
-_TOTAL = f"(SELECT sum(total) FROM ({_totals(B.PLOTS)}) x)"
-_TIE_TOTAL = f"SELECT draw, sum({B.sql_map(LABEL_REF, 'bucket')} * weight) AS total FROM ({_TIE}) t GROUP BY 1"
-BUDGET = f"""SELECT source, low, high, total, (high - low) / 2 AS half_width, 50 * (high - low) / total AS half_width_pct FROM (SELECT *, {_TOTAL} AS total FROM (
-SELECT 'reference (stated scenario)' AS source, 0.9 * {_TOTAL} AS low, 1.1 * {_TOTAL} AS high
-UNION ALL SELECT 'labelling', least({_TOTAL}, sum(total)), greatest({_TOTAL}, sum(total)) FROM ({_totals(SWAPPED)}) b
-UNION ALL SELECT 'allocation prior', quantile_cont(total, 0.05), quantile_cont(total, 0.95) FROM ({_MIX}) m
-UNION ALL SELECT 'tie order', min(total), max(total) FROM ({_TIE_TOTAL}) u
-UNION ALL SELECT 'speckle', low, high FROM ({NOISE}) n) r) q"""
+# Two classes come from rules; the plots of the others are allocated to the three ordered labels.
+MEASURED = ("PROMO", "ECONOMY")
+ALL_REF = {**B.REFERENCE, **LABEL_REF}
+_SPLIT = f"SELECT plot_id, cls AS first, weight, value AS x, axis, cls NOT IN {MEASURED} AS allocated FROM ({TIED}) p"
+
+
+def _cut(order: str, by: str, src: str) -> str:
+    """Every row of ``src`` with its share of the allocated plots in ``order``."""
+    part = ", ".join(c for c in ("allocated", by) if c)
+    return f"SELECT *, sum(weight) OVER (PARTITION BY {part} ORDER BY {order} ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY {part}) AS share FROM ({src}) s"
+
+
+def _sum(src: str, by: str = "") -> str:
+    """Total of the forecast of ``src``, per ``by``."""
+    keys = f"{by}, cls" if by else "cls"
+    head, tail = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return f"SELECT {head}sum({B.sql_map(ALL_REF)} * factor * weight) AS total FROM ({factor_sql('x', src, keys, '0.30')}) f{tail}"
+
+
+_BASE = f"SELECT plot_id, weight, x, weight AS cells, axis, allocated, share, CASE WHEN allocated THEN {cut_sql('share')} ELSE first END AS cls FROM ({_cut('axis, plot_id', '', _SPLIT)}) c"
+_OTHER = f"SELECT * REPLACE (CASE WHEN weight < 40 THEN cls ELSE 'PROMO' END AS cls) FROM ({_BASE}) b"
+_MOVED = f"""SELECT draw, weight, x, CASE WHEN NOT allocated THEN cls WHEN share <= w1 / (w1 + w2 + w3) THEN 'Bajra' WHEN share <= w1 / (w1 + w2 + w3) + w2 / (w1 + w2 + w3) THEN 'Maize' ELSE 'Groundnut' END AS cls FROM ({_BASE}) s,
+(SELECT draw, {_W[0]} AS w1, {_W[1]} AS w2, {_W[2]} AS w3 FROM (SELECT unnest(range({TIES})) AS draw) d) w"""
+_TIED = f"SELECT draw, weight, x, CASE WHEN allocated THEN {cut_sql('share')} ELSE first END AS cls FROM ({_cut('axis, h, plot_id', 'draw', f'SELECT *, {mix_sql("plot_id", "draw", 14)} AS h FROM {drawn(_SPLIT, TIES)} a')}) c"
+_LOUD = f"SELECT * REPLACE (x + 4.34 / sqrt(greatest(cells, 1)) * {normal_sql('plot_id', 'draw', 15)} AS x) FROM {drawn(_BASE, NOISES)} a"
+BUDGET = f"""WITH b AS (SELECT total FROM ({_sum(_BASE)}) z) SELECT source, low, high, total, (high - low) / 2 AS half_width, 50 * (high - low) / total AS half_width_pct FROM b, (
+SELECT 'reference (stated scenario)' AS source, 0.9 * total AS low, 1.1 * total AS high FROM b
+UNION ALL SELECT 'labelling', least(b.total, o.total), greatest(b.total, o.total) FROM b, ({_sum(_OTHER)}) o
+UNION ALL SELECT 'allocation prior', quantile_cont(total, 0.05), quantile_cont(total, 0.95) FROM ({_sum(_MOVED, 'draw')}) m
+UNION ALL SELECT 'tie order', min(total), max(total) FROM ({_sum(_TIED, 'draw')}) u
+UNION ALL SELECT 'speckle', quantile_cont(total, 0.05), quantile_cont(total, 0.95) FROM ({_sum(_LOUD, 'draw')}) n) r"""
 
 
 @query("uncertainty_budget", BUDGET, f="low high total half_width half_width_pct", nd=4)
@@ -208,24 +232,18 @@ def _(t):
     return uncertainty_budget(t)
 
 
+def budget_plots(t):
+    """Plots with the class that rules or the allocation give them."""
+    p = tied(t).withColumns({"x": F.col("value"), "cells": F.col("weight"), "allocated": ~F.col("cls").isin(*MEASURED)})
+    cut = ordered.share_cut(p.where("allocated"), "axis", "plot_id", "weight", CUT_PRIOR, CUT_LABELS)
+    columns = ["plot_id", "weight", "x", "cells", "axis", "allocated"]
+    return p.where(~F.col("allocated")).select("cls", *columns).unionByName(cut.select(F.col("bucket").alias("cls"), *columns))
+
+
 def uncertainty_budget(t):
-    from fieldspark.operators.ordered import null_safe_join
-    total = resample.class_total(ref(t), 0.30)
-    alt = label_swap(t).agg(F.sum("total_swapped").alias("alt"))
-    both = null_safe_join(total, alt, [])
-    mix = resample.prior_draws(tied(t).withColumn("x", F.col("value")), "axis", CUT_PRIOR, CUT_LABELS, LABEL_REF,
-                               rollup.prior_sigma(log_ratios(t)), TIES)
-    ties = resample.tie_permutation(tied(t), "axis", "weight", CUT_PRIOR, CUT_LABELS, TIES)
-    tie_total = ties.groupBy("draw").agg(F.sum(lookup(F.col("bucket"), LABEL_REF, "reference") * F.col("weight")).alias("total"))
-    noise = resample.noise_draws(ref(t), NOISES)
-    x = F.col("total")
-    rows = [
-        resample.budget_row("reference (stated scenario)", total, 0.9 * F.max(x), 1.1 * F.max(x)),
-        resample.budget_row("labelling", both, F.max(F.least("total", "alt")), F.max(F.greatest("total", "alt"))),
-        resample.budget_row("allocation prior", mix, F.percentile("total", 0.05), F.percentile("total", 0.95)),
-        resample.budget_row("tie order", tie_total, F.min(x), F.max(x)),
-        resample.budget_row("speckle", noise, F.percentile("total", 0.05), F.percentile("total", 0.95))]
-    return resample.uncertainty_budget(total, rows)
+    plots = materialise(budget_plots(t))
+    other = plots.select("plot_id", F.when(F.col("weight") < 40, F.col("cls")).otherwise("PROMO").alias("cls"))
+    return resample.sources_of(plots, other, "axis", CUT_PRIOR, CUT_LABELS, ALL_REF, rollup.prior_sigma(log_ratios(t)), NOISES, TIES)
 
 
 @query("rank_sensitivity", f"""SELECT scenario, total, half_width, row_number() OVER (ORDER BY half_width DESC, scenario) AS place FROM (SELECT *, abs(total - max(total) FILTER (scenario = 'all') OVER ()) AS half_width
