@@ -91,7 +91,8 @@ class Model:
         rows, langs, scores = self.rows, [], []
         for text in texts:
             found = words(text)
-            if not found or not self.langs:
+            # Numeric signs like a half are word characters and no letters.
+            if not self.langs or not any(c.isalpha() for w in found for c in w):
                 langs.append("und")
                 scores.append(0.0)
                 continue

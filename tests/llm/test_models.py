@@ -279,6 +279,13 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_signs_are_no_letters(spark):
+    rows = spark.createDataFrame([(1, "½ ² ①"), (2, "½ day"), (3, "12 --")], "doc_id long, text string")
+    learn = spark.createDataFrame([("en", "a day in the sun"), ("de", "ein tag am meer")], "lang string, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(rows, langid.train(learn)).collect()}
+    assert got[1] == got[3] == "und" and got[2] == "en"
+
+
 def test_language_of_odd_rows(odd):
     got = langid.identify(odd, langid.train(odd)).collect()
     assert len(got) == odd.count() and {r.doc_id for r in got} == {r.doc_id for r in odd.collect()}
