@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.operators.ordered import join_stats, null_safe_join
+from fieldspark.operators.ordered import around, join_stats, null_safe_join
 
 
 def backtest_frame(obs: DataFrame, labels: DataFrame, key: str = "plot_id",
@@ -56,28 +56,33 @@ def nearest_date(targets: DataFrame, dates: DataFrame, target: str = "target", d
                  by: Sequence[str] = (), after: str | None = None) -> DataFrame:
     """Closest available date for each target date; equal distances take the earlier date.
 
-    Distinct days per series are bounded by the calendar, so the search runs on distinct days:
-    the last available day at or before a target and the first one after it.  ``after`` names a
-    column of ``targets``; only strictly later dates then qualify.
+    An as-of join: dates and distinct targets are ordered together, and each target sees the last
+    date up to it and the first one after it. No series is gathered, whatever its number of days.
+    ``after`` names a column of ``targets``; only strictly later dates then qualify. Null targets,
+    null values of ``after`` and series without a date get null; null dates are ignored.
     """
     by = list(by)
-    have = dates.select(*by, F.col(date).alias("_d")).distinct()
-    extra = [after] if after else []
-    want = targets.select(*by, target, *extra).distinct()
-    # A bounded calendar of days per series: sorted array, searched per distinct target.
-    calendar = have.groupBy(*by).agg(F.sort_array(F.collect_set("_d")).alias("_days"))
-    paired = null_safe_join(want, calendar, by, "left")
-    days = F.col("_days")
+    keys = [target, *([after] if after else [])]
+    low = F.col(target)
     if after:
-        days = F.filter(days, lambda x: x > F.col(after))
-    before = F.array_max(F.filter(days, lambda x: x <= F.col(target)))
-    later = F.array_min(F.filter(days, lambda x: x > F.col(target)))
-    gap_b = F.datediff(F.col(target), before)
-    gap_l = F.datediff(later, F.col(target))
-    best = F.when(before.isNull(), later).when(later.isNull(), before).otherwise(
-        F.when(gap_b <= gap_l, before).otherwise(later))
-    found = paired.withColumn("nearest", best).drop("_days")
-    return join_stats(targets, found, [*by, target, *extra])
+        low = F.when(F.col(target).isNotNull() & F.col(after).isNotNull(), F.greatest(target, after))
+    # One probe looks back from the target, one ahead from what a later date must exceed.
+    probe = F.explode(F.array(F.struct(F.col(target).alias("at"), F.lit(1).alias("kind")),
+                              F.struct(low.alias("at"), F.lit(2).alias("kind"))))
+    want = targets.select(*by, *keys).distinct().withColumn("_p", probe).select(
+        *by, *keys, F.col("_p.at").alias("_at"), F.col("_p.kind").alias("_kind"))
+    have = dates.select(*by, F.col(date).alias("_at")).where("_at is not null").distinct().select(
+        *by, "_at", F.lit(0).alias("_kind"), F.col("_at").alias("_d"))
+    both = want.where("_at is not null").unionByName(have, allowMissingColumns=True)
+    seen = around(both, by, ["_at", "_kind", *keys], "_d", "_before", "_later").where("_kind > 0")
+    pair = seen.groupBy(*by, *keys).agg(F.max(F.when(F.col("_kind") == 1, F.col("_before"))).alias("_before"),
+                                        F.max(F.when(F.col("_kind") == 2, F.col("_later"))).alias("_later"))
+    if after:
+        pair = pair.withColumn("_before", F.when(F.col("_before") > F.col(after), F.col("_before")))
+    gap_b = F.datediff(F.col(target), F.col("_before"))
+    gap_l = F.datediff(F.col("_later"), F.col(target))
+    best = F.when(F.col("_later").isNull() | (gap_b <= gap_l), F.col("_before")).otherwise(F.col("_later"))
+    return join_stats(targets, pair.select(*by, *keys, best.alias("nearest")), [*by, *keys])
 
 
 def lookback(events: DataFrame, daily: DataFrame, n: int, day: str = "d", value: str = "v",
@@ -137,11 +142,11 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: in
         F.col("rank_in_group") <= k)
 
 
-def resample_nearest(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
-    """Value of the coarse cell that holds each fine cell centre."""
+def resample_nearest(coarse: DataFrame, fine: DataFrame, factor: int, by: Sequence[str] = ()) -> DataFrame:
+    """Value of the coarse cell that holds each fine cell centre, within the same ``by``."""
     keyed = fine.withColumns({"_cr": F.floor(F.col("r") / factor), "_cc": F.floor(F.col("c") / factor)})
-    src = coarse.select(F.col("r").alias("_cr"), F.col("c").alias("_cc"), "value")
-    return keyed.join(src, ["_cr", "_cc"], "left").drop("_cr", "_cc")
+    src = coarse.select(*by, F.col("r").alias("_cr"), F.col("c").alias("_cc"), "value")
+    return keyed.join(src, [*by, "_cr", "_cc"], "left").drop("_cr", "_cc")
 
 
 CORNERS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -180,18 +185,18 @@ def bilinear(value: str) -> Column:
     return F.try_divide(num, den)
 
 
-def resample_bilinear(coarse: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
-    """Bilinear value at each fine cell centre from the four nearest coarse centres."""
-    pos = with_dual_position(fine.select("r", "c"), factor)
-    hit = pos.join(dual_cells(coarse.select("r", "c", "value"), ["value"]), ["_y0", "_x0"], "left")
-    return hit.select("r", "c", bilinear("value").alias("value"))
+def resample_bilinear(coarse: DataFrame, fine: DataFrame, factor: int, by: Sequence[str] = ()) -> DataFrame:
+    """Bilinear value at each fine cell centre from the four nearest coarse centres of its ``by``."""
+    pos = with_dual_position(fine.select(*by, "r", "c"), factor)
+    hit = pos.join(dual_cells(coarse.select(*by, "r", "c", "value"), ["value"], by), [*by, "_y0", "_x0"], "left")
+    return hit.select(*by, "r", "c", bilinear("value").alias("value"))
 
 
-def resample_mask(mask: DataFrame, fine: DataFrame, factor: int) -> DataFrame:
+def resample_mask(mask: DataFrame, fine: DataFrame, factor: int, by: Sequence[str] = ()) -> DataFrame:
     """Boolean mask carried to the fine grid by bilinear weights and cut at one half."""
-    as_value = mask.select("r", "c", F.col("valid").cast("double").alias("value"))
-    return resample_bilinear(as_value, fine, factor).select(
-        "r", "c", (F.coalesce("value", F.lit(0.0)) > 0.5).alias("valid"))
+    as_value = mask.select(*by, "r", "c", F.col("valid").cast("double").alias("value"))
+    return resample_bilinear(as_value, fine, factor, by).select(
+        *by, "r", "c", (F.coalesce("value", F.lit(0.0)) > 0.5).alias("valid"))
 
 
 def carry_index(index: DataFrame, labels: DataFrame, factor: int,

@@ -1,6 +1,7 @@
 """Ordered operators that never gather a group into one task.
 
 * ``running_sums``: running totals over a global or per-group order (two-level prefix sum).
+* ``around``: the last value up to each row and the first one after it.
 * ``average_rank``: rank with ties averaged.
 * ``quantiles``: exact, linearly interpolated quantiles.
 * ``share_cut``: ordered allocation by cumulative weight share.
@@ -80,6 +81,29 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str],
                .drop("_range", *[f"_o_{n}" for n in names], *[f"_x_{n}" for n in names]))
 
 
+def around(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, before: str, later: str) -> DataFrame:
+    """Adds the last non-null ``value`` up to each row and the first one after it, in ``order``
+    within ``by``; along the order ``value`` may not fall.
+
+    Ranges are searched on their own; one row per range and group carries what lies beyond a
+    range's edges, so a group of any length spans as many ranges as it needs.
+    """
+    by, order = list(by), list(order)
+    ranged = materialise(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    upto = Window.unboundedPreceding
+    ends = ranged.groupBy("_range", *by).agg(F.max(value).alias("_hi"), F.min(value).alias("_lo"))
+    group = Window.partitionBy(*by)
+    ends = ends.select("_range", *by,
+                       F.max("_hi").over(group.orderBy("_range").rowsBetween(upto, -1)).alias("_ob"),
+                       F.min("_lo").over(group.orderBy(F.desc("_range")).rowsBetween(upto, -1)).alias("_ol"))
+    local = Window.partitionBy("_range", *by)
+    found = ranged.withColumns({
+        before: F.max(value).over(local.orderBy(*order).rowsBetween(upto, 0)),
+        later: F.min(value).over(local.orderBy(*[F.desc_nulls_last(c) for c in order]).rowsBetween(upto, -1))})
+    out = join_stats(found, ends, ["_range", *by], "inner")
+    return out.withColumns({before: F.coalesce(before, "_ob"), later: F.coalesce(later, "_ol")}).drop("_range", "_ob", "_ol")
+
+
 def average_rank(df: DataFrame, column: str, by: Sequence[str] = (), rank: str = "avg_rank",
                  weight: Column | None = None) -> DataFrame:
     """Average-tie rank of ``column`` within ``by``; null values get a null rank.

@@ -143,14 +143,16 @@ def _(t):
     return knn.knn_join(q, d, 8, exclude_self=True)
 
 
-@query("nearest_date", f"""SELECT source, target, arg_min(d, (abs(date_diff('day', target, d)), d)) AS nearest FROM
-(SELECT DISTINCT event_type AS source, ts::DATE AS target FROM events) t JOIN
-(SELECT DISTINCT event_type AS source, ts::DATE AS d FROM events WHERE value > 480) a USING (source) GROUP BY 1, 2""")
+# Every user is asked for the same six days; all days with any event of the user are offered.
+TARGET_DAYS = (3, 8, 13, 18, 23, 28)
+
+
+@query("nearest_date", f"""SELECT source, target, arg_min(d, (abs(date_diff('day', target, d)), d)) AS nearest FROM (SELECT DISTINCT user_id AS source, ts::DATE AS d FROM events) a,
+(SELECT DATE '2024-01-01' + (unnest([{", ".join(map(str, TARGET_DAYS))}]) - 1)::INTEGER AS target) t GROUP BY 1, 2""")
 def _(t):
-    day = F.to_date("ts")
-    want = t.events.select(F.col("event_type").alias("source"), day.alias("target")).distinct()
-    have = t.events.where("value > 480").select(F.col("event_type").alias("source"), day.alias("d"))
-    return joins.nearest_date(want, have, by=["source"]).where("nearest is not null")
+    have = t.events.select(F.col("user_id").alias("source"), F.to_date("ts").alias("d"))
+    days = F.explode(F.array(*[F.date_add(F.to_date(F.lit("2024-01-01")), d - 1) for d in TARGET_DAYS]))
+    return joins.nearest_date(have.select("source").distinct().select("source", days.alias("target")), have, by=["source"])
 
 
 # Every day with events is an event day of its type.
@@ -169,28 +171,28 @@ def _(t):
 
 
 # Whole values, so that weights of a hundredth never put a mean on a rounding edge.
-COARSE = f"SELECT r, c, floor(value) AS value FROM ({B.GRID}) g WHERE pass = 1996"
+COARSE = f"SELECT pass, r, c, floor(value) AS value FROM ({B.GRID}) g"
 
 
 def coarse_fine(t):
-    coarse = B.grid(t).where("pass = 1996").select("r", "c", F.floor("value").cast("double").alias("value"))
-    fine = coarse.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), "r", "c").select(
-        (F.col("r") * 10 + F.col("i")).alias("r"), F.explode(F.sequence(F.col("c") * 10, F.col("c") * 10 + 9)).alias("c"))
+    coarse = B.grid(t).select("pass", "r", "c", F.floor("value").cast("double").alias("value"))
+    fine = coarse.select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), "pass", "r", "c").select(
+        "pass", (F.col("r") * 10 + F.col("i")).alias("r"), F.explode(F.sequence(F.col("c") * 10, F.col("c") * 10 + 9)).alias("c"))
     return coarse, fine
 
 
-FINE = f"SELECT r * 10 + i AS r, c * 10 + j AS c FROM ({COARSE}) k, (SELECT unnest(range(10)) AS i) a, (SELECT unnest(range(10)) AS j) b"
+FINE = f"SELECT pass, r * 10 + i AS r, c * 10 + j AS c FROM ({COARSE}) k, (SELECT unnest(range(10)) AS i) a, (SELECT unnest(range(10)) AS j) b"
 
 
-@query("resample_grid", f"""SELECT f.r, f.c, n.value AS nearest, f.bilinear FROM (SELECT r, c, sum(w * value) / sum(w) FILTER (value IS NOT NULL) AS bilinear FROM
-(SELECT p.r, p.c, k.value, (CASE WHEN a.i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b.j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
-FROM (SELECT r, c, (r + 0.5) / 10.0::DOUBLE - 0.5 AS y, (c + 0.5) / 10.0::DOUBLE - 0.5 AS x FROM ({FINE}) f) p, (SELECT unnest(range(2)) AS i) a, (SELECT unnest(range(2)) AS j) b
-LEFT JOIN ({COARSE}) k ON k.r = floor(y) + a.i AND k.c = floor(x) + b.j) z GROUP BY 1, 2) f JOIN ({COARSE}) n ON n.r = f.r // 10 AND n.c = f.c // 10""",
+@query("resample_grid", f"""SELECT f.pass, f.r, f.c, n.value AS nearest, f.bilinear FROM (SELECT pass, r, c, sum(w * value) / sum(w) FILTER (value IS NOT NULL) AS bilinear FROM
+(SELECT p.pass, p.r, p.c, k.value, (CASE WHEN a.i = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b.j = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
+FROM (SELECT pass, r, c, (r + 0.5) / 10.0::DOUBLE - 0.5 AS y, (c + 0.5) / 10.0::DOUBLE - 0.5 AS x FROM ({FINE}) f) p, (SELECT unnest(range(2)) AS i) a, (SELECT unnest(range(2)) AS j) b
+LEFT JOIN ({COARSE}) k ON k.pass = p.pass AND k.r = floor(y) + a.i AND k.c = floor(x) + b.j) z GROUP BY 1, 2, 3) f JOIN ({COARSE}) n ON n.pass = f.pass AND n.r = f.r // 10 AND n.c = f.c // 10""",
        f="nearest bilinear")
 def _(t):
     coarse, fine = coarse_fine(t)
-    near = joins.resample_nearest(coarse, fine, 10).withColumnRenamed("value", "nearest")
-    return near.join(joins.resample_bilinear(coarse, fine, 10).withColumnRenamed("value", "bilinear"), ["r", "c"])
+    near = joins.resample_nearest(coarse, fine, 10, ["pass"]).withColumnRenamed("value", "nearest")
+    return near.join(joins.resample_bilinear(coarse, fine, 10, ["pass"]).withColumnRenamed("value", "bilinear"), ["pass", "r", "c"])
 
 
 @query("scenario_cross", f"SELECT p.plot_id, s.scenario, value * s.k AS value FROM ({B.PLOTS}) p, (VALUES ('low', 0.9), ('shipped', 1.0), ('high', 1.1)) s(scenario, k)", f="value")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import numpy as np
 import pytest
@@ -367,6 +368,39 @@ def test_nearest_date_prefers_the_earlier(spark):
     assert one(joins.nearest_date(t, d, after="floor")).nearest == date(2025, 1, 12)
 
 
+def test_nearest_date_against_brute_force(spark):
+    day = lambda k: None if k is None else date(2025, 1, 1) + timedelta(k)
+    rng = random.Random(3)
+    have = [(s, rng.randrange(40)) for s in (None, "a", "a", "a", "b") for _ in range(6)] + [("c", None)]
+    want = [(s, rng.choice([None, *range(45)]), rng.choice([None, *range(45)])) for s in (None, "a", "b", "c", "d") for _ in range(25)]
+    d = spark.createDataFrame([(s, day(k)) for s, k in have], "s string, d date")
+    t = spark.createDataFrame([(i, s, day(a), day(b)) for i, (s, a, b) in enumerate(want)], "i int, s string, target date, low date")
+    for after in (None, "low"):
+        got = {r.i: r.nearest for r in joins.nearest_date(t, d, by=["s"], after=after).collect()}
+        for i, (s, a, b) in enumerate(want):
+            fit = [k for z, k in have if z == s and k is not None and (after is None or (b is not None and k > b))]
+            best = min(fit, key=lambda k: (abs(k - a), k)) if fit and a is not None else None
+            assert got[i] == day(best), (i, s, a, b)
+    assert joins.nearest_date(t, d.limit(0), by=["s"]).where("nearest is not null").isEmpty()
+
+
+def test_nearest_date_of_a_million_days(spark):
+    start = F.to_date(F.lit("0001-01-01"))
+    d = spark.range(0, 3_000_000, 3).select(F.date_add(start, F.col("id").cast("int")).alias("d"))
+    t = spark.range(0, 2_999_990, 1499).select("id", F.date_add(start, F.col("id").cast("int")).alias("target"))
+    off = F.datediff("nearest", start) - 3 * F.round(F.col("id") / 3)
+    assert joins.nearest_date(t, d).agg(F.sum(F.abs(off)), F.count("nearest")).first()[:] == (0, t.count())
+
+
+def test_resamplers_keep_passes_apart(spark):
+    src = spark.createDataFrame([(p, 0, 0, float(p)) for p in (1, 2)], "pass int, r int, c int, value double")
+    fine = src.selectExpr("pass", "explode(array(0, 1)) AS r", "c")
+    near = joins.resample_nearest(src, fine, 2, ["pass"])
+    flat = joins.resample_bilinear(src, fine, 2, ["pass"])
+    for out in (near, flat):
+        assert sorted((r["pass"], r.r, r.value) for r in out.collect()) == [(1, 0, 1.0), (1, 1, 1.0), (2, 0, 2.0), (2, 1, 2.0)]
+
+
 def test_copies_give_one_row_each(spark):
     p = spark.createDataFrame([(i, 5, 1.0) for i in range(50)] + [(99, 6, 1.0)], "code long, n long, total double")
     got = joins.duplicate_inputs(p, "code", ["n", "total"]).collect()

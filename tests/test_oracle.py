@@ -9,7 +9,7 @@ from fieldspark.plans import ORACLE, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # At this scale the SQL itself gives no rows for these.
-EMPTY = {"grid_window_filter", "nearest_date", "best_by_group"}
+EMPTY = {"grid_window_filter", "best_by_group"}
 
 
 @pytest.fixture(scope="module")
