@@ -238,8 +238,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     slim = classes.select("cid", F.posexplode("bands").alias("band", "h"))
     shared = slim.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = materialise(slim.join(shared, ["band", "h"]))
-    copies = dealt(members.join(classes.select("cid", "n", "bands"), "cid"), block)
-    slots = max(1, math.ceil(copies.select("cid").count() / SLOT_ROWS))
+    # Only the bands before a unit's own are read there.
+    earlier = F.slice("bands", F.lit(1), F.col("band"))
+    copies = dealt(members.join(classes.select("cid", "n", "bands"), "cid").withColumn("bands", earlier), block)
+    dealt_rows = members.agg(F.sum(F.ceil(F.col("m") / block))).first()[0] or 0
+    slots = max(1, math.ceil(dealt_rows / SLOT_ROWS))
     slot = F.pmod(F.xxhash64("band", "h", "i", "j"), F.lit(slots))
     wanted = materialise(copies.withColumn("slot", slot).groupBy("slot").applyInPandas(
         useful, "band int, h long, i long, j long, own long, cid long, n long"))
@@ -263,7 +266,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     size = wanted.agg(F.sum("n")).first()[0] or 0
     slots = max(1, math.ceil(8 * size / SLOT_BYTES))
     slot = F.pmod(F.xxhash64("band", "h", "i", "j"), F.lit(slots))
-    edges = materialise(wanted.drop("n").join(full, "cid").withColumn("slot", slot).groupBy("slot").applyInPandas(
+    edges = materialise(wanted.drop("n").join(full, "cid").withColumn("bands", earlier).withColumn("slot", slot).groupBy("slot").applyInPandas(
         verified(similarity), "kind int, a long, b long"))
     groups = components(edges.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")))
     counts = edges.where("kind = 1").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("others"))
@@ -290,9 +293,29 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> D
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs``, all columns, with one row of each component: its least in key and text."""
-    classes, _ = join(docs, key, text, **how)
-    firsts = classes.select(F.col("first_id").alias("_f_id"), F.col("first_tk").alias("_f_tk")).distinct()
+    """``docs``, all columns, with one row of each component: its least in key and text.
+
+    Rows that stay do not move. Those that go, and those that share key and text with another row,
+    are marked in a bounded filter; what it catches is joined exactly.
+    """
+    classes, members = join(docs, key, text, **how)
+    stays = F.col("id").eqNullSafe(F.col("first_id")) & (F.col("tk") == F.col("first_tk"))
+    seen = members.join(classes.select("cls", "first_id", "first_tk"), "cls").groupBy("id", "tk").agg(
+        F.count(F.lit(1)).alias("n"), F.first(stays).alias("_stays")).where("n > 1 OR NOT _stays")
+    doubtful = materialise(seen.select(F.col("id").alias("_f_id"), F.col("tk").alias("_f_tk"), "_stays"))
+    marks = marked(doubtful.select(F.xxhash64("_f_id", "_f_tk").alias("tk")))
     rows = docs.withColumns({"_f_id": F.col(key), "_f_tk": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    kept = null_safe_join(rows, materialise(firsts), ["_f_id", "_f_tk"])
-    return kept.dropDuplicates(["_f_id", "_f_tk"]).drop("_f_id", "_f_tk")
+    rows = rows.withColumn("_f_mark", F.xxhash64("_f_id", "_f_tk"))
+
+    def those(caught: bool) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+            for batch in batches:
+                at = batch.schema.get_field_index("_f_mark")
+                hit = maybe(batch.column(at).to_numpy(zero_copy_only=False), marks)
+                yield batch.filter(pa.array(hit == caught))
+        return rows.mapInArrow(run, rows.schema)
+
+    exact = null_safe_join(those(True), doubtful, ["_f_id", "_f_tk"], "left").where(F.coalesce("_stays", F.lit(True)))
+    return those(False).select(*docs.columns).unionByName(
+        exact.dropDuplicates(["_f_id", "_f_tk"]).select(*docs.columns))

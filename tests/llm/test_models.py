@@ -372,3 +372,13 @@ def test_a_voter_that_repeats_another_counts_less():
 def test_every_document_has_a_result(spark, name):
     out = QUERIES[name](spark, FOLDER)
     assert out.select("doc_id").distinct().count() == docs(spark).count()
+
+
+def test_one_of_each_keeps_every_column_of_rows_that_share_key_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a", [1]), (1, long, "b", [2]), (2, long, "c", None), (3, "alone here", "d", [4]), (4, None, "e", [5]),
+            (None, "", "f", []), (None, long + " more", "g", [7]), (6, "alone too", None, [8])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tk string, cls array<int>")
+    got = ngram_join.one_of_each(frame).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "4", "6"]
+    assert all(tuple(r) in [tuple(x) for x in rows] for r in got)
