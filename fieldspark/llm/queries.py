@@ -37,7 +37,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     model = secrets.train(secrets.labelled_runs(texts).union(secrets.generated(spark)))
-    found = secrets.find_secrets(docs, "text", model)
+    found = secrets.find_secrets(docs, "text", model, rate=secrets.RATE)
     n = [F.expr(f"cast(size(filter(secrets, s -> s.kind = {i})) as bigint)").alias(f"n_{k}")
          for i, k in enumerate(secrets.KINDS[:3])]
     return found.select("doc_id", *n, F.sha2(F.expr(secrets.span_text("secrets", 3)), 256).alias("base_sha256"),

@@ -28,7 +28,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
 STATES = len(ALPHABET) + 1          # state 0 is the start of a run
 RUN_LEAST = 20
-THRESHOLD = 12.0                    # nats of evidence for a random string
+THRESHOLD = 12.0                    # nats of evidence for a random string, at least
+RATE = 2.25                         # and as many per character with samples out of a corpus
+RULED = "=-_+/"                     # signs that ruled lines repeat
 SMOOTHING = 0.5                     # of the characters' own frequencies
 PRIOR = 4.0                         # transitions that these count for in each state
 GENERATED = 3000                    # random strings of each alphabet among the labelled samples
@@ -94,33 +96,50 @@ def train(samples: DataFrame) -> DataFrame:
     return materialise(cell.agg(F.expr("transform(array_sort(collect_list(struct(t, x))), e -> e.x)").alias("ratio")))
 
 
-def generated(spark: SparkSession, each: int = GENERATED) -> DataFrame:
-    """Random strings in hexadecimal, base 64 and capital letters with digits."""
+def generated(spark: SparkSession, each: int = GENERATED, seed: str = "sample") -> DataFrame:
+    """Random strings in hexadecimal, base 64, mixed letters and digits, and capital letters with
+    digits."""
     ids = spark.range(each)
-    h = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
+    h = F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
+    coded = F.base64(F.unhex(h))
     return ids.select(F.explode(F.array(
-        F.substring(h, 1, 40), F.rtrim(F.base64(F.unhex(h))),
-        F.translate(F.upper(F.substring(F.base64(F.unhex(h)), 1, 24)), "+/=", "Q7Z"))).alias("run"),
+        F.substring(h, 1, 40), F.rtrim(coded), F.translate(F.substring(coded, 1, 32), "+/=", "k7Q"),
+        F.translate(F.upper(F.substring(coded, 1, 24)), "+/=", "Q7Z"))).alias("run"),
         F.lit(True).alias("random"))
 
 
 def labelled_runs(texts: DataFrame, least: int = RUN_LEAST) -> DataFrame:
-    """Labelled samples out of all ``texts``: values of the base rules are random, distinct runs
-    of letters, low lines and hyphens alone are ordinary identifiers."""
+    """Labelled samples out of all ``texts``: distinct values of the base rules are random. What the
+    base rules leave is ordinary where a run occurs twice or more and is either shorter than
+    ``least`` or has letters, low lines and hyphens only; it counts as written, in capitals, and
+    joined to itself as in a compound name and in a path.
+
+    Words are counted where they are read, so a word travels once per task."""
+    assign = _quoted(ASSIGN)
     values = F.expr(
-        f"CASE WHEN text RLIKE {_quoted(ASSIGN)} THEN filter(regexp_extract_all(text, {_quoted(ASSIGN)}, 2), v -> length(v) >= 16 AND v RLIKE '[0-9]') "
+        f"CASE WHEN text RLIKE {assign} THEN filter(regexp_extract_all(text, {assign}, 2), v -> length(v) >= 16 AND v RLIKE '[0-9]') "
         f"ELSE cast(array() as array<string>) END")
-    plain = F.expr(f"filter(regexp_extract_all(text, {_quoted(RUN % least)}, 0), v -> NOT v RLIKE '[0-9+/=]')")
+    plain = F.expr(f"CASE WHEN text RLIKE {assign} THEN regexp_replace(text, {assign}, ' ') ELSE text END")
+    words = F.filter(F.regexp_extract_all(plain, F.lit(RUN % 3), F.lit(0)),
+                     lambda w: (F.length(w) < least) | ~w.rlike("[0-9+/=]"))
     both = texts.select(F.explode(F.concat(
-        F.transform(values, lambda x: F.struct(F.translate(x, ".", "").alias("run"), F.lit(True).alias("random"))),
-        F.transform(plain, lambda x: F.struct(x.alias("run"), F.lit(False).alias("random"))))).alias("s"))
-    return both.select("s.run", "s.random").distinct()
+        F.transform(values, lambda v: F.struct(F.translate(v, ".", "").alias("run"), F.lit(True).alias("random"))),
+        F.transform(words, lambda w: F.struct(w.alias("run"), F.lit(False).alias("random"))))).alias("s"))
+    seen = both.groupBy("s.run", "s.random").agg(F.count(F.lit(1)).alias("n")).where("random OR n > 1")
+    # Ordinary runs join words by a capital or a slash; ruled lines repeat one sign.
+    joined = [F.concat("run", F.initcap("run")), F.concat_ws("/", "run", F.lower("run"))]
+    forms = F.when(F.col("random"), F.array("run")).otherwise(F.array_distinct(F.array("run", F.upper("run"), *joined)))
+    ruled = texts.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c * 64) for c in RULED])).alias("run"), F.lit(False).alias("random"))
+    return seen.select(F.explode(forms).alias("run"), "random").union(ruled)
 
 
 def find_secrets(docs: DataFrame, text: str, model: DataFrame, out: str = "secrets",
-                 least: int = RUN_LEAST, threshold: float = THRESHOLD) -> DataFrame:
+                 least: int = RUN_LEAST, threshold: float = THRESHOLD, rate: float = 0.0) -> DataFrame:
     """``docs`` with the array ``out`` of (start, kind, end) ordered by start and kind.
 
+    A run counts as random from ``threshold`` nats on and ``rate`` nats per character.
+
     Kinds 0 to 2 are the base rules, 3 the Markov models' own finds, which never overlap a base
     span: a run is cut at those, and every piece of ``least`` characters is scored. A null text counts as empty. Other columns pass through, whatever their names.
     """
@@ -139,7 +158,7 @@ def find_secrets(docs: DataFrame, text: str, model: DataFrame, out: str = "secre
     rows = rows.withColumn("_runs", F.expr(f"flatten(transform(_runs, r -> {pieces}))"))
     joined = null_safe_join(rows, model, [])
     score = (f"aggregate({steps('substring(text, cast(r.start + 1 as int), cast(r.end - r.start as int))')}, 0D, (a, t) -> a + ratio[t])")
-    own = F.expr(f"filter(_runs, r -> {score} >= {threshold}D)")
+    own = F.expr(f"filter(_runs, r -> {score} >= greatest({threshold}D, {rate}D * (r.end - r.start)))")
     none = F.size("_runs") == 0
     found = F.sort_array(F.when(none, F.col("_base")).otherwise(F.concat("_base", own)))
     return joined.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)], found.alias(out))

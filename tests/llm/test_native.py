@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
-import zlib  # noqa: F401
+import string
 
 import pytest
 import xxhash
@@ -79,6 +81,54 @@ def test_what_a_base_span_leaves_of_a_run_is_scored(spark):
     assert all("Zq8" not in got[i].new and "MzVy1" not in got[i].new for i in (1, 2))
 
 
+PLAIN = ["HTTPSCONNECTIONPOOLMANAGERS", "usr/local/share/python3/dist-packages", "internationalization_of_things",
+         "AbstractSingletonProxyFactoryBean", "getUserByIdAndNameOrderByDate", "2024-01-01_12-00-00_2024-02-03",
+         "configuration-management-tools", "https://example.com/en/index_of_all_pages", "=" * 40, "-" * 64, "a" * 30]
+
+
+def test_registered_scan_finds_planted_keys_and_leaves_plain_runs(spark, docs, tmp_path):
+    rng = random.Random(8)
+    signs = {"mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/",
+             "capitals": string.ascii_uppercase + string.digits}
+    keys = ["".join(rng.choice(v) for _ in range(n)) for v in signs.values() for n in (20, 24, 32, 40) for _ in range(10)]
+    keys += ["Zq8XvT2mPk0RbW7uYhJ4sLd9", "xK9fQ2vL7pW3nR8tY5uB1mC6zD4"]
+    planted = [(1_000_000 + i, f"see {k} there") for i, k in enumerate(keys)] + [(2_000_000 + i, f"see {k} there") for i, k in enumerate(PLAIN)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in QUERIES["op2_secrets"](spark, str(tmp_path)).collect()}
+    hit = sum(f"markov:4:{4 + len(k)}" in got[1_000_000 + i] for i, k in enumerate(keys))
+    assert hit >= 0.9 * len(keys)
+    assert [k for i, k in enumerate(PLAIN) if "markov" in got[2_000_000 + i]] == []
+    assert not [d for d, s in got.items() if d < 1_000_000 and "markov" in s]
+
+
+def test_ratio_against_counts_by_hand(spark):
+    rows = [("ab1Z", True), ("Zq9=", True), ("abab", False), ("ba_a", False), ("abab", False)]
+    ratio = secrets.train(spark.createDataFrame(rows, "run string, random boolean")).first().ratio
+    n = secrets.STATES
+
+    def chance(random_):
+        seen = [[0] * n for _ in range(n)]
+        for run, kind in rows:
+            codes = [secrets.ALPHABET.index(c) + 1 for c in run]
+            for a, b in zip([0, *codes], codes):
+                seen[a][b] += kind == random_
+        into = [sum(r[b] for r in seen) for b in range(n)]
+        low = [(x + secrets.SMOOTHING) / (sum(into) + secrets.SMOOTHING * n) for x in into]
+        return [[(seen[a][b] + secrets.PRIOR * low[b]) / (sum(seen[a]) + secrets.PRIOR) for b in range(n)] for a in range(n)]
+
+    hot, cold = chance(True), chance(False)
+    want = [math.log(hot[a][b] / cold[a][b]) for a in range(n) for b in range(n)]
+    assert ratio == pytest.approx(want, abs=1e-5)
+
+
+def test_labelled_runs(spark):
+    texts = [("config Config/x password=Ab3dEf6hIj9lMn2p",), ("config",), (None,), ("",)]
+    got = {(r.run, r.random) for r in secrets.labelled_runs(spark.createDataFrame(texts, "text string").union(
+        spark.createDataFrame([("config",)], "text string"))).collect() if len(r.run) < 64}
+    assert got == {("Ab3dEf6hIj9lMn2p", True), ("config", False), ("CONFIG", False), ("configConfig", False), ("config/config", False)}
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([("é token=\"0123456789abcdef01234567\" b",), ("clean",)], "text string")
     found = secrets.find_secrets(rows, "text", secrets.train(secrets.generated(spark)))
