@@ -40,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     without a secret stays as it is, a null text null."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     model = secrets.train(secrets.labelled_runs(texts).union(secrets.generated(spark)))
-    found = secrets.find_secrets(docs, "text", model, "_secrets")
+    found = secrets.find_secrets(docs, "text", model, "_secrets", rate=secrets.RATE)
     hit = F.size("_secrets") > 0
     new = F.when(hit, F.expr(secrets.redacted("text", "_secrets"))).otherwise(F.col("text"))
     out = found.withColumn("text", new)
