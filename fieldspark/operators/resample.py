@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
+from fieldspark.functions.expr import clip, lookup, nan_to_null
+from fieldspark.operators.draws import edge_products, permuted_arrays
 from fieldspark.operators.joins import swap_label, with_draws
-from fieldspark.functions.expr import clip, lookup
 from fieldspark.operators.ordered import (attach, cumulative_share, join_stats, null_safe_join,
                                           positions, prior_edges, quantiles, running_sums,
                                           share_label)
@@ -64,23 +67,28 @@ def block_bootstrap(df: DataFrame, a: str, b: str, draws: int = 999, size: float
 
 
 def permuted_values(points: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, plot_id, v): the values dealt again at random, once per draw.
+    """(draw, plot_id, v): the values dealt again at random, once per draw, as rows."""
+    def split(frames):
+        for f in frames:
+            yield pd.DataFrame({"plot_id": f["plot_id"], "v": [np.frombuffer(x) for x in f["vs"]]})
 
-    The plot at place i of the key order takes the value at place i of the hash order.
-    """
-    base = positions(points.select("plot_id", "v").where(F.col("v").isNotNull()), [], ["plot_id"], "_i")
-    h = rand.mix52(F.col("plot_id"), F.col("draw"), seed)
-    shuffled = positions(with_draws(points.select("plot_id", "v").where(F.col("v").isNotNull()), draws)
-                         .withColumn("_h", h), ["draw"], ["_h", "plot_id"], "_i")
-    return shuffled.select("draw", "_i", "v").join(base.select("_i", "plot_id"), "_i").select(
-        "draw", "plot_id", "v")
+    arrays = permuted_arrays(points, draws, seed)
+    kind = arrays.schema["plot_id"].dataType.simpleString()
+    return arrays.mapInPandas(split, f"plot_id {kind}, v array<double>").select(
+        "plot_id", F.posexplode("v").alias("draw", "v")).select("draw", "plot_id", "v")
 
 
 def permutation_morans(points: DataFrame, edges: DataFrame, draws: int = 999,
                        seed: int = 13) -> DataFrame:
     """Observed Moran's I, mean of the permuted ones, exceedances and the p value."""
+    edges = materialise(edges.select("plot_id", "donor_id", "w"))
     observed = morans_i(points.select("plot_id", "v"), edges)
-    null = morans_i(permuted_values(points, draws, seed), edges, ["draw"])
+    known = points.select("plot_id", nan_to_null(F.col("v").cast("double")).alias("v")).where("v is not null")
+    centred = materialise(attach(known, [], {"_m": F.avg("v")}).select("plot_id", (F.col("v") - F.col("_m")).alias("v")))
+    # A permutation moves the values only, so the sum of squares is the same in every draw.
+    squares = centred.agg(F.sum(F.col("v") * F.col("v")).alias("_den"))
+    sums = edge_products(permuted_arrays(centred, draws, seed), edges, draws)
+    null = null_safe_join(sums, squares, []).select(F.try_divide(F.col("s"), F.col("_den")).alias("morans_i"))
     j = null_safe_join(null.select(F.col("morans_i").alias("_null")),
                        observed.select(F.col("morans_i").alias("observed")), [])
     out = j.groupBy("observed").agg(F.avg("_null").alias("null_mean"),

@@ -9,7 +9,7 @@ from fieldspark.operators.ordered import null_safe_join
 from fieldspark.plans import bindings as B
 from fieldspark.plans import jobs
 from fieldspark.plans.q_aggregates import REF_PLOTS, class_years, order_days, ref_plots
-from fieldspark.plans.q_resample import DRAWS, FOLDS, RUNS, _PERM, drawn, poisson_sql, runs, uniform_sql
+from fieldspark.plans.q_resample import DRAWS, FOLDS, RUNS, drawn, perm_sql, poisson_sql, runs, uniform_sql
 from fieldspark.plans.q_scans import DRIFT, catalogue, drift
 from fieldspark.plans.q_series import (CLOSE, CUT_LABELS, CUT_PRIOR, HORIZON, PRED, SCORES, canopy, cut_sql,
                                        factor_sql, horizon, preds)
@@ -205,7 +205,7 @@ def _greater(g: str, v: str) -> str:
 
 
 _LOOK = f"SELECT abs(((azimuth - 318.4 + 90) - 180 * floor((azimuth - 318.4 + 90) / 180)) - 90) AS delta, cos(radians(2 * (azimuth - 318.4))) AS cos2, anomaly FROM ({VFRAME}) f WHERE elongation >= 1.5"
-_RP = _PERM.replace(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p", f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({_RES}) p")
+_RP = perm_sql(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({_RES}) p")
 _RSS = f"(SELECT var_pop(v) * count(*) FROM ({_RES}) q)"
 _OBS_I = f"(SELECT sum(a.v * e.w * b.v) / {_RSS} FROM ({EDGES}) e JOIN ({_RES}) a USING (plot_id) JOIN ({_RES}) b ON b.plot_id = e.donor_id)"
 VALIDATE = f"""SELECT 'reserved winner' AS test, winner AS item, m AS value FROM ({_TOP}) a UNION ALL SELECT 'named class against rest, p', '{NAMED}', CASE WHEN n1 >= 20 THEN p END FROM {_greater(f"cls = '{NAMED}'", 'reserved')} b

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
 from fieldspark.functions.expr import lookup
-from fieldspark.operators import cluster, ordered, resample, rollup, series, stats
+from fieldspark.operators import cluster, draws, ordered, resample, rollup, series, stats
 from fieldspark.plans import bindings as B
 from fieldspark.plans.q_aggregates import log_ratios
 from fieldspark.plans.q_series import (CUT_LABELS, CUT_PRIOR, PEAK, PRED, canopy, cut_sql, factor_sql, preds)
@@ -84,8 +84,23 @@ def _(t):
     return resample.block_bootstrap(B.points(t), "v", "b", draws=FOLDS)
 
 
-_PERM = f"""SELECT s.draw, i.plot_id, s.c FROM (SELECT draw, c, row_number() OVER (PARTITION BY draw ORDER BY h, plot_id) AS i FROM (SELECT *, {mix_sql('plot_id', 'draw', 13)} AS h FROM
-{drawn(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p", FOLDS)} a) b) s JOIN (SELECT plot_id, row_number() OVER (ORDER BY plot_id) AS i FROM ({B.POINTS}) p) i USING (i)"""
+def permuted_sql(placed: str, seed: int) -> str:
+    """``placed(draw, c, n, x)`` with x, a place 0..n-1, replaced by the place it goes to."""
+    for step in range(draws.ROUNDS):
+        mirror = f"SELECT draw, c, n, x, ({mix32_sql(str(step), 'draw', seed)} % n + n - x) % n AS y FROM ({placed}) m{step}"
+        bit = f"({mix32_sql('greatest(x, y)', 'draw', draws.round_seed(seed, step))} & 1)"
+        placed = f"SELECT draw, c, n, CASE WHEN {bit} = 1 THEN y ELSE x END AS x FROM ({mirror}) s{step}"
+    return placed
+
+
+def perm_sql(centred: str) -> str:
+    """(draw, plot_id, c): the centred values dealt again in every draw."""
+    placed = f"SELECT plot_id, c, count(*) OVER () AS n, row_number() OVER (ORDER BY plot_id, c) - 1 AS x FROM ({centred}) p"
+    moved = permuted_sql(f"SELECT draw, c, n, x FROM {drawn(placed, FOLDS)} d", 13)
+    return f"SELECT s.draw, i.plot_id, s.c FROM ({moved}) s JOIN ({placed}) i USING (x)"
+
+
+_PERM = perm_sql(f"SELECT plot_id, v - avg(v) OVER () AS c FROM ({B.POINTS}) p")
 _SS = f"(SELECT var_pop(v) * count(*) FROM ({B.POINTS}) q)"
 
 
