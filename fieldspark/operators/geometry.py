@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldspark.sources.stage import materialise
+
 ERODE_MAX = 4.0
 ERODE_FRACTION = 0.25
 
@@ -66,28 +68,37 @@ def orientation(plots: DataFrame, key: str = "plot_id") -> DataFrame:
                     F.when(ok & (small > 0), F.sqrt(F.try_divide(big, small))).alias("elongation"))
 
 
-def cells_in_polygons(plots: DataFrame, cell: float = 1.0, key: str = "plot_id") -> DataFrame:
-    """(plot_id, r, c) of cells whose centre is inside, by the even-odd rule along scan lines.
+def scan_lines(plots: DataFrame, cell: float, key: str) -> DataFrame:
+    """(plot_id, r, cs): for each row of cells that a plot reaches, the first column at or right of
+    every crossing, in order.
 
-    Every edge meets the rows it crosses; the sorted crossings of a row pair up into inside
-    spans. Work grows with edges crossed plus cells found, and a huge plot is split by row.
+    Row r has its centre at (r + 0.5) * cell; an edge covers low <= centre < high.
     """
     e = edges_of(plots, key).where(F.col("y1") != F.col("y2"))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    # Row r has its centre at (r + 0.5) * cell; an edge covers low <= centre < high.
     first = F.ceil(low / cell - 0.5)
     last = F.ceil(high / cell - 0.5) - 1
     rows = e.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("r"))
     y = (F.col("r") + 0.5) * cell
     x = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    line = rows.select(key, "r", x.alias("x")).groupBy(key, "r").agg(
-        F.sort_array(F.collect_list("x")).alias("xs"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("xs") / 2 - 1).cast("int")),
-                        lambda i: F.struct(F.col("xs")[i * 2].alias("a"), F.col("xs")[i * 2 + 1].alias("b")))
-    span = line.select(key, "r", F.explode(pairs).alias("s"))
-    c0 = F.ceil(F.col("s.a") / cell - 0.5)
-    c1 = F.ceil(F.col("s.b") / cell - 0.5) - 1
-    return span.where(c0 <= c1).select(key, "r", F.explode(F.sequence(c0, c1)).alias("c"))
+    return rows.select(key, "r", F.ceil(x / cell - 0.5).alias("c")).groupBy(key, "r").agg(
+        F.sort_array(F.collect_list("c")).alias("cs"))
+
+
+def cells_of_lines(lines: DataFrame, key: str) -> DataFrame:
+    spans = F.transform(F.sequence(F.lit(0), (F.size("cs") / 2 - 1).cast("int")),
+                        lambda i: F.struct(F.col("cs")[i * 2].alias("a"), (F.col("cs")[i * 2 + 1] - 1).alias("b")))
+    return lines.select(key, "r", F.explode(spans).alias("s")).where("s.a <= s.b").select(
+        key, "r", F.explode(F.sequence("s.a", "s.b")).alias("c"))
+
+
+def cells_in_polygons(plots: DataFrame, cell: float = 1.0, key: str = "plot_id") -> DataFrame:
+    """(plot_id, r, c) of cells whose centre is inside, by the even-odd rule along scan lines.
+
+    Every edge meets the rows it crosses; the sorted crossings of a row pair up into inside
+    spans. Work grows with edges crossed plus cells found, and a huge plot is split by row.
+    """
+    return cells_of_lines(scan_lines(plots, cell, key), key)
 
 
 def edge_distance(x: Column, y: Column) -> Column:
@@ -99,24 +110,67 @@ def edge_distance(x: Column, y: Column) -> Column:
     return F.sqrt(F.pow(x - (F.col("x1") + t * dx), 2) + F.pow(y - (F.col("y1") + t * dy), 2))
 
 
+# Left and right of all columns.
+FAR = 1 << 60
+
+
+def ruled_out(edges: DataFrame, cell: float, key: str) -> DataFrame:
+    """(plot_id, r, lo, hi): the columns of a row whose centres lie within ``erode`` of an edge.
+
+    Around an edge lie a disc at each end and a strip between them; together they are convex, so
+    a row cuts one interval out of them. Its ends come from the closed forms of the discs and the
+    strip's long sides, and the columns beside them are tested by their distance, so rounding
+    cannot move an end.
+    """
+    e, y = F.col("erode"), (F.col("r") + 0.5) * cell
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length = F.sqrt(dx * dx + dy * dy)
+    ends = []
+    for n in ("1", "2"):
+        up = y - F.col(f"y{n}")
+        half = F.when(F.abs(up) < e, F.sqrt(e * e - up * up))
+        ends += [F.col(f"x{n}") - half, F.col(f"x{n}") + half]
+    for side in (-1.0, 1.0):
+        ox, oy = F.try_divide(side * e * dy, length), F.try_divide(-side * e * dx, length)
+        t = F.try_divide(y - F.col("y1") - oy, dy)
+        ends.append(F.when(t.between(0.0, 1.0), F.col("x1") + ox + t * dx))
+    first = F.floor((F.least("y1", "y2") - e) / cell - 0.5)
+    last = F.ceil((F.greatest("y1", "y2") + e) / cell - 0.5)
+    rows = edges.select(key, "x1", "y1", "x2", "y2", "erode", F.explode(F.sequence(first, last)).alias("r"))
+    cut = rows.withColumns({"_a": F.least(*ends), "_b": F.greatest(*ends)}).where("_a is not null")
+    cut = cut.withColumns({"_a": F.ceil(F.col("_a") / cell - 0.5), "_b": F.floor(F.col("_b") / cell - 0.5)})
+
+    def near(c: Column) -> Column:
+        return edge_distance((c + 0.5) * cell, y) < e
+
+    lo, hi = F.col("_a"), F.col("_b")
+    return cut.select(key, "r", F.when(near(lo - 1), lo - 1).when(near(lo), lo).otherwise(lo + 1).alias("lo"),
+                      F.when(near(hi + 1), hi + 1).when(near(hi), hi).otherwise(hi - 1).alias("hi")).where("lo <= hi")
+
+
 def core_cells(plots: DataFrame, cell: float = 1.0, key: str = "plot_id") -> DataFrame:
     """Cells at least the erosion distance inside; a plot without such cells keeps them all.
 
-    Each edge only rules out cells of its own neighbourhood rows, so cells meet edges by
-    (plot, row) rather than by plot.
+    What lies outside a plot and what its edges rule out are intervals of a row. Sorted once, what
+    no interval covers is the core, so no row stands for a cell and an edge.
     """
-    inside = cells_in_polygons(plots, cell, key)
+    lines = materialise(scan_lines(plots, cell, key))
+    m = (F.size("cs") / 2).cast("int")
+    beyond = F.transform(F.sequence(F.lit(0), m), lambda i: F.struct(
+        F.when(i == 0, F.lit(-FAR)).otherwise(F.col("cs")[i * 2 - 1]).alias("lo"),
+        F.when(i == m, F.lit(FAR)).otherwise(F.col("cs")[i * 2] - 1).alias("hi")))
+    outside = lines.select(key, "r", F.explode(beyond).alias("s")).where("s.lo <= s.hi").select(key, "r", "s.lo", "s.hi")
     erode = polygon_measures(plots, key).select(key, "erode")
-    e = edges_of(plots, key).join(erode, key).where(F.col("erode") > 0)
-    first = F.floor((F.least("y1", "y2") - F.col("erode")) / cell - 0.5)
-    last = F.ceil((F.greatest("y1", "y2") + F.col("erode")) / cell - 0.5)
-    reach = e.select(key, "x1", "y1", "x2", "y2", "erode", F.explode(F.sequence(first, last)).alias("r"))
-    x, y = (F.col("c") + 0.5) * cell, (F.col("r") + 0.5) * cell
-    near = inside.join(reach, [key, "r"]).where(edge_distance(x, y) < F.col("erode")).select(
-        key, "r", "c").distinct()
-    core = inside.join(near, [key, "r", "c"], "left_anti")
-    with_core = core.select(key).distinct()
-    return core.unionByName(inside.join(with_core, key, "left_anti"))
+    edges = edges_of(plots, key).join(erode, key).where(F.col("erode") > 0)
+    every = outside.unionByName(ruled_out(edges, cell, key))
+    row = Window.partitionBy(key, "r").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    # A row that edges reach but no plot's line crosses has no far left, so nothing of it is free.
+    met = Window.partitionBy(key, "r")
+    free = every.withColumns({"_to": F.max("hi").over(row), "_left": F.min("lo").over(met)}).where(
+        (F.col("_left") == -FAR) & (F.col("_to") + 1 < F.col("lo")))
+    core = materialise(free.select(key, "r", (F.col("_to") + 1).alias("a"), (F.col("lo") - 1).alias("b")))
+    whole = lines.join(core.select(key).distinct(), key, "left_anti")
+    return core.select(key, "r", F.explode(F.sequence("a", "b")).alias("c")).unionByName(cells_of_lines(whole, key))
 
 
 def largest_overlap(plot_cells: DataFrame, region_cells: DataFrame, centroids: DataFrame,
