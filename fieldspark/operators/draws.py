@@ -6,16 +6,18 @@ those of ``functions.rand``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
 from fieldspark.functions.expr import nan_to_null
 from fieldspark.operators.ordered import null_safe_join, positions
+from fieldspark.operators.stats import MIN_PAIRS
 from fieldspark.sources.stage import materialise
 
 # Steps of a permutation; each pairs all places and swaps about half of the pairs.
@@ -122,3 +124,169 @@ def edge_products(arrays: DataFrame, edges: DataFrame, draws: int) -> DataFrame:
             yield pd.DataFrame({"draw": np.arange(draws), "s": total})
 
     return ends.mapInPandas(add, "draw int, s double").groupBy("draw").agg(F.sum("s").alias("s"))
+
+
+# Draws whose range totals meet in one group.
+LANE = 128
+# Chances of at most 0, 1, 2 ... copies, as ``rand.poisson1`` adds them up.
+COPIES = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(rand.POISSON_TERMS)])
+
+
+def copies(block: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each draw takes every row's block: rows by draws."""
+    blocks, at = np.unique(np.asarray(block), return_inverse=True)
+    row, draw = blocks[:, None], np.arange(draws)[None, :]
+    mix = mix32(row, draw, seed) * np.uint64(1 << 20) + (mix32(row, draw, seed + rand.LANE_STEP) >> np.uint64(12))
+    u = (mix.astype(np.float64) + 0.5) / float(1 << rand.BITS)
+    return np.searchsorted(COPIES, u, side="right").astype(np.float64)[at]
+
+
+def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(range, some of its rows) in the order they come."""
+    for whole in frames:
+        for r, f in whole.groupby("_range", sort=False):
+            for lo in range(0, len(f), CHUNK):
+                yield int(r), f.iloc[lo:lo + CHUNK]
+
+
+def range_ends(ordered: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Per range and lane of draws: least and greatest value, the weights of both, and of all."""
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None
+
+        def out() -> pd.DataFrame:
+            cut = [slice(lo, lo + LANE) for lo in range(0, draws, LANE)]
+            return pd.DataFrame({"_range": now, "lane": range(len(cut)), "first": first, "last": last,
+                                 **{n: [x[c].tobytes() for c in cut] for n, x in (("head", head), ("tail", tail), ("total", total))}})
+
+        for r, f in pieces(frames):
+            v, w = f["_v"].to_numpy(), copies(f["block"], draws, seed)
+            if r != now:
+                if now is not None:
+                    yield out()
+                now, first, last = r, v[0], None
+                head, tail, total = np.zeros(draws), np.zeros(draws), np.zeros(draws)
+            total = total + w.sum(0)
+            head = head + w[v == first].sum(0)
+            tail = w[v == v[-1]].sum(0) + (tail if v[-1] == last else 0.0)
+            last = v[-1]
+        if now is not None:
+            yield out()
+
+    return ordered.mapInPandas(scan, "_range int, lane int, first double, last double, head binary, tail binary, total binary")
+
+
+def range_starts(ends: pd.DataFrame) -> pd.DataFrame:
+    """What each range has to know of the others, for one lane: the weight before it, and for its
+    least and greatest value the weight below and at the value, which other ranges may hold too."""
+    ends = ends.sort_values("_range")
+    below, amount, rows, before = {}, {}, [], 0.0
+    for e in ends.itertuples():
+        head, tail, total = (np.frombuffer(x) for x in (e.head, e.tail, e.total))
+        rows.append((e, before + 0.0 * total))
+        below.setdefault(e.first, rows[-1][1])
+        amount[e.first] = amount.get(e.first, 0.0) + head
+        if e.last != e.first:
+            below[e.last], amount[e.last] = before + total - tail, tail
+        before = before + total
+    packed = [np.concatenate([b, below[e.first], amount[e.first], below[e.last], amount[e.last]]).tobytes() for e, b in rows]
+    return pd.DataFrame({"_range": ends["_range"], "lane": ends["lane"], "first": ends["first"], "last": ends["last"], "known": packed})
+
+
+def rank_arrays(rows: DataFrame, column: str, draws: int, seed: int, out: str) -> DataFrame:
+    """(_id, ``out``): the average rank of each row's value in every draw, as the bytes of doubles.
+
+    A row counts as often as the draw takes its ``block``. Rows are ordered once for all draws, over
+    ranges; a task runs through its ranges in order with one sum per draw. A value may fill many
+    ranges: its weights are added up from the ranges' ends.
+    """
+    order = ["_range", "_kind", "_v", "_id"]
+    ranged = materialise(rows.select("_id", "block", F.col(column).cast("double").alias("_v"))
+                         .repartitionByRange("_v", "_id").withColumn("_range", F.spark_partition_id()))
+    ranged = ranged.withColumn("_kind", F.lit(1))
+    ends = range_ends(ranged.repartition("_range").sortWithinPartitions(*order), draws, seed)
+    starts = ends.groupBy("lane").applyInPandas(range_starts, "_range int, lane int, first double, last double, known binary")
+    mixed = ranged.unionByName(starts.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+
+    def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, None
+
+        def emit(f: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal run
+            values, at = np.unique(f["_v"].to_numpy(), return_inverse=True)
+            n = np.zeros((len(values), draws))
+            for lo in range(0, len(f), CHUNK):
+                np.add.at(n, at[lo:lo + CHUNK], copies(f["block"].iloc[lo:lo + CHUNK], draws, seed))
+            upto = run + np.cumsum(n, axis=0)
+            below = upto - n
+            run = upto[-1]
+            for value, (b, m) in edge.items():
+                below[values == value], n[values == value] = b, m
+            ranks = below + (n + 1.0) / 2.0
+            for lo in range(0, len(f), CHUNK):
+                yield pd.DataFrame({"_id": f["_id"].iloc[lo:lo + CHUNK].astype("int64"),
+                                    out: [x.tobytes() for x in ranks[at[lo:lo + CHUNK]]]})
+
+        for r, f in pieces(frames):
+            if r != now:
+                if held is not None and len(held):
+                    yield from emit(held)
+                now, held, run = r, None, np.zeros(draws)
+                edge = {}
+            told = f[f["_kind"] == 0]
+            for t in told.itertuples():
+                known = np.frombuffer(t.known).reshape(5, -1)
+                lane = slice(int(t.lane) * LANE, int(t.lane) * LANE + known.shape[1])
+                run[lane] = known[0]
+                for value, b, m in ((t.first, known[1], known[2]), (t.last, known[3], known[4])):
+                    both = edge.setdefault(value, (np.zeros(draws), np.zeros(draws)))
+                    both[0][lane], both[1][lane] = b, m
+            f = f[f["_kind"] == 1]
+            if not len(f):
+                continue
+            f = f if held is None else pd.concat([held, f])
+            # The last value may go on in the next piece; the ends' values are known already.
+            v = f["_v"].to_numpy()
+            open_ = np.zeros(len(f), bool) if v[-1] in edge else v == v[-1]
+            held = f[open_] if open_.any() else None
+            if not open_.all():
+                yield from emit(f[~open_])
+        if held is not None and len(held):
+            yield from emit(held)
+
+    return mixed.repartition("_range").sortWithinPartitions(*order).mapInPandas(rank, f"_id long, {out} binary")
+
+
+def block_rhos(rows: DataFrame, a: str, b: str, draws: int, seed: int) -> DataFrame:
+    """(draw, rho): Spearman's correlation of each draw of whole blocks, rows (a, b, block).
+
+    Every row meets its two arrays of ranks once; a task sends six sums per draw.
+    """
+    staged = materialise(rows.select(a, b, "block").withColumn("_id", F.monotonically_increasing_id()))
+    both = (staged.select("_id", "block").join(rank_arrays(staged, a, draws, seed, "_ra"), "_id")
+            .join(rank_arrays(staged, b, draws, seed, "_rb"), "_id").select("block", "_ra", "_rb"))
+    sized = null_safe_join(both, staged.agg(((F.count(F.lit(1)) + 1) / 2.0).alias("_mid")), [])
+    names = ["w", "wa", "wb", "waa", "wbb", "wab"]
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, seen = np.zeros((6, draws)), False
+        for whole in frames:
+            for lo in range(0, len(whole), CHUNK):
+                f, seen = whole.iloc[lo:lo + CHUNK], True
+                w, mid = copies(f["block"], draws, seed), float(f["_mid"].iloc[0])
+                x, y = (np.frombuffer(b"".join(f[c])).reshape(len(f), draws) - mid for c in ("_ra", "_rb"))
+                sums += [w.sum(0), (w * x).sum(0), (w * y).sum(0), (w * x * x).sum(0), (w * y * y).sum(0), (w * x * y).sum(0)]
+        if seen:
+            yield pd.DataFrame({"draw": np.arange(draws), **dict(zip(names, sums))})
+
+    s = sized.mapInPandas(add, "draw int, " + ", ".join(f"{n} double" for n in names)).groupBy("draw").agg(
+        *[F.sum(n).alias(n) for n in names])
+
+    def spread(p: str, q: str, pq: str) -> Column:
+        return F.col("w") * F.col(pq) - F.col(p) * F.col(q)
+
+    def root(p: str) -> Column:
+        return F.sqrt(F.greatest(spread(f"w{p}", f"w{p}", f"w{p}{p}"), F.lit(0.0)))
+
+    rho = F.try_divide(spread("wa", "wb", "wab"), root("a") * root("b"))
+    return s.select("draw", F.when(F.col("w") >= MIN_PAIRS, rho).alias("rho"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
 from fieldspark.functions.expr import clip, lookup, nan_to_null
-from fieldspark.operators.draws import edge_products, permuted_arrays
+from fieldspark.operators.draws import block_rhos, edge_products, permuted_arrays
 from fieldspark.operators.joins import swap_label, with_draws
 from fieldspark.operators.ordered import (attach, cumulative_share, join_stats, null_safe_join,
                                           positions, prior_edges, quantiles, running_sums,
@@ -48,15 +48,15 @@ def block_bootstrap(df: DataFrame, a: str, b: str, draws: int = 999, size: float
                     seed: int = 12) -> DataFrame:
     """Rank correlation with an interval from resampling whole map cells.
 
-    A cell's resampling weight counts all its plots that often, so copies are never written out.
+    A cell's resampling weight counts all its plots that often, so copies are never written out,
+    and plots are ordered once for all draws.
     """
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("x").isNotNull()
                  & F.col("y").isNotNull())
     d = materialise(d.select("plot_id", a, b, (F.floor(F.col("x") / size) * 100000
                                                + F.floor(F.col("y") / size)).alias("block")))
-    drawn = with_draws(d, draws).withColumn("_u", rand.uniform(F.col("block"), F.col("draw"), seed))
-    drawn = drawn.where(F.col("_u") >= rand.POISSON_NONE).withColumn("_w", rand.poisson1(F.col("_u")))
-    rho = spearman(drawn, a, b, ["draw"], weight=F.col("_w"))
+    known = d.where(nan_to_null(F.col(a).cast("double")).isNotNull() & nan_to_null(F.col(b).cast("double")).isNotNull())
+    rho = block_rhos(known, a, b, draws, seed)
     ends = over_draws(rho, "rho", {"lo": 0.025, "hi": 0.975})
     blocks = d.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
     sizes = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("_n").alias("n"))
