@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldspark.operators.lineage import derived_from
 from fieldspark.operators.ordered import null_safe_join
 
 
@@ -116,14 +117,16 @@ def grid_gate(cells: DataFrame) -> DataFrame:
 
 def reserved_gate(df: DataFrame, reserved: Sequence[str], consumer: str,
                   allowed: Sequence[str]) -> DataFrame:
-    """Reserved columns a consumer can see, with how many values they expose.
+    """How many values of each reserved column, renamed or computed ones too, a consumer can see.
 
-    An allowed consumer gives zero; any other consumer must not have the columns at all.
+    An allowed consumer gives zero; any other consumer must not have anything of the columns.
     """
-    seen = [c for c in reserved if c in df.columns]
-    open_ = consumer in allowed
-    return df.agg(*[(F.lit(0).cast("long") if open_ or c not in seen
-                     else F.count(F.col(c))).alias(f"{c}_exposed") for c in reserved])
+    if consumer in allowed:
+        return df.agg(*[F.lit(0).cast("long").alias(f"{c}_exposed") for c in reserved])
+    held = derived_from(df, reserved)
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return numbered.agg(*[sum((F.count(F.col(f"_{i}")) for i in held[c]), F.lit(0).cast("long")).alias(f"{c}_exposed")
+                          for c in reserved])
 
 
 def stage_gates(*gates: DataFrame) -> DataFrame:
