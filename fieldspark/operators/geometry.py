@@ -176,7 +176,12 @@ def core_cells(plots: DataFrame, cell: float = 1.0, key: str = "plot_id") -> Dat
 def largest_overlap(plot_cells: DataFrame, region_cells: DataFrame, centroids: DataFrame,
                     cell: float = 1.0, key: str = "plot_id") -> DataFrame:
     """Region sharing most cells with each plot (ties to the largest name); a plot that shares
-    none goes by its centroid cell, else stays unassigned."""
+    none goes by its centroid cell, else stays unassigned.
+
+    Both tables of cells are shuffled: exploded cells are many more rows than their size estimate
+    says, so a broadcast would gather a whole table in the driver.
+    """
+    region_cells = region_cells.hint("merge")
     share = plot_cells.join(region_cells, ["r", "c"]).groupBy(key, "region").agg(
         F.count(F.lit(1)).alias("n"))
     best = share.groupBy(key).agg(F.max(F.struct("n", "region")).alias("_b"))
