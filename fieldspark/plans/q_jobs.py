@@ -139,7 +139,7 @@ FROM ({factor_sql('season_integral', f"SELECT * FROM ({CLOSE}) c WHERE season_in
 
 
 def forecast(t):
-    full = series.complete_on(canopy(t), 3)
+    full = series.complete_on(canopy(t).where("departure is not null"), 3)
     return jobs.job_forecast(full, B.plots(t), B.CALENDAR, B.REFERENCE, WIDE_BANDS)
 
 

@@ -11,7 +11,7 @@ from fieldspark.functions.expr import lookup
 from fieldspark.operators import cluster, draws, ordered, resample, rollup, series, stats
 from fieldspark.plans import bindings as B
 from fieldspark.plans.q_aggregates import log_ratios
-from fieldspark.plans.q_series import (CUT_LABELS, CUT_PRIOR, PEAK, PRED, canopy, cut_sql, factor_sql, preds)
+from fieldspark.plans.q_series import (CUT_LABELS, CUT_PRIOR, PEAK, PRED, canopy_signal, cut_sql, factor_sql, preds)
 from fieldspark.plans.q_stats import EDGES, spearman_sql
 from fieldspark.sources.stage import materialise
 from fieldspark.plans.registry import query
@@ -171,7 +171,7 @@ def _(t):
 @query("episode_sweep", f"""SELECT level, count(*) FILTER (peak_v >= level) AS with_episode, count(*) FILTER (peak_v < level) AS without, avg(coalesce((c > 0.8)::INTEGER, 0)) AS over_08, avg(coalesce((c < 0.2)::INTEGER, 0)) AS under_02, median(c) AS median_cleared FROM
 (SELECT *, CASE WHEN peak_v >= level THEN greatest(0, least(1, 1 - end_v / nullif(peak_v, 0))) END AS c FROM ({PEAK}) p, (VALUES (0.25::DOUBLE), (0.5), (1.0)) l(level) WHERE peak_v IS NOT NULL) q GROUP BY 1""", f="level over_08 under_02 median_cleared")
 def _(t):
-    return resample.episode_sweep(series.peak(canopy(t)).where("peak_v is not null"), (0.25, 0.5, 1.0))
+    return resample.episode_sweep(series.peak(canopy_signal(t)).where("peak_v is not null"), (0.25, 0.5, 1.0))
 
 
 SPANS = (0.0, 0.15, 0.20, 0.30, 0.45)
