@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
 from fieldspark.functions.expr import clip, lookup, nan_to_null
+from fieldspark.operators.classdraws import Matrices, class_totals, normal
 from fieldspark.operators.draws import block_rhos, edge_products, permuted_arrays
 from fieldspark.operators.joins import swap_label, with_draws
 from fieldspark.operators.ordered import (attach, cumulative_share, join_stats, null_safe_join,
@@ -161,11 +162,20 @@ SPECKLE_DB = 4.34
 def noise_draws(plots: DataFrame, draws: int = 1000, span: float = 0.30, seed: int = 15) -> DataFrame:
     """(draw, total): every plot's integral disturbed by its own speckle, recentred, summed."""
     sd = SPECKLE_DB / F.sqrt(F.greatest(F.col("cells"), F.lit(1.0)))
-    d = with_draws(plots.select("plot_id", "cls", "x", "cells", "reference", "weight"), draws)
-    d = d.withColumn("x", F.col("x") + sd * rand.normal(F.col("plot_id"), F.col("draw"), seed))
-    f = centred_factor(d, "x", ["draw", "cls"], span)
-    return f.groupBy("draw").agg(
-        F.sum(F.col("reference") * F.col("factor") * F.col("weight")).alias("total"))
+    names = materialise(plots.groupBy("cls").agg(F.count(F.lit(1)).alias("_n")))
+    numbered = positions(names.select("cls"), [], ["cls"], "_k")
+    rows = join_stats(plots.select("plot_id", "cls", F.col("x").cast("double").alias("x"), sd.alias("sd"), "reference", "weight"),
+                      numbered, ["cls"], "inner")
+    rows = materialise(rows.select("plot_id", (F.col("_k") - 1).alias("k"), "x", "sd",
+                                   (F.col("reference") * F.col("weight")).cast("double").alias("rw")))
+
+    def spread(f: pd.DataFrame, draw: np.ndarray) -> Matrices:
+        k, x, sd, rw = (f[c].to_numpy()[:, None] for c in ("k", "x", "sd", "rw"))
+        return k, x + sd * normal(f["plot_id"].to_numpy()[:, None], draw[None, :], seed), rw, rw
+
+    if not (classes := names.count()):
+        return rows.select(F.lit(0).alias("draw"), F.col("x").alias("total"))
+    return class_totals(rows, spread, classes, draws, span).select("draw", "total")
 
 
 def class_total(df: DataFrame, span: float, by: Sequence[str] = ()) -> DataFrame:
@@ -183,17 +193,21 @@ def prior_draws(plots: DataFrame, axis: str, prior: Sequence[float], labels: Seq
     moves the edges they are compared with.
     """
     cut = cumulative_share(plots.select("plot_id", axis, "weight", "x"), axis, "plot_id", "weight")
-    cut = materialise(null_safe_join(cut, sigma, []))
-    d = with_draws(cut, draws)
-    moved = [F.lit(float(p)) * F.exp(F.col("sigma") * rand.normal(F.lit(i + 1), F.col("draw"), seed))
-             for i, p in enumerate(prior)]
-    d = d.withColumn("cls", share_label(F.col("cum_share"), prior_edges(moved), labels))
-    d = d.withColumn("reference", lookup(F.col("cls"), reference, "reference"))
-    f = centred_factor(d, "x", ["draw", "cls"], span)
-    w = F.col("weight")
-    return f.groupBy("draw").agg(
-        F.sum(F.col("reference") * F.col("factor") * w).alias("total"),
-        *[F.sum(F.when(F.col("cls") == x, w).otherwise(0)).alias(f"weight_{x}") for x in labels])
+    cut = materialise(null_safe_join(cut, sigma, []).select(
+        *[F.col(c).cast("double").alias(c) for c in ("cum_share", "weight", "x", "sigma")]))
+    worth = np.array([float(reference[x]) for x in labels])
+
+    def spread(f: pd.DataFrame, draw: np.ndarray) -> Matrices:
+        share, w, x = (f[c].to_numpy()[:, None] for c in ("cum_share", "weight", "x"))
+        moved = [p * np.exp(f["sigma"].iloc[0] * normal(np.uint64(i + 1), draw, seed)) for i, p in enumerate(prior)]
+        edge, k = 0.0, np.zeros((len(f), len(draw)), np.int64)
+        for p in moved[:-1]:
+            edge = edge + p / sum(moved)
+            k += share > edge
+        return k, x, worth[k] * w, w
+
+    out = class_totals(cut, spread, len(labels), draws, span)
+    return out.select("draw", "total", *[F.col("w")[i].alias(f"weight_{x}") for i, x in enumerate(labels)])
 
 
 def threshold_sweep(df: DataFrame, column: str, levels: Sequence[float],
