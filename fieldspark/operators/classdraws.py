@@ -8,7 +8,7 @@ draws; they decide how much is sent, not what is found.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from fieldspark.operators.draws import mix32
 
 # Bins of a class, draws that place them, and draws whose counts or values meet in one group.
 BINS, PILOTS, LANE = 256, 8, 16
+TIE_BINS = 256
 # Numbers of a matrix that a task holds at once.
 CELLS = 1 << 19
 PROBS = (0.05, 0.5, 0.95)
@@ -28,10 +29,15 @@ PROBS = (0.05, 0.5, 0.95)
 Matrices = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
+def mix52(row: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
+    """``rand.mix52`` on arrays."""
+    mix = mix32(row, draw, seed) * np.uint64(1 << 20) + (mix32(row, draw, seed + rand.LANE_STEP) >> np.uint64(12))
+    return mix.astype(np.int64)
+
+
 def uniform(row: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
     """``rand.uniform`` on arrays."""
-    mix = mix32(row, draw, seed) * np.uint64(1 << 20) + (mix32(row, draw, seed + rand.LANE_STEP) >> np.uint64(12))
-    return (mix.astype(np.float64) + 0.5) / float(1 << rand.BITS)
+    return (mix52(row, draw, seed).astype(np.float64) + 0.5) / float(1 << rand.BITS)
 
 
 def normal(row: np.ndarray, draw: np.ndarray, seed: int) -> np.ndarray:
@@ -184,3 +190,83 @@ def class_totals(rows: DataFrame, spread: Callable[[pd.DataFrame, np.ndarray], M
 
     s = rows.mapInPandas(add, "draw int, total double, w array<double>").groupBy("draw")
     return s.agg(F.sum("total").alias("total"), F.array(*[F.sum(F.col("w")[k]) for k in range(classes)]).alias("w"))
+
+
+def class_weights(rows: DataFrame, spread: Callable[[pd.DataFrame, np.ndarray], Matrices], classes: int, draws: int) -> DataFrame:
+    """(draw, k, w, n): each class's weight and number of plots in every draw."""
+    every = np.arange(draws)
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weight, n = np.zeros((classes, draws)), np.zeros((classes, draws), np.int64)
+        for f in chunks(frames, draws):
+            c, _, _, w = spread(f, every)
+            for k in range(classes):
+                weight[k] += (np.nan_to_num(w) * (c == k)).sum(0)
+                n[k] += (c == k).sum(0)
+        if n.any():
+            yield pd.DataFrame({"draw": np.tile(every, classes), "k": np.repeat(np.arange(classes), draws), "w": weight.ravel(), "n": n.ravel()})
+
+    return rows.mapInPandas(add, "draw int, k int, w double, n long").groupBy("draw", "k").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+
+
+def first_beyond(rows: DataFrame, runs: Mapping[int, tuple[float, float]], ends: Sequence[float], draws: int, seed: int) -> np.ndarray:
+    """Per run, edge and draw the first (h, id) whose share of the weight lies beyond the edge.
+
+    ``rows(plot_id, run, _pw)`` are ordered by ``mix52`` and plot_id in every draw; ``runs`` gives the
+    weight before a run and that of all rows. Weights are added up by bins of h; only rows of a bin
+    that an edge falls into are sent and put in order.
+    """
+    none = np.iinfo(np.int64).max
+    out = np.full((max(len(runs), 1), len(ends), draws), none, dtype=[("h", np.int64), ("id", np.int64)])
+    out["id"] = none
+    if not runs:
+        return out
+    every, width, n_runs = np.arange(draws), TIE_BINS, len(runs)
+    shift = np.int64(rand.BITS - width.bit_length() + 1)
+    before, total = (np.array([runs[i][j] for i in range(n_runs)]) for j in (0, 1))
+
+    def numbers(f: pd.DataFrame) -> np.ndarray:
+        return mix52(f["plot_id"].to_numpy()[:, None], every[None, :], seed)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = np.zeros(n_runs * draws * width)
+        for f in chunks(frames, draws):
+            at = (f["run"].to_numpy()[:, None] * draws + every) * width + (numbers(f) >> shift)
+            w += np.bincount(at.ravel(), weights=np.repeat(np.nan_to_num(f["_pw"].to_numpy()), draws), minlength=len(w))
+        if w.any():
+            yield pd.DataFrame({"lane": every, "w": [x.tobytes() for x in np.moveaxis(w.reshape(n_runs, draws, width), 1, 0)]})
+
+    def bracket(sent: pd.DataFrame) -> pd.DataFrame:
+        w = sum(np.frombuffer(b) for b in sent["w"]).reshape(n_runs, width)
+        upto = np.cumsum(w, axis=1) + before[:, None]
+        share = upto / total[:, None]
+        # A bin early, so that another order of adding up cannot matter.
+        at = np.stack([np.maximum((share <= e).sum(1) - 1, 0) for e in ends], axis=1)
+        start = np.take_along_axis(np.concatenate([before[:, None], upto], axis=1), at, 1)
+        return pd.DataFrame({"lane": sent["lane"].iloc[:1], "at": [at.astype(np.float64).tobytes()], "start": [start.tobytes()]})
+
+    at, start = np.zeros((2, n_runs, len(ends), draws))
+    for r in rows.mapInPandas(count, "lane int, w binary").groupBy("lane").applyInPandas(bracket, "lane int, at binary, start binary").collect():
+        at[:, :, r["lane"]] = np.frombuffer(r["at"]).reshape(n_runs, -1)
+        start[:, :, r["lane"]] = np.frombuffer(r["start"]).reshape(n_runs, -1)
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in chunks(frames, draws):
+            h, run = numbers(f), f["run"].to_numpy()
+            for e in range(len(ends)):
+                bin_, first = h >> shift, at[run, e]
+                r, d = np.nonzero((bin_ >= first) & (bin_ <= first + 2))
+                yield pd.DataFrame({"run": run[r], "e": e, "draw": d, "h": h[r, d], "id": f["plot_id"].to_numpy()[r], "w": f["_pw"].to_numpy()[r]})
+
+    def pick(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["h", "id"])
+        run, e, d = (int(f[c].iloc[0]) for c in ("run", "e", "draw"))
+        share = (start[run, e, d] + np.cumsum(np.nan_to_num(f["w"].to_numpy()))) / total[run]
+        over = np.flatnonzero(share > ends[e])
+        return f.iloc[over[:1]][["run", "e", "draw", "h", "id"]]
+
+    sent = rows.mapInPandas(send, "run int, e int, draw int, h long, id long, w double")
+    got = sent.groupBy("run", "e", "draw").applyInPandas(pick, "run int, e int, draw int, h long, id long").toPandas()
+    for c in ("h", "id"):
+        out[c][got["run"], got["e"], got["draw"]] = got[c]
+    return out

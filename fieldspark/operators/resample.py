@@ -7,7 +7,7 @@ statistic allows it.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import rand
 from fieldspark.functions.expr import clip, lookup, nan_to_null
-from fieldspark.operators.classdraws import Matrices, class_totals, normal
+from fieldspark.operators.classdraws import Matrices, class_totals, class_weights, first_beyond, mix52, normal
 from fieldspark.operators.draws import block_rhos, edge_products, permuted_arrays
 from fieldspark.operators.joins import swap_label, with_draws
 from fieldspark.operators.ordered import (attach, cumulative_share, join_stats, null_safe_join,
@@ -101,9 +101,13 @@ def permutation_morans(points: DataFrame, edges: DataFrame, draws: int = 999,
 
 
 def tie_parts(df: DataFrame, axis: str, weight: str, prior: Sequence[float], labels: Sequence[str],
-              draws: int, seed: int, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Runs of equal keys with their bucket, and (draw, bucket, _pw, carried) of the rows of runs that
-    straddle an edge, reordered at random in every draw. No other row can change its bucket."""
+              draws: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """Staged (plot_id, k, run, _pw, ...) of all rows, and per run of equal keys that straddles an edge,
+    edge and draw the first (number, plot_id) beyond the edge.
+
+    ``k`` is the label of a row whose run lies between edges; a row of run 0, 1, ... takes its label in
+    every draw by comparing its random number with those. No other row can change its label.
+    """
     runs = df.groupBy(axis).agg(F.sum(weight).cast("double").alias("_w"))
     runs = attach(runs, [], {"_total": F.sum("_w")})
     runs = running_sums(runs, [], [axis], {"_hi": F.col("_w")})
@@ -111,17 +115,47 @@ def tie_parts(df: DataFrame, axis: str, weight: str, prior: Sequence[float], lab
     hi = F.col("_hi") / F.col("_total")
     lo = (F.col("_hi") - F.col("_w")) / F.col("_total")
     crossed = sum((F.when((e > lo) & (e < hi), 1).otherwise(0) for e in edges), F.lit(0))
-    runs = materialise(runs.select(
-        axis, "_total", (F.col("_hi") - F.col("_w")).alias("_before"), "_w",
-        share_label(hi, edges, labels).alias("bucket"), (crossed > 0).alias("_split")))
-    split = runs.where("_split").select(axis, "_total", "_before")
-    moving = join_stats(df.select("plot_id", axis, F.col(weight).cast("double").alias("_pw"), *carry),
-                        split, [axis], "inner")
-    moving = with_draws(moving, draws).withColumn(
-        "_h", rand.mix52(F.col("plot_id"), F.col("draw"), seed))
-    cum = running_sums(moving, ["draw", axis], ["_h", "plot_id"], {"_c": F.col("_pw")})
-    share = (F.col("_before") + F.col("_c")) / F.col("_total")
-    return runs, cum.select("draw", share_label(share, edges, labels).alias("bucket"), "_pw", *carry)
+    first = F.when(crossed > 0, F.struct((F.col("_hi") - F.col("_w")).alias("before"), F.col("_total").alias("total"), F.col(axis).alias("axis")))
+    runs = materialise(runs.select(axis, sum((F.when(e < hi, 1).otherwise(0) for e in edges), F.lit(0)).alias("k"), first.alias("_s")))
+    # There are no more such runs than edges.
+    split = sorted((r["_s"] for r in runs.where("_s is not null").select("_s").collect()), key=lambda s: s["before"])
+    number = sum((F.when(F.col("_s.before") == s["before"], F.lit(i + 1)).otherwise(0) for i, s in enumerate(split)), F.lit(0)) - 1
+    placed = runs.select(axis, "k", number.cast("int").alias("run"))
+    kept = [c for c in df.columns if c not in (axis, weight, "plot_id")]
+    rows = materialise(join_stats(df.select("plot_id", axis, F.col(weight).cast("double").alias("_pw"), *kept), placed, [axis], "inner"))
+    ends, whole = [], sum(float(p) for p in prior)
+    for p in prior[:-1]:
+        ends.append(float(p) / whole if not ends else ends[-1] + float(p) / whole)
+    known = {i: (s["before"], s["total"]) for i, s in enumerate(split)}
+    moving = rows.where("run >= 0").select("plot_id", "run", "_pw")
+    return rows, first_beyond(moving, known, ends, draws, seed)
+
+
+def tie_labels(f: pd.DataFrame, draw: np.ndarray, beyond: np.ndarray, seed: int) -> np.ndarray:
+    """Label numbers, rows x draws."""
+    k = np.repeat(f["k"].to_numpy()[:, None], len(draw), axis=1).astype(np.int64)
+    run = f["run"].to_numpy()
+    moving = np.flatnonzero(run >= 0)
+    if len(moving):
+        plot = f["plot_id"].to_numpy()[moving][:, None]
+        h = mix52(plot, draw[None, :], seed)
+        first = beyond[run[moving]][:, :, draw]
+        k[moving] = sum(((h > first["h"][:, e]) | ((h == first["h"][:, e]) & (plot >= first["id"][:, e]))).astype(np.int64)
+                        for e in range(beyond.shape[1]))
+    return k
+
+
+def tie_matrices(axis: str, prior: Sequence[float], labels: Sequence[str], reference: Mapping[str, float],
+                 draws: int, seed: int, df: DataFrame, weight: str) -> tuple[DataFrame, Callable]:
+    rows, beyond = tie_parts(df, axis, weight, prior, labels, draws, seed)
+    worth = np.array([float(reference[x]) for x in labels])
+
+    def spread(f: pd.DataFrame, draw: np.ndarray) -> Matrices:
+        k, w = tie_labels(f, draw, beyond, seed), f["_pw"].to_numpy()[:, None]
+        x = f["x"].to_numpy()[:, None] if "x" in f else w
+        return k, x, worth[k] * w, w
+
+    return rows, spread
 
 
 def tie_permutation(df: DataFrame, axis: str, weight: str, prior: Sequence[float],
@@ -131,23 +165,21 @@ def tie_permutation(df: DataFrame, axis: str, weight: str, prior: Sequence[float
     Only runs of equal keys that straddle an edge can change; rows of all other runs are summed
     once and shared by every draw.
     """
-    runs, moving = tie_parts(df, axis, weight, prior, labels, draws, seed)
-    fixed = runs.where(~F.col("_split")).groupBy("bucket").agg(F.sum("_w").alias("_w"))
-    fixed = with_draws(fixed, draws)
-    moved = moving.groupBy("draw", "bucket").agg(F.sum("_pw").alias("_w"))
-    return (fixed.unionByName(moved).groupBy("draw", "bucket").agg(F.sum("_w").alias("weight")))
+    rows, spread = tie_matrices(axis, prior, labels, dict.fromkeys(labels, 1.0), draws, seed, df.select("plot_id", axis, weight), weight)
+    fixed = rows.where("run < 0").groupBy("k").agg(F.sum("_pw").alias("w"), F.count(F.lit(1)).alias("n"))
+    fixed = with_draws(fixed, draws).select("draw", "k", "w", "n")
+    moved = class_weights(rows.where("run >= 0"), spread, len(labels), draws)
+    both = fixed.unionByName(moved).groupBy("draw", "k").agg(F.sum("w").alias("weight"), F.sum("n").alias("n"))
+    return both.where("n > 0").select("draw", F.get(F.array(*[F.lit(x) for x in labels]), F.col("k")).alias("bucket"), "weight")
 
 
 def tie_totals(df: DataFrame, axis: str, prior: Sequence[float], labels: Sequence[str], reference: Mapping[str, float],
                draws: int = 200, span: float = 0.30, seed: int = 14) -> DataFrame:
     """(draw, total): the forecast of allocated rows (plot_id, ``axis``, weight, x) with exact ties
     reordered at random; classes are centred anew in every draw."""
-    runs, moving = tie_parts(df, axis, "weight", prior, labels, draws, seed, ["x"])
-    still = join_stats(df.select(axis, "weight", "x"), runs.where(~F.col("_split")).select(axis, "bucket"), [axis], "inner")
-    rows = with_draws(still.select("bucket", F.col("weight").cast("double").alias("_pw"), "x"), draws).unionByName(moving)
-    named = rows.select("draw", F.col("bucket").alias("cls"), F.col("_pw").alias("weight"), "x",
-                        lookup(F.col("bucket"), reference, "reference").alias("reference"))
-    return class_total(named, span, ["draw"])
+    plots = df.select("plot_id", axis, "weight", F.col("x").cast("double").alias("x"))
+    rows, spread = tie_matrices(axis, prior, labels, reference, draws, seed, plots, "weight")
+    return class_totals(rows, spread, len(labels), draws, span).select("draw", "total")
 
 
 def tie_spread(per_draw: DataFrame) -> DataFrame:

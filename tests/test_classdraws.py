@@ -40,3 +40,23 @@ def test_no_row_per_plot_and_draw(spark):
 
 def test_noise_of_no_plots(spark):
     assert resample.noise_draws(plots(spark).where("false"), 4).collect() == []
+
+
+def test_ties_take_no_row_per_draw(spark):
+    rows = [(i, float(i % 5), 1.0 + i % 3, float(i % 7)) for i in range(300)]
+    p = spark.createDataFrame(rows, "plot_id long, axis double, weight double, x double").repartition(3)
+    prior, labels = (0.22, 0.05, 0.73), ("u", "v", "w")
+    out = resample.tie_permutation(p, "axis", "weight", prior, labels, 30)
+    whole, want = sum(r[2] for r in rows), {}
+    with_h = {(r.plot_id, r.draw): r.h for r in with_draws(p, 30).select(
+        "plot_id", "draw", rand.mix52(F.col("plot_id"), F.col("draw"), 14).alias("h")).collect()}
+    for d in range(30):
+        upto = 0.0
+        for r in sorted(rows, key=lambda r: (r[1], with_h[r[0], d], r[0])):
+            upto += r[2]
+            k = labels[(upto / whole > 0.22) + (upto / whole > 0.22 + 0.05)]
+            want[d, k] = want.get((d, k), 0.0) + r[2]
+    assert {(r.draw, r.bucket): r.weight for r in out.collect()} == want
+    assert "repartitionbyexpression [draw" not in out._jdf.queryExecution().logical().toString().lower()
+    total = resample.tie_totals(p, "axis", prior, labels, {"u": 1.0, "v": 2.0, "w": 3.0}, 30)
+    assert "Generate explode" not in total._jdf.queryExecution().optimizedPlan().toString() and total.count() == 30
