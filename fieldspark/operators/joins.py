@@ -192,6 +192,36 @@ def resample_bilinear(coarse: DataFrame, fine: DataFrame, factor: int, by: Seque
     return hit.select(*by, "r", "c", bilinear("value").alias("value"))
 
 
+def refine(coarse: DataFrame, factor: int, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., r, c, nearest, bilinear) of every fine cell under a coarse one; a coarse cell comes once.
+
+    A coarse cell meets its eight neighbours and lays out its fine cells where it is, so only coarse
+    cells move. The values are those of ``resample_nearest`` and ``resample_bilinear``.
+    """
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in near]))
+    k = coarse.select(*by, "r", "c", "value", at.alias("_k"))
+
+    def from_(a: int, b: int) -> Column:
+        return (F.col("_k.dy") == a) & (F.col("_k.dx") == b)
+
+    met = k.groupBy(*by, (F.col("r") - F.col("_k.dy")).alias("_r"), (F.col("c") - F.col("_k.dx")).alias("_c")).agg(
+        F.max(from_(0, 0)).alias("_own"), *[F.max(F.when(from_(a, b), F.col("value"))).alias(f"_n{a + 1}{b + 1}") for a, b in near])
+    steps = F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))
+    fine = met.where("_own").select("*", steps.alias("_i")).select("*", steps.alias("_j")).withColumns(
+        {"r": F.col("_r") * factor + F.col("_i"), "c": F.col("_c") * factor + F.col("_j")})
+    pos = with_dual_position(fine, factor)
+    up, left = F.col("_y0") < F.col("_r"), F.col("_x0") < F.col("_c")
+
+    def corner(a: int, b: int) -> Column:
+        def n(i: int, j: int) -> Column:
+            return F.col(f"_n{i + a}{j + b}")
+        return F.when(up & left, n(0, 0)).when(up, n(0, 1)).when(left, n(1, 0)).otherwise(n(1, 1))
+
+    hit = pos.withColumns({f"_value{a}{b}": corner(a, b) for a, b in CORNERS})
+    return hit.select(*by, "r", "c", F.col("_n11").alias("nearest"), bilinear("value").alias("bilinear"))
+
+
 def resample_mask(mask: DataFrame, fine: DataFrame, factor: int, by: Sequence[str] = ()) -> DataFrame:
     """Boolean mask carried to the fine grid by bilinear weights and cut at one half."""
     as_value = mask.select(*by, "r", "c", F.col("valid").cast("double").alias("value"))
