@@ -23,6 +23,7 @@ from fieldspark.sources.stage import materialise
 DEEPEST = 44        # cells of 2^-44 of the extent: as fine as doubles can tell
 SCOUTS = 100_000    # cells looked at to choose the levels; the result does not depend on them
 CROWD = 16          # times the donors wanted, from which a cell is crowded
+SPOTS = 8192        # locations whose candidate pairs one task holds, on average
 
 
 def _cell(value: str, low: str, level: Column) -> Column:
@@ -103,6 +104,9 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, query_key: str = "qu
     used = block.select("_l").distinct()
     donors_at = laddered(d).join(used, "_l", "left_semi").select("_l", F.col("_cx").alias("_bx"), F.col("_cy").alias("_by"), "_d",
                                  F.col("x").alias("_px"), F.col("y").alias("_py"))
+    # Pairs are many more than what is shuffled for them, so tasks are dealt by locations, not by bytes.
+    if (tasks := -(-located.count() // SPOTS)) > 1:
+        block, donors_at = (side_.repartition(tasks, "_l", "_bx", "_by") for side_ in (block, donors_at))
     pairs = block.join(donors_at, ["_l", "_bx", "_by"]).select(
         "x", "y", "_d",
         F.sqrt(F.pow(F.col("x") - F.col("_px"), 2)
