@@ -2,12 +2,14 @@
 
 All fits (cluster counts, seeds, starts) advance together: each scan of the points updates every fit
 that has not settled, and a task sends one row of sums per fit and centre, whatever the number of
-points. So the number of jobs depends on the cluster count and on how long the slowest fit takes, not
-on how many fits there are; what the driver holds is the centres.
+points. So the number of jobs depends on the greatest cluster count and on how long the slowest fit
+takes, not on how many fits there are; what the driver holds is the centres. Points are dealt over
+all cores once, as their file may be too small for Spark to split while the work on it is not.
 
 Starts are drawn by squared distance, exactly and in parallel: every point races with an exponential
 time divided by its squared distance to the nearest centre so far, and the first one wins. Times are
-hashes of (key, seed, start, step), so neither partitions nor retries change a result.
+hashes of (key, seed, start, step), so neither partitions nor retries change a result. They do not
+depend on the cluster count, so the starts of a smaller count are the first of a larger one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,33 +26,40 @@ from fieldspark.sources.stage import materialise
 
 ROUNDS = 300
 SETTLED = 1e-10     # largest move of a centre, relative to its size, in a fit that has settled
-CELLS = 1 << 20     # distances that a task holds at once
+CELLS = 1 << 18     # points x fits that a task holds at once
+LANE = 16           # fits whose sums travel as one row
 
 
-def uniform(h: np.ndarray, stream: int) -> np.ndarray:
+def uniform(h: np.ndarray, stream: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) by hash of row and stream."""
     with np.errstate(over="ignore"):
-        x = h.astype(np.int64).view(np.uint64) + np.uint64((stream + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = h.astype(np.int64).view(np.uint64) + (np.asarray(stream, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x ^= x >> np.uint64(31)
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, points x fits x centres."""
-    fits, k, d = centres.shape
-    flat = centres.reshape(fits * k, d)
-    out = (x * x).sum(1)[:, None] - 2.0 * (x @ flat.T) + (flat * flat).sum(1)
-    return np.maximum(out, 0.0).reshape(len(x), fits, k)
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distance to the nearest centre and its number (the first of equals), points x fits."""
+    least = own = None
+    for j in range(centres.shape[1]):
+        c = centres[:, j]
+        far = (c * c).sum(1) - 2.0 * (x @ c.T)
+        if least is None:
+            least, own = far, np.zeros(far.shape, np.int16)
+        else:
+            own[far < least] = j
+            np.minimum(least, far, out=least)
+    return np.maximum(least + (x * x).sum(1)[:, None], 0.0), own
 
 
-def chunks(frames: Iterator[pd.DataFrame], width: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     rows = max(1, CELLS // max(width, 1))
-    for frame in frames:
-        for i in range(0, len(frame), rows):
-            part = frame.iloc[i:i + rows]
-            yield part, np.stack(part["x"].to_numpy())
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            yield part, part.column("x").flatten().to_numpy().reshape(part.num_rows, -1)
 
 
 def points_of(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
@@ -58,78 +68,101 @@ def points_of(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
         ok = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         whole = ok if whole is None else whole & ok
     rows = df.where(whole).select(F.col(key).alias("key"), F.xxhash64(key).alias("h"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    return materialise(rows)
+    spark = df.sparkSession
+    return materialise(rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
-def seeded(points: DataFrame, k: int, streams: np.ndarray) -> np.ndarray:
-    """Starting centres, fits x k x columns, of fits with these random streams."""
+def seeded(points: DataFrame, k: int, streams: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Starting centres, fits x k x columns, of fits with these random streams. ``counts`` may ask
+    for fewer than ``k`` of a fit; the others are zeros."""
+    counts = np.full(len(streams), k) if counts is None else counts
     centres: np.ndarray | None = None
     for step in range(k):
-        now = centres
-
-        def race(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict[int, tuple] = {}
-            for part, x in chunks(frames, len(streams) * max(step, 1)):
-                h = part["h"].to_numpy()
-                near = distances(x, now).min(2) if now is not None else None
-                for f, stream in enumerate(streams):
-                    time = -np.log(uniform(h, int(stream) + step))
-                    if near is not None:
-                        with np.errstate(divide="ignore"):
-                            time = time / near[:, f]
-                    i = int(np.argmin(time))
-                    got = (float(time[i]), int(h[i]), x[i])
-                    if f not in best or got[:2] < best[f][:2]:
-                        best[f] = got
-            if best:
-                yield pd.DataFrame([(f, t, h, x.tolist()) for f, (t, h, x) in best.items()], columns=["fit", "t", "h", "x"])
-
-        first = points.mapInPandas(race, "fit int, t double, h long, x array<double>").groupBy("fit").agg(F.min_by("x", F.struct("t", "h")).alias("x"))
+        open_ = np.flatnonzero(counts > step)
+        now = None if centres is None else centres[open_, :step]
+        salts = streams[open_].astype(np.uint64) + np.uint64(step)
+
+        def race(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            time, who, at = np.full(len(salts), np.inf), np.zeros(len(salts), np.int64), None
+            for part, x in chunks(batches, len(salts)):
+                h = part.column("h").to_numpy()
+                t = -np.log(uniform(h[:, None], salts[None, :]))
+                if now is not None:
+                    with np.errstate(divide="ignore"):
+                        t = t / nearest(x, now)[0]
+                first = t.argmin(0)
+                t, g = t[first, np.arange(len(salts))], h[first]
+                won = (t < time) | ((t == time) & (g < who))
+                if at is None:
+                    at, won = np.zeros((len(salts), x.shape[1])), np.ones(len(salts), bool)
+                time[won], who[won], at[won] = t[won], g[won], x[first[won]]
+            if at is not None:
+                yield pa.RecordBatch.from_pydict({"fit": pa.array(range(len(salts)), pa.int32()), "t": time, "h": who, "x": list(at)})
+
+        first = points.mapInArrow(race, "fit int, t double, h long, x array<double>").groupBy("fit").agg(F.min_by("x", F.struct("t", "h")).alias("x"))
         won = {r["fit"]: r["x"] for r in first.collect()}
         if not won:
             return np.zeros((len(streams), k, 0))
-        new = np.array([won[f] for f in range(len(streams))])[:, None, :]
-        centres = new if centres is None else np.concatenate([centres, new], axis=1)
+        new = np.array([won[f] for f in range(len(open_))])
+        if centres is None:
+            centres = np.zeros((len(streams), k, new.shape[1]))
+        centres[open_, step] = new
     return centres
 
 
 def settled(points: DataFrame, centres: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Centres after Lloyd's steps, and each fit's sum of squared distances to them."""
-    fits, k, d = centres.shape
-    centres, cost, open_ = centres.copy(), np.full(fits, np.inf), np.arange(fits)
-    sums = [f"s{i}" for i in range(d)]
+    return settled_groups(points, [centres], rounds)[0]
+
+
+def settled_groups(points: DataFrame, starts: Sequence[np.ndarray], rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``settled`` for groups of fits that differ in their cluster count; a scan serves them all."""
+    d = starts[0].shape[2]
+    centres = [c.copy() for c in starts]
+    cost = [np.full(len(c), np.inf) for c in starts]
+    open_ = [np.arange(len(c)) for c in starts]
+
+    def add(sent: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lane": sent["lane"].iloc[:1], "sums": [sum(np.frombuffer(x) for x in sent["sums"]).tobytes()]})
+
     for _ in range(rounds):
-        now = centres[open_]
-
-        def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            n, s, c = np.zeros(len(now) * k), np.zeros((len(now) * k, d)), np.zeros(len(now))
-            for _, x in chunks(frames, len(now) * k):
-                far = distances(x, now)
-                own = far.argmin(2)
-                c += far.min(2).sum(0)
-                one = np.zeros((len(x), len(now) * k))
-                one[np.arange(len(x))[:, None], own + np.arange(len(now)) * k] = 1.0
-                n += one.sum(0)
-                s += one.T @ x
-            out = pd.DataFrame(s, columns=sums)
-            out.insert(0, "cost", np.where(np.arange(len(n)) % k == 0, np.repeat(c, k), 0.0))
-            out.insert(0, "n", n)
-            out.insert(0, "at", np.arange(len(n)))
-            if n.any():
-                yield out
-
-        rows = points.mapInPandas(step, "at long, n double, cost double, " + ", ".join(f"{c} double" for c in sums))
-        got = rows.groupBy("at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(c).alias(c) for c in sums]).toArrow().to_pandas().sort_values("at")
-        n = got["n"].to_numpy().reshape(len(now), k)
-        mean = got[sums].to_numpy().reshape(len(now), k, d) / np.maximum(n, 1.0)[:, :, None]
-        new = np.where(n[:, :, None] > 0, mean, now)    # a centre without points stays where it is
-        cost[open_] = got["cost"].to_numpy().reshape(len(now), k).sum(1)
-        move = np.abs(new - now).max(axis=(1, 2)) > SETTLED * np.maximum(1.0, np.abs(now).max(axis=(1, 2)))
-        centres[open_] = new
-        open_ = open_[move]
-        if not len(open_):
+        now = [c[o] for c, o in zip(centres, open_)]
+        # (group, its fits) of every lane
+        lanes = [(g, slice(lo, lo + LANE)) for g, c in enumerate(now) for lo in range(0, len(c), LANE)]
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = [np.zeros((c.shape[1], len(c), d + 1)) for c in now]
+            paid, seen = [np.zeros(len(c)) for c in now], False
+            for part, x in chunks(batches, max(len(c) for c in now)):
+                one, seen = np.hstack([x, np.ones((len(x), 1))]), True
+                for c, t, p in zip(now, total, paid):
+                    if not len(c):
+                        continue
+                    least, own = nearest(x, c)
+                    p += least.sum(0)
+                    for j in range(c.shape[1]):
+                        t[j] += (own == j).astype(np.float64).T @ one
+            if seen:
+                yield pa.RecordBatch.from_pydict({
+                    "lane": pa.array(range(len(lanes)), pa.int32()),
+                    "sums": [np.concatenate([total[g][:, at].ravel(), paid[g][at]]).tobytes() for g, at in lanes]})
+
+        got = points.mapInArrow(step, "lane int, sums binary").groupBy("lane").applyInPandas(add, "lane int, sums binary").collect()
+        sums = {r["lane"]: np.frombuffer(r["sums"]) for r in got}
+        moved = [np.zeros(len(c), bool) for c in now]
+        for lane, (g, at) in enumerate(lanes):
+            c, fits = now[g][at], open_[g][at]
+            k = c.shape[1]
+            total = sums[lane][:-len(c)].reshape(k, len(c), d + 1).transpose(1, 0, 2)
+            n = total[:, :, d:]
+            new = np.where(n > 0, total[:, :, :d] / np.maximum(n, 1.0), c)      # a centre without points stays where it is
+            cost[g][fits] = sums[lane][-len(c):]
+            moved[g][at] = np.abs(new - c).max(axis=(1, 2)) > SETTLED * np.maximum(1.0, np.abs(c).max(axis=(1, 2)))
+            centres[g][fits] = new
+        open_ = [o[m] for o, m in zip(open_, moved)]
+        if not any(len(o) for o in open_):
             break
-    return centres, cost
+    return list(zip(centres, cost))
 
 
 def kmeans_grid(df: DataFrame, columns: Sequence[str], seeds: Mapping[int, Sequence[int]], inits: int = 10, key: str = "plot_id") -> DataFrame:
@@ -140,21 +173,28 @@ def kmeans_grid(df: DataFrame, columns: Sequence[str], seeds: Mapping[int, Seque
     leave some centres without points. An empty frame gives no rows.
     """
     points = points_of(df, columns, key)
-    chosen: list[tuple[int, int, np.ndarray]] = []
-    for k, wanted in seeds.items():
-        streams = np.array([(s * 1009 + i) * 4099 for s in wanted for i in range(inits)])
-        start = seeded(points, k, streams)
-        if not start.shape[2]:
-            break
-        centres, cost = settled(points, start)
-        for j, s in enumerate(wanted):
-            costs = [float(f"{c:.9g}") for c in cost[j * inits:(j + 1) * inits]]
-            chosen.append((k, s, centres[j * inits + int(np.argmin(costs))]))
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, x in chunks(frames, sum(k for k, _, _ in chosen)):
-            for k, s, c in chosen:
-                yield pd.DataFrame({"k": k, "seed": s, key: part["key"].to_numpy(), "cluster": distances(x, c[None])[:, 0].argmin(1)})
+    every = list(dict.fromkeys(s for wanted in seeds.values() for s in wanted))
+    most = np.repeat([max(k for k, wanted in seeds.items() if s in wanted) for s in every], inits)
+    streams = np.array([(s * 1009 + i) * 4099 for s in every for i in range(inits)])
+    start = seeded(points, int(most.max()), streams, most)
+    chosen: list[tuple[int, list[int], np.ndarray]] = []
+    if start.shape[2]:
+        fits = {k: np.array([every.index(s) * inits + i for s in wanted for i in range(inits)]) for k, wanted in seeds.items()}
+        done = settled_groups(points, [start[fits[k], :k] for k in seeds])
+        for (k, wanted), (centres, cost) in zip(seeds.items(), done):
+            best = []
+            for j in range(len(wanted)):
+                costs = [float(f"{c:.9g}") for c in cost[j * inits:(j + 1) * inits]]
+                best.append(centres[j * inits + int(np.argmin(costs))])
+            chosen.append((k, list(wanted), np.array(best)))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in chunks(batches, max([len(c) for _, _, c in chosen], default=1)):
+            for k, wanted, c in chosen:
+                own = nearest(x, c)[1]
+                for i, s in enumerate(wanted):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(np.full(len(x), s, np.int32)),
+                                                      part.column("key"), pa.array(own[:, i].astype(np.int32))], names=["k", "seed", key, "cluster"])
 
     kind = df.schema[key].dataType.simpleString()
-    return points.mapInPandas(assign, f"k int, seed int, `{key}` {kind}, cluster int")
+    return points.mapInArrow(assign, f"k int, seed int, `{key}` {kind}, cluster int")

@@ -82,3 +82,27 @@ def test_stability_equals_one_setting_at_a_time(spark):
         assert r.agreement == pytest.approx(sum(a[p][0] == b[p][0] for p in a) / len(a))
         assert r.n_sure == len(sure) and r.agreement_sure == pytest.approx(sum(a[p][0] == b[p][0] for p in sure) / len(sure))
     assert frame.where(F.col("screened")).count() > 0
+
+
+def test_a_small_file_is_dealt_over_the_cores(spark, data):
+    one = data.repartition(1)
+    points = kmeans.points_of(one, B.DIMS, "plot_id")
+    sizes = [r["n"] for r in points.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) <= sum(sizes) / 2
+
+
+def test_cluster_counts_share_their_scans(spark, data):
+    def scans_of(seeds):
+        group = f"counts-{len(seeds)}"
+        spark.sparkContext.setJobGroup(group, group)
+        grid = kmeans.kmeans_grid(data, B.DIMS, seeds, 2)
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n, {(r.k, r.seed, r.plot_id): r.cluster for r in grid.collect()}
+
+    alone = {k: scans_of({k: [0, 1]}) for k in (3, 5)}
+    n, got = scans_of({3: [0, 1], 5: [0, 1], 4: [1]})
+    assert n < alone[3][0] + alone[5][0]
+    for _, want in alone.values():
+        assert want.items() <= got.items()
+    assert {(k, s) for k, s, _ in got} == {(3, 0), (3, 1), (5, 0), (5, 1), (4, 1)}
