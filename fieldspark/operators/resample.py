@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import rand
 from fieldspark.functions.expr import clip, lookup, nan_to_null
 from fieldspark.operators.classdraws import Matrices, class_totals, class_weights, first_beyond, mix52, normal
-from fieldspark.operators.draws import block_rhos, edge_products, permuted_arrays
+from fieldspark.operators.draws import block_rhos, permuted_arrays, permuted_products
 from fieldspark.operators.joins import swap_label, with_draws
 from fieldspark.operators.ordered import (attach, cumulative_share, join_stats, null_safe_join,
                                           positions, prior_edges, quantiles, running_sums,
@@ -80,15 +80,18 @@ def permuted_values(points: DataFrame, draws: int, seed: int) -> DataFrame:
 
 
 def permutation_morans(points: DataFrame, edges: DataFrame, draws: int = 999,
-                       seed: int = 13) -> DataFrame:
-    """Observed Moran's I, mean of the permuted ones, exceedances and the p value."""
+                       seed: int = 13, where: DataFrame | None = None) -> DataFrame:
+    """Observed Moran's I, mean of the permuted ones, exceedances and the p value.
+
+    ``where(plot_id, x, y)`` keeps plots that are near each other together; it changes no result.
+    """
     edges = materialise(edges.select("plot_id", "donor_id", "w"))
     observed = morans_i(points.select("plot_id", "v"), edges)
     known = points.select("plot_id", nan_to_null(F.col("v").cast("double")).alias("v")).where("v is not null")
     centred = materialise(attach(known, [], {"_m": F.avg("v")}).select("plot_id", (F.col("v") - F.col("_m")).alias("v")))
     # A permutation moves the values only, so the sum of squares is the same in every draw.
     squares = centred.agg(F.sum(F.col("v") * F.col("v")).alias("_den"))
-    sums = edge_products(permuted_arrays(centred, draws, seed), edges, draws)
+    sums = permuted_products(centred, edges, draws, seed, where)
     null = null_safe_join(sums, squares, []).select(F.try_divide(F.col("s"), F.col("_den")).alias("morans_i"))
     j = null_safe_join(null.select(F.col("morans_i").alias("_null")),
                        observed.select(F.col("morans_i").alias("observed")), [])

@@ -210,7 +210,7 @@ def job_validate(frame: DataFrame, points: DataFrame, named: str, look: float, d
     resid = rollup.group_residual(frame, "value", ["cls"]).select("plot_id", F.col("residual").alias("v"))
     known = points.join(resid.where("v is not null").select("plot_id"), "plot_id", "left_semi")
     edges = materialise(stats.neighbour_weights(known))
-    rows.append(row(resample.permutation_morans(resid, edges, draws), "residual autocorrelation", F.col("shown"), "observed"))
+    rows.append(row(resample.permutation_morans(resid, edges, draws, where=points.select("plot_id", "x", "y")), "residual autocorrelation", F.col("shown"), "observed"))
     return rollup.stack(*rows)
 
 

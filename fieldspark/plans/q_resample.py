@@ -111,7 +111,7 @@ CASE WHEN count(*) FILTER (i >= observed) = 0 THEN 'p<' ELSE 'p=' END || printf(
        f="observed null_mean p")
 def _(t):
     p = B.points(t)
-    return resample.permutation_morans(p, stats.neighbour_weights(p), draws=FOLDS)
+    return resample.permutation_morans(p, stats.neighbour_weights(p), draws=FOLDS, where=p.select("plot_id", "x", "y"))
 
 
 TIED = f"SELECT *, round(value * 20) AS axis FROM ({B.PLOTS}) p"
