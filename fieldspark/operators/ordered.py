@@ -3,6 +3,7 @@
 * ``running_sums``: running totals over a global or per-group order (two-level prefix sum).
 * ``around``: the last value up to each row and the first one after it.
 * ``average_rank``: rank with ties averaged.
+* ``centred_ranks``: the same less its mean, for rows too many to meet a table of ranks.
 * ``quantiles``: exact, linearly interpolated quantiles.
 * ``share_cut``: ordered allocation by cumulative weight share.
 
@@ -128,6 +129,58 @@ def value_ranks(df: DataFrame, column: str, by: Sequence[str] = (), weight: Colu
 
 
 SKETCH_ACCURACY = 10_000
+# Cells that a group's values are cut into at most, rows that a cell should hold, and parts that the
+# rows of one hot value are dealt to.
+CELLS, CELL_ROWS, PARTS = 1024, 1000, 64
+
+
+def cell_edges(column: str) -> Column:
+    """Aggregate: values that cut a group into cells of about equal size; a hot value is one of them."""
+    cuts = F.percentile_approx(column, [i / CELLS for i in range(1, CELLS)], SKETCH_ACCURACY)
+    every = F.ceil(F.lit(CELLS * CELL_ROWS) / F.greatest(F.count(column), F.lit(1)))
+    return F.array_distinct(F.filter(cuts, lambda _, i: (i + 1) % every == 0))
+
+
+def in_cells(df: DataFrame, by: Sequence[str], column: str, edges: DataFrame) -> DataFrame:
+    """Adds ``_cell``: 2 i + 1 at the edge i of ``edges(*by, _edges)``, 2 i between it and the one before."""
+    out = null_safe_join(df, edges, by).withColumn("_below", F.lit(0))
+    step = CELLS // 2
+    while step:
+        past = F.get("_edges", F.col("_below") + (step - 1)) < F.col(column)
+        out = out.withColumn("_below", F.col("_below") + F.when(past, step).otherwise(0))
+        step //= 2
+    at = F.coalesce(F.get("_edges", F.col("_below")) == F.col(column), F.lit(False))
+    return out.withColumn("_cell", 2 * F.col("_below") + at.cast("int")).drop("_edges", "_below")
+
+
+def cell_starts(df: DataFrame, by: Sequence[str], column: str, weight: str, edges: DataFrame) -> DataFrame:
+    """(by, _cell, _held, _start): the weight in a cell, and below it less the group's mean rank."""
+    held = in_cells(df, by, column, edges).groupBy(*by, "_cell").agg(F.sum(weight).alias("_held"))
+    group = Window.partitionBy(*by)
+    before = F.sum("_held").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    mean = (F.sum("_held").over(group) + 1) / 2.0
+    return materialise(held.withColumn("_start", F.coalesce(before, F.lit(0)) - mean))
+
+
+def centred_ranks(df: DataFrame, by: Sequence[str], column: str, weight: str, edges: DataFrame,
+                  starts: DataFrame, deal: str, rank: str) -> DataFrame:
+    """Adds the average-tie rank of ``column`` within ``by``, less the group's mean rank.
+
+    Rows move once, to their cell, and are ranked there; ``starts`` tells what lies below a cell. A
+    cell at an edge holds one value, whose rank follows from its count alone, so its rows are dealt
+    to ``PARTS`` tasks by the whole number ``deal``, and a hot value is in no task as a whole.
+    """
+    by = list(by)
+    at_edge = F.col("_cell") % 2 == 1
+    part = F.col("_cell") * PARTS + F.when(at_edge, F.col(deal) % PARTS).otherwise(0)
+    rows = in_cells(df, by, column, edges).withColumn("_part", part)
+    order = Window.partitionBy("_part", *by).orderBy(column)
+    rows = rows.withColumns({
+        "_upto": F.sum(weight).over(order),
+        "_ties": F.sum(weight).over(order.rangeBetween(Window.currentRow, Window.currentRow))})
+    inside = F.when(at_edge, (F.col("_held") + 1) / 2.0).otherwise(F.col("_upto") - (F.col("_ties") - 1) / 2.0)
+    return null_safe_join(rows, starts, [*by, "_cell"]).withColumn(rank, F.col("_start") + inside).drop(
+        "_part", "_cell", "_upto", "_ties", "_held", "_start")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
