@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from fieldspark.operators.kmeans import kmeans_grid
 from fieldspark.operators.ordered import null_safe_join
 from fieldspark.operators.rollup import mode_low, zscore
 from fieldspark.sources.stage import materialise
 
+MATRIX = 1 << 20    # plots x labels that a task holds at once
+
 
 def vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(df)
@@ -44,14 +49,65 @@ def scores(runs: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def contingency(labels: DataFrame, key: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     runs = labels.groupBy(*by).agg(F.count_distinct("run").alias("runs"))
-    lists = labels.groupBy(*by, key).agg(F.collect_list(F.struct("run", "cluster")).alias("_l"))
-    pairs = (lists.select(*by, F.explode("_l").alias("_a"), "_l").select(*by, "_a", F.explode("_l").alias("_b"))
-             .groupBy(*by, F.col("_a.run").alias("run_a"), F.col("_b.run").alias("run_b"),
-                      F.col("_a.cluster").alias("a"), F.col("_b.cluster").alias("b"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    lists = labels.groupBy(*by, key).agg(F.collect_list(F.struct("run", "cluster")).alias("_l")).select(*by, "_l")
+    kind = {f.name: f.dataType for f in labels.schema}
+    sent = StructType([StructField(c, kind[c]) for c in by] + [StructField(n, kind[c]) for n, c in (
+        ("run_a", "run"), ("run_b", "run"), ("a", "cluster"), ("b", "cluster"))] + [StructField("n", LongType())])
+    pairs = lists.mapInArrow(counting(list(by)), sent).groupBy(*by, "run_a", "run_b", "a", "b").agg(F.sum("n").alias("n"))
     return runs, pairs
 
 
+def numbered(columns: Sequence[pa.Array], n: int) -> tuple[np.ndarray, list[tuple]]:
+    """A number for every one of ``n`` rows, and the values that each number stands for."""
+    code = np.zeros(n, np.int64)
+    for c in columns:
+        c = c.dictionary_encode(null_encoding="encode")
+        code = code * len(c.dictionary) + c.indices.to_numpy()
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    return number, list(zip(*[c.take(pa.array(first)).to_pylist() for c in columns])) if columns else [()]
+
+
+def counting(by: Sequence[str]):
+    """Plots' lists of (run, cluster) to the number of plots that each two of them share, one table a
+    task: plots by labels as a matrix, times itself, so that no row per plot and pair is made."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[dict[tuple, int], np.ndarray]] = {}
+        schema = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema, lists = batch.schema, batch.column("_l")
+            items = lists.flatten()
+            plot = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            label, labels = numbered(items.flatten(), len(items))
+            group, groups = numbered([batch.column(c) for c in by], batch.num_rows)
+            for g, name in enumerate(groups):
+                mine = np.flatnonzero(group[plot] == g)
+                seen, column = np.unique(label[mine], return_inverse=True)
+                where, table = held.get(name, ({}, np.zeros((0, 0), np.int64)))
+                at = np.array([where.setdefault(labels[i], len(where)) for i in seen])
+                if len(where) > len(table):
+                    table = np.pad(table, (0, len(where) - len(table)))
+                rows = max(1, MATRIX // max(len(seen), 1))
+                _, row = np.unique(plot[mine], return_inverse=True)
+                ends = np.searchsorted(row, np.arange(0, row[-1] + 1 + rows, rows))
+                for i, (lo, hi) in enumerate(zip(ends, ends[1:])):
+                    spot = (row[lo:hi] - i * rows) * len(seen) + column[lo:hi]
+                    marks = np.bincount(spot, minlength=rows * len(seen)).reshape(rows, len(seen)).astype(np.float64)
+                    table[np.ix_(at, at)] += (marks.T @ marks).astype(np.int64)
+                held[name] = where, table
+        for name, (where, table) in held.items():
+            labels, (a, b) = list(where), np.nonzero(table)
+            run, cluster = schema.field("_l").type.value_type
+            runs, clusters = pa.array([r for r, _ in labels], run.type), pa.array([c for _, c in labels], cluster.type)
+            same = [pa.array([v], schema.field(c).type).take(pa.array(np.zeros(len(a), np.int64))) for c, v in zip(by, name)]
+            a_at, b_at = pa.array(a), pa.array(b)
+            yield pa.RecordBatch.from_arrays([*same, runs.take(a_at), runs.take(b_at), clusters.take(a_at), clusters.take(b_at), pa.array(table[a, b])],
+                                             names=[*by, "run_a", "run_b", "a", "b", "n"])
+
+    return count
+
+
 def consensus_partition(labels: DataFrame, key: str = "plot_id", by: Sequence[str] = ()) -> DataFrame:
     """The run that agrees best with all runs, with each plot's stability in it; one per group of
     ``by`` (a setting), all in the same jobs."""

@@ -106,3 +106,33 @@ def test_cluster_counts_share_their_scans(spark, data):
     for _, want in alone.values():
         assert want.items() <= got.items()
     assert {(k, s) for k, s, _ in got} == {(3, 0), (3, 1), (5, 0), (5, 1), (4, 1)}
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 12, 13, 130])
+def test_single_precision_never_decides_what_it_cannot_tell(k):
+    rng = np.random.default_rng(k)
+    x = np.vstack([rng.normal(size=(700, 6)), 1e-25 * rng.normal(size=(20, 6)), 1e39 * rng.normal(size=(20, 6)), np.zeros((3, 6))])
+    centres = rng.normal(size=(150, k, 6))
+    centres[1] = centres[1, :1]                                          # all equal: the first one
+    centres[2, -1] = centres[2, 0]
+    centres[3] = centres[3, :1] + 1e-9 * rng.normal(size=(k, 6))         # closer than single precision tells
+    centres[4, 0] = 1e25
+    gap = x[:, None, None] - centres
+    want = (gap * gap).sum(3).argmin(2).T
+    base, kind = kmeans.code_of(k)
+    got = kmeans.Screen(centres, base, kind).own(x)
+    assert got.dtype == kind and (got.astype(np.int64) - base == want).all()
+
+
+def test_steps_by_changed_points_are_lloyds(spark, data):
+    rows = np.array([r["x"] for r in kmeans.points_of(data, B.DIMS, "plot_id").select("x").collect()])
+    starts = [rows[np.random.default_rng(k).integers(0, len(rows), (3, k))] for k in (4, 7)]
+    points, kept = kmeans.points_of(data, B.DIMS, "plot_id").select("x"), spark.sparkContext._jsc.getPersistentRDDs().size()
+    for at, (got, cost) in zip(starts, kmeans.settled_groups(points, starts, 14)):
+        for c, g, paid in zip(at, got, cost):
+            for _ in range(14):
+                far = ((rows[:, None] - c) ** 2).sum(2)
+                own, last = far.argmin(1), far.min(1).sum()
+                c = np.array([rows[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
+            assert np.allclose(c, g, atol=1e-9) and paid == pytest.approx(last)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from datetime import date, timedelta
 
 import numpy as np
@@ -276,6 +277,22 @@ def test_consensus_equals_the_dense_matrix(spark):
         assert part[i].run == best and part[i].stability == pytest.approx(co[i, runs[best] == runs[best][i]].mean())
 
 
+def test_contingency_makes_no_row_per_plot_and_pair(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(p), r, c) for k in (None, 3, 4) for p in [*range(50), 7] for r, c in enumerate([*rng.integers(0, 3, 5).tolist(), None]) if rng.random() < 0.9]
+    d = spark.createDataFrame(rows, "k int, plot_id long, run int, cluster int")
+    for by in ([], ["k"]):
+        runs, pairs = cluster.contingency(d, "plot_id", by)
+        assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+        want = Counter()
+        for name in {tuple(r[:1] * len(by)) + r[1:2] for r in rows}:
+            mine = [r for r in rows if tuple(r[:1] * len(by)) + r[1:2] == name]
+            want.update((*name[:-1], a[2], b[2], a[3], b[3]) for a in mine for b in mine)
+        assert {tuple(r)[:-1]: r.n for r in pairs.collect()} == dict(want)
+        assert {tuple(r)[:-1]: r.runs for r in runs.collect()} == {(k,) * len(by): 6 for k in (None, 3, 4)}
+    assert cluster.contingency(d.limit(0), "plot_id", ["k"])[1].collect() == []
+
+
 # -- gates ------------------------------------------------------------------------------------
 BANDS = {"Bajra": (0.3, 4.0), "Maize": (0.5, 9.0), "Groundnut": (0.3, 5.0)}
 
